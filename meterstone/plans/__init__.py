@@ -1,6 +1,6 @@
 """Runnable queries over a folder of tables."""
 
-from meterstone.plans import governance_queries, usage_queries  # noqa: F401
+from meterstone.plans import governance_queries, limit_queries, usage_queries  # noqa: F401
 from meterstone.plans.registry import REGISTRY
 
 __all__ = ["REGISTRY"]
