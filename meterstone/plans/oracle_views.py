@@ -29,11 +29,11 @@ def _code(surface: int) -> str:
 
 
 def _parameters() -> str:
-    from meterstone.operators.compliance import PARAMETER_RULES
+    from meterstone.operators.compliance import NUMERIC_PARAMETERS, PARAMETERS
 
-    names = [rule.parameter for rule in PARAMETER_RULES]
+    names = PARAMETERS
     n = len(names)
-    kinds = ["number" if rule.bound is not None else "text" for rule in PARAMETER_RULES]
+    kinds = ["number" if name in NUMERIC_PARAMETERS else "text" for name in names]
     return f"""SELECT p_partkey // {n} AS account_id, {pick(f'p_partkey % {n}', *names)} AS parameter,
     CASE WHEN p_size % 11 = 0 THEN NULL
          WHEN {pick(f'p_partkey % {n}', *kinds)} = 'number' THEN CAST(CASE WHEN p_size % 3 = 0 THEN 90 ELSE p_size END AS VARCHAR)
@@ -83,7 +83,7 @@ VIEWS = {
     CASE WHEN r_regionkey % 2 = 0 THEN TIMESTAMP '2001-01-01' END AS last_disabled_timestamp FROM region""",
     "scanners": f"""SELECT p_partkey AS id, p_name AS name, p_type AS short_description,
     {pick('p_size % 4', 'TRUE', 'true', 'FALSE', None)} AS state,
-    {pick('p_partkey % 4', 'daily', 'weekly', 'monthly', 'twice-monthly')} AS schedule,
+    {pick('p_partkey % 4', 'USING CRON 16 8 * * * UTC', 'USING CRON 0 6 * * 1 UTC', 'USING CRON 0 6 7 * * UTC', 'USING CRON 0 6 9,24 * * UTC')} AS schedule,
     {pick('p_partkey % 3', 'mail', None, 'queue')} AS notification,
     TIMESTAMP '2001-07-01' + to_days(CAST(p_partkey % 30 AS INTEGER)) AS last_scan_timestamp,
     {pick('p_partkey % 6', *PACKAGE_IDS)} AS scanner_package_id FROM part""",
@@ -126,6 +126,8 @@ VIEWS = {
     CASE WHEN p_partkey = 0 THEN [] WHEN p_partkey // 2 = p_partkey // 3 THEN ['m' || (p_partkey // 2)]
          ELSE ['m' || (p_partkey // 2), 'm' || (p_partkey // 3)] END AS depends_on FROM part""",
     "external_edges": "SELECT 'm' || s_suppkey AS model, 'src' || (s_suppkey % 9) AS parent FROM supplier",
+    "monitoring_overlap": """SELECT DISTINCT 'S' || (s_suppkey % 40) AS scanner_name,
+    (['YES', 'PARTIAL', 'NO'])[s_suppkey % 40 % 4 + 1] AS overlap FROM supplier WHERE s_suppkey % 40 % 4 <> 3""",
     "accounts": """SELECT c_custkey AS user_id, c_name AS name,
     (['PERSON', 'PERSON', 'SERVICE', 'LEGACY_SERVICE'])[c_custkey % 4 + 1] AS kind,
     c_custkey % 3 <> 0 AS has_password, c_custkey % 5 < 2 AS has_mfa, c_custkey % 7 = 0 AS has_key_pair,

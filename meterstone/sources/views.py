@@ -214,7 +214,7 @@ class Views:
             F.col("p_name").alias("name"),
             F.col("p_type").alias("short_description"),
             pick(F.col("p_size") % 4, "TRUE", "true", "FALSE", None).alias("state"),
-            pick(key % 4, "daily", "weekly", "monthly", "twice-monthly").alias("schedule"),
+            pick(key % 4, "USING CRON 16 8 * * * UTC", "USING CRON 0 6 * * 1 UTC", "USING CRON 0 6 7 * * UTC", "USING CRON 0 6 9,24 * * UTC").alias("schedule"),
             pick(key % 3, "mail", None, "queue").alias("notification"),
             (F.lit("2001-07-01").cast("timestamp") + F.make_dt_interval(key % 30)).alias("last_scan_timestamp"),
             package_id(key % 6).alias("scanner_package_id"),
@@ -336,6 +336,14 @@ class Views:
             text("m", key).alias("model"), text("src", key % 9).alias("parent"),
         )
 
+    @cached_property
+    def monitoring_overlap(self) -> DataFrame:
+        """How far other monitoring covers a scanner (aggregate: one row per scanner); some are not listed."""
+        number = F.col("s_suppkey") % 40
+        return self.table("supplier").where(number % 4 != 3).select(
+            text("S", number).alias("scanner_name"), pick(number % 4, "YES", "PARTIAL", "NO").alias("overlap")
+        ).distinct()
+
     # ---- accounts, logins, grants, objects -------------------------------------------------------
 
     @cached_property
@@ -398,11 +406,11 @@ class Views:
     @cached_property
     def parameters(self) -> DataFrame:
         """Settings of many accounts, one row per account and parameter; the last account lacks some."""
-        from meterstone.operators.compliance import PARAMETER_RULES
+        from meterstone.operators.compliance import NUMERIC_PARAMETERS, PARAMETERS
 
         key, size = F.col("p_partkey"), F.col("p_size")
-        names = [rule.parameter for rule in PARAMETER_RULES]
-        number = pick(key % len(names), *["number" if rule.bound is not None else "text" for rule in PARAMETER_RULES])
+        names = PARAMETERS
+        number = pick(key % len(names), *["number" if name in NUMERIC_PARAMETERS else "text" for name in names])
         return self.table("part").select(
             F.floor(key / len(names)).alias("account_id"),
             pick(key % len(names), *names).alias("parameter"),
