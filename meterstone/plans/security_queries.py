@@ -12,7 +12,7 @@ from meterstone.plans.governance_queries import DURATIONS
 from meterstone.plans.registry import query
 
 AS_OF = dt.date(2024, 1, 31)
-GRANTS_AS_OF = dt.date(2001, 8, 2)
+GRANTS_AS_OF = dt.date(2001, 7, 1)
 SINCE = dt.date(2024, 1, 24)
 MINIMUM_VERSIONS = {"connector-a": 3, "connector-b": 5}
 ADMIN = "('ACCOUNTADMIN', 'SECURITYADMIN')"
@@ -29,7 +29,7 @@ def password_service_users(v):
 
 
 @query("D03", f"""SELECT user_id, role_name, granted_on FROM role_grants WHERE role_name IN {ADMIN}
-AND granted_on >= TIMESTAMP '2001-08-02' - INTERVAL 24 HOUR""")
+AND granted_on >= TIMESTAMP '2001-07-01' - INTERVAL 24 HOUR""")
 def new_admin_grants(v):
     return d.new_admin_grants(v.role_grants, GRANTS_AS_OF)
 
