@@ -38,6 +38,11 @@ def rate_of(service: str, rates: Mapping[str, Decimal] | None = None) -> Column:
     return F.coalesce(listed, F.lit(prices["standard"]).cast("decimal(8,2)"))
 
 
+def with_commas(amount: Column, places: int) -> Column:
+    """Number as text with thousands separators."""
+    return F.format_number(amount, places)
+
+
 def fraction(part: Column, whole: Column) -> Column:
     """Share rounded half-even to a tenth of a percent, as a fraction of one."""
     percent = part.cast("double") / whole.cast("double") * 100

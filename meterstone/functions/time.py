@@ -37,18 +37,25 @@ def since_date(df: DataFrame, ts: str, first_day: dt.date, partition_column: str
     return kept
 
 
+def since(df: DataFrame, ts: str, start: Column, partition_column: str = "usage_date") -> DataFrame:
+    """Rows with ``ts`` at or after an instant; skips whole partitions of a table partitioned by day."""
+    kept = df.where(F.col(ts) >= start)
+    if partition_column in df.columns:
+        kept = kept.where(F.col(partition_column) >= F.to_date(start))
+    return kept
+
+
 def within(ts: str, as_of: Instant, *, days: int = 0, hours: int = 0) -> Column:
     """``ts`` lies in the last ``days``/``hours`` before ``as_of``; the lower end counts."""
-    span = F.make_dt_interval(F.lit(days), F.lit(hours))
-    return F.col(ts) >= instant(as_of) - span
+    return F.col(ts) >= before(as_of, days=days, hours=hours)
 
 
-def month_start(as_of: Instant) -> Column:
-    return F.date_trunc("month", instant(as_of))
+def before(as_of: Instant, *, days: int = 0, hours: int = 0) -> Column:
+    return instant(as_of) - F.make_dt_interval(F.lit(days), F.lit(hours))
 
 
-def month_to_date(ts: str, as_of: Instant) -> Column:
-    return F.col(ts) >= month_start(as_of)
+def month_start(as_of: Instant) -> Column:
+    return F.date_trunc("month", instant(as_of))
 
 
 def _boundaries(start: Column, end: Column, seconds: int) -> Column:

@@ -61,21 +61,33 @@ def _passes(rule: ParameterRule, value: Column) -> Column:
 def param_rules(parameters: DataFrame) -> DataFrame:
     """PASS or FAIL of every rule for every account; a parameter that is missing fails.
 
-    The needed parameters become columns in one aggregation, so no join and no account x rule product is made
-    before it.
+    Expects one row per account and parameter. A row is judged where it is. Only the set of parameters an
+    account has, kept as the bits of one number, is shuffled to find the missing ones.
     """
-    needed = parameters.where(F.col("parameter").isin(*PARAMETERS))
-    wide = needed.groupBy("account_id").agg(
-        *[F.max(F.when(F.col("parameter") == name, F.col("value"))).alias(name) for name in PARAMETERS]
-    )
+    name = F.col("parameter")
     verdicts = [
-        F.struct(
-            F.lit(rule.rule).alias("rule"), F.lit(rule.parameter).alias("parameter"), F.col(rule.parameter).alias("value"),
-            F.when(_passes(rule, F.col(rule.parameter)), "PASS").otherwise("FAIL").alias("status"),
-        )
+        F.when(name == rule.parameter, F.struct(
+            F.lit(rule.rule).alias("rule"), F.when(_passes(rule, F.col("value")), "PASS").otherwise("FAIL").alias("status")
+        ))
         for rule in PARAMETER_RULES
     ]
-    return wide.select("account_id", F.explode(F.array(*verdicts)).alias("v")).select("account_id", "v.*")
+    needed = parameters.where(name.isin(*PARAMETERS))
+    judged = needed.select("account_id", "parameter", "value", F.explode(F.array_compact(F.array(*verdicts))).alias("v")).select(
+        "account_id", "v.rule", "parameter", "value", "v.status"
+    )
+    bit = {parameter: 1 << position for position, parameter in enumerate(PARAMETERS)}
+    own_bit = F.coalesce(*[F.when(name == parameter, F.lit(value)) for parameter, value in bit.items()], F.lit(0))
+    present = parameters.groupBy("account_id").agg(F.bit_or(own_bit).alias("present"))
+    absent = [
+        F.when(F.col("present").bitwiseAND(F.lit(bit[rule.parameter])) == 0, F.struct(
+            F.lit(rule.rule).alias("rule"), F.lit(rule.parameter).alias("parameter")
+        ))
+        for rule in PARAMETER_RULES
+    ]
+    missing = present.select("account_id", F.explode(F.array_compact(F.array(*absent))).alias("v")).select(
+        "account_id", "v.rule", "v.parameter", F.lit(None).cast("string").alias("value"), F.lit("FAIL").alias("status")
+    )
+    return judged.unionByName(missing)
 
 
 def _broken(rules: Mapping[str, Column]) -> Column:

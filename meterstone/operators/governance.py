@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterstone.fixed_values import (
@@ -30,7 +30,8 @@ def with_package(scanners: DataFrame, packages: DataFrame, how: str = "left") ->
 
 
 def _by_package_and_name(df: DataFrame) -> DataFrame:
-    return df.orderBy(F.col("package_name").asc_nulls_last(), F.col("scanner_name").asc_nulls_last())
+    """By package and name, then id: the id lets several tasks sort a package with very many scanners."""
+    return df.orderBy(F.col("package_name").asc_nulls_last(), F.col("scanner_name").asc_nulls_last(), "id")
 
 
 def list_scanners(scanners: DataFrame, packages: DataFrame) -> DataFrame:
@@ -134,7 +135,7 @@ def list_notifications(history: DataFrame, n: int | None = 20) -> DataFrame:
     """Newest notifications; all of them when ``n`` is None."""
     rows = history.select(
         "scanner_package_id", "scanner_id", "sent_on", "notification_integration_name", "status", "error_message"
-    ).orderBy(F.col("sent_on").desc_nulls_last())
+    ).orderBy(F.col("sent_on").desc_nulls_last(), "scanner_package_id", "scanner_id")
     return rows if n is None else rows.limit(n)
 
 
@@ -262,7 +263,8 @@ def cost_tier_share(durations: DataFrame) -> DataFrame:
     tiers = durations.groupBy(tier.alias("tier")).agg(
         F.count(F.lit(1)).alias("scanners"), F.sum("avg_duration_sec").cast("decimal(28,1)").alias("seconds")
     )
-    whole = tiers.agg(F.sum("seconds")).scalar()
+    # The window holds the three tiers.
+    whole = F.sum("seconds").over(Window.partitionBy())
     share = F.round(F.try_divide(F.col("seconds").cast("double"), whole.cast("double")), 4).cast("decimal(9,4)")
     return tiers.withColumn("share", share)
 

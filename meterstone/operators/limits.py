@@ -16,7 +16,7 @@ from meterstone.fixed_values import (
     DEFAULT_MONTHLY_LIMIT, DEFAULT_NOTIFY_PERCENT, DEFAULT_REVOKE_PERCENT, LIMIT_REASON, SPEND_ALERT_NAME,
 )
 from meterstone.functions.amounts import CREDITS, sum_or_zero
-from meterstone.functions.time import Instant, day, instant, month_of, month_to_date, within
+from meterstone.functions.time import Instant, before, day, instant, month_of, month_start, since
 from meterstone.operators.usage import name_users
 
 ACCESS_COLUMNS = [
@@ -26,14 +26,18 @@ ACCESS_COLUMNS = [
 # ---- month spend and the spend alert -------------------------------------------------------------
 
 
+def month_usage(usage: DataFrame, as_of: Instant) -> DataFrame:
+    return since(usage, "start_time", month_start(as_of))
+
+
 def month_spend(usage: DataFrame, as_of: Instant) -> DataFrame:
     """Credits since the start of the month, 0 when there are none."""
-    return usage.where(month_to_date("start_time", as_of)).agg(sum_or_zero("credits").alias("credits"))
+    return month_usage(usage, as_of).agg(sum_or_zero("credits").alias("credits"))
 
 
 def month_spend_exceeds(usage: DataFrame, as_of: Instant, threshold: Decimal) -> DataFrame:
     """One row when month spend is above the threshold, none otherwise (also none without usage)."""
-    spent = usage.where(month_to_date("start_time", as_of)).agg(F.sum("credits").alias("credits"))
+    spent = month_usage(usage, as_of).agg(F.sum("credits").alias("credits"))
     return spent.where(F.col("credits") > threshold).select(F.lit(1).alias("exceeded"))
 
 
@@ -93,7 +97,7 @@ def first_breach(usage: DataFrame, threshold: Decimal) -> DataFrame:
 
 
 def user_month_spend(usage: DataFrame, as_of: Instant) -> DataFrame:
-    return usage.where(month_to_date("start_time", as_of)).groupBy("user_id").agg(F.sum("credits").alias("total_credits"))
+    return month_usage(usage, as_of).groupBy("user_id").agg(F.sum("credits").alias("total_credits"))
 
 
 def _with_spend(access: DataFrame, spend: DataFrame) -> DataFrame:
@@ -185,7 +189,7 @@ def runaway_detection(
     usage: DataFrame, users: DataFrame, as_of: Instant, threshold: Decimal, hours: int = 48, per: str = "row"
 ) -> DataFrame:
     """Runaway work of the last hours. ``per='query'`` compares the sum of a query's windows instead of each row."""
-    recent = usage.where(within("start_time", as_of, hours=hours))
+    recent = since(usage, "start_time", before(as_of, hours=hours))
     if per == "query":
         recent = recent.where(~F.col("is_completed")).groupBy(
             "query_id", "user_id", "function_name", "model_name", "is_completed"

@@ -89,7 +89,7 @@ def validity_from_history(changes: DataFrame, key: str, updated_at: str, unit: s
     )
     within_unit = F.lead(updated_at).over(Window.partitionBy(key, "_unit").orderBy(updated_at))
     return (
-        cut.join(following, [key, "_unit"])
+        cut.join(following, [key, "_unit"], "left")
         .withColumn(OPEN_FROM, F.col(updated_at))
         .withColumn(OPEN_TO, F.coalesce(within_unit, "_next_unit_first"))
         .select(*changes.columns, OPEN_FROM, OPEN_TO)

@@ -33,35 +33,42 @@ def parse_metrics(text_column: str) -> Column:
     return F.from_json(text_column, METRICS_SCHEMA)
 
 
+def metrics_of_variant(column: str) -> Column:
+    """Metric list kept as a variant; NULL when it has another shape."""
+    return F.try_variant_get(F.col(column), "$", METRICS_SCHEMA)
+
+
 def metric_value(metrics: str, name: str) -> Column:
     """Largest value of one metric in a row's list; NULL for a missing, empty or NULL list."""
     named = F.filter(metrics, lambda item: item["key"]["metric"] == name)
     return F.array_max(F.transform(named, lambda item: item["value"]))
 
 
-def metric_pivot(usage: DataFrame, row_id: str | None = None) -> DataFrame:
+def metric_pivot(usage: DataFrame, keep_copies: bool = False) -> DataFrame:
     """One row per distinct usage row, with its input, output and total token counts.
 
     Each list is read inside its row, so no row is multiplied before the shuffle. Rows equal in all
-    nine columns become one; name a ``row_id`` column to keep copies apart.
+    nine columns become one. With ``keep_copies`` every row stays, and no shuffle
+    is needed at all.
     """
-    keys = ROW_KEY + ([row_id] if row_id else [])
     values = usage.select(
-        *keys,
+        *ROW_KEY,
         metric_value("metrics", "input").alias("input_tokens"),
         metric_value("metrics", "output").alias("output_tokens"),
         metric_value("metrics", "total").alias("total_tokens_raw"),
     )
-    return values.groupBy(*keys).agg(
+    if keep_copies:
+        return values
+    return values.groupBy(*ROW_KEY).agg(
         F.max("input_tokens").alias("input_tokens"),
         F.max("output_tokens").alias("output_tokens"),
         F.max("total_tokens_raw").alias("total_tokens_raw"),
     )
 
 
-def ai_rows(usage: DataFrame, first_day: dt.date, row_id: str | None = None) -> DataFrame:
+def ai_rows(usage: DataFrame, first_day: dt.date, keep_copies: bool = False) -> DataFrame:
     """AI-function usage since a day, tokens filled in, users still by id."""
-    rows = metric_pivot(since_date(usage, "start_time", first_day), row_id)
+    rows = metric_pivot(since_date(usage, "start_time", first_day), keep_copies)
     return rows.select(
         *ROW_KEY,
         F.coalesce("input_tokens", "total_tokens_raw", F.lit(0)).alias("input_tokens"),
@@ -78,8 +85,8 @@ def name_users(df: DataFrame, users: DataFrame) -> DataFrame:
     return df.join(users.select("user_id", F.col("name").alias("username")), "user_id", "left")
 
 
-def load_ai_functions(usage: DataFrame, users: DataFrame, first_day: dt.date, row_id: str | None = None) -> DataFrame:
-    named = name_users(ai_rows(usage, first_day, row_id), users)
+def load_ai_functions(usage: DataFrame, users: DataFrame, first_day: dt.date, keep_copies: bool = False) -> DataFrame:
+    named = name_users(ai_rows(usage, first_day, keep_copies), users)
     return named.select(
         "start_time", "end_time", "function_name", "model_name", "query_id", "warehouse_id",
         "credits", "is_completed", "username", "input_tokens", "output_tokens",
@@ -121,8 +128,9 @@ def load_code(usage: DataFrame, users: DataFrame, first_day: dt.date) -> DataFra
     ))
 
 
-def _newest(df: DataFrame) -> DataFrame:
-    return df.orderBy(F.col("start_time").desc_nulls_last())
+def _newest(df: DataFrame, ts: str = "start_time") -> DataFrame:
+    """Newest first. The other columns order rows of one time, so a busy hour is sorted by several tasks."""
+    return df.orderBy(F.col(ts).desc_nulls_last(), *[c for c in df.columns if c != ts])
 
 
 def list_users(users: DataFrame) -> DataFrame:
@@ -266,15 +274,15 @@ def ai_by_model_and_user(rows: DataFrame, users: DataFrame) -> DataFrame:
 
 def ai_detail(loaded: DataFrame) -> DataFrame:
     """Row listing of the loaded AI usage, newest day first."""
-    return loaded.select(
+    return _newest(loaded.select(
         F.to_date("start_time").alias("usage_day"), "function_name", "model_name", "username",
         "input_tokens", "output_tokens", "credits",
-    ).orderBy(F.col("usage_day").desc_nulls_last())
+    ), "usage_day")
 
 
 def detail(df: DataFrame, columns: list[str]) -> DataFrame:
     """Chosen columns of any service, newest first."""
-    return df.select(*columns).orderBy(F.col("start_time").desc_nulls_last())
+    return _newest(df.select(*columns))
 
 
 def kpi_row(df: DataFrame, rate: Decimal, tokens: tuple[str, ...] = (), distinct: Mapping[str, str] | None = None) -> DataFrame:
@@ -334,13 +342,17 @@ def long_running_by(found: DataFrame, minutes: int, key: str) -> DataFrame:
 def duration_histogram(found: DataFrame, minutes: int, max_bins: int = 20) -> DataFrame:
     """Queries per duration bin, over at most ``max_bins`` bins of one whole-minute width.
 
-    Durations are first counted per minute, so both the range and the bins come from that small count.
+    Durations are first counted per minute. A report covers at most 365 days, so the window that finds the
+    range sees at most one row per minute of a year, however many queries there are.
     """
     counts = at_least(found, minutes).groupBy("duration_minutes").agg(F.count(F.lit(1)).alias("n"))
-    low = counts.agg(F.min("duration_minutes")).scalar()
-    high = counts.agg(F.max("duration_minutes")).scalar()
-    width = F.floor((high - low) / max_bins) + 1
+    whole = Window.partitionBy()
+    ranged = counts.select(
+        "duration_minutes", "n", F.min("duration_minutes").over(whole).alias("low"), F.max("duration_minutes").over(whole).alias("high")
+    )
+    low = F.col("low")
+    width = F.floor((F.col("high") - low) / max_bins) + 1
     bin_start = low + F.floor((F.col("duration_minutes") - low) / width) * width
-    bins = counts.select(bin_start.alias("bin_start"), (bin_start + width).alias("bin_end"), "n")
+    bins = ranged.select(bin_start.alias("bin_start"), (bin_start + width).alias("bin_end"), "n")
     return bins.groupBy("bin_start", "bin_end").agg(F.sum("n").alias("queries"))
 

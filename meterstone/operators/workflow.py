@@ -24,16 +24,19 @@ def execution_history(history: DataFrame, object_name: str, n: int | None = None
 
 def task_history(history: DataFrame, task: str, as_of: Instant, days: int = 7) -> DataFrame:
     runs = history.where((F.col("name") == task) & within("scheduled_time", as_of, days=days))
-    return runs.orderBy(F.col("scheduled_time").desc_nulls_last())
+    return runs.orderBy(F.col("scheduled_time").desc_nulls_last(), F.col("query_id").desc())
 
 
 def latest_run(history: DataFrame) -> DataFrame:
     """Newest finished run of every object; the higher id wins a tie. Runs without an end time do not compete.
 
-    The maximum is taken inside each task before the shuffle, however many runs an object has.
+    The newest end of each object is found first, as a plain maximum taken inside each task. Only the runs
+    that end then are compared by id, so no object's runs are sorted or gathered.
     """
-    newest = F.max(F.struct("query_end_time", "query_id", "query_start_time", "execution_status")).alias("r")
-    return history.where(F.col("query_end_time").isNotNull()).groupBy("object_name").agg(newest).select(
+    newest = history.groupBy("object_name").agg(F.max("query_end_time").alias("query_end_time"))
+    tied = history.join(newest, ["object_name", "query_end_time"], "left_semi")
+    best = F.max(F.struct("query_end_time", "query_id", "query_start_time", "execution_status")).alias("r")
+    return tied.groupBy("object_name").agg(best).select(
         "object_name", "r.query_id", "r.query_start_time", "r.query_end_time", "r.execution_status"
     )
 

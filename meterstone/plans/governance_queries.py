@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from meterstone.operators import governance as g
 from meterstone.plans.registry import query
+from meterstone.session import work_folder
+from meterstone.sources import sinks
 
 SCAN_AS_OF = dt.date(2001, 8, 1)
 NOW = "TIMESTAMP '2001-08-01'"
@@ -273,6 +275,31 @@ def state_snapshot(v):
     return g.state_snapshot(v.scanners, v.scanner_packages, SCAN_AS_OF)
 
 
+@query("K01", """SELECT s.id AS scanner_id, s.name AS scanner_name, s.state, p.state AS pkg_state, TIMESTAMP '2001-08-01' AS snapshot_time
+FROM scanners s LEFT JOIN scanner_packages p ON s.scanner_package_id = p.id""")
+def stored_state_snapshot(v):
+    """The snapshot written once; the second, later one leaves the table as it is."""
+    folder = work_folder(v.spark, "state")
+    for as_of in (SCAN_AS_OF, SCAN_AS_OF + dt.timedelta(days=1)):
+        sinks.create_if_absent(g.state_snapshot(v.scanners, v.scanner_packages, as_of), folder)
+    return v.spark.read.parquet(folder).select("scanner_id", "scanner_name", "state", "pkg_state", "snapshot_time")
+
+
+def _report_query(fmt: str):
+    def build(v):
+        folder = work_folder(v.spark, f"report-{fmt}")
+        rows = g.scan_durations(v.findings)
+        sinks.write_report(rows, folder, fmt)
+        reader = v.spark.read.schema(rows.schema)
+        return reader.option("header", True).csv(folder) if fmt == "csv" else reader.json(folder)
+
+    return build
+
+
+query("K04 A29", DURATIONS, name="report_csv")(_report_query("csv"))
+query("K04 A29", DURATIONS, name="report_json")(_report_query("json"))
+
+
 @query("U04", """WITH after_change AS (
   SELECT id + (CASE WHEN id % 10 = 5 THEN 1000000 ELSE 0 END) AS id, CASE WHEN id % 10 = 3 THEN 'FALSE' ELSE state END AS state, schedule
   FROM scanners WHERE id % 10 <> 4)

@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from meterstone.fixed_values import DEFAULT_RATES
+from meterstone.functions.amounts import with_commas
+from meterstone.functions.time import cutoff_date
 from meterstone.operators import usage as u
 from meterstone.plans.registry import query
+from meterstone.session import work_folder
+from meterstone.sources import sinks
 from meterstone.sources.views import Views
-from meterstone.functions.time import cutoff_date
 
 AS_OF = dt.date(2024, 1, 31)
 FIRST_DAY = cutoff_date(AS_OF, 21)
@@ -91,6 +96,53 @@ def metric_pivot(v):
     return u.metric_pivot(u.since_date(v.ai_usage, "start_time", FIRST_DAY))
 
 
+FROM_BASE = """start_time, end_time, function_name, model_name, query_id, warehouse_id, credits, is_completed, user_id,
+i AS input_tokens, o AS output_tokens, t AS total_tokens_raw FROM base"""
+
+
+@query("A01 J04", f"WITH {AI_ROWS} SELECT {FROM_BASE}")
+def metric_pivot_from_text(v):
+    """The same, with the metric lists kept as JSON text."""
+    kept = u.since_date(v.ai_usage, "start_time", FIRST_DAY).withColumn("metrics", F.to_json("metrics"))
+    return u.metric_pivot(kept.withColumn("metrics", u.parse_metrics("metrics")))
+
+
+@query("A01 J04", f"WITH {AI_ROWS} SELECT {FROM_BASE}")
+def metric_pivot_from_variant(v):
+    """The same, with the metric lists kept as variants."""
+    kept = u.since_date(v.ai_usage, "start_time", FIRST_DAY).withColumn("metrics", F.parse_json(F.to_json("metrics")))
+    return u.metric_pivot(kept.withColumn("metrics", u.metrics_of_variant("metrics")))
+
+
+@query("A01", f"""SELECT model_name, count(*) AS n, CAST(sum(i) AS BIGINT) AS input_tokens, sum(credits) AS credits FROM (
+SELECT model_name, c.credits, (SELECT max(m.value) FROM (SELECT unnest(c.metrics) AS m) WHERE m.metric = 'input') AS i
+FROM ai_usage c WHERE CAST(start_time AS DATE) >= {SINCE}) GROUP BY 1""")
+def metric_pivot_all_copies(v):
+    """Copies stay, and nothing is shuffled before the sums."""
+    rows = u.metric_pivot(u.since_date(v.ai_usage, "start_time", FIRST_DAY), keep_copies=True)
+    return rows.groupBy("model_name").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("input_tokens").alias("input_tokens"), F.sum("credits").alias("credits")
+    )
+
+
+@query("A02 A03 A16", f"""WITH {SERVICES} SELECT service, format('{{:,.6f}}', CAST(credits AS DOUBLE)) AS credits_text,
+format('{{:,.2f}}', CAST(cost AS DOUBLE)) AS cost_text FROM priced WHERE credits > 0""")
+def service_breakdown_text(v):
+    """Headline figures as text."""
+    rows = u.service_breakdown(services(v))
+    return rows.select(
+        "service", with_commas(F.col("credits"), 6).alias("credits_text"), with_commas(F.col("cost"), 2).alias("cost_text")
+    )
+
+
+@query("K04 P02 A04", f"SELECT CAST(start_time AS DATE) AS usage_day, sum(credits) AS credits FROM ai_usage WHERE CAST(start_time AS DATE) >= {SINCE} GROUP BY 1")
+def stored_usage_by_day(v):
+    """Usage written as a table partitioned by day, then read for the days of the report only."""
+    folder = work_folder(v.spark, "usage")
+    sinks.write_usage_table(v.ai_usage, folder)
+    return u.daily_credits(u.since_date(v.spark.read.parquet(folder), "start_time", FIRST_DAY))
+
+
 @query("S02 P02 O02", f"SELECT start_time, end_time, username, credits, request_count FROM analyst_usage WHERE CAST(start_time AS DATE) >= {SINCE}")
 def load_analyst(v):
     return u.load_analyst(v.analyst_usage, FIRST_DAY)
