@@ -34,11 +34,12 @@ def user_month_spend(v):
     return m.user_month_spend(v.ai_usage, AS_OF)
 
 
-def sent_alerts(v, month: str):
-    """Alert state derived from last year's orders: one sent alert per listed month."""
+def sent_alerts(v, months_later: int):
+    """Alert state with one alert, sent the given number of months after the last order of 1995."""
     old = v.table("orders").where(F.col("o_orderdate") < F.lit("1996-01-01").cast("timestamp_ntz"))
-    return old.groupBy(F.to_date(F.lit(month)).alias("alert_month")).agg(
-        F.lit("monthly_spend").alias("alert_name"), F.max("o_orderdate").cast("timestamp").alias("sent_at")
+    last = old.agg(F.max("o_orderdate").cast("timestamp").alias("sent_at"))
+    return last.select(
+        F.lit("monthly_spend").alias("alert_name"), F.add_months(F.trunc("sent_at", "month"), months_later).alias("alert_month"), "sent_at"
     )
 
 
@@ -47,19 +48,19 @@ CASE WHEN sum(credits) > 1000 THEN 'sent' ELSE 'not exceeded' END AS verdict,
 CASE WHEN sum(credits) > 1000 THEN 'Alert sent. Credits: ' || CAST(sum(credits) AS VARCHAR)
 ELSE 'Threshold not exceeded. Current: ' || CAST(sum(credits) AS VARCHAR) || ' / 1000' END AS message FROM ai_usage WHERE {MTD}""")
 def spend_alert(v):
-    return m.spend_alert(v.ai_usage, sent_alerts(v, "2023-12-01"), AS_OF, THRESHOLD)
+    return m.spend_alert(v.ai_usage, sent_alerts(v, 12 * 28), AS_OF, THRESHOLD)
 
 
 @query("R02 F04 J07", f"""SELECT 'monthly_spend' AS alert_name, DATE '2024-01-01' AS alert_month, sum(credits) AS credits,
 'already sent' AS verdict, 'Alert already sent for this month' AS message FROM ai_usage WHERE {MTD}""")
 def spend_alert_repeated(v):
-    return m.spend_alert(v.ai_usage, sent_alerts(v, "2024-01-01"), AS_OF, THRESHOLD)
+    return m.spend_alert(v.ai_usage, sent_alerts(v, 12 * 28 + 1), AS_OF, THRESHOLD)
 
 
 @query("K02 R02", """SELECT 'monthly_spend' AS alert_name, CAST(date_trunc('month', start_time) AS DATE) AS alert_month,
 TIMESTAMP '2024-01-31' AS sent_at, sum(credits) AS credits_at_alert FROM ai_usage GROUP BY 2 HAVING sum(credits) > 1000""")
 def alert_state_append(v):
-    return m.new_alerts(m.month_totals(v.ai_usage), sent_alerts(v, "2023-12-01"), THRESHOLD, m.instant(AS_OF))
+    return m.new_alerts(m.month_totals(v.ai_usage), sent_alerts(v, 12 * 28), THRESHOLD, m.instant(AS_OF))
 
 
 @query("W04", """WITH h AS (SELECT start_time AS hour, CAST(date_trunc('month', start_time) AS DATE) AS month, sum(credits) AS credits
