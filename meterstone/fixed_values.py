@@ -23,6 +23,27 @@ DEFAULT_REVOKE_PERCENT = 100
 LIMIT_REASON = "Monthly limit exceeded"
 SPEND_ALERT_NAME = "monthly_spend"
 
+# Texts of verdicts and messages. Braces mark the parts filled in.
+ALERT_ALREADY_SENT = "Alert already sent for this month"
+ALERT_NOT_EXCEEDED = "Threshold not exceeded. Current: {} / {}"
+ALERT_SENT = "Alert sent. Credits: {}"
+ALERT_SUBJECT = "AI Functions Monthly Spend Alert"
+ALERT_BODY = (
+    "Monthly AI Function credit consumption has exceeded the threshold.\n\n"
+    "Current spend: {} credits\nThreshold: {} credits"
+)
+ACCESS_GRANTED = "Access granted to {} with limit {} credits"
+RUNAWAY_SUBJECT = "Runaway AI Query Cancelled - {}"
+RUNAWAY_BODY = (
+    "Query cancelled due to excessive cost.\nQuery ID: {}\nUser: {}\nFunction: {}\nModel: {}\nCredits: {}\nStart Time: {}"
+)
+UNKNOWN_USER = "Unknown"
+
+# Names and failure texts of the health report.
+HEALTH_PAID_PACKAGES = ("Paid packages enabled", "FAIL - COST ALERT")
+HEALTH_PAID_RUNS = ("Paid scanner runs (last 30d)", "FAIL - UNEXPECTED ACTIVITY")
+HEALTH_FREE_PACKAGE = ("Security Essentials active", "WARN - CHECK SE")
+
 # Scanner packages: the free one cannot be switched off.
 FREE_PACKAGE_ID = "SECURITY_ESSENTIALS"
 FREE_PACKAGE_NAME = "Security Essentials"

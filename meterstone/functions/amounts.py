@@ -43,6 +43,15 @@ def with_commas(amount: Column, places: int) -> Column:
     return F.format_number(amount, places)
 
 
+def fill(template: str, *values: Column) -> Column:
+    """Text with its braces replaced in order. A NULL value makes the whole text NULL."""
+    texts = template.split("{}")
+    parts = [F.lit(texts[0])]
+    for value, after in zip(values, texts[1:], strict=True):
+        parts += [value.cast("string"), F.lit(after)]
+    return F.concat(*parts)
+
+
 def fraction(part: Column, whole: Column) -> Column:
     """Share rounded half-even to a tenth of a percent, as a fraction of one."""
     percent = part.cast("double") / whole.cast("double") * 100

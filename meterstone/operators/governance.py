@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterstone.fixed_values import (
-    CIS_PACKAGE_ID, FREE_PACKAGE_ID, FREE_PACKAGE_NAME, FREE_PACKAGE_SCANNERS, HIGH_TIER_FROM_SECONDS,
-    MEDIUM_TIER_FROM_SECONDS, SEVERITIES, THREAT_PACKAGE_ID,
+    CIS_PACKAGE_ID, FREE_PACKAGE_ID, FREE_PACKAGE_NAME, FREE_PACKAGE_SCANNERS, HEALTH_FREE_PACKAGE, HEALTH_PAID_PACKAGES,
+    HEALTH_PAID_RUNS, HIGH_TIER_FROM_SECONDS, MEDIUM_TIER_FROM_SECONDS, SEVERITIES, THREAT_PACKAGE_ID,
 )
 from meterstone.functions.predicates import is_not_true, is_open_finding, is_true, is_true_or_false, severity_rank
 from meterstone.functions.time import Instant, days_between_marks, instant, seconds_between_marks, within
@@ -295,16 +295,16 @@ def free_package_health(scanners: DataFrame) -> DataFrame:
 def health_check(packages: DataFrame, findings: DataFrame, scanners: DataFrame, as_of: Instant) -> DataFrame:
     """Three checks with a value and a verdict each; each table is read once."""
     parts = [
-        (paid_package_count(packages), "Paid packages enabled", 0, "FAIL - COST ALERT"),
-        (distinct_paid_scanners(findings, as_of), "Paid scanner runs (last 30d)", 0, "FAIL - UNEXPECTED ACTIVITY"),
-        (free_package_health(scanners), "Free package active", FREE_PACKAGE_SCANNERS, "WARN - CHECK FREE PACKAGE"),
+        (paid_package_count(packages), HEALTH_PAID_PACKAGES, 0),
+        (distinct_paid_scanners(findings, as_of), HEALTH_PAID_RUNS, 0),
+        (free_package_health(scanners), HEALTH_FREE_PACKAGE, FREE_PACKAGE_SCANNERS),
     ]
     rows = [
         counted.select(
             F.lit(label).alias("check_name"), F.col(counted.columns[0]).alias("value"),
             F.when(F.col(counted.columns[0]) == expected, "PASS").otherwise(otherwise).alias("status"),
         )
-        for counted, label, expected, otherwise in parts
+        for counted, (label, otherwise), expected in parts
     ]
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 

@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterstone.fixed_values import (
-    DEFAULT_MONTHLY_LIMIT, DEFAULT_NOTIFY_PERCENT, DEFAULT_REVOKE_PERCENT, LIMIT_REASON, SPEND_ALERT_NAME,
+    ACCESS_GRANTED, ALERT_ALREADY_SENT, ALERT_BODY, ALERT_NOT_EXCEEDED, ALERT_SENT, ALERT_SUBJECT, DEFAULT_MONTHLY_LIMIT,
+    DEFAULT_NOTIFY_PERCENT, DEFAULT_REVOKE_PERCENT, LIMIT_REASON, RUNAWAY_BODY, RUNAWAY_SUBJECT, SPEND_ALERT_NAME, UNKNOWN_USER,
 )
-from meterstone.functions.amounts import CREDITS, sum_or_zero
+from meterstone.functions.amounts import CREDITS, fill, sum_or_zero
 from meterstone.functions.time import Instant, before, day, instant, month_of, month_start, since
 from meterstone.operators.usage import name_users
 
@@ -45,15 +46,14 @@ def spend_alert(usage: DataFrame, alert_state: DataFrame, as_of: Instant, thresh
     """Verdict of one check: alert already sent this month, threshold not exceeded, or alert sent."""
     month = F.trunc(day(as_of), "month")
     sent = alert_state.where((F.col("alert_name") == SPEND_ALERT_NAME) & (F.col("alert_month") == month)).exists()
-    credits_text = F.col("credits").cast("string")
     above = F.col("credits") > threshold
     verdict = (
         F.when(sent, "already sent").when(~above, "not exceeded").otherwise("sent")
     )
     message = (
-        F.when(sent, "Alert already sent for this month")
-        .when(~above, F.concat(F.lit("Threshold not exceeded. Current: "), credits_text, F.lit(f" / {threshold}")))
-        .otherwise(F.concat(F.lit("Alert sent. Credits: "), credits_text))
+        F.when(sent, ALERT_ALREADY_SENT)
+        .when(~above, fill(ALERT_NOT_EXCEEDED, F.col("credits"), F.lit(str(threshold))))
+        .otherwise(fill(ALERT_SENT, F.col("credits")))
     )
     return month_spend(usage, as_of).select(
         F.lit(SPEND_ALERT_NAME).alias("alert_name"), month.alias("alert_month"), "credits",
@@ -61,6 +61,12 @@ def spend_alert(usage: DataFrame, alert_state: DataFrame, as_of: Instant, thresh
     )
 
 
+def alert_mail(alerts: DataFrame, threshold: Decimal) -> DataFrame:
+    """Subject and body for each alert row (of ``new_alerts``)."""
+    body = fill(ALERT_BODY, F.col("credits_at_alert"), F.lit(str(threshold)))
+    return alerts.select("alert_month", F.lit(ALERT_SUBJECT).alias("subject"), body.alias("body"))
+
+
 def new_alerts(month_totals: DataFrame, alert_state: DataFrame, threshold: Decimal, sent_at: Column) -> DataFrame:
     """Rows to add to the alert state: months above the threshold that have no alert yet."""
     above = month_totals.where(F.col("credits") > threshold).select(
@@ -159,6 +165,11 @@ def grant_upsert(
     )
 
 
+def grant_messages(grants: DataFrame, default_limit: Decimal = DEFAULT_MONTHLY_LIMIT) -> DataFrame:
+    limit = F.coalesce("monthly_credit_limit", F.lit(default_limit)).cast(CREDITS)
+    return grants.select("user_name", fill(ACCESS_GRANTED, F.col("user_name"), limit).alias("message"))
+
+
 def monthly_reinstate(access: DataFrame) -> DataFrame:
     """One GRANTED row per listed user, with the user's own limit."""
     return access.select("user_name", F.col("monthly_credit_limit").alias("credit_limit"), F.lit("GRANTED").alias("action"))
@@ -199,16 +210,11 @@ def runaway_detection(
 
 def runaway_messages(actions: DataFrame) -> DataFrame:
     """Subject and body of the message sent for each cancelled query; a NULL part makes the body NULL."""
-    line = lambda label, value: F.concat(F.lit(label), value)
-    body = F.concat(
-        F.lit("Query cancelled due to excessive cost.\n"),
-        line("Query ID: ", F.col("query_id")), line("\nUser: ", F.coalesce("user_name", F.lit("Unknown"))),
-        line("\nFunction: ", F.col("function_name")), line("\nModel: ", F.col("model_name")),
-        line("\nCredits: ", F.col("credits").cast("string")),
-        line("\nStart Time: ", F.date_format("start_time", "yyyy-MM-dd HH:mm:ss")),
+    body = fill(
+        RUNAWAY_BODY, F.col("query_id"), F.coalesce("user_name", F.lit(UNKNOWN_USER)), F.col("function_name"), F.col("model_name"),
+        F.col("credits"), F.date_format("start_time", "yyyy-MM-dd HH:mm:ss"),
     )
-    subject = F.concat(F.lit("Runaway AI Query Cancelled - "), F.col("query_id"))
-    return actions.select("query_id", subject.alias("subject"), body.alias("body"))
+    return actions.select("query_id", fill(RUNAWAY_SUBJECT, F.col("query_id")).alias("subject"), body.alias("body"))
 
 
 def recipients(text_column: str) -> Column:

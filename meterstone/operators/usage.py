@@ -39,9 +39,14 @@ def metrics_of_variant(column: str) -> Column:
 
 
 def metric_value(metrics: str, name: str) -> Column:
-    """Largest value of one metric in a row's list; NULL for a missing, empty or NULL list."""
-    named = F.filter(metrics, lambda item: item["key"]["metric"] == name)
-    return F.array_max(F.transform(named, lambda item: item["value"]))
+    """Largest value of one metric in a row's list; NULL for a missing, empty or NULL list.
+
+    The list is sorted by name and value, largest first, so the first entry of a name is the wanted one. All
+    parts are plain expressions, which keeps the scan and the following aggregation in one generated stage.
+    """
+    items = F.col(metrics)
+    pairs = F.sort_array(F.arrays_zip(items["key"]["metric"].alias("name"), items["value"].alias("value")), asc=False)
+    return F.get(pairs["value"], F.array_position(pairs["name"], name) - 1)
 
 
 def metric_pivot(usage: DataFrame, keep_copies: bool = False) -> DataFrame:

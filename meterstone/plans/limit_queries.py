@@ -63,6 +63,20 @@ def alert_state_append(v):
     return m.new_alerts(m.month_totals(v.ai_usage), sent_alerts(v, 12 * 28), THRESHOLD, m.instant(AS_OF))
 
 
+@query("R02", """SELECT CAST(date_trunc('month', start_time) AS DATE) AS alert_month, 'AI Functions Monthly Spend Alert' AS subject,
+'Monthly AI Function credit consumption has exceeded the threshold.' || chr(10) || chr(10) || 'Current spend: ' || CAST(sum(credits) AS VARCHAR)
+|| ' credits' || chr(10) || 'Threshold: 1000 credits' AS body FROM ai_usage GROUP BY 1 HAVING sum(credits) > 1000""")
+def alert_mail(v):
+    new = m.new_alerts(m.month_totals(v.ai_usage), sent_alerts(v, 12 * 28), THRESHOLD, m.instant(AS_OF))
+    return m.alert_mail(new, THRESHOLD)
+
+
+@query("R06", """SELECT user_name, 'Access granted to ' || user_name || ' with limit ' || CAST(coalesce(monthly_credit_limit, CAST(100 AS DECIMAL(38,6))) AS VARCHAR)
+|| ' credits' AS message FROM grant_requests""")
+def grant_messages(v):
+    return m.grant_messages(v.grant_requests)
+
+
 @query("W04", """WITH h AS (SELECT start_time AS hour, CAST(date_trunc('month', start_time) AS DATE) AS month, sum(credits) AS credits
 FROM ai_usage GROUP BY 1, 2), r AS (SELECT month, hour, sum(credits) OVER (PARTITION BY month ORDER BY hour) AS spent FROM h)
 SELECT month, min(hour) AS breach_hour, min(spent) AS spent_at_breach FROM r WHERE spent > 1000 GROUP BY month""")

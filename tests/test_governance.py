@@ -107,7 +107,7 @@ def test_health_and_validation(spark, packages, scanners):
     quiet = spark.createDataFrame([], FINDINGS)
     report = {r.check_name: (r.value, r.status) for r in g.health_check(packages, quiet, scanners, AS_OF).collect()}
     assert report == {"Paid packages enabled": (1, "FAIL - COST ALERT"), "Paid scanner runs (last 30d)": (0, "PASS"),
-                      "Free package active": (1, "WARN - CHECK FREE PACKAGE")}
+                      "Security Essentials active": (1, "WARN - CHECK SE")}
     config = spark.createDataFrame([], "scanner_package_id string, scanner_id bigint, type string, configuration_name string, "
                                        "running_configuration_value string, set_configuration_value string")
     validation = g.validation_report(packages, scanners, quiet, config, AS_OF)

@@ -119,3 +119,14 @@ def test_snapshot_of_state(spark):
     packages = spark.createDataFrame([("P", "Pack", "TRUE")], "id string, name string, state string")
     assert rows(g.state_snapshot(scanners, packages, "2024-01-01"), "scanner_id", "pkg_name", "snapshot_time") == [
         (1, "Pack", ts("2024-01-01")), (2, None, ts("2024-01-01"))]
+
+
+def test_bucketed_usage_needs_no_shuffle(spark):
+    from meterstone.plans.usage_queries import FIRST_DAY
+    from meterstone.sources.views import Views
+
+    views = Views(spark, "/root/testdata/sf0.001")
+    sinks.save_bucketed_usage(views.ai_usage, "bucketed_usage", 4, mode="overwrite")
+    stored = u.ai_rows(spark.table("bucketed_usage"), FIRST_DAY)
+    assert "Exchange" not in plan_of(stored)
+    assert rows(stored) == rows(u.ai_rows(views.ai_usage, FIRST_DAY))
