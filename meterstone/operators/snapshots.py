@@ -75,7 +75,7 @@ def _next_history(
     return history.where(F.col(OPEN_TO).isNotNull()).unionByName(next_open)
 
 
-def validity_from_history(changes: DataFrame, key: str, updated_at: str, unit: str = "month") -> DataFrame:
+def validity_from_history(changes: DataFrame, key: str, updated_at: str, unit: str = "hour") -> DataFrame:
     """Validity of every row of a change log: it ends when the next row of the same key starts.
 
     Each key's log is cut into calendar units. The start of the next unit is looked up in a small table

@@ -154,11 +154,11 @@ def runaway_messages(v):
     return m.runaway_messages(m.runaway_detection(v.ai_usage, v.users, AS_OF, RUNAWAY))
 
 
-@query("R02", """SELECT user_id, CASE WHEN email IS NULL THEN ['admin@example.com'] ELSE ['admin@example.com', email] END AS recipients FROM accounts""")
+@query("R02", """SELECT user_id, CASE WHEN email IS NULL THEN 'admin@example.com' ELSE 'admin@example.com|' || email END AS recipients FROM accounts""")
 def alert_recipients(v):
     """Addresses of a comma-separated list with stray blanks."""
     listed = F.concat(F.lit(" admin@example.com"), F.coalesce(F.concat(F.lit(" , "), "email"), F.lit("")))
-    return v.accounts.withColumn("listed", listed).select("user_id", m.recipients("listed").alias("recipients"))
+    return v.accounts.withColumn("listed", listed).select("user_id", F.array_join(m.recipients("listed"), "|").alias("recipients"))
 
 
 @query("S18 U03 P14", """SELECT 'CODE_CLI_DAILY_LIMIT' AS key, CAST(c_custkey AS VARCHAR) AS value, '1' AS "default",

@@ -80,7 +80,7 @@ def services(v: Views):
 
 
 @query("S01 A01 J01 J04 P01 P17", f"WITH {AI_ROWS} SELECT model_name, username, sum(credits) AS credits, "
-       "sum(input_tokens) AS input_tokens, sum(output_tokens) AS output_tokens FROM ai GROUP BY 1, 2")
+       "CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens FROM ai GROUP BY 1, 2")
 def ai_by_model_and_user(v):
     return u.ai_by_model_and_user(ai(v), v.users)
 

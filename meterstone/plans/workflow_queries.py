@@ -118,10 +118,10 @@ def written_artifacts(v) -> str:
     return folder
 
 
-@query("S15", "SELECT model, project, depends_on FROM model_nodes")
+@query("S15", "SELECT model, project, array_to_string(depends_on, ',') AS depends_on FROM model_nodes")
 def read_artifacts(v):
     manifests = files.read_artifacts(v.spark, written_artifacts(v), "*.json", files.MANIFEST_SCHEMA, one_document_per_file=False)
-    return w.artifact_nodes(manifests)
+    return w.artifact_nodes(manifests).withColumn("depends_on", F.array_join("depends_on", ","))
 
 
 @query("S17", "SELECT n_nationkey AS code, n_name AS name, c_custkey AS customer_id FROM customer JOIN nation ON c_nationkey = n_nationkey")

@@ -75,3 +75,18 @@ def test_rows_known_to_differ_need_no_shuffle(spark):
     views = Views(spark, FOLDER)
     assert "Exchange" not in plan_of(u.ai_rows(views.ai_usage, FIRST_DAY, keep_copies=True))
     assert plan_of(u.ai_rows(views.ai_usage, FIRST_DAY)).count("Exchange hashpartitioning") <= 1
+
+
+def test_report_sets(spark):
+    from meterstone.plans import reports
+    from meterstone.plans.governance_queries import SCAN_AS_OF
+
+    v = Views(spark, FOLDER)
+    sets = [
+        reports.status_report(v.scanner_packages, v.scanners, v.findings, v.overview_metrics, SCAN_AS_OF),
+        reports.validation(v.scanner_packages, v.scanners, v.findings, v.configuration_view, v.overview_metrics, SCAN_AS_OF),
+        reports.switched_off_report(v.scanner_packages, v.scanners),
+        reports.cost_check(v.findings, SCAN_AS_OF),
+        reports.cost_estimate(v.scanner_packages, v.scanners, v.findings),
+    ]
+    assert all(frame.count() > 0 for frames in sets for frame in frames.values())
