@@ -26,12 +26,20 @@ SCENARIOS = {
 PAID_PACKAGES = ("CIS_BENCHMARKS", "THREAT_INTELLIGENCE", "THREAT_INTELLIGENCE_EVENTS")
 
 
-def package_share(scanners: DataFrame) -> DataFrame:
-    """Part of each package's scanners that are on. Event-driven checks go with their package."""
-    return scanners.groupBy("scanner_package_id").agg(
+def package_share(scanners: DataFrame, packages: DataFrame | None = None) -> DataFrame:
+    """Part of each package's scanners that are on. Event-driven checks go with their package.
+
+    With the package table the answer is about the present: a package that is off has no part that is on.
+    """
+    shares = scanners.groupBy("scanner_package_id").agg(
         (F.count_if(is_true("state")).cast("decimal(19,0)") / F.count(F.lit(1)).cast("decimal(19,0)"))
         .cast("decimal(9,6)").alias("share")
     )
+    if packages is None:
+        return shares
+    on = packages.where(is_true("state")).select(F.col("id").alias("scanner_package_id"), F.lit(True).alias("on"))
+    share = F.when(F.col("on"), F.col("share")).otherwise(F.lit(0)).cast("decimal(9,6)")
+    return shares.join(on, "scanner_package_id", "left").select("scanner_package_id", share.alias("share"))
 
 
 def scenario_cost(shares: DataFrame, daily_credits: Mapping[str, tuple] = PACKAGE_DAILY_CREDITS) -> DataFrame:

@@ -174,8 +174,8 @@ def object_coverage(v):
     return c.object_coverage(v.stages, v.sensitive_columns, v.policy_references)
 
 
-@query("C01", """WITH share AS (SELECT scanner_package_id AS package, CAST(CAST(count(*) FILTER (upper(state) = 'TRUE') AS DOUBLE) / count(*) AS DECIMAL(9,6)) AS share
-FROM scanners GROUP BY 1),
+SCENARIOS = """WITH share AS (SELECT scanner_package_id AS package, CAST(CAST(count(*) FILTER (upper(s.state) = 'TRUE'{on}) AS DOUBLE) / count(*) AS DECIMAL(9,6)) AS share
+FROM scanners s LEFT JOIN scanner_packages p ON s.scanner_package_id = p.id GROUP BY 1),
 rate AS (SELECT * FROM (VALUES ('everything daily', 'CIS_BENCHMARKS', 30, 365), ('everything daily', 'THREAT_INTELLIGENCE', 30, 365),
 ('CIS weekly, threat daily', 'CIS_BENCHMARKS', 4, 52), ('CIS weekly, threat daily', 'THREAT_INTELLIGENCE', 30, 365),
 ('CIS monthly, threat weekly', 'CIS_BENCHMARKS', 1, 12), ('CIS monthly, threat weekly', 'THREAT_INTELLIGENCE', 4, 52),
@@ -184,11 +184,21 @@ credit AS (SELECT * FROM (VALUES ('CIS_BENCHMARKS', 0.5, 2.0), ('THREAT_INTELLIG
 s AS (SELECT scenario, CAST(sum(low * m * share) AS DECIMAL(28,6)) AS monthly_low, CAST(sum(high * m * share) AS DECIMAL(28,6)) AS monthly_high,
 CAST(floor(CAST(sum(low * y * share) AS DECIMAL(28,6))) AS BIGINT) AS annual_low, CAST(ceil(CAST(sum(high * y * share) AS DECIMAL(28,6))) AS BIGINT) AS annual_high
 FROM rate JOIN share USING (package) JOIN credit USING (package) GROUP BY 1)
-SELECT *, CAST(annual_low * 3 AS DECIMAL(28,2)) AS annual_cost_low, CAST(annual_high * 3 AS DECIMAL(28,2)) AS annual_cost_high FROM s""")
+SELECT *, CAST(annual_low * 3 AS DECIMAL(28,2)) AS annual_cost_low, CAST(annual_high * 3 AS DECIMAL(28,2)) AS annual_cost_high FROM s"""
+
+
+@query("C01", SCENARIOS.format(on=""))
 def scenario_cost(v):
+    """All packages taken as switched on."""
     return m.scenario_cost(m.package_share(v.scanners))
 
 
+@query("C01", SCENARIOS.format(on=" AND upper(p.state) = 'TRUE'"))
+def current_scenario_cost(v):
+    """Packages that are off cost nothing."""
+    return m.scenario_cost(m.package_share(v.scanners, v.scanner_packages))
+
+
 ADVICE = f"""SELECT scanner_package_name, d.scanner_name, avg_duration_sec, tier, overlap, CASE WHEN scanner_package_name = 'Security Essentials' THEN 'KEEP'
 WHEN overlap = 'YES' THEN 'DISABLE' WHEN overlap = 'PARTIAL' AND tier = 'HIGH' THEN 'DISABLE IF MONITORED' WHEN overlap = 'PARTIAL' THEN 'DISABLE'
 WHEN tier = 'LOW' THEN 'DISABLE, RARELY CHANGES' ELSE 'KEEP' END AS recommendation FROM (SELECT t.*, coalesce(o.overlap, 'NO') AS overlap FROM (

@@ -41,7 +41,7 @@ def spend_alert_stream(v):
     empty = v.spark.createDataFrame([], "alert_name string, alert_month date, sent_at timestamp, credits_at_alert decimal(38,6)")
     state = StateTable(f"{folder}/state", empty)
     jobs.spend_alerts(w.ai_usage_of(event_stream(v)), folder, state, Decimal("1000"), stamp())
-    return state.after(0)
+    return state.current()
 
 
 @query("R03", f"""WITH {SPEND} SELECT a.user_name, coalesce(s.total_credits, 0) AS credits_used, a.monthly_credit_limit AS credit_limit,

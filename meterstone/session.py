@@ -8,8 +8,18 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def build_session(app_name: str = "meterstone", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with adaptive execution, skew splitting and UTC timestamps."""
+def shuffle_partitions_for(shuffled_bytes: int, partition_bytes: int = 512 << 20) -> int:
+    """Partitions that keep each one near ``partition_bytes``; adaptive execution merges the ones that turn out small."""
+    return max(200, -(-shuffled_bytes // partition_bytes))
+
+
+def build_session(
+    app_name: str = "meterstone", master: str | None = None, shuffled_bytes: int | None = None, **conf: str
+) -> SparkSession:
+    """A session with adaptive execution, skew splitting and UTC timestamps.
+
+    ``shuffled_bytes`` is the size of the largest shuffle expected, such as the usage columns of one report.
+    """
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
@@ -19,6 +29,8 @@ def build_session(app_name: str = "meterstone", master: str | None = None, **con
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
     }
+    if shuffled_bytes:
+        defaults["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] = str(shuffle_partitions_for(shuffled_bytes))
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()

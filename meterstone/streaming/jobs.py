@@ -10,8 +10,10 @@ from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from meterstone.operators import detect, limits
+from meterstone.operators.governance import is_paid
 from meterstone.operators.limits import ACCESS_COLUMNS
 from meterstone.streaming.tables import StateTable, run_batches, write_batch
 
@@ -27,7 +29,9 @@ def hourly_usage(usage: DataFrame, ts: str = "ts", late: str = "2 hours") -> Dat
     )
 
 
-def spend_alerts(usage: DataFrame, folder: str, alert_state: StateTable, threshold: Decimal, sent_at: Column | None = None) -> None:
+def spend_alerts(
+    usage: DataFrame, folder: str, alert_state: StateTable, threshold: Decimal, sent_at: Column | None = None, every: str | None = None
+) -> StreamingQuery:
     """One alert per month whose spend goes above the threshold.
 
     The running totals are one row per month. A repeated batch finds its alert in the state and adds none.
@@ -39,10 +43,12 @@ def spend_alerts(usage: DataFrame, folder: str, alert_state: StateTable, thresho
         new = limits.new_alerts(totals, sent, threshold, stamp)
         alert_state.replace(batch_id, sent.unionByName(new))
 
-    run_batches(limits.month_totals(usage), folder, step, mode="update")
+    return run_batches(limits.month_totals(usage), folder, step, mode="update", every=every)
 
 
-def enforce_limits(usage: DataFrame, folder: str, access: StateTable, at: Column | None = None) -> None:
+def enforce_limits(
+    usage: DataFrame, folder: str, access: StateTable, at: Column | None = None, every: str | None = None
+) -> StreamingQuery:
     """Revokes access of users whose spend of their newest month passes their limit.
 
     Only users with new usage are looked at; action rows go to ``folder/actions``.
@@ -57,7 +63,7 @@ def enforce_limits(usage: DataFrame, folder: str, access: StateTable, at: Column
         write_batch(limits.limit_enforcement(current, newest), f"{folder}/actions", batch_id)
         access.replace(batch_id, limits.enforced_access(current, newest, stamp).select(*ACCESS_COLUMNS))
 
-    run_batches(spend, folder, step, mode="update")
+    return run_batches(spend, folder, step, mode="update", every=every)
 
 
 def runaway_work(usage: DataFrame, users: DataFrame, threshold: Decimal, late: str = "48 hours") -> DataFrame:
@@ -74,6 +80,14 @@ def job_errors(queries: DataFrame, n: int, window: str = "1 day", late: str = "1
     return detect.job_errors(queries.withWatermark("start_time", late), n, window)
 
 
+def active_scanners(findings: DataFrame, window: str = "1 day", late: str = "1 hour") -> DataFrame:
+    """Paid scanners seen per window. A stream cannot keep exact distinct sets for ever, so this count is approximate."""
+    runs = findings.where(is_paid()).withWatermark("start_timestamp", late)
+    return runs.groupBy(F.window("start_timestamp", window).alias("w")).agg(
+        F.approx_count_distinct("scanner_name", 0.01).alias("scanners")
+    ).select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "scanners")
+
+
 def unusual_ip_logins(logins: DataFrame, known: DataFrame) -> DataFrame:
     """First login of each user from an address that is neither in the known table nor seen by the stream.
 
@@ -83,7 +97,9 @@ def unusual_ip_logins(logins: DataFrame, known: DataFrame) -> DataFrame:
     return fresh.dropDuplicates(["user_id", "client_ip"]).select("user_id", "client_ip")
 
 
-def dormant_logins(logins: DataFrame, folder: str, last_logins: StateTable, days: int = 90) -> None:
+def dormant_logins(
+    logins: DataFrame, folder: str, last_logins: StateTable, days: int = 90, every: str | None = None
+) -> StreamingQuery:
     """Logins after ``days`` or more days without one; rows go to ``folder/rows``.
 
     Each batch is first cut down to one row per user and day, then set against the last login of each user
@@ -101,4 +117,4 @@ def dormant_logins(logins: DataFrame, folder: str, last_logins: StateTable, days
         write_batch(found.select("user_id", "previous_login", F.col("first_login").alias("login_at")), f"{folder}/rows", batch_id)
         last_logins.replace(batch_id, seen.groupBy("user_id").agg(F.max("last_login").alias("last_login")))
 
-    run_batches(logins, folder, step)
+    return run_batches(logins, folder, step, every=every)

@@ -5,6 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+
+from meterstone.sources.sinks import table_exists
 
 
 def stream_table(spark: SparkSession, folder: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -20,26 +23,38 @@ class StateTable:
     """A table that every micro-batch replaces, kept in two slots below a shared folder.
 
     Batch n reads the slot of batch n-1 and writes its own, so a batch that is repeated after a failure
-    reads the same input and gives the same result.
+    reads the same input and gives the same result. Between runs of a job, another job may replace the
+    state of the latest batch (a monthly reinstatement, for instance).
     """
 
     def __init__(self, folder: str, initial: DataFrame):
         self.folder = folder.rstrip("/")
         self.initial = initial
+        self.spark = initial.sparkSession
 
     def _slot(self, batch_id: int) -> str:
         return f"{self.folder}/slot{batch_id % 2}"
 
     def before(self, batch_id: int) -> DataFrame:
-        if batch_id == 0:
-            return self.initial
-        return self.initial.sparkSession.read.schema(self.initial.schema).parquet(self._slot(batch_id - 1))
+        return self.initial if batch_id == 0 else self.after(batch_id - 1)
+
+    def after(self, batch_id: int) -> DataFrame:
+        return self.spark.read.schema(self.initial.schema).parquet(self._slot(batch_id))
 
     def replace(self, batch_id: int, rows: DataFrame) -> None:
+        """Write the state of a batch, and then the note that it is complete."""
         rows.select(*self.initial.columns).write.mode("overwrite").parquet(self._slot(batch_id))
+        self.spark.range(batch_id, batch_id + 1).write.mode("overwrite").parquet(f"{self._slot(batch_id)}-batch")
 
-    def after(self, batch_id: int) -> DataFrame:
-        return self.initial.sparkSession.read.schema(self.initial.schema).parquet(self._slot(batch_id))
+    def latest_batch(self) -> int | None:
+        notes = [f"{self._slot(slot)}-batch" for slot in (0, 1)]
+        done = [self.spark.read.parquet(note).first()[0] for note in notes if table_exists(self.spark, note)]
+        return max(done, default=None)
+
+    def current(self) -> DataFrame:
+        """State after the latest complete batch; the initial one when there is none."""
+        batch_id = self.latest_batch()
+        return self.initial if batch_id is None else self.after(batch_id)
 
 
 def write_batch(rows: DataFrame, folder: str, batch_id: int) -> None:
@@ -47,20 +62,29 @@ def write_batch(rows: DataFrame, folder: str, batch_id: int) -> None:
     rows.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/batch_id={batch_id}")
 
 
+def _start(writer: DataStreamWriter, folder: str, every: str | None, path: str | None = None) -> StreamingQuery:
+    """Start a query; without an interval it takes the input there is now and has ended on return."""
+    writer = writer.option("checkpointLocation", f"{folder}/checkpoint")
+    writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
+    query = writer.start(path) if path else writer.start()
+    if not every:
+        query.awaitTermination()
+    return query
+
+
+def run_rows(stream: DataFrame, folder: str, every: str | None = None) -> StreamingQuery:
+    """Append the rows of a stream to the table ``folder/rows``, once or at an interval such as ``1 hour``."""
+    return _start(stream.writeStream.format("parquet").outputMode("append"), folder, every, f"{folder}/rows")
+
+
 def run_to_end(stream: DataFrame, folder: str) -> DataFrame:
-    """Process all input there is now, append the results to a table, and return that table."""
-    query = (
-        stream.writeStream.format("parquet").outputMode("append")
-        .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start(f"{folder}/rows")
-    )
-    query.awaitTermination()
+    """Process all input there is now, and return the table of results."""
+    run_rows(stream, folder)
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
-def run_batches(stream: DataFrame, folder: str, step: Callable[[DataFrame, int], None], mode: str = "append") -> None:
-    """Process all input there is now, one ``step`` per micro-batch."""
-    query = (
-        stream.writeStream.foreachBatch(step).outputMode(mode)
-        .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+def run_batches(
+    stream: DataFrame, folder: str, step: Callable[[DataFrame, int], None], mode: str = "append", every: str | None = None
+) -> StreamingQuery:
+    """Call ``step`` for every micro-batch, once or at an interval."""
+    return _start(stream.writeStream.foreachBatch(step).outputMode(mode), folder, every)

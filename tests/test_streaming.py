@@ -51,11 +51,11 @@ def test_one_alert_per_month_over_many_batches(spark, parts, tmp_path):
     state = StateTable(str(tmp_path / "state"), empty)
     usage = views.ai_usage_of(stream(spark, parts))
     jobs.spend_alerts(usage, str(tmp_path / "job"), state, Decimal("1000"))
-    assert rows(state.after(3), "alert_month") == [(dt.date(2024, 1, 1),)]
+    assert state.latest_batch() == 3 and rows(state.current(), "alert_month") == [(dt.date(2024, 1, 1),)]
     # A restart with one more file continues after batch 3 and sends nothing new.
     pq.write_table(pq.read_table(EVENTS).slice(0, 50), parts / "events-9.parquet")
     jobs.spend_alerts(views.ai_usage_of(stream(spark, parts)), str(tmp_path / "job"), state, Decimal("1000"))
-    assert rows(state.after(4), "alert_month") == [(dt.date(2024, 1, 1),)]
+    assert state.latest_batch() == 4 and rows(state.current(), "alert_month") == [(dt.date(2024, 1, 1),)]
 
 
 def test_enforcement_revokes_each_user_once(spark, parts, tmp_path):
@@ -106,12 +106,38 @@ def test_failures_and_errors_stream(spark, parts, tmp_path):
 def test_repeating_a_batch_gives_the_same_state(spark, tmp_path):
     state = StateTable(str(tmp_path / "s"), spark.createDataFrame([(0,)], "n int"))
     add = lambda i: state.replace(i, state.before(i).select((F.col("n") + 1).alias("n")))
+    assert state.latest_batch() is None and rows(state.current()) == [(0,)]
     for i in (0, 1, 2, 2, 2):
         add(i)
-    assert rows(state.after(2)) == [(3,)]
+    assert rows(state.current()) == [(3,)]
+    state.replace(state.latest_batch(), spark.createDataFrame([(10,)], "n int"))
+    add(3)
+    assert rows(state.current()) == [(11,)]
 
 
 def test_change_filters_take_a_stream(spark, parts, tmp_path):
     seen = []
     run_batches(detect.network_policy_changes(views.change_events_of(stream(spark, parts))), str(tmp_path / "job"), lambda df, i: seen.append(df.count()))
     assert sum(seen) == detect.network_policy_changes(views.change_events_of(batch(spark))).count()
+
+
+def test_active_scanners_per_day(spark, parts, tmp_path):
+    shape = lambda df: df.select(
+        F.col("ts").alias("start_timestamp"), F.concat(F.lit("S"), F.col("event_id") % 30).alias("scanner_name"),
+        F.when(F.col("event_id") % 3 == 0, "Security Essentials").otherwise("CIS Benchmarks").alias("scanner_package_name"),
+    )
+    got = {r.window_start: r.scanners for r in run_to_end(jobs.active_scanners(shape(stream(spark, parts))), str(tmp_path / "out")).collect()}
+    day = F.date_trunc("day", "start_timestamp")
+    want = shape(batch(spark)).where("scanner_package_name <> 'Security Essentials'").groupBy(day.alias("d")).agg(F.count_distinct("scanner_name").alias("n"))
+    for r in want.where("d < '2024-01-29'").collect():
+        assert abs(got[r.d] - r.n) <= 1
+
+
+def test_a_job_can_run_at_an_interval(spark, parts, tmp_path):
+    state = StateTable(str(tmp_path / "state"), spark.createDataFrame([], "user_id bigint, last_login timestamp"))
+    job = jobs.dormant_logins(views.logins_of(stream(spark, parts)), str(tmp_path / "job"), state, 1, every="1 second")
+    try:
+        job.processAllAvailable()
+    finally:
+        job.stop()
+    assert state.current().count() == views.logins_of(batch(spark)).where("is_success").select("user_id").distinct().count()
