@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from meterstone.fixed_values import HIGH_TIER_FROM_SECONDS, MEDIUM_TIER_FROM_SECONDS, SEVERITIES
+
 
 def is_true(state: str | Column) -> Column:
     """Any spelling of TRUE; NULL stays NULL."""
@@ -27,10 +29,15 @@ def is_open_finding(state: str = "state", at_risk: str = "total_at_risk_count")
 
 
 def severity_rank(severity: str) -> Column:
-    from meterstone.fixed_values import SEVERITIES
-
+    """Position of a severity from the gravest on; unknown ones come last."""
     upper = F.upper(severity)
     rank = F.lit(len(SEVERITIES) + 1)
     for position, name in reversed(list(enumerate(SEVERITIES, start=1))):
         rank = F.when(upper == name, position).otherwise(rank)
     return rank
+
+
+def duration_tier(seconds: str) -> Column:
+    """Cost tier of a scanner by its mean duration."""
+    mean = F.col(seconds)
+    return F.when(mean >= HIGH_TIER_FROM_SECONDS, "HIGH").when(mean >= MEDIUM_TIER_FROM_SECONDS, "MEDIUM").otherwise("LOW")

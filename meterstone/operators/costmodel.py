@@ -7,10 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterstone.fixed_values import (
-    CREDIT_PRICE, FREE_PACKAGE_NAME, HIGH_TIER_FROM_SECONDS, MEDIUM_TIER_FROM_SECONDS, PACKAGE_DAILY_CREDITS,
-)
-from meterstone.functions.predicates import is_true
+from meterstone.fixed_values import CREDIT_PRICE, FREE_PACKAGE_NAME, PACKAGE_DAILY_CREDITS
+from meterstone.functions.predicates import duration_tier, is_true
 from meterstone.functions.time import Instant, day
 
 # Runs per 30-day month and per year of each frequency.
@@ -77,11 +75,6 @@ def scenario_cost(shares: DataFrame, daily_credits: Mapping[str, tuple] = PACKAG
     )
 
 
-def duration_tier(seconds: str) -> Column:
-    column = F.col(seconds)
-    return F.when(column >= HIGH_TIER_FROM_SECONDS, "HIGH").when(column >= MEDIUM_TIER_FROM_SECONDS, "MEDIUM").otherwise("LOW")
-
-
 def recommendations(durations: DataFrame, overlap: DataFrame) -> DataFrame:
     """What to do with each scanner, from its duration tier and how far other monitoring covers it."""
     joined = durations.join(overlap, "scanner_name", "left")

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from meterstone.fixed_values import (
     CIS_PACKAGE_ID, FREE_PACKAGE_ID, FREE_PACKAGE_NAME, FREE_PACKAGE_SCANNERS, HEALTH_FREE_PACKAGE, HEALTH_PAID_PACKAGES,
-    HEALTH_PAID_RUNS, HIGH_TIER_FROM_SECONDS, MEDIUM_TIER_FROM_SECONDS, SEVERITIES, THREAT_PACKAGE_ID,
+    HEALTH_PAID_RUNS, SEVERITIES, THREAT_PACKAGE_ID,
+)
+from meterstone.functions.predicates import (
+    duration_tier, is_not_true, is_open_finding, is_true, is_true_or_false, severity_rank,
 )
-from meterstone.functions.predicates import is_not_true, is_open_finding, is_true, is_true_or_false, severity_rank
 from meterstone.functions.time import Instant, days_between_marks, instant, seconds_between_marks, within
 
 # ---- inventory ---------------------------------------------------------------------------------
@@ -256,11 +258,7 @@ def avg_scan_duration(findings: DataFrame, n: int = 20) -> DataFrame:
 
 def cost_tier_share(durations: DataFrame) -> DataFrame:
     """Scanners and seconds per duration tier, with the tier's share of all seconds."""
-    average = F.col("avg_duration_sec")
-    tier = (
-        F.when(average >= HIGH_TIER_FROM_SECONDS, "HIGH").when(average >= MEDIUM_TIER_FROM_SECONDS, "MEDIUM").otherwise("LOW")
-    )
-    tiers = durations.groupBy(tier.alias("tier")).agg(
+    tiers = durations.groupBy(duration_tier("avg_duration_sec").alias("tier")).agg(
         F.count(F.lit(1)).alias("scanners"), F.sum("avg_duration_sec").cast("decimal(28,1)").alias("seconds")
     )
     # The window holds the three tiers.

@@ -65,13 +65,13 @@ VIEWS = {
     CASE WHEN user_id % 6 = 0 THEN 'Monthly limit exceeded' END AS revocation_reason FROM users""",
     "grant_requests": """SELECT CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE 'New#' || c_custkey END AS user_name,
     CASE WHEN c_custkey % 3 <> 0 THEN CAST(500 + c_custkey AS DECIMAL(38,6)) END AS monthly_credit_limit,
-    TIMESTAMP '2024-01-30' AS requested_at FROM customer WHERE c_custkey % 7 = 0""",
+    TIMESTAMP '2024-01-30' AS requested_at FROM customer""",
     "account_daily_limits": """SELECT CASE WHEN r_regionkey % 2 = 0 THEN 'code_cli' ELSE 'code_web' END AS surface,
     CAST(max(r_regionkey * 20) AS DECIMAL(38,6)) AS daily_limit FROM region GROUP BY 1""",
     "user_daily_limits": """SELECT c_custkey AS user_id,
-    CASE WHEN c_custkey % 8 < 4 THEN 'code_cli' ELSE 'code_web' END AS surface,
+    CASE WHEN c_custkey % 2 = 0 THEN 'code_cli' ELSE 'code_web' END AS surface,
     CAST(CASE WHEN c_custkey % 12 = 0 THEN -1 WHEN c_custkey % 20 = 0 THEN 0 ELSE c_custkey % 90 END AS DECIMAL(38,6)) AS daily_limit
-    FROM customer WHERE c_custkey % 4 = 0""",
+    FROM customer""",
     "agent_tags": """SELECT DISTINCT 'AGENT' || (s_suppkey % 5) AS agent_name, 'CENTER' || (s_suppkey % 5 % 3) AS tag_value FROM supplier""",
     "tag_budgets": """SELECT 'CENTER' || r_regionkey AS tag_value, CAST(15000 * (r_regionkey + 1) AS DECIMAL(38,6)) AS monthly_limit FROM region""",
     "scanner_packages": f"""SELECT {pick('r_regionkey', *PACKAGE_IDS)} AS id, r_name AS name,
@@ -127,7 +127,7 @@ VIEWS = {
          ELSE ['m' || (p_partkey // 2), 'm' || (p_partkey // 3)] END AS depends_on FROM part""",
     "external_edges": "SELECT 'm' || s_suppkey AS model, 'src' || (s_suppkey % 9) AS parent FROM supplier",
     "monitoring_overlap": """SELECT DISTINCT 'S' || (s_suppkey % 40) AS scanner_name,
-    (['YES', 'PARTIAL', 'NO'])[s_suppkey % 40 % 4 + 1] AS overlap FROM supplier WHERE s_suppkey % 40 % 4 <> 3""",
+    (['YES', 'PARTIAL', 'NO', NULL])[s_suppkey % 40 % 4 + 1] AS overlap FROM supplier""",
     "accounts": """SELECT c_custkey AS user_id, c_name AS name,
     (['PERSON', 'PERSON', 'SERVICE', 'LEGACY_SERVICE'])[c_custkey % 4 + 1] AS kind,
     c_custkey % 3 <> 0 AS has_password, c_custkey % 5 < 2 AS has_mfa, c_custkey % 7 = 0 AS has_key_pair,
@@ -164,8 +164,8 @@ VIEWS = {
     "sensitive_columns": """SELECT 'TABLE' || (p_partkey // 4) AS table_name, 'COL' || (p_partkey % 4) AS column_name,
     p_size % 2 = 0 AS is_sensitive FROM part""",
     "policy_references": """SELECT 'TABLE' || (p_partkey // 4) AS table_name,
-    CASE WHEN p_partkey % 2 = 0 THEN 'COL' || (p_partkey % 4) END AS column_name,
-    CASE WHEN p_partkey % 2 = 0 THEN 'MASKING' ELSE 'ROW_ACCESS' END AS policy_kind FROM part WHERE p_partkey % 3 = 0""",
+    CASE WHEN p_partkey // 4 % 3 <> 1 THEN 'COL' || (p_partkey % 4) END AS column_name,
+    (['MASKING', 'ROW_ACCESS', 'PROJECTION'])[p_partkey // 4 % 3 + 1] AS policy_kind FROM part""",
 }
 
 

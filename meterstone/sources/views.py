@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterstone.functions.amounts import credits
-
-METRICS_TYPE = "array<struct<key:struct<metric:string>,value:bigint>>"
+from meterstone.operators.compliance import NUMERIC_PARAMETERS, PARAMETERS
+from meterstone.operators.usage import METRICS_SCHEMA
 
 
 def pick(index: Column, *values: str | None) -> Column:
@@ -140,7 +140,7 @@ class Views:
     def grant_requests(self) -> DataFrame:
         """New grants: some for users that hold access, some for new names, some with no limit."""
         key = F.col("c_custkey")
-        return self.table("customer").where(key % 7 == 0).select(
+        return self.table("customer").select(
             F.when(key % 2 == 0, F.col("c_name")).otherwise(text("New#", key)).alias("user_name"),
             F.when(key % 3 != 0, (500 + key).cast("decimal(38,6)")).alias("monthly_credit_limit"),
             F.lit("2024-01-30").cast("timestamp").alias("requested_at"),
@@ -156,10 +156,10 @@ class Views:
     @cached_property
     def user_daily_limits(self) -> DataFrame:
         key = F.col("c_custkey")
-        return self.table("customer").where(key % 4 == 0).select(
+        return self.table("customer").select(
             key.alias("user_id"),
-            pick(key % 8 / 4, "code_cli", "code_web").alias("surface"),
-            (F.when(key % 12 == 0, -1).when(key % 20 == 0, 0).otherwise(key % 90)).cast("decimal(38,6)").alias("daily_limit"),
+            pick(key % 2, "code_cli", "code_web").alias("surface"),
+            F.when(key % 12 == 0, -1).when(key % 20 == 0, 0).otherwise(key % 90).cast("decimal(38,6)").alias("daily_limit"),
         )
 
     @cached_property
@@ -338,10 +338,10 @@ class Views:
 
     @cached_property
     def monitoring_overlap(self) -> DataFrame:
-        """How far other monitoring covers a scanner (aggregate: one row per scanner); some are not listed."""
+        """How far other monitoring covers a scanner (aggregate: one row per scanner); for some it is unknown."""
         number = F.col("s_suppkey") % 40
-        return self.table("supplier").where(number % 4 != 3).select(
-            text("S", number).alias("scanner_name"), pick(number % 4, "YES", "PARTIAL", "NO").alias("overlap")
+        return self.table("supplier").select(
+            text("S", number).alias("scanner_name"), pick(number % 4, "YES", "PARTIAL", "NO", None).alias("overlap")
         ).distinct()
 
     # ---- accounts, logins, grants, objects -------------------------------------------------------
@@ -406,8 +406,6 @@ class Views:
     @cached_property
     def parameters(self) -> DataFrame:
         """Settings of many accounts, one row per account and parameter; the last account lacks some."""
-        from meterstone.operators.compliance import NUMERIC_PARAMETERS, PARAMETERS
-
         key, size = F.col("p_partkey"), F.col("p_size")
         names = PARAMETERS
         number = pick(key % len(names), *["number" if name in NUMERIC_PARAMETERS else "text" for name in names])
@@ -451,10 +449,11 @@ class Views:
     @cached_property
     def policy_references(self) -> DataFrame:
         key = F.col("p_partkey")
-        return self.table("part").where(key % 3 == 0).select(
-            text("TABLE", F.floor(key / 4)).alias("table_name"),
-            F.when(key % 2 == 0, text("COL", key % 4)).alias("column_name"),
-            F.when(key % 2 == 0, "MASKING").otherwise("ROW_ACCESS").alias("policy_kind"),
+        table = F.floor(key / 4)
+        return self.table("part").select(
+            text("TABLE", table).alias("table_name"),
+            F.when(table % 3 != 1, text("COL", key % 4)).alias("column_name"),
+            pick(table % 3, "MASKING", "ROW_ACCESS", "PROJECTION").alias("policy_kind"),
         )
 
 
@@ -478,7 +477,7 @@ def ai_usage_of(events: DataFrame) -> DataFrame:
     metric = lambda name, value: F.struct(F.struct(F.lit(name).alias("metric")).alias("key"), value.alias("value"))
     metrics = (
         F.when(event % 11 == 0, None)
-        .when(event % 17 == 0, F.array().cast(METRICS_TYPE))
+        .when(event % 17 == 0, F.array().cast(METRICS_SCHEMA))
         .when(event % 5 == 0, F.array(metric("total", k)))
         .otherwise(F.array(metric("input", k), metric("output", event % 7)))
     )

@@ -60,8 +60,10 @@ def enforce_limits(
     def step(changed: DataFrame, batch_id: int) -> None:
         newest = changed.groupBy("user_id").agg(F.max_by("total_credits", "month").alias("total_credits"))
         current = access.before(batch_id)
+        newest.persist()
         write_batch(limits.limit_enforcement(current, newest), f"{folder}/actions", batch_id)
         access.replace(batch_id, limits.enforced_access(current, newest, stamp).select(*ACCESS_COLUMNS))
+        newest.unpersist()
 
     return run_batches(spend, folder, step, mode="update", every=every)
 
@@ -114,7 +116,9 @@ def dormant_logins(
         previous = F.lag("last_login").over(Window.partitionBy("user_id").orderBy("last_login"))
         gap_ends = F.col("previous_login") + F.make_dt_interval(F.lit(days))
         found = seen.withColumn("previous_login", previous).where(F.col("first_login") >= gap_ends)
+        seen.persist()
         write_batch(found.select("user_id", "previous_login", F.col("first_login").alias("login_at")), f"{folder}/rows", batch_id)
         last_logins.replace(batch_id, seen.groupBy("user_id").agg(F.max("last_login").alias("last_login")))
+        seen.unpersist()
 
     return run_batches(logins, folder, step, every=every)

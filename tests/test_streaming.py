@@ -1,7 +1,6 @@
 import datetime as dt
 from decimal import Decimal
 
-import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
