@@ -62,7 +62,8 @@ def scenario_cost(shares: DataFrame, daily_credits: Mapping[str, tuple] = PACKAG
     priced = shares.select("scanner_package_id", "share", F.explode(F.array(*options)).alias("o")).where(
         F.col("scanner_package_id") == F.col("o.package")
     )
-    total = lambda name: F.sum((F.col(f"o.{name}") * F.col("share")).cast("decimal(28,6)")).cast("decimal(28,6)")
+    # Products keep all ten decimals; only the sum is rounded.
+    total = lambda name: F.sum(F.col(f"o.{name}") * F.col("share")).cast("decimal(28,6)")
     sums = priced.groupBy(F.col("o.scenario").alias("scenario")).agg(
         total("month_low").alias("monthly_low"), total("month_high").alias("monthly_high"),
         F.floor(total("year_low")).alias("annual_low"), F.ceil(total("year_high")).alias("annual_high"),
