@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from meterstone.llm.language import op7_language
+from meterstone.llm.packing import op4_packing
 from meterstone.llm.pii import op9_pii
 from meterstone.llm.quality import op10_quality
 
-QUERIES = {f.__name__: f for f in (op9_pii, op10_quality)}
+QUERIES = {f.__name__: f for f in (op4_packing, op7_language, op9_pii, op10_quality)}
 
 ORACLES: dict[str, str] = {}
