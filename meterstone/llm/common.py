@@ -16,12 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
+def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` below the shared folder and read it back: the lineage ends there and survives lost executors."""
     spark, path = df.sparkSession, work_folder(df.sparkSession, label)
-    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.parquet(path)
-    back = spark.read.schema(spark.read.parquet(path).schema).parquet(path)
+    df.write.parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
     back.stored_at = path
     return back
 

@@ -20,7 +20,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from meterstone.llm.common import crc32_rest, table
 
@@ -80,10 +79,10 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[float, flo
 def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_bytes: int = 48 << 20) -> QualityModel | float:
     """Fit on labelled rows (``labels`` has doc_id and quality); a plain number if only one label or none is there."""
     marks = labels.where(F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").alias("label"))
-    order = Window.partitionBy("label").orderBy("turn", "doc_id")
-    # Only ids are ranked, and each task passes on its first max_rows; the chosen ids are at most 2 * max_rows rows.
-    chosen = (marks.withColumn("turn", F.xxhash64("doc_id", F.lit("sample")))
-              .withColumn("place", F.row_number().over(order)).where(F.col("place") <= max_rows).select("doc_id", "label", "turn"))
+    turns = marks.withColumn("turn", F.xxhash64("doc_id", F.lit("sample")))
+    # Only ids are sorted, and each task passes on its first max_rows; the chosen ids are at most 2 * max_rows rows.
+    good, bad = (turns.where(F.col("label") == x).orderBy("turn", "doc_id").limit(max_rows) for x in (1, 0))
+    chosen = good.unionByName(bad)
     rows = (docs.select("doc_id", "text").where("text is not null and text != ''")
             .join(F.broadcast(chosen), "doc_id").orderBy("turn", "doc_id").toLocalIterator())
     used, kept = 0, {0: ([], []), 1: ([], [])}

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from meterstone.llm.decontamination import op6_decontamination
 from meterstone.llm.language import op7_language
+from meterstone.llm.neighbours import op3_neighbours
 from meterstone.llm.packing import op4_packing
 from meterstone.llm.pii import op9_pii
 from meterstone.llm.quality import op10_quality
+from meterstone.llm.sharding import op2_sharding
 
-QUERIES = {f.__name__: f for f in (op4_packing, op6_decontamination, op7_language, op9_pii, op10_quality)}
+QUERIES = {f.__name__: f for f in (op2_sharding, op3_neighbours, op4_packing, op6_decontamination, op7_language, op9_pii, op10_quality)}
 
 ORACLES: dict[str, str] = {}
