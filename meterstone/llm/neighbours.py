@@ -4,7 +4,10 @@ Index: centres are fitted on at most ``sample_rows`` vectors (the only bounded p
 nearest centre. Equal vectors are one class with its smallest ids; a list with many classes is cut into chunks of about
 ``chunk_rows``, so neither a common vector nor a crowded list is one task's work.
 
-Search: a query probes the lists of its ``probes`` nearest centres. In each chunk the vectors, turned by a random rotation,
+The number of lists to probe follows from the data: for ``trial_queries`` vectors of the sample the true neighbours are found
+by comparing them with all vectors (one linear pass), and as many lists are probed as hold ``target`` of them.
+
+Search: a query probes the lists of its nearest centres. In each chunk the vectors, turned by a random rotation,
 are read a block of columns after the other. After each block a test on the partial distance (it tells the whole distance
 up to a factor that shrinks with the number of columns read) drops candidates that are almost surely too far; what is
 left at the end gets its distance from the original vectors in double precision.
@@ -49,8 +52,8 @@ def nearest_centres(v: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
     return np.argsort(d, axis=1, kind="stable")[:, :n]
 
 
-def fit_index(classes: DataFrame, n_classes: int, sample_rows: int, max_lists: int, seed: int) -> Index:
-    """Centres by Lloyd's rounds on a sample in hash order, and a random rotation."""
+def fit_index(classes: DataFrame, n_classes: int, sample_rows: int, max_lists: int, seed: int) -> tuple[Index, np.ndarray]:
+    """Centres by Lloyd's rounds on a sample in hash order, and a random rotation; also the sample."""
     rows = classes.orderBy(F.xxhash64("key", F.lit("sample")), "key").select("v").limit(sample_rows).collect()
     sample = np.array([r["v"] for r in rows])
     rng = np.random.default_rng(seed)
@@ -62,7 +65,27 @@ def fit_index(classes: DataFrame, n_classes: int, sample_rows: int, max_lists: i
         np.add.at(sums, near, sample)
         centres = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], centres)
     turned, upper = np.linalg.qr(rng.normal(size=(sample.shape[1], sample.shape[1])))
-    return Index(centres, turned * np.sign(np.diag(upper)))
+    return Index(centres, turned * np.sign(np.diag(upper))), sample
+
+
+def probes_needed(listed: DataFrame, index, trials: np.ndarray, k: int, target: float) -> int:
+    """How many of the nearest lists hold ``target`` of the true ``k`` neighbours of the trial vectors."""
+    def near(batches):
+        place = np.argsort(nearest_centres(trials, index.value.centres, len(index.value.centres)), axis=1)
+        for batch in batches:
+            if len(batch):
+                v, lists = np.stack(batch["v"].to_numpy()), batch["list"].to_numpy()
+                d = (v ** 2).sum(axis=1)[None, :] - 2 * trials @ v.T + (trials ** 2).sum(axis=1)[:, None]
+                d[d < 1e-9] = np.inf  # the trial vector itself
+                best = np.argpartition(d, min(k, d.shape[1]) - 1, axis=1)[:, :k]
+                q = np.repeat(np.arange(len(trials)), best.shape[1])
+                best = best.ravel()
+                yield pd.DataFrame({"trial": q, "d": d[q, best], "place": place[q, lists[best]]})
+
+    found = listed.select("v", "list").mapInPandas(near, "trial int, d double, place int")
+    order = Window.partitionBy("trial").orderBy("d", "place")
+    places = [r["place"] for r in found.withColumn("i", F.row_number().over(order)).where((F.col("i") <= k) & (F.col("d") < float("inf"))).collect()]
+    return int(np.quantile(places, target)) + 1 if places else 1
 
 
 def scan(query: np.ndarray, turned_query: np.ndarray, original: np.ndarray, turned: np.ndarray, k: int, block: int, strictness: float) -> tuple[np.ndarray, np.ndarray]:
@@ -89,8 +112,8 @@ def scan(query: np.ndarray, turned_query: np.ndarray, original: np.ndarray, turn
     return places, distances
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, vector: str = "embedding", probes: int = 40, sample_rows: int = 20_000,
-           max_lists: int = 1024, chunk_rows: int = 4096, block: int = 16, strictness: float = 2.1, seed: int = 5) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10, vector: str = "embedding", target: float = 0.97, trial_queries: int = 200,
+           sample_rows: int = 20_000, max_lists: int = 1024, chunk_rows: int = 4096, block: int = 16, strictness: float = 2.1, seed: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): for each id in ``queries`` its ``k`` nearest other vectors of ``vectors``."""
     key = F.struct(F.xxhash64("v"), F.xxhash64(F.lit(1), "v")).alias("key")
     rows = stored(usable(vectors, vector).select("vec_id", "v", key).distinct(), "vectors")
@@ -104,7 +127,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, vector: str = "e
     asked = rows.join(queries.select(F.col("vec_id")).distinct(), "vec_id", "left_semi").select("vec_id", "key")
     if not n_classes:
         return asked.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).where("false")
-    index = classes.sparkSession.sparkContext.broadcast(fit_index(classes, n_classes, sample_rows, max_lists, seed))
+    fitted, sample = fit_index(classes, n_classes, sample_rows, max_lists, seed)
+    index = classes.sparkSession.sparkContext.broadcast(fitted)
     asked = stored(asked, "queries")
 
     def probe(frame: DataFrame, n: int) -> DataFrame:
@@ -119,6 +143,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, vector: str = "e
 
     flat = classes.select(F.col("key.*"), "v", "ids").toDF("h1", "h2", "v", "ids")
     listed = stored(probe(flat, 1), "lists")
+    probes = probes_needed(listed, index, sample[:trial_queries], k, target)
     # At most ``max_lists`` rows.
     sizes = F.broadcast(listed.groupBy("list").agg(F.ceil(F.count("*") / chunk_rows).cast("int").alias("chunks")))
     chunked = listed.join(sizes, "list").withColumn("chunk", F.pmod("h1", F.col("chunks")).cast("int")).drop("chunks")
