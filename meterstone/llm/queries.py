@@ -9,7 +9,8 @@ from meterstone.llm.packing import op4_packing
 from meterstone.llm.pii import op9_pii
 from meterstone.llm.quality import op10_quality
 from meterstone.llm.sharding import op2_sharding
+from meterstone.llm.substrings import op8_substrings
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op3_neighbours, op4_packing, op6_decontamination, op7_language, op9_pii, op10_quality)}
+QUERIES = {f.__name__: f for f in (op2_sharding, op3_neighbours, op4_packing, op6_decontamination, op7_language, op8_substrings, op9_pii, op10_quality)}
 
 ORACLES: dict[str, str] = {}
