@@ -30,60 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from meterstone.llm.common import stored, table
-
-BLOCK = 1 << 16
-BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
-MIX = np.uint64(0xFF51AFD7ED558CCD)
-REMEMBERED = 1_000_000
-
-
-class WordHashes(dict):
-    """64-bit hashes of words, remembered."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= REMEMBERED:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * MIX
-    return x ^ (x >> np.uint64(29))
-
-
-class Rolling:
-    """Hashes of all runs of a number of words, from running sums; arithmetic modulo 2 ** 64."""
-
-    def __init__(self, base: int) -> None:
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def sums(self, hashes: np.ndarray) -> np.ndarray:
-        if len(self.up) < len(hashes) + 1:
-            for name, factor in (("up", self.base), ("down", self.inverse)):
-                powers = np.full(len(hashes) + 1, factor, np.uint64)
-                powers[0] = 1
-                setattr(self, name, np.cumprod(powers, dtype=np.uint64))
-        out = np.zeros(len(hashes) + 1, np.uint64)
-        np.cumsum(hashes * self.down[:len(hashes)], out=out[1:])
-        return out
-
-    def runs(self, sums: np.ndarray, length: int) -> np.ndarray:
-        n = len(sums) - length
-        return mixed((sums[length:] - sums[:n]) * self.up[:n]) if n > 0 else np.zeros(0, np.uint64)
-
-
-def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
-    """Smallest of each ``width`` neighbours."""
-    n, reach = len(x) - width + 1, 1
-    while reach * 2 <= width:
-        x = np.minimum(x[:-reach], x[reach:])
-        reach *= 2
-    return np.minimum(x[:n], x[width - reach:width - reach + n])
-
+from meterstone.llm.hashing import BASES, USED, Rolling, WordHashes, chunks, merged_sketch, sketch_cells, sliding_min, used_cells, used_twice
 
 class Windows:
     """Anchors and hashes of the windows of a chunk of documents."""
@@ -112,29 +59,6 @@ class Windows:
         return number, place, anchors, self.first.runs(sums, self.window)[starts], second
 
 
-def cells_of(anchors: np.ndarray, cells: int) -> list[np.ndarray]:
-    """The anchor's cell in each row of the sketch. ``cells`` is a power of two."""
-    return [(mixed(anchors * np.uint64(odd)) & np.uint64(cells - 1)).astype(np.int64) for odd in BASES]
-
-
-def chunks(batches: Iterator[pd.DataFrame], words: int) -> Iterator[pd.DataFrame]:
-    """Rows gathered until their texts have about ``words`` words (six bytes each)."""
-    held, size = [], 0
-    for batch in batches:
-        sizes = batch["text"].str.len().fillna(0).to_numpy()
-        start = 0
-        for i in range(len(batch)):
-            size += sizes[i] / 6
-            if size > words:
-                held.append(batch.iloc[start:i + 1])
-                yield pd.concat(held, ignore_index=True)
-                held, size, start = [], 0, i + 1
-        if start < len(batch):
-            held.append(batch.iloc[start:])
-    if held:
-        yield pd.concat(held, ignore_index=True)
-
-
 def sketch(docs: DataFrame, window: int, cells: int, chunk_words: int) -> np.ndarray:
     """Bits of the cells used by two documents or more: array (2, cells / 8)."""
 
@@ -145,30 +69,9 @@ def sketch(docs: DataFrame, window: int, cells: int, chunk_words: int) -> np.nda
             fresh = np.ones(len(anchors), bool)
             fresh[1:] = (anchors[1:] != anchors[:-1]) | (number[1:] != number[:-1])
             pairs = np.unique(np.stack([number[fresh].astype(np.uint64), anchors[fresh]], axis=1), axis=0)[:, 1] if fresh.any() else anchors
-            out = []
-            for row, used in enumerate(cells_of(pairs, cells)):
-                cell, times = np.unique(used, return_counts=True)
-                for many in (False, True):
-                    mine = cell[(times > 1) == many]
-                    blocks, begins = np.unique(mine // BLOCK, return_index=True)
-                    parts = np.split((mine % BLOCK).astype("<u2"), begins[1:]) if len(mine) else []
-                    out += [(row, int(b), many, p.tobytes()) for b, p in zip(blocks, parts)]
-            yield pd.DataFrame(out, columns=["row", "block", "many", "used"])
-
-    def merge(parts: pd.DataFrame) -> pd.DataFrame:
-        times = np.zeros(BLOCK, np.int8)
-        for many, used in zip(parts["many"], parts["used"]):
-            at = np.frombuffer(used, "<u2")
-            times[at] = np.minimum(2, times[at] + (2 if many else 1))
-        return pd.DataFrame({"row": parts["row"].iloc[:1], "block": parts["block"].iloc[:1], "bits": [np.packbits(times > 1, bitorder="little").tobytes()]})
+            yield used_cells(pairs, cells)
 
-    used = docs.select("text").where("text is not null").mapInPandas(use, "row int, block int, many boolean, used binary")
-    merged = used.groupBy("row", "block").applyInPandas(merge, "row int, block int, bits binary")
-    bits = np.zeros((2, cells // 8), np.uint8)
-    for r in merged.toLocalIterator():
-        part = np.frombuffer(r["bits"], np.uint8)
-        bits[r["row"], r["block"] * (BLOCK // 8):][:len(part)] = part[:cells // 8]
-    return bits
+    return merged_sketch(docs.select("text").where("text is not null").mapInPandas(use, USED), cells)
 
 
 def likely_repeats(docs: DataFrame, bits: np.ndarray, window: int, chunk_words: int) -> DataFrame:
@@ -182,9 +85,7 @@ def likely_repeats(docs: DataFrame, bits: np.ndarray, window: int, chunk_words:
         maker, filled = Windows(window), shared.value
         for chunk in chunks(batches, chunk_words):
             number, place, anchors, h1, h2 = maker.of(list(chunk["text"]), True)
-            likely = np.ones(len(anchors), bool)
-            for row, cell in enumerate(cells_of(anchors, filled.shape[1] * 8)):
-                likely &= (filled[row][cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1
+            likely = used_twice(anchors, filled)
             number, place, h1, h2 = (x[likely] for x in (number, place, h1, h2))
             ids = chunk["doc_id"].to_numpy(np.int64)[number]
             order = np.lexsort((place, ids, h2, h1))
@@ -214,7 +115,7 @@ def repeated_places(docs: DataFrame, window: int = 50, max_cells: int = 1 << 28,
         "doc_id is not null and text is not null")
     size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     anchors = max(1, size // 6 * 2 // (window - window // 2 + 1))
-    cells = min(max_cells, max(BLOCK, 1 << (cells_per_anchor * anchors - 1).bit_length()))
+    cells = sketch_cells(anchors, cells_per_anchor, max_cells)
     found = stored(likely_repeats(keyed, sketch(keyed, window, cells, chunk_words), window, chunk_words).where(
         "size(settled) > 0 or size(place) > 0"), "windows")
     each = found.select("doc_id", "text_key", F.explode(F.arrays_zip("place", "h1", "h2")).alias("w")).select("doc_id", "text_key", "w.*")
