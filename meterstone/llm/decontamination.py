@@ -204,7 +204,7 @@ def find_matches(docs: DataFrame, block: TestBlock | None, shard_words: int = 1_
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_words: int = 2_000_000) -> DataFrame:
-    """Per document: doc_id, n_words, and all matches (place, words, item, place in the item, longest verbatim match)."""
+    """Per document: doc_id, text_key (hash of the text), n_words, and all matches (place, words, item, place in the item, longest)."""
     blocks = list(test_blocks(benchmark, window, block_words)) or [None]
     found = find_matches(docs, blocks[0])
     for block in blocks[1:]:
@@ -213,10 +213,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, block
         found = found.join(more, same, "left").select(
             found["doc_id"], found["text_key"], found["n_words"],
             F.concat("matches", F.coalesce("more", F.array().cast(MATCHES.split(" ", 1)[1]))).alias("matches"))
-    return found.drop("text_key")
+    return found
 
 
-def with_hits(found: DataFrame) -> DataFrame:
+def with_hits(found: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Add n_hit (words inside any match), n_items, items_sha256 and contaminated to the result of ``decontaminate``."""
 
     @F.pandas_udf("n_hit long, n_items long, items_sha256 string")
@@ -234,7 +234,7 @@ def with_hits(found: DataFrame) -> DataFrame:
 
     counted = found.withColumn("c", count("matches"))
     hit = F.col("c.n_hit")
-    return counted.select("doc_id", "n_words", "c.*", ((hit > 0) & (20 * hit >= F.col("n_words"))).alias("contaminated"),
+    return counted.select(*keys, "n_words", "c.*", ((hit > 0) & (20 * hit >= F.col("n_words"))).alias("contaminated"),
                           F.aggregate("matches", F.lit(0), lambda best, m: F.greatest(best, m["longest"])).alias("longest_match"))
 
 

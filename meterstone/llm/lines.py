@@ -249,20 +249,28 @@ def repeated_lines(docs: DataFrame, k: int = 9, min_chars: int = 24, part_rows:
     return later.unionByName(settled)
 
 
-def remove_lines(docs: DataFrame, **options) -> DataFrame:
-    """The rows and columns of ``docs`` with the remaining text, plus n_lines and n_removed."""
+def remove_lines(docs: DataFrame, counts: str = "line_counts", **options) -> DataFrame:
+    """The rows and columns of ``docs`` with the remaining text, plus a column ``counts`` (n_lines, n_removed)."""
     places = repeated_lines(docs.select("doc_id", "text"), **options).groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(
         F.collect_set("line").alias("__gone"))
     joined = docs.join(places, (F.col("doc_id").cast("long") == F.col("__id")) & (F.xxhash64("text") == F.col("__key")), "left")
-    gone = F.coalesce("__gone", F.array().cast("array<int>"))
-    rows = F.split("text", "\n", -1)
-    left = F.when(F.size(gone) > 0, F.array_join(F.filter(rows, lambda _, i: ~F.array_contains(gone, i)), "\n")).otherwise(F.col("text"))
-    return joined.select(*[left.alias("text") if c == "text" else F.col(c) for c in docs.columns],
-                         F.coalesce(F.size(rows), F.lit(0)).cast("long").alias("n_lines"), F.size(gone).cast("long").alias("n_removed"))
+
+    @F.pandas_udf("text string, n_lines long, n_removed long")
+    def keep(texts: pd.Series, gone: pd.Series) -> pd.DataFrame:
+        out = []
+        for text, places_ in zip(texts, gone):
+            rows = text.split("\n") if text is not None else []
+            drop = set() if places_ is None else set(places_)
+            out.append(("\n".join(r for i, r in enumerate(rows) if i not in drop) if drop else text, len(rows), len(drop)))
+        return pd.DataFrame(out, columns=["text", "n_lines", "n_removed"])
+
+    done = joined.withColumn("__kept", keep("text", "__gone"))
+    return done.select(*[F.col("__kept.text").alias("text") if c == "text" else F.col(c) for c in docs.columns],
+                       F.struct("__kept.n_lines", "__kept.n_removed").alias(counts))
 
 
 def op5_lines(spark, sf_dir: str) -> DataFrame:
     """Per document: its lines, how many went, and the hash of what is left."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return remove_lines(docs).select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines")).alias("n_lines"), "n_removed",
+    return remove_lines(docs).select("doc_id", "line_counts.n_lines", "line_counts.n_removed",
                                      F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))

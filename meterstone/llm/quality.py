@@ -101,10 +101,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_by
     return QualityModel(good, bad, *logistic(x, y))
 
 
-def score_quality(docs: DataFrame, model: QualityModel | float) -> DataFrame:
-    """The columns of ``docs`` plus ``quality_score`` (0 to 1). Only the text is looked at."""
+def score_quality(docs: DataFrame, model: QualityModel | float, column: str = "quality_score") -> DataFrame:
+    """The columns of ``docs`` plus ``column`` (0 to 1). Only the text is looked at."""
     if not isinstance(model, QualityModel):
-        return docs.withColumn("quality_score", F.lit(float(model)))
+        return docs.withColumn(column, F.lit(float(model)))
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -112,7 +112,7 @@ def score_quality(docs: DataFrame, model: QualityModel | float) -> DataFrame:
             z = model.slope * differences(list(texts), model.good, model.bad) + model.intercept
             yield pd.Series(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
-    return docs.withColumn("quality_score", score("text"))
+    return docs.withColumn(column, score("text"))
 
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:
