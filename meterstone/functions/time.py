@@ -37,17 +37,17 @@ def since_date(df: DataFrame, ts: str, first_day: dt.date, partition_column: str
     return kept
 
 
-def since(df: DataFrame, ts: str, start: Column, partition_column: str = "usage_date") -> DataFrame:
-    """Rows with ``ts`` at or after an instant; skips whole partitions of a table partitioned by day."""
-    kept = df.where(F.col(ts) >= start)
+def since(df: DataFrame, ts: str, start: Column, as_of: Instant, partition_column: str = "usage_date") -> DataFrame:
+    """Rows with ``ts`` from an instant up to ``as_of``, both included; skips days of a table that has them as a column."""
+    kept = df.where(F.col(ts).between(start, instant(as_of)))
     if partition_column in df.columns:
-        kept = kept.where(F.col(partition_column) >= F.to_date(start))
+        kept = kept.where(F.col(partition_column).between(F.to_date(start), day(as_of)))
     return kept
 
 
 def within(ts: str, as_of: Instant, *, days: int = 0, hours: int = 0) -> Column:
-    """``ts`` lies in the last ``days``/``hours`` before ``as_of``; the lower end counts."""
-    return F.col(ts) >= before(as_of, days=days, hours=hours)
+    """``ts`` lies in the last ``days``/``hours`` before ``as_of``; both ends count, later rows do not."""
+    return F.col(ts).between(before(as_of, days=days, hours=hours), instant(as_of))
 
 
 def before(as_of: Instant, *, days: int = 0, hours: int = 0) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from meterstone.fixed_values import ADMIN_ROLES
 from meterstone.functions.predicates import is_true
 from meterstone.functions.time import Instant, instant
-from meterstone.operators.detect import is_change
+from meterstone.operators.detect import is_change, is_grant_event
 from meterstone.operators.workflow import lineage_closure
 
 
@@ -152,8 +152,8 @@ def change_monitor(events: DataFrame, roles: tuple[str, ...] = ADMIN_ROLES) -> D
     """Events that a monitoring rule asks to be noticed. Takes a table or a stream."""
     name = F.col("object_name")
     rule = (
-        F.when(is_change("ROLE GRANT") & name.isin(*roles), "CIS 2.1")
-        .when(is_change("PRIVILEGE GRANT") & (name == "MANAGE GRANTS"), "CIS 2.2")
+        F.when(is_grant_event("ROLE GRANT") & name.isin(*roles), "CIS 2.1")
+        .when(is_grant_event("PRIVILEGE GRANT") & (name == "MANAGE GRANTS"), "CIS 2.2")
         .when(is_change("SECURITY INTEGRATION"), "CIS 2.5")
         .when(is_change("NETWORK POLICY"), "CIS 2.6")
         .when(is_change("PROVISIONING TOKEN"), "CIS 2.7")
@@ -162,7 +162,12 @@ def change_monitor(events: DataFrame, roles: tuple[str, ...] = ADMIN_ROLES) -> D
     return events.withColumn("rule", rule).where(F.col("rule").isNotNull())
 
 
-def session_monitor(logins: DataFrame, minimum_versions: Mapping[str, int]) -> DataFrame:
+def version_parts(version: Column) -> Column:
+    """``3.10.2`` as numbers that compare part by part; a version with another part is not judged (NULL)."""
+    return F.when(version.rlike(r"^\d+(\.\d+)*$"), F.split(version, r"\.").cast("array<int>"))
+
+
+def session_monitor(logins: DataFrame, minimum_versions: Mapping[str, str]) -> DataFrame:
     """Logins with a password alone, and logins by a client below the supported version.
 
     A client kind without a minimum is not judged.
@@ -171,7 +176,7 @@ def session_monitor(logins: DataFrame, minimum_versions: Mapping[str, int]) -> D
     minimum = F.try_element_at(F.create_map(*pairs), F.col("client_kind"))
     rules = {
         "CIS 2.4": F.col("is_success") & (F.col("first_factor") == "PASSWORD") & F.col("second_factor").isNull(),
-        "CIS 2.9": F.col("client_version") < minimum,
+        "CIS 2.9": version_parts(F.col("client_version")) < version_parts(minimum),
     }
     return logins.select("login_id", "ts", "user_id", _broken(rules).alias("rule"))
 

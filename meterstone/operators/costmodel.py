@@ -20,6 +20,7 @@ SCENARIOS = {
     "CIS weekly, threat daily": ("weekly", "daily"),
     "CIS monthly, threat weekly": ("monthly", "weekly"),
     "both off": ("off", "off"),
+    "free package only": ("off", "off"),
 }
 PAID_PACKAGES = ("CIS_BENCHMARKS", "THREAT_INTELLIGENCE", "THREAT_INTELLIGENCE_EVENTS")
 
@@ -78,7 +79,7 @@ def scenario_cost(shares: DataFrame, daily_credits: Mapping[str, tuple] = PACKAG
 
 def recommendations(durations: DataFrame, overlap: DataFrame) -> DataFrame:
     """What to do with each scanner, from its duration tier and how far other monitoring covers it."""
-    joined = durations.join(overlap, "scanner_name", "left")
+    joined = durations.join(overlap, ["scanner_package_name", "scanner_name"], "left")
     covered, tier = F.coalesce("overlap", F.lit("NO")), duration_tier("avg_duration_sec")
     advice = (
         F.when(F.col("scanner_package_name") == FREE_PACKAGE_NAME, "KEEP")
@@ -94,52 +95,89 @@ def recommendations(durations: DataFrame, overlap: DataFrame) -> DataFrame:
     )
 
 
-def savings_plan(advice: DataFrame) -> DataFrame:
-    """Scanners and seconds per run under each recommendation."""
-    return advice.groupBy("recommendation").agg(
-        F.count(F.lit(1)).alias("scanners"), F.sum("avg_duration_sec").cast("decimal(28,1)").alias("seconds")
-    )
+def savings_plan(advice: DataFrame, daily_credits: Mapping[str, tuple] = PACKAGE_DAILY_CREDITS) -> DataFrame:
+    """Scanners, seconds per run, and the credits a day (low and high) that each recommendation concerns.
+
+    A package's credits a day are shared out over its scanners by their mean seconds.
+    """
+    prices = [F.struct(F.lit(p).alias("package"), *[F.lit(v).cast("decimal(9,4)").alias(n) for n, v in zip(("low", "high"), credits)])
+              for p, credits in daily_credits.items()]
+    package = F.upper(F.regexp_replace("scanner_package_name", " ", "_"))
+    sums = advice.groupBy(package.alias("package"), "recommendation").agg(
+        F.count(F.lit(1)).alias("scanners"), F.sum("avg_duration_sec").cast("decimal(28,1)").alias("seconds"))
+    whole = sums.groupBy(F.col("package").alias("p")).agg(F.sum("seconds").alias("all_seconds"))
+    priced = sums.join(whole, F.col("package") == F.col("p")).withColumn("price", F.try_element_at(
+        F.map_from_arrays(F.array(*[x["package"] for x in prices]), F.array(*prices)), F.col("package")))
+    part = F.try_divide(F.col("seconds").cast("double"), F.col("all_seconds").cast("double"))
+    saved = lambda end: F.round(F.sum(F.coalesce(F.col(f"price.{end}").cast("double") * part, F.lit(0.0))), 4).cast("decimal(18,4)")
+    return priced.groupBy("recommendation").agg(
+        F.sum("scanners").alias("scanners"), F.sum("seconds").cast("decimal(28,1)").alias("seconds"),
+        saved("low").alias("credits_low"), saved("high").alias("credits_high"))
 
 
 # ---- schedules --------------------------------------------------------------------------------------------
 
 
-def _cron_field(schedule: Column, number: int) -> Column:
-    """A field of a five-field schedule, with or without the words around it. Lists and * are understood."""
+# Lowest and highest value of the fields minute, hour, day of month, month, day of week (0 and 7 are Sunday).
+FIELDS = ((0, 59), (0, 23), (1, 31), (1, 12), (0, 7))
+
+
+def _part_values(part: Column, low: int, high: int) -> Column:
+    """Values of one part of a field: a number, ``*``, a range ``a-b``, each with or without a step ``/n``. NULL if unreadable."""
+    number = lambda group: F.regexp_extract(part, r"^(?:\*|(\d+)(?:-(\d+))?)(?:/(\d+))?$", group).try_cast("int")
+    first = F.when(part.startswith("*"), low).otherwise(number(1))
+    last = F.when(part.startswith("*"), high).otherwise(F.coalesce(number(2), F.when(number(3).isNotNull(), high).otherwise(number(1))))
+    step = F.coalesce(number(3), F.lit(1))
+    readable = part.rlike(r"^(\*|\d+(-\d+)?)(/\d+)?$") & (first >= low) & (last <= high) & (first <= last) & (step > 0)
+    return F.when(readable, F.sequence(first, last, step))
+
+
+def _field(schedule: Column, position: int) -> Column:
+    """All values of a field of a schedule, NULL if it cannot be read."""
     fields = F.split(F.regexp_replace(schedule, r"^USING CRON\s+", ""), r"\s+")
-    field = F.get(fields, number)
-    return F.when(field.rlike(r"^(\*|\d+(,\d+)*)$"), field).otherwise(
-        F.raise_error(F.concat(F.lit("schedule not understood: "), schedule))
-    )
+    low, high = FIELDS[position]
+    parts = F.transform(F.split(F.get(fields, position), ","), lambda part: _part_values(part, low, high))
+    values = F.array_distinct(F.flatten(parts))
+    # Five fields, and a time zone at most.
+    return F.when(F.size(fields).between(5, 6), values)
 
 
-def run_days(schedules: DataFrame, first: Instant, last: Instant) -> DataFrame:
-    """The days on which each distinct schedule runs. When both day fields are restricted, either one suffices."""
+def schedule_fields(schedules: DataFrame) -> DataFrame:
+    """Each distinct schedule with the values of its five fields, and whether its day fields are free (``*``)."""
     distinct = schedules.where(F.col("schedule").isNotNull()).select("schedule").distinct()
-    dates = distinct.select("schedule", F.explode(F.sequence(day(first), day(last))).alias("run_day"))
-    of_month, of_week = _cron_field(F.col("schedule"), 2), _cron_field(F.col("schedule"), 4)
-    listed = lambda field, value: F.array_contains(F.split(field, ","), value.cast("string"))
+    named = [_field(F.col("schedule"), k).alias(name) for k, name in enumerate(("minutes", "hours", "days", "months", "weekdays"))]
+    text = F.split(F.regexp_replace("schedule", r"^USING CRON\s+", ""), r"\s+")
+    return distinct.select("schedule", *named, F.get(text, 2).startswith("*").alias("any_day"), F.get(text, 4).startswith("*").alias("any_weekday"))
+
+
+def run_days(schedules: DataFrame, first: Instant, last: Instant) -> DataFrame:
+    """Days on which each distinct schedule runs, and the runs per day. When both day fields are restricted, either one suffices."""
+    dates = schedule_fields(schedules).select("*", F.explode(F.sequence(day(first), day(last))).alias("run_day"))
     week_day = F.dayofweek("run_day") - 1
-    in_month = listed(of_month, F.dayofmonth("run_day"))
-    in_week = listed(of_week, week_day) | ((week_day == 0) & listed(of_week, F.lit(7)))
-    runs = (
-        F.when((of_month == "*") & (of_week == "*"), F.lit(True)).when(of_month == "*", in_week)
-        .when(of_week == "*", in_month).otherwise(in_month | in_week)
-    )
-    return dates.where(runs)
+    in_month = F.array_contains("days", F.dayofmonth("run_day"))
+    in_week = F.array_contains("weekdays", week_day) | ((week_day == 0) & F.array_contains("weekdays", 7))
+    listed = F.when(F.col("any_day") | F.col("any_weekday"), in_month & in_week).otherwise(in_month | in_week)
+    return dates.where(listed & F.array_contains("months", F.month("run_day"))).select(
+        "schedule", "run_day", (F.size("minutes") * F.size("hours")).alias("runs"))
 
 
 def scheduled_runs(scanners: DataFrame, first: Instant, last: Instant) -> DataFrame:
-    """Runs each enabled scanner is due for between two days. Only the few distinct schedules are expanded."""
-    counts = run_days(scanners, first, last).groupBy("schedule").agg(F.count(F.lit(1)).alias("runs"))
+    """Runs each enabled scanner is due for between two days: 0 without a schedule, NULL if it cannot be read.
+
+    Only the few distinct schedules are expanded.
+    """
+    counts = run_days(scanners, first, last).groupBy("schedule").agg(F.sum("runs").alias("runs"))
+    readable = schedule_fields(scanners).select(
+        "schedule", (F.size("minutes") + F.size("hours") + F.size("days") + F.size("months") + F.size("weekdays")).isNotNull().alias("readable"))
+    known = readable.join(counts, "schedule", "left").select("schedule", F.when(F.col("readable"), F.coalesce("runs", F.lit(0))).alias("runs"))
     enabled = scanners.where(is_true("state"))
-    return enabled.join(counts, "schedule", "left").select(
-        "id", "scanner_package_id", "schedule", F.coalesce("runs", F.lit(0)).alias("runs")
+    return enabled.join(known, "schedule", "left").select(
+        "id", "scanner_package_id", "schedule", F.when(F.col("schedule").isNull(), 0).otherwise(F.col("runs")).cast("bigint").alias("runs")
     )
 
 
 def expected_vs_actual_runs(scheduled: DataFrame, actual: DataFrame, days: int) -> DataFrame:
-    """Scheduled against observed runs per day of each package."""
+    """Scheduled against observed runs per day of each package; ``actual`` is the run rate of findings of the same days."""
     expected = scheduled.groupBy("scanner_package_id").agg(F.sum("runs").alias("scheduled_runs"))
     observed = actual.select(
         F.upper(F.regexp_replace("scanner_package_name", " ", "_")).alias("scanner_package_id"), "total_scan_runs", "runs_per_day"

@@ -126,6 +126,11 @@ def _gap_reached(before: Column, after: Column, days: int) -> Column:
 # ---- change events -----------------------------------------------------------------------------------------
 
 
+def is_grant_event(*kinds: str) -> Column:
+    """A grant was given, taken back or changed."""
+    return F.col("object_kind").isin(*kinds) & F.col("action").isin("GRANT", "REVOKE", *CHANGE_ACTIONS)
+
+
 def is_change(*kinds: str) -> Column:
     return F.col("object_kind").isin(*kinds) & F.col("action").isin(*CHANGE_ACTIONS)
 

@@ -228,11 +228,16 @@ def paid_scan_log(findings: DataFrame, as_of: Instant, days: int = 30, n: int =
 
 def run_rate(findings: DataFrame) -> DataFrame:
     """Scanners, scan runs, active days and runs per day of each package; no rate when active for a day only."""
-    rows = findings.groupBy("scanner_package_name").agg(
-        F.count_distinct("scanner_name").alias("distinct_scanners"),
-        F.count_distinct("event_id").alias("total_scan_runs"),
-        F.min("start_timestamp").alias("first_run"), F.max("start_timestamp").alias("last_run"),
-    )
+    package = "scanner_package_name"
+    span = [F.min("first_run").alias("first_run"), F.max("last_run").alias("last_run")]
+    events = findings.groupBy(package, "event_id", "scanner_name").agg(
+        F.min("start_timestamp").alias("first_run"), F.max("start_timestamp").alias("last_run"))
+    # Both distinct counts are plain counts of groups, so no finding is multiplied.
+    runs = events.groupBy(package, "event_id").agg(*span).groupBy(package).agg(F.count("event_id").alias("total_scan_runs"), *span)
+    scanners = events.groupBy(package, "scanner_name").agg(F.lit(1)).groupBy(F.col(package).alias("package")).agg(
+        F.count("scanner_name").alias("distinct_scanners"))
+    rows = runs.join(scanners, F.col(package).eqNullSafe(F.col("package"))).select(
+        package, "distinct_scanners", "total_scan_runs", "first_run", "last_run")
     days = days_between_marks(F.col("first_run"), F.col("last_run"))
     rate = F.round(F.try_divide(F.col("total_scan_runs"), F.col("days_active")), 1).cast("decimal(18,1)")
     return rows.withColumn("days_active", days).withColumn("runs_per_day", rate).orderBy(F.col("total_scan_runs").desc())

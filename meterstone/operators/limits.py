@@ -28,7 +28,8 @@ ACCESS_COLUMNS = [
 
 
 def month_usage(usage: DataFrame, as_of: Instant) -> DataFrame:
-    return since(usage, "start_time", month_start(as_of))
+    """Usage from the start of the month up to ``as_of``."""
+    return since(usage, "start_time", month_start(as_of), as_of)
 
 
 def month_spend(usage: DataFrame, as_of: Instant) -> DataFrame:
@@ -141,11 +142,11 @@ def grant_upsert(
 ) -> DataFrame:
     """Access table after a batch of grants (user_name, monthly_credit_limit, requested_at).
 
-    A granted user becomes active with the limit of the newest request, and loses any revocation;
+    A granted user becomes active with the limit of the newest request (of equally new ones the highest), and loses any revocation;
     a new name gets a row. All other rows stay as they are.
     """
     newest = grants.groupBy("user_name").agg(
-        F.max_by(F.struct("monthly_credit_limit"), "requested_at")["monthly_credit_limit"].alias("asked")
+        F.max(F.struct("requested_at", "monthly_credit_limit"))["monthly_credit_limit"].alias("asked")
     )
     ids = users.groupBy(F.col("name").alias("user_name")).agg(F.min("user_id").alias("found_id"))
     asked = newest.join(ids, "user_name", "left").select(
@@ -200,7 +201,7 @@ def runaway_detection(
     usage: DataFrame, users: DataFrame, as_of: Instant, threshold: Decimal, hours: int = 48, per: str = "row"
 ) -> DataFrame:
     """Runaway work of the last hours. ``per='query'`` compares the sum of a query's windows instead of each row."""
-    recent = since(usage, "start_time", before(as_of, hours=hours))
+    recent = since(usage, "start_time", before(as_of, hours=hours), as_of)
     if per == "query":
         recent = recent.where(~F.col("is_completed")).groupBy(
             "query_id", "user_id", "function_name", "model_name", "is_completed"
@@ -273,7 +274,7 @@ def tag_spend(usage: DataFrame, tags: DataFrame) -> DataFrame:
 def budget_thresholds(
     spend: DataFrame, budgets: DataFrame, notify_percent: int = DEFAULT_NOTIFY_PERCENT, revoke_percent: int = DEFAULT_REVOKE_PERCENT
 ) -> DataFrame:
-    """Spend as percent of each budget, and the action it calls for in that month.
+    """Spend as percent of each budget, and the highest action it calls for in that month (``budget_actions`` lists all).
 
     Spend is per month, so a new month starts at zero again.
     """
@@ -288,6 +289,20 @@ def budget_thresholds(
     return joined.select("tag_value", "month", "credits", "monthly_limit", percent.alias("percent_used"), action.alias("action"))
 
 
+def budget_actions(
+    spend: DataFrame, budgets: DataFrame, notify_percent: int = DEFAULT_NOTIFY_PERCENT, revoke_percent: int = DEFAULT_REVOKE_PERCENT
+) -> DataFrame:
+    """One row per action: NOTIFY and REVOKE when their own percentage is reached, and REINSTATE at the start of the month after a REVOKE."""
+    rows = budget_thresholds(spend, budgets, notify_percent, revoke_percent)
+    reached = lambda percent: F.col("credits").cast("decimal(28,6)") * 100 >= F.col("monthly_limit").cast("decimal(28,6)") * percent
+    action = lambda name, month, test: F.when(test, F.struct(F.lit(name).alias("action"), month.alias("month")))
+    listed = F.array_compact(F.array(
+        action("NOTIFY", F.col("month"), reached(notify_percent)), action("REVOKE", F.col("month"), reached(revoke_percent)),
+        action("REINSTATE", F.add_months("month", 1), reached(revoke_percent)),
+    ))
+    return rows.select("tag_value", F.explode(listed).alias("a")).select("tag_value", "a.month", "a.action")
+
+
 def budget_usage(services: DataFrame, start_month: str, end_month: str) -> DataFrame:
     """Credits by month and service between two ``YYYY-MM`` months, both included."""
     first, last = month_of(start_month), month_of(end_month)

@@ -322,7 +322,7 @@ def long_running(usage: DataFrame, users: DataFrame, first_day: dt.date) -> Data
     )
     minutes = minutes_between_marks(F.col("first_window"), F.col("last_window"))
     return by_name.where("window_count > 1").withColumn("duration_minutes", minutes).orderBy(
-        F.col("duration_minutes").desc_nulls_last()
+        F.col("duration_minutes").desc_nulls_last(), *group, "username"
     )
 
 
@@ -347,16 +347,13 @@ def long_running_by(found: DataFrame, minutes: int, key: str) -> DataFrame:
 def duration_histogram(found: DataFrame, minutes: int, max_bins: int = 20) -> DataFrame:
     """Queries per duration bin, over at most ``max_bins`` bins of one whole-minute width.
 
-    Durations are first counted per minute. A report covers at most 365 days, so the window that finds the
-    range sees at most one row per minute of a year, however many queries there are.
+    Durations are first counted per minute; the range is a one-row aggregate of these counts, read as a scalar.
     """
     counts = at_least(found, minutes).groupBy("duration_minutes").agg(F.count(F.lit(1)).alias("n"))
-    whole = Window.partitionBy()
-    ranged = counts.select(
-        "duration_minutes", "n", F.min("duration_minutes").over(whole).alias("low"), F.max("duration_minutes").over(whole).alias("high")
-    )
-    low = F.col("low")
-    width = F.floor((F.col("high") - low) / max_bins) + 1
+    ends = counts.agg(F.min("duration_minutes").alias("low"), F.max("duration_minutes").alias("high"))
+    ranged = counts.select("duration_minutes", "n", ends.select(F.struct("low", "high")).scalar().alias("ends"))
+    low = F.col("ends.low")
+    width = F.floor((F.col("ends.high") - low) / max_bins) + 1
     bin_start = low + F.floor((F.col("duration_minutes") - low) / width) * width
     bins = ranged.select(bin_start.alias("bin_start"), (bin_start + width).alias("bin_end"), "n")
     return bins.groupBy("bin_start", "bin_end").agg(F.sum("n").alias("queries"))

@@ -166,22 +166,22 @@ def cross_project_refs(projects: list[DataFrame]) -> DataFrame:
 def lineage_closure(edges: DataFrame, start: DataFrame | None = None, direction: str = "upstream") -> DataFrame:
     """Every model reachable from each start model, with the least number of steps.
 
-    Each round walks one step on from the pairs found in the last one and keeps the least depth per pair,
-    until a round finds nothing new; there is no depth limit and a cycle ends by itself. A reliable
-    checkpoint per round keeps the plan short and outlives lost executors.
+    Each round walks one step on from the pairs of the last one and keeps those that no earlier round has reached, until
+    there are none; there is no depth limit and a cycle ends by itself. Only the new pairs are checkpointed, once per
+    round, so the plan stays short and outlives lost executors.
     """
     near, far = ("model", "parent") if direction == "upstream" else ("parent", "model")
     steps = cut_lineage(edges.select(F.col(near).alias("_at"), F.col(far).alias("_next")).distinct())
     first = steps.select(F.col("_at").alias("model"), F.col("_next").alias("related"), F.lit(1).alias("depth"))
     if start is not None:
         first = first.join(start.select("model").distinct(), "model", "left_semi")
-    reached, depth = cut_lineage(first), 1
-    while True:
-        last = reached.where(F.col("depth") == depth)
-        if last.isEmpty():
-            return reached
+    last, depth = cut_lineage(first), 1
+    reached = last
+    while not last.isEmpty():
         depth += 1
         walked = last.select("model", F.col("related").alias("_at")).join(steps, "_at").select(
-            "model", F.col("_next").alias("related"), F.lit(depth).alias("depth")
-        )
-        reached = cut_lineage(reached.unionByName(walked).groupBy("model", "related").agg(F.min("depth").alias("depth")))
+            "model", F.col("_next").alias("related")
+        ).distinct()
+        last = cut_lineage(walked.join(reached, ["model", "related"], "left_anti").withColumn("depth", F.lit(depth)))
+        reached = reached.unionByName(last)
+    return reached

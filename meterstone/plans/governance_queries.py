@@ -17,7 +17,7 @@ PAID = "scanner_package_name <> 'Security Essentials'"
 
 
 def last(days: int, ts: str = "start_timestamp") -> str:
-    return f"{ts} >= {NOW} - INTERVAL {days} DAY"
+    return f"{ts} BETWEEN {NOW} - INTERVAL {days} DAY AND {NOW}"
 
 
 @query("S08 O01", "SELECT * FROM scanner_packages")
@@ -75,17 +75,18 @@ def enabled_in_package(v):
     return g.enabled_in_package(v.scanners, "CIS_BENCHMARKS")
 
 
-COUNTS = """count(CASE WHEN upper(s.state) = 'TRUE' THEN 1 END) AS enabled,
-count(CASE WHEN upper(s.state) <> 'TRUE' OR s.state IS NULL THEN 1 END) AS disabled, count(*) AS total
-FROM scanners s LEFT JOIN scanner_packages p ON s.scanner_package_id = p.id"""
+COUNTS = """WITH marked AS (SELECT scanner_package_id, ifnull(upper(state) = 'TRUE', FALSE) AS is_on FROM scanners),
+sums AS (SELECT scanner_package_id, count_if(is_on) AS enabled, count_if(NOT is_on) AS disabled, count(*) AS total FROM marked GROUP BY 1)
+SELECT name AS package_name, {state} CAST(sum(enabled) AS BIGINT) AS enabled, CAST(sum(disabled) AS BIGINT) AS disabled,
+CAST(sum(total) AS BIGINT) AS total FROM sums LEFT JOIN scanner_packages ON id = scanner_package_id GROUP BY ALL"""
 
 
-@query("A21 J02", f"SELECT p.name AS package_name, p.state AS package_state, {COUNTS} GROUP BY 1, 2")
+@query("A21 J02", COUNTS.format(state="state AS package_state,"))
 def scanner_counts(v):
     return g.scanner_counts(v.scanners, v.scanner_packages)
 
 
-@query("A21", f"SELECT p.name AS package_name, {COUNTS} GROUP BY 1")
+@query("A21", COUNTS.format(state=""))
 def scanner_counts_by_package(v):
     return g.scanner_counts(v.scanners, v.scanner_packages, by_state=False)
 
@@ -177,18 +178,21 @@ def distinct_paid_scanners(v):
     return g.distinct_paid_scanners(v.findings, SCAN_AS_OF)
 
 
-@query("A28", """SELECT scanner_package_name, count(DISTINCT scanner_name) AS distinct_scanners, count(DISTINCT event_id) AS total_scan_runs,
-min(start_timestamp) AS first_run, max(start_timestamp) AS last_run,
-date_diff('day', min(start_timestamp), max(start_timestamp)) AS days_active,
-CAST(round(count(DISTINCT event_id) / nullif(date_diff('day', min(start_timestamp), max(start_timestamp)), 0), 1) AS DECIMAL(18,1)) AS runs_per_day
-FROM findings GROUP BY 1""")
+RATES = """SELECT *, CASE WHEN days_active > 0 THEN CAST(round(total_scan_runs / days_active, 1) AS DECIMAL(18,1)) END AS runs_per_day FROM (
+SELECT scanner_package_name, len(list_distinct(flatten(list(names)))) AS distinct_scanners, count(*) AS total_scan_runs, min(a) AS first_run, max(z) AS last_run,
+date_diff('day', min(a), max(z)) AS days_active FROM (SELECT scanner_package_name, event_id, list(scanner_name) AS names, min(start_timestamp) AS a,
+max(start_timestamp) AS z FROM findings GROUP BY ALL) GROUP BY 1)"""
+
+
+@query("A28", RATES)
 def run_rate(v):
     return g.run_rate(v.findings)
 
 
-DURATIONS = """SELECT scanner_package_name, scanner_name, count(DISTINCT event_id) AS run_count,
-CAST(round(avg(date_diff('second', start_timestamp, end_timestamp)), 1) AS DECIMAL(18,1)) AS avg_duration_sec,
-max(start_timestamp) AS last_run FROM findings WHERE start_timestamp IS NOT NULL AND end_timestamp IS NOT NULL GROUP BY 1, 2"""
+DURATIONS = """SELECT scanner_package_name, scanner_name, count(*) AS run_count,
+CAST(round(sum(seconds) / sum(scans), 1) AS DECIMAL(18,1)) AS avg_duration_sec, max(newest) AS last_run FROM (
+SELECT scanner_package_name, scanner_name, event_id, sum(date_diff('second', start_timestamp, end_timestamp)) AS seconds, count(*) AS scans,
+max(start_timestamp) AS newest FROM findings WHERE date_diff('second', start_timestamp, end_timestamp) IS NOT NULL GROUP BY ALL) GROUP BY ALL"""
 
 
 @query("A29 P10", DURATIONS)
@@ -251,11 +255,11 @@ def free_package_health(v):
     return g.free_package_health(v.scanners)
 
 
-@query("U01 J08", f"""SELECT 'Paid packages enabled' AS check_name, (SELECT count(*) {PAID_PACKAGES}) AS value,
-CASE WHEN (SELECT count(*) {PAID_PACKAGES}) = 0 THEN 'PASS' ELSE 'FAIL - COST ALERT' END AS status
-UNION ALL SELECT 'Paid scanner runs (last 30d)', ({PAID_SCANNERS}), CASE WHEN ({PAID_SCANNERS}) = 0 THEN 'PASS' ELSE 'FAIL - UNEXPECTED ACTIVITY' END
-UNION ALL SELECT 'Security Essentials active', (SELECT count(*) {FREE_ENABLED}),
-CASE WHEN (SELECT count(*) {FREE_ENABLED}) = 6 THEN 'PASS' ELSE 'WARN - CHECK SE' END""")
+@query("U01 J08", f"""WITH n AS (SELECT (SELECT count(*) {PAID_PACKAGES}) AS packages, ({PAID_SCANNERS}) AS runs, (SELECT count(*) {FREE_ENABLED}) AS free),
+tall AS (UNPIVOT n ON packages, runs, free INTO NAME kind VALUE value),
+labels(kind, check_name, good, otherwise) AS (VALUES ('packages', 'Paid packages enabled', 0, 'FAIL - COST ALERT'),
+('runs', 'Paid scanner runs (last 30d)', 0, 'FAIL - UNEXPECTED ACTIVITY'), ('free', 'Security Essentials active', 6, 'WARN - CHECK SE'))
+SELECT check_name, value, CASE value WHEN good THEN 'PASS' ELSE otherwise END AS status FROM tall JOIN labels USING (kind)""")
 def health_check(v):
     return g.health_check(v.scanner_packages, v.findings, v.scanners, SCAN_AS_OF)
 

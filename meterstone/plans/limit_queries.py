@@ -2,21 +2,31 @@
 
 from __future__ import annotations
 
-from decimal import Decimal
+import datetime as dt
 
 from pyspark.sql import functions as F
 
+from meterstone.fixed_values import DEFAULT_RUNAWAY_CREDITS, DEFAULT_SPEND_THRESHOLD
 from meterstone.operators import limits as m
 from meterstone.operators import usage as u
 from meterstone.plans.registry import query
-from meterstone.plans.usage_queries import AS_OF, SERVICES, services
+from meterstone.plans.usage_queries import AS_OF, services, services_sql
+from meterstone.session import work_folder
+from meterstone.sources import sinks
 
-THRESHOLD = Decimal("1000")
-RUNAWAY = Decimal("50")
+THRESHOLD = DEFAULT_SPEND_THRESHOLD
+RUNAWAY = DEFAULT_RUNAWAY_CREDITS
 MID_MONTH = "2024-01-20"
 
-MTD = "start_time >= TIMESTAMP '2024-01-01'"
-SPEND = f"spend AS (SELECT user_id, sum(credits) AS total_credits FROM ai_usage WHERE {MTD} GROUP BY 1)"
+
+def month_to(as_of) -> str:
+    return f"start_time BETWEEN TIMESTAMP '2024-01-01' AND TIMESTAMP '{as_of}'"
+
+
+MTD = month_to(AS_OF)
+# Access rows with what each user has spent in the month.
+SPENT = f"""spent AS (SELECT *, ifnull((SELECT sum(x.credits) FROM ai_usage x WHERE x.user_id = access_control.user_id AND x.{MTD}), 0) AS used
+FROM access_control)"""
 
 
 @query("A32 P08", f"SELECT coalesce(sum(credits), 0) AS credits FROM ai_usage WHERE {MTD}")
@@ -24,6 +34,12 @@ def month_spend(v):
     return m.month_spend(v.ai_usage, AS_OF)
 
 
+@query("A32 P08 P07", f"SELECT ifnull(sum(credits), 0) AS credits FROM ai_usage WHERE {month_to(MID_MONTH)}")
+def month_spend_mid_month(v):
+    """Usage after the moment asked for does not count."""
+    return m.month_spend(v.ai_usage, MID_MONTH)
+
+
 @query("A33 J07 P11", f"SELECT 1 AS exceeded FROM ai_usage WHERE {MTD} HAVING sum(credits) > 1000")
 def month_spend_exceeds(v):
     return m.month_spend_exceeds(v.ai_usage, AS_OF, THRESHOLD)
@@ -34,40 +50,64 @@ def user_month_spend(v):
     return m.user_month_spend(v.ai_usage, AS_OF)
 
 
-def sent_alerts(v, months_later: int):
-    """Alert state with one alert, sent the given number of months after the last order of 1995."""
-    old = v.table("orders").where(F.col("o_orderdate") < F.lit("1996-01-01").cast("timestamp_ntz"))
-    last = old.agg(F.max("o_orderdate").cast("timestamp").alias("sent_at"))
-    return last.select(
-        F.lit("monthly_spend").alias("alert_name"), F.add_months(F.trunc("sent_at", "month"), months_later).alias("alert_month"), "sent_at"
-    )
+def sent_alerts(v, years_later: int):
+    """Alert state with an alert for every month that has orders, moved on by whole years."""
+    month = F.add_months(F.trunc(F.col("o_orderdate").cast("timestamp"), "month"), 12 * years_later)
+    return v.table("orders").groupBy(month.alias("alert_month")).agg(
+        F.max("o_orderdate").cast("timestamp").alias("sent_at"), F.sum("o_totalprice").cast("decimal(38,6)").alias("credits_at_alert")
+    ).select(F.lit("monthly_spend").alias("alert_name"), "alert_month", "sent_at", "credits_at_alert")
+
+
+def sent_sql(years_later: int) -> str:
+    return f"(SELECT DISTINCT CAST(date_trunc('month', o_orderdate + INTERVAL {years_later} YEAR) AS DATE) FROM orders)"
 
 
-@query("R02 F04 A32", f"""SELECT 'monthly_spend' AS alert_name, DATE '2024-01-01' AS alert_month, sum(credits) AS credits,
-CASE WHEN sum(credits) > 1000 THEN 'sent' ELSE 'not exceeded' END AS verdict,
-CASE WHEN sum(credits) > 1000 THEN 'Alert sent. Credits: ' || CAST(sum(credits) AS VARCHAR)
-ELSE 'Threshold not exceeded. Current: ' || CAST(sum(credits) AS VARCHAR) || ' / 1000' END AS message FROM ai_usage WHERE {MTD}""")
+# Orders run over some seven years from 1995; moved on by 10 years they end before 2024, by 28 they cover its start.
+LONG_AGO, RECENT = 10, 28
+
+
+def verdict_sql(years_later: int) -> str:
+    return f"""WITH s AS (SELECT sum(credits) AS credits, DATE '2024-01-01' IN {sent_sql(years_later)} AS known FROM ai_usage WHERE {MTD})
+SELECT 'monthly_spend' AS alert_name, DATE '2024-01-01' AS alert_month, credits,
+CASE WHEN known THEN 'already sent' WHEN credits > 1000 THEN 'sent' ELSE 'not exceeded' END AS verdict,
+CASE WHEN known THEN 'Alert already sent for this month' WHEN credits > 1000 THEN concat('Alert sent. Credits: ', credits)
+ELSE concat('Threshold not exceeded. Current: ', credits, ' / 1000') END AS message FROM s"""
+
+
+@query("R02 F04 A32", verdict_sql(LONG_AGO))
 def spend_alert(v):
-    return m.spend_alert(v.ai_usage, sent_alerts(v, 12 * 28), AS_OF, THRESHOLD)
+    return m.spend_alert(v.ai_usage, sent_alerts(v, LONG_AGO), AS_OF, THRESHOLD)
 
 
-@query("R02 F04 J07", f"""SELECT 'monthly_spend' AS alert_name, DATE '2024-01-01' AS alert_month, sum(credits) AS credits,
-'already sent' AS verdict, 'Alert already sent for this month' AS message FROM ai_usage WHERE {MTD}""")
+@query("R02 F04 J07", verdict_sql(RECENT))
 def spend_alert_repeated(v):
-    return m.spend_alert(v.ai_usage, sent_alerts(v, 12 * 28 + 1), AS_OF, THRESHOLD)
+    return m.spend_alert(v.ai_usage, sent_alerts(v, RECENT), AS_OF, THRESHOLD)
 
 
-@query("K02 R02", """SELECT 'monthly_spend' AS alert_name, CAST(date_trunc('month', start_time) AS DATE) AS alert_month,
-TIMESTAMP '2024-01-31' AS sent_at, sum(credits) AS credits_at_alert FROM ai_usage GROUP BY 2 HAVING sum(credits) > 1000""")
+@query("K02 R02", f"""SELECT 'monthly_spend' AS alert_name, month AS alert_month, TIMESTAMP '2024-01-31' AS sent_at, total AS credits_at_alert
+FROM (SELECT CAST(date_trunc('month', start_time) AS DATE) AS month, sum(credits) AS total FROM ai_usage GROUP BY 1)
+WHERE total > 1000 AND month NOT IN {sent_sql(LONG_AGO)}""")
 def alert_state_append(v):
-    return m.new_alerts(m.month_totals(v.ai_usage), sent_alerts(v, 12 * 28), THRESHOLD, m.instant(AS_OF))
+    return m.new_alerts(m.month_totals(v.ai_usage), sent_alerts(v, LONG_AGO), THRESHOLD, m.instant(AS_OF))
 
 
-@query("R02", """SELECT CAST(date_trunc('month', start_time) AS DATE) AS alert_month, 'AI Functions Monthly Spend Alert' AS subject,
+@query("K02 R02", verdict_sql(LONG_AGO).replace("known THEN 'already sent'", "known OR credits > 1000 THEN 'already sent'").replace(
+    "known THEN 'Alert already", "known OR credits > 1000 THEN 'Alert already"))
+def alert_after_append(v):
+    """The alert rows are appended to the stored state, and the next check reads them there."""
+    folder = work_folder(v.spark, "alert-state")
+    state = sent_alerts(v, LONG_AGO)
+    sinks.append_alert_state(state, folder)
+    sinks.append_alert_state(m.new_alerts(m.month_totals(v.ai_usage), state, THRESHOLD, m.instant(AS_OF)).select(*state.columns), folder)
+    return m.spend_alert(v.ai_usage, v.spark.read.schema(state.schema).parquet(folder), AS_OF, THRESHOLD)
+
+
+@query("R02", f"""SELECT CAST(date_trunc('month', start_time) AS DATE) AS alert_month, 'AI Functions Monthly Spend Alert' AS subject,
 'Monthly AI Function credit consumption has exceeded the threshold.' || chr(10) || chr(10) || 'Current spend: ' || CAST(sum(credits) AS VARCHAR)
-|| ' credits' || chr(10) || 'Threshold: 1000 credits' AS body FROM ai_usage GROUP BY 1 HAVING sum(credits) > 1000""")
+|| ' credits' || chr(10) || 'Threshold: 1000 credits' AS body FROM ai_usage
+WHERE CAST(date_trunc('month', start_time) AS DATE) NOT IN {sent_sql(LONG_AGO)} GROUP BY 1 HAVING sum(credits) > 1000""")
 def alert_mail(v):
-    new = m.new_alerts(m.month_totals(v.ai_usage), sent_alerts(v, 12 * 28), THRESHOLD, m.instant(AS_OF))
+    new = m.new_alerts(m.month_totals(v.ai_usage), sent_alerts(v, LONG_AGO), THRESHOLD, m.instant(AS_OF))
     return m.alert_mail(new, THRESHOLD)
 
 
@@ -84,15 +124,13 @@ def first_breach(v):
     return m.first_breach(v.ai_usage, THRESHOLD)
 
 
-@query("R03 J05 A34 P12", f"""WITH {SPEND} SELECT a.user_name, coalesce(s.total_credits, 0) AS credits_used, a.monthly_credit_limit AS credit_limit,
-'REVOKED' AS action FROM access_control a LEFT JOIN spend s ON a.user_id = s.user_id
-WHERE a.is_active AND coalesce(s.total_credits, 0) > a.monthly_credit_limit""")
+@query("R03 J05 A34 P12", f"""WITH {SPENT} SELECT user_name, used AS credits_used, monthly_credit_limit AS credit_limit, 'REVOKED' AS action
+FROM spent WHERE used > monthly_credit_limit AND is_active""")
 def limit_enforcement(v):
     return m.limit_enforcement(v.access_control, m.user_month_spend(v.ai_usage, AS_OF))
 
 
-@query("R03 J05", f"""WITH {SPEND}, j AS (SELECT a.*, a.is_active AND coalesce(s.total_credits, 0) > a.monthly_credit_limit AS hit
-FROM access_control a LEFT JOIN spend s ON a.user_id = s.user_id)
+@query("R03 J05", f"""WITH {SPENT}, j AS (SELECT *, used > monthly_credit_limit AND is_active AS hit FROM spent)
 SELECT user_name, user_id, granted_at, monthly_credit_limit, is_active AND NOT hit AS is_active,
 CASE WHEN hit THEN TIMESTAMP '2024-01-31' ELSE revoked_at END AS revoked_at,
 CASE WHEN hit THEN 'Monthly limit exceeded' ELSE revocation_reason END AS revocation_reason FROM j""")
@@ -128,9 +166,10 @@ def grant_upsert(v):
     return m.grant_upsert(v.access_control, v.grant_requests, v.users, AS_OF)
 
 
-RUNAWAY_SQL = """SELECT h.query_id, u.name AS user_name, h.function_name, h.model_name, h.credits, h.start_time, 'CANCELLED' AS action
-FROM ai_usage h LEFT JOIN users u ON h.user_id = u.user_id
-WHERE h.start_time >= TIMESTAMP '2024-01-31' - INTERVAL 48 HOUR AND h.credits > 50 AND h.is_completed = FALSE"""
+TWO_DAYS = "start_time BETWEEN TIMESTAMP '2024-01-29' AND TIMESTAMP '2024-01-31'"
+RUNAWAY_SQL = f"""WITH r AS (SELECT * FROM ai_usage WHERE {TWO_DAYS} AND NOT is_completed AND credits > 50)
+SELECT query_id, (SELECT name FROM users WHERE users.user_id = r.user_id) AS user_name, function_name, model_name, credits, start_time,
+'CANCELLED' AS action FROM r"""
 
 
 @query("R05 P07 P11 P12 P13 J01", RUNAWAY_SQL)
@@ -138,10 +177,9 @@ def runaway_detection(v):
     return m.runaway_detection(v.ai_usage, v.users, AS_OF, RUNAWAY)
 
 
-@query("R05", """SELECT h.query_id, u.name AS user_name, h.function_name, h.model_name, h.credits, h.start_time, 'CANCELLED' AS action
-FROM (SELECT query_id, user_id, function_name, model_name, sum(credits) AS credits, min(start_time) AS start_time FROM ai_usage
-  WHERE start_time >= TIMESTAMP '2024-01-31' - INTERVAL 48 HOUR AND NOT is_completed GROUP BY ALL HAVING sum(credits) > 50) h
-LEFT JOIN users u ON h.user_id = u.user_id""")
+@query("R05", f"""WITH q AS (SELECT query_id, user_id, function_name, model_name, sum(credits) AS credits, min(start_time) AS start_time FROM ai_usage
+WHERE {TWO_DAYS} AND NOT is_completed GROUP BY ALL) SELECT * EXCLUDE (user_id), (SELECT name FROM users WHERE users.user_id = q.user_id) AS user_name,
+'CANCELLED' AS action FROM q WHERE credits > 50""")
 def runaway_by_query(v):
     return m.runaway_detection(v.ai_usage, v.users, AS_OF, RUNAWAY, per="query")
 
@@ -200,7 +238,15 @@ def budget_thresholds(v):
     return m.budget_thresholds(m.tag_spend(v.agent_usage, v.agent_tags), v.tag_budgets)
 
 
-@query("S21", f"""WITH {SERVICES} SELECT strftime(start_time, '%Y-%m') AS month, service, sum(credits) AS credits FROM services
+@query("R08", f"""WITH used AS (SELECT s.tag_value, s.month, s.credits / b.monthly_limit AS part FROM ({TAG_SPEND}) s JOIN tag_budgets b ON s.tag_value = b.tag_value)
+SELECT tag_value, month, 'NOTIFY' AS action FROM used WHERE part >= 0.8 UNION ALL SELECT tag_value, month, 'REVOKE' FROM used WHERE part >= 1
+UNION ALL SELECT tag_value, CAST(month + INTERVAL 1 MONTH AS DATE), 'REINSTATE' FROM used WHERE part >= 1""")
+def budget_actions(v):
+    """Notify and revoke are separate actions; access comes back when the next month starts."""
+    return m.budget_actions(m.tag_spend(v.agent_usage, v.agent_tags), v.tag_budgets)
+
+
+@query("S21", f"""WITH {services_sql("DATE '2023-12-01'")} SELECT strftime(start_time, '%Y-%m') AS month, service, sum(credits) AS credits FROM services
 WHERE start_time >= TIMESTAMP '2023-12-01' AND start_time < TIMESTAMP '2024-02-01' GROUP BY 1, 2""")
 def budget_usage(v):
-    return m.budget_usage(services(v), "2023-12", "2024-01")
+    return m.budget_usage(services(v, dt.date(2023, 12, 1)), "2023-12", "2024-01")

@@ -83,7 +83,9 @@ VIEWS = {
     CASE WHEN r_regionkey % 2 = 0 THEN TIMESTAMP '2001-01-01' END AS last_disabled_timestamp FROM region""",
     "scanners": f"""SELECT p_partkey AS id, p_name AS name, p_type AS short_description,
     {pick('p_size % 4', 'TRUE', 'true', 'FALSE', None)} AS state,
-    {pick('p_partkey % 4', 'USING CRON 16 8 * * * UTC', 'USING CRON 0 6 * * 1 UTC', 'USING CRON 0 6 7 * * UTC', 'USING CRON 0 6 9,24 * * UTC')} AS schedule,
+    {pick('p_partkey % 9', 'USING CRON 16 8 * * * UTC', 'USING CRON 0 6 * * 1 UTC', 'USING CRON 0 6 7 * * UTC', 'USING CRON 0 6 9,24 * * UTC',
+          'USING CRON 0 * * * * UTC', 'USING CRON 0 6,18 * * * UTC', 'USING CRON 0 6 1 1 * UTC', 'USING CRON */20 8-10 * * 1-5 UTC',
+          'USING CRON 0 6 * * MON-FRI UTC')} AS schedule,
     {pick('p_partkey % 3', 'mail', None, 'queue')} AS notification,
     TIMESTAMP '2001-07-01' + to_days(CAST(p_partkey % 30 AS INTEGER)) AS last_scan_timestamp,
     {pick('p_partkey % 6', *PACKAGE_IDS)} AS scanner_package_id FROM part""",
@@ -126,8 +128,8 @@ VIEWS = {
     CASE WHEN p_partkey = 0 THEN [] WHEN p_partkey // 2 = p_partkey // 3 THEN ['m' || (p_partkey // 2)]
          ELSE ['m' || (p_partkey // 2), 'm' || (p_partkey // 3)] END AS depends_on FROM part""",
     "external_edges": "SELECT 'm' || s_suppkey AS model, 'src' || (s_suppkey % 9) AS parent FROM supplier",
-    "monitoring_overlap": """SELECT DISTINCT 'S' || (s_suppkey % 40) AS scanner_name,
-    (['YES', 'PARTIAL', 'NO', NULL])[s_suppkey % 40 % 4 + 1] AS overlap FROM supplier""",
+    "monitoring_overlap": """SELECT DISTINCT (['Security Essentials', 'CIS Benchmarks', 'Threat Intelligence'])[s_suppkey % 3 + 1] AS scanner_package_name,
+    'S' || (s_suppkey % 40) AS scanner_name, (['YES', 'PARTIAL', 'NO', NULL])[(s_suppkey % 40 + s_suppkey % 3) % 4 + 1] AS overlap FROM supplier""",
     "accounts": """SELECT c_custkey AS user_id, c_name AS name,
     (['PERSON', 'PERSON', 'SERVICE', 'LEGACY_SERVICE'])[c_custkey % 4 + 1] AS kind,
     c_custkey % 3 <> 0 AS has_password, c_custkey % 5 < 2 AS has_mfa, c_custkey % 7 = 0 AS has_key_pair,
@@ -143,13 +145,13 @@ VIEWS = {
     ELSE 'ROLE' || (p_partkey // 2) END AS granted_role, 'ROLE' || p_partkey AS grantee_role FROM part""",
     "logins": """SELECT event_id AS login_id, ts, user_id, '10.0.' || (user_id % 250) || '.' || (event_id // 50 % 9) AS client_ip,
     'app' || (k // 10) AS client_app, (['connector-a', 'connector-b', 'connector-c'])[k % 3 + 1] AS client_kind,
-    k % 9 AS client_version, event_type <> 'error' AS is_success,
+    concat(k % 9, '.', event_id % 12, '.', user_id % 3) AS client_version, event_type <> 'error' AS is_success,
     CASE WHEN event_id % 3 = 2 THEN 'KEY_PAIR' ELSE 'PASSWORD' END AS first_factor,
     CASE WHEN event_id % 4 = 0 THEN 'MFA' END AS second_factor FROM ev""",
     "query_history": """SELECT l_orderkey AS query_id, l_suppkey AS user_id, 'WH' || (l_suppkey % 20) AS entity, l_shipdate AS start_time,
     CAST(CASE WHEN l_linenumber = 7 THEN l_quantity * 10 ELSE l_quantity END AS BIGINT) AS duration_seconds,
     l_returnflag = 'R' AS is_error FROM lineitem""",
-    "change_events": f"""SELECT event_id, ts, user_id, {pick('k % 4', 'CREATE', 'ALTER', 'DROP', 'SHOW')} AS action,
+    "change_events": f"""SELECT event_id, ts, user_id, {pick('k % 5', 'CREATE', 'ALTER', 'DROP', 'SHOW', 'GRANT')} AS action,
     {pick('event_id % 10', 'AUTHENTICATION POLICY', 'NETWORK POLICY', 'PARAMETER', 'PASSWORD POLICY', 'SESSION POLICY',
           'SECURITY INTEGRATION', 'SHARE', 'ROLE GRANT', 'PRIVILEGE GRANT', 'PROVISIONING TOKEN')} AS object_kind,
     {pick('event_id // 10 % 5', 'ACCOUNTADMIN', 'MANAGE GRANTS', 'NETWORK_POLICY', 'PREVENT_UNLOAD_TO_INLINE_URL',

@@ -4,17 +4,19 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from meterstone.operators import compliance as c
 from meterstone.operators import costmodel as m
 from meterstone.operators import detect as d
 from meterstone.operators import governance as g
-from meterstone.plans.governance_queries import DURATIONS
+from meterstone.plans.governance_queries import DURATIONS, RATES
 from meterstone.plans.registry import query
 
 AS_OF = dt.date(2024, 1, 31)
 GRANTS_AS_OF = dt.date(2001, 7, 1)
 SINCE = dt.date(2024, 1, 24)
-MINIMUM_VERSIONS = {"connector-a": 3, "connector-b": 5}
+MINIMUM_VERSIONS = {"connector-a": "3.10", "connector-b": "5.2.1"}
 ADMIN = "('ACCOUNTADMIN', 'SECURITYADMIN')"
 
 
@@ -29,7 +31,7 @@ def password_service_users(v):
 
 
 @query("D03", f"""SELECT user_id, role_name, granted_on FROM role_grants WHERE role_name IN {ADMIN}
-AND granted_on >= TIMESTAMP '2001-07-01' - INTERVAL 24 HOUR""")
+AND granted_on BETWEEN TIMESTAMP '2001-06-30' AND TIMESTAMP '2001-07-01'""")
 def new_admin_grants(v):
     return d.new_admin_grants(v.role_grants, GRANTS_AS_OF)
 
@@ -149,17 +151,19 @@ def privileged_code(v):
     return c.privileged_code(v.code_objects)
 
 
-@query("G05", f"""SELECT * FROM (SELECT *, CASE WHEN object_kind = 'ROLE GRANT' AND object_name IN {ADMIN} THEN 'CIS 2.1'
-WHEN object_kind = 'PRIVILEGE GRANT' AND object_name = 'MANAGE GRANTS' THEN 'CIS 2.2' WHEN object_kind = 'SECURITY INTEGRATION' THEN 'CIS 2.5'
-WHEN object_kind = 'NETWORK POLICY' THEN 'CIS 2.6' WHEN object_kind = 'PROVISIONING TOKEN' THEN 'CIS 2.7' WHEN object_kind = 'SHARE' THEN 'CIS 2.8' END AS rule
-FROM ({CHANGES})) WHERE rule IS NOT NULL""")
+GRANT_RULES = f"""SELECT *, CASE WHEN object_kind = 'ROLE GRANT' AND object_name IN {ADMIN} THEN 'CIS 2.1'
+WHEN object_kind = 'PRIVILEGE GRANT' AND object_name = 'MANAGE GRANTS' THEN 'CIS 2.2' END AS rule FROM change_events WHERE action <> 'SHOW'"""
+
+
+@query("G05", f"""SELECT * FROM ({GRANT_RULES} UNION ALL SELECT *, CASE object_kind WHEN 'SECURITY INTEGRATION' THEN 'CIS 2.5'
+WHEN 'NETWORK POLICY' THEN 'CIS 2.6' WHEN 'PROVISIONING TOKEN' THEN 'CIS 2.7' WHEN 'SHARE' THEN 'CIS 2.8' END FROM ({CHANGES})) WHERE rule IS NOT NULL""")
 def change_monitor(v):
     return c.change_monitor(v.change_events)
 
 
 @query("G06", """SELECT login_id, ts, user_id, 'CIS 2.4' AS rule FROM logins WHERE is_success AND first_factor = 'PASSWORD' AND second_factor IS NULL
-UNION ALL SELECT login_id, ts, user_id, 'CIS 2.9' FROM logins WHERE (client_kind = 'connector-a' AND client_version < 3)
-OR (client_kind = 'connector-b' AND client_version < 5)""")
+UNION ALL SELECT login_id, ts, user_id, 'CIS 2.9' FROM logins WHERE (client_kind = 'connector-a' AND CAST(string_split(client_version, '.') AS INTEGER[]) < [3, 10])
+OR (client_kind = 'connector-b' AND CAST(string_split(client_version, '.') AS INTEGER[]) < [5, 2, 1])""")
 def session_monitor(v):
     return c.session_monitor(v.logins, MINIMUM_VERSIONS)
 
@@ -179,7 +183,8 @@ FROM scanners s LEFT JOIN scanner_packages p ON s.scanner_package_id = p.id GROU
 rate AS (SELECT * FROM (VALUES ('everything daily', 'CIS_BENCHMARKS', 30, 365), ('everything daily', 'THREAT_INTELLIGENCE', 30, 365),
 ('CIS weekly, threat daily', 'CIS_BENCHMARKS', 4, 52), ('CIS weekly, threat daily', 'THREAT_INTELLIGENCE', 30, 365),
 ('CIS monthly, threat weekly', 'CIS_BENCHMARKS', 1, 12), ('CIS monthly, threat weekly', 'THREAT_INTELLIGENCE', 4, 52),
-('both off', 'CIS_BENCHMARKS', 0, 0), ('both off', 'THREAT_INTELLIGENCE', 0, 0)) AS t(scenario, package, m, y)),
+('both off', 'CIS_BENCHMARKS', 0, 0), ('both off', 'THREAT_INTELLIGENCE', 0, 0),
+('free package only', 'CIS_BENCHMARKS', 0, 0), ('free package only', 'THREAT_INTELLIGENCE', 0, 0)) AS t(scenario, package, m, y)),
 credit AS (SELECT * FROM (VALUES ('CIS_BENCHMARKS', 0.5, 2.0), ('THREAT_INTELLIGENCE', 0.2, 1.5)) AS t(package, low, high)),
 s AS (SELECT scenario, CAST(sum(low * m * share) AS DECIMAL(28,6)) AS monthly_low, CAST(sum(high * m * share) AS DECIMAL(28,6)) AS monthly_high,
 CAST(floor(CAST(sum(low * y * share) AS DECIMAL(28,6))) AS BIGINT) AS annual_low, CAST(ceil(CAST(sum(high * y * share) AS DECIMAL(28,6))) AS BIGINT) AS annual_high
@@ -203,7 +208,7 @@ ADVICE = f"""SELECT scanner_package_name, d.scanner_name, avg_duration_sec, tier
 WHEN overlap = 'YES' THEN 'DISABLE' WHEN overlap = 'PARTIAL' AND tier = 'HIGH' THEN 'DISABLE IF MONITORED' WHEN overlap = 'PARTIAL' THEN 'DISABLE'
 WHEN tier = 'LOW' THEN 'DISABLE, RARELY CHANGES' ELSE 'KEEP' END AS recommendation FROM (SELECT t.*, coalesce(o.overlap, 'NO') AS overlap FROM (
 SELECT *, CASE WHEN avg_duration_sec >= 17 THEN 'HIGH' WHEN avg_duration_sec >= 6 THEN 'MEDIUM' ELSE 'LOW' END AS tier FROM ({DURATIONS})) t
-LEFT JOIN monitoring_overlap o ON t.scanner_name = o.scanner_name) d"""
+LEFT JOIN monitoring_overlap o ON t.scanner_name = o.scanner_name AND t.scanner_package_name = o.scanner_package_name) d"""
 
 
 @query("C02", ADVICE)
@@ -211,15 +216,25 @@ def scanner_recommendations(v):
     return m.recommendations(g.scan_durations(v.findings), v.monitoring_overlap)
 
 
-@query("C02", f"SELECT recommendation, count(*) AS scanners, CAST(sum(avg_duration_sec) AS DECIMAL(28,1)) AS seconds FROM ({ADVICE}) GROUP BY 1")
+@query("C02", f"""WITH a AS (SELECT upper(replace(scanner_package_name, ' ', '_')) AS package, recommendation, avg_duration_sec AS s FROM ({ADVICE})),
+prices(package, low, high) AS (VALUES ('SECURITY_ESSENTIALS', 0, 0), ('CIS_BENCHMARKS', 0.5, 2), ('THREAT_INTELLIGENCE', 0.1, 0.5)),
+parts AS (SELECT a.*, CAST(s AS DOUBLE) / sum(CAST(s AS DOUBLE)) OVER (PARTITION BY package) AS part, low, high FROM a JOIN prices USING (package))
+SELECT recommendation, count(*) AS scanners, CAST(sum(s) AS DECIMAL(28,1)) AS seconds, CAST(round(sum(part * low), 4) AS DECIMAL(18,4)) AS credits_low,
+CAST(round(sum(part * high), 4) AS DECIMAL(18,4)) AS credits_high FROM parts GROUP BY 1""")
 def savings_plan(v):
     return m.savings_plan(m.recommendations(g.scan_durations(v.findings), v.monitoring_overlap))
 
 
-SCHEDULED = """SELECT id, scanner_package_id, schedule, (SELECT count(*) FROM (SELECT unnest(generate_series(DATE '2001-07-01', DATE '2001-07-31', INTERVAL 1 DAY)) AS t)
-WHERE schedule = 'USING CRON 16 8 * * * UTC' OR (schedule = 'USING CRON 0 6 * * 1 UTC' AND dayofweek(t) = 1)
-OR (schedule = 'USING CRON 0 6 7 * * UTC' AND day(t) = 7) OR (schedule = 'USING CRON 0 6 9,24 * * UTC' AND day(t) IN (9, 24))) AS runs
+# Every minute of the month is tested; one schedule cannot be read, and one has no run in it.
+SCHEDULED = """SELECT id, scanner_package_id, schedule, CASE WHEN schedule LIKE '%MON-FRI%' THEN NULL ELSE (SELECT count(*) FROM
+(SELECT unnest(generate_series(TIMESTAMP '2001-07-01', TIMESTAMP '2001-07-31 23:59:00', INTERVAL 1 MINUTE)) AS t) WHERE CASE schedule
+WHEN 'USING CRON 16 8 * * * UTC' THEN hour(t) = 8 AND minute(t) = 16 WHEN 'USING CRON 0 6 * * 1 UTC' THEN dayofweek(t) = 1 AND hour(t) = 6 AND minute(t) = 0
+WHEN 'USING CRON 0 6 7 * * UTC' THEN day(t) = 7 AND hour(t) = 6 AND minute(t) = 0
+WHEN 'USING CRON 0 6 9,24 * * UTC' THEN day(t) IN (9, 24) AND hour(t) = 6 AND minute(t) = 0 WHEN 'USING CRON 0 * * * * UTC' THEN minute(t) = 0
+WHEN 'USING CRON 0 6,18 * * * UTC' THEN hour(t) IN (6, 18) AND minute(t) = 0
+WHEN 'USING CRON */20 8-10 * * 1-5 UTC' THEN dayofweek(t) BETWEEN 1 AND 5 AND hour(t) BETWEEN 8 AND 10 AND minute(t) % 20 = 0 ELSE FALSE END) END AS runs
 FROM scanners WHERE upper(state) = 'TRUE'"""
+JULY = "start_timestamp >= TIMESTAMP '2001-07-01' AND start_timestamp < TIMESTAMP '2001-08-01'"
 
 
 @query("C03", SCHEDULED)
@@ -228,12 +243,11 @@ def scheduled_runs(v):
 
 
 @query("C04", f"""WITH e AS (SELECT scanner_package_id, CAST(sum(runs) AS BIGINT) AS scheduled_runs FROM ({SCHEDULED}) GROUP BY 1),
-a AS (SELECT upper(replace(scanner_package_name, ' ', '_')) AS scanner_package_id, count(DISTINCT event_id) AS total_scan_runs,
-CAST(round(count(DISTINCT event_id) / nullif(date_diff('day', min(start_timestamp), max(start_timestamp)), 0), 1) AS DECIMAL(18,1)) AS runs_per_day
-FROM findings GROUP BY 1)
-SELECT e.scanner_package_id, scheduled_runs, CAST(round(scheduled_runs / 31, 1) AS DECIMAL(18,1)) AS scheduled_per_day, total_scan_runs, runs_per_day
-FROM e LEFT JOIN a ON e.scanner_package_id = a.scanner_package_id""")
+a AS (SELECT upper(replace(scanner_package_name, ' ', '_')) AS scanner_package_id, total_scan_runs, runs_per_day
+FROM ({RATES.replace("FROM findings", f"FROM findings WHERE {JULY}")}))
+SELECT scanner_package_id, scheduled_runs, CAST(round(scheduled_runs / 31, 1) AS DECIMAL(18,1)) AS scheduled_per_day, total_scan_runs, runs_per_day
+FROM e LEFT JOIN a USING (scanner_package_id)""")
 def expected_vs_actual_runs(v):
-    return m.expected_vs_actual_runs(
-        m.scheduled_runs(v.scanners, dt.date(2001, 7, 1), dt.date(2001, 7, 31)), g.run_rate(v.findings), 31
-    )
+    first, last = dt.date(2001, 7, 1), dt.date(2001, 7, 31)
+    seen = v.findings.where((F.col("start_timestamp") >= F.lit(first)) & (F.col("start_timestamp") < F.lit(last + dt.timedelta(days=1))))
+    return m.expected_vs_actual_runs(m.scheduled_runs(v.scanners, first, last), g.run_rate(seen), 31)

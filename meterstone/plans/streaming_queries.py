@@ -7,7 +7,7 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 
 from meterstone.operators import detect
-from meterstone.plans.limit_queries import SPEND
+from meterstone.plans.limit_queries import RUNAWAY_SQL, SPENT
 from meterstone.plans.registry import query
 from meterstone.session import work_folder
 from meterstone.sources import views as w
@@ -25,13 +25,13 @@ def event_stream(v):
 
 
 @query("R01", """SELECT date_trunc('hour', ts) AS start_time, date_trunc('hour', ts) + INTERVAL 1 HOUR AS end_time, event_type AS function_name,
-'m' || (user_id % 4) AS model_name, sum(credits) AS credits, count(*) AS requests FROM ev
-GROUP BY ALL HAVING date_trunc('hour', any_value(ts)) + INTERVAL 1 HOUR <= (SELECT date_trunc('millisecond', max(ts)) FROM ev) - INTERVAL 2 HOUR""")
+'m' || (user_id % 4) AS model_name, sum(credits) AS credits, count(*) AS requests FROM ev GROUP BY ALL""")
 def hourly_usage(v):
-    usage = event_stream(v).select(
-        "ts", F.col("event_type").alias("function_name"), w.text("m", F.col("user_id") % 4).alias("model_name"), "credits"
-    )
-    return run_to_end(jobs.hourly_usage(usage), work_folder(v.spark, "hourly"))
+    def usage(events):
+        return events.select("ts", F.col("event_type").alias("function_name"), w.text("m", F.col("user_id") % 4).alias("model_name"), "credits")
+
+    closed = run_to_end(jobs.hourly_usage(usage(event_stream(v))), work_folder(v.spark, "hourly"))
+    return jobs.with_open_windows(closed, jobs.hourly_usage, usage(v.events), "ts", "end_time")
 
 
 @query("R02 K02", """SELECT 'monthly_spend' AS alert_name, CAST(date_trunc('month', start_time) AS DATE) AS alert_month,
@@ -44,9 +44,8 @@ def spend_alert_stream(v):
     return state.current()
 
 
-@query("R03", f"""WITH {SPEND} SELECT a.user_name, coalesce(s.total_credits, 0) AS credits_used, a.monthly_credit_limit AS credit_limit,
-'REVOKED' AS action FROM access_control a LEFT JOIN spend s ON a.user_id = s.user_id
-WHERE a.is_active AND coalesce(s.total_credits, 0) > a.monthly_credit_limit""")
+@query("R03", f"""WITH {SPENT} SELECT user_name, used AS credits_used, monthly_credit_limit AS credit_limit, 'REVOKED' AS action
+FROM spent WHERE used > monthly_credit_limit AND is_active""")
 def limit_enforcement_stream(v):
     folder = work_folder(v.spark, "limits")
     access = StateTable(f"{folder}/access", v.access_control)
@@ -54,18 +53,19 @@ def limit_enforcement_stream(v):
     return v.spark.read.parquet(f"{folder}/actions").drop("batch_id")
 
 
-@query("R05", """SELECT DISTINCT h.query_id, u.name AS user_name, h.function_name, h.model_name, 'CANCELLED' AS action
-FROM ai_usage h LEFT JOIN users u ON h.user_id = u.user_id WHERE h.credits > 50 AND NOT h.is_completed""")
+@query("R05", f"SELECT DISTINCT * FROM ({RUNAWAY_SQL})")
 def runaway_stream(v):
-    found = jobs.runaway_work(w.ai_usage_of(event_stream(v)), v.users, Decimal("50"))
-    return run_to_end(found.drop("credits"), work_folder(v.spark, "runaway")).drop("start_time")
+    return run_to_end(jobs.runaway_work(w.ai_usage_of(event_stream(v)), v.users, Decimal("50"), stamp()), work_folder(v.spark, "runaway"))
 
 
 @query("D04", """SELECT user_id, date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end, count(*) AS failures
-FROM logins WHERE NOT is_success GROUP BY ALL HAVING count(*) >= 2
-AND date_trunc('day', any_value(ts)) + INTERVAL 1 DAY <= (SELECT max(ts) FROM logins WHERE NOT is_success) - INTERVAL 10 MINUTE""")
+FROM logins WHERE NOT is_success GROUP BY ALL HAVING count(*) >= 2""")
 def auth_failures_stream(v):
-    return run_to_end(jobs.auth_failures(w.logins_of(event_stream(v)), 2, "1 day"), work_folder(v.spark, "failures"))
+    def build(logins):
+        return jobs.auth_failures(logins, 2, "1 day")
+
+    closed = run_to_end(build(w.logins_of(event_stream(v))), work_folder(v.spark, "failures"))
+    return jobs.with_open_windows(closed, build, v.logins, "ts", "window_end")
 
 
 @query("D09", """SELECT user_id, previous_login, ts AS login_at FROM (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS previous_login

@@ -22,44 +22,58 @@ STANDARD, AI = DEFAULT_RATES["standard"], DEFAULT_RATES["ai"]
 
 SINCE = "DATE '2024-01-10'"
 
-AI_ROWS = f"""base AS (
-  SELECT start_time, end_time, function_name, model_name, query_id, warehouse_id, c.credits, is_completed, user_id,
-    max(CASE WHEN f.m.metric = 'input' THEN f.m.value END) AS i,
-    max(CASE WHEN f.m.metric = 'output' THEN f.m.value END) AS o,
-    max(CASE WHEN f.m.metric = 'total' THEN f.m.value END) AS t
-  FROM ai_usage c LEFT JOIN LATERAL (SELECT unnest(c.metrics) AS m) f ON TRUE
-  WHERE CAST(start_time AS DATE) >= {SINCE}
-  GROUP BY ALL
+
+
+def metric(name: str) -> str:
+    """Largest value of a metric over the copies of a row."""
+    return f"max(list_max([m.value for m in metrics if m.metric = '{name}']))"
+
+
+def ai_rows_sql(since: str) -> str:
+    return f"""base AS (
+  SELECT start_time, end_time, function_name, model_name, query_id, warehouse_id, credits, is_completed, user_id,
+    {metric('input')} AS i, {metric('output')} AS o, {metric('total')} AS t
+  FROM ai_usage WHERE start_time >= {since} GROUP BY ALL
 ), ai AS (
-  SELECT b.start_time, b.end_time, b.function_name, b.model_name, b.query_id, b.warehouse_id, b.credits, b.is_completed,
-    u.name AS username, coalesce(b.i, b.t, 0) AS input_tokens, coalesce(b.o, 0) AS output_tokens
-  FROM base b LEFT JOIN users u ON b.user_id = u.user_id
+  SELECT * EXCLUDE (user_id, i, o, t), (SELECT name FROM users WHERE users.user_id = base.user_id) AS username,
+    CASE WHEN i IS NOT NULL THEN i WHEN t IS NOT NULL THEN t ELSE 0 END AS input_tokens, ifnull(o, 0) AS output_tokens
+  FROM base
 )"""
 
+
+AI_ROWS = ai_rows_sql(SINCE)
+
 CODE = """SELECT c.user_id, u.name AS username, c.request_id, c.usage_time AS start_time, c.token_credits AS credits, c.tokens
   FROM {table} c LEFT JOIN users u ON c.user_id = u.user_id WHERE CAST(c.usage_time AS DATE) >= """ + SINCE
 
-SERVICES = f"""{AI_ROWS}, services AS (
-  SELECT 'ai_functions' AS service, start_time, credits FROM ai
-  UNION ALL SELECT 'analyst', start_time, credits FROM analyst_usage WHERE CAST(start_time AS DATE) >= {SINCE}
-  UNION ALL SELECT 'search', start_time, credits FROM search_usage WHERE CAST(start_time AS DATE) >= {SINCE}
-  UNION ALL SELECT 'intelligence', start_time, token_credits FROM intelligence_usage WHERE CAST(start_time AS DATE) >= {SINCE}
-  UNION ALL SELECT 'agents', start_time, token_credits FROM agent_usage WHERE CAST(start_time AS DATE) >= {SINCE}
-  UNION ALL SELECT 'code_cli', usage_time, token_credits FROM code_cli_usage WHERE CAST(usage_time AS DATE) >= {SINCE}
-  UNION ALL SELECT 'code_web', usage_time, token_credits FROM code_web_usage WHERE CAST(usage_time AS DATE) >= {SINCE}
-), priced AS (
+# Table, time column and amount column of each service beside the AI functions.
+PLAIN_SERVICES = {
+    "analyst": ("analyst_usage", "start_time", "credits"), "search": ("search_usage", "start_time", "credits"),
+    "intelligence": ("intelligence_usage", "start_time", "token_credits"), "agents": ("agent_usage", "start_time", "token_credits"),
+    "code_cli": ("code_cli_usage", "usage_time", "token_credits"), "code_web": ("code_web_usage", "usage_time", "token_credits"),
+}
+
+
+def services_sql(since: str) -> str:
+    parts = [f"SELECT '{service}', {ts}, {amount} FROM {table} WHERE {ts} >= {since}" for service, (table, ts, amount) in PLAIN_SERVICES.items()]
+    return ai_rows_sql(since) + ", services(service, start_time, credits) AS (SELECT 'ai_functions', start_time, credits FROM ai UNION ALL " + " UNION ALL ".join(parts) + ")"
+
+
+SERVICES = services_sql(SINCE) + """, priced AS (
   SELECT service, sum(credits) AS credits, CAST(CAST(sum(credits) AS DECIMAL(28,6)) * CAST(CASE WHEN service IN
     ('ai_functions', 'analyst', 'search') THEN 3.40 ELSE 2.00 END AS DECIMAL(8,2)) AS DECIMAL(38,8)) AS cost
   FROM services GROUP BY service
 )"""
 
-LONG = f"""found AS (
-  SELECT c.query_id, c.function_name, c.model_name, u.name AS username, min(c.start_time) AS first_window,
-    max(c.end_time) AS last_window, count(*) AS window_count, sum(c.credits) AS total_credits,
-    date_diff('minute', min(c.start_time), max(c.end_time)) AS duration_minutes
-  FROM ai_usage c LEFT JOIN users u ON c.user_id = u.user_id
-  WHERE CAST(c.start_time AS DATE) >= {SINCE}
-  GROUP BY c.query_id, c.function_name, c.model_name, u.name HAVING count(*) > 1
+LONG = f"""windows AS (
+  SELECT query_id, function_name, model_name, (SELECT name FROM users WHERE users.user_id = ai_usage.user_id) AS username,
+    list(start_time) AS starts, list(end_time) AS ends, list(credits) AS amounts
+  FROM ai_usage WHERE start_time >= {SINCE} GROUP BY ALL
+), found AS (
+  SELECT query_id, function_name, model_name, username, list_min(starts) AS first_window, list_max(ends) AS last_window,
+    len(starts) AS window_count, CAST(list_sum(amounts) AS DECIMAL(38,6)) AS total_credits,
+    date_diff('minute', list_min(starts), list_max(ends)) AS duration_minutes
+  FROM windows WHERE len(starts) > 1
 )"""
 
 
@@ -71,12 +85,12 @@ def found(v: Views):
     return u.long_running(v.ai_usage, v.users, FIRST_DAY)
 
 
-def services(v: Views):
+def services(v: Views, first_day: dt.date = FIRST_DAY):
     return u.all_services({
         "ai_functions": v.ai_usage, "analyst": v.analyst_usage, "search": v.search_usage,
         "intelligence": v.intelligence_usage, "agents": v.agent_usage,
         "code_cli": v.code_cli_usage, "code_web": v.code_web_usage,
-    }, FIRST_DAY)
+    }, first_day)
 
 
 @query("S01 A01 J01 J04 P01 P17", f"WITH {AI_ROWS} SELECT model_name, username, sum(credits) AS credits, "

@@ -79,6 +79,9 @@ def write_report(df: DataFrame, path: str, fmt: str) -> None:
         raise ValueError(f"unknown report format: {fmt}")
 
 
-def report_text(df: DataFrame, n: int = 50) -> None:
-    """Print a report as a text table."""
-    df.show(n, truncate=False)
+def report_text(df: DataFrame, n: int | None = None) -> None:
+    """Print a report as a text table: all rows, or the first ``n`` and how many are left out."""
+    rows = df.count()
+    df.show(rows if n is None else n, truncate=False)
+    if n is not None and rows > n:
+        print(f"{rows - n} more rows")

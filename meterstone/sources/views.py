@@ -64,6 +64,7 @@ class Views:
         return self.events.where(F.col("event_type") == event_type).select(
             "*",
             hour.alias("start_time"),
+            F.to_date("ts").alias("usage_date"),
             (hour + F.expr("interval 1 hour")).alias("end_time"),
             user_name(F.col("user_id")).alias("user_name"),
         )
@@ -71,7 +72,7 @@ class Views:
     @cached_property
     def analyst_usage(self) -> DataFrame:
         return self._service("click").select(
-            "start_time", "end_time", F.col("user_name").alias("username"), "credits",
+            "start_time", "usage_date", "end_time", F.col("user_name").alias("username"), "credits",
             F.col("k").alias("request_count"),
         )
 
@@ -79,7 +80,7 @@ class Views:
     def search_usage(self) -> DataFrame:
         uid = F.col("user_id")
         return self._service("view").select(
-            "start_time", "end_time",
+            "start_time", "usage_date", "end_time",
             text("DB", uid % 3).alias("database_name"),
             text("SC", uid % 2).alias("schema_name"),
             text("SVC", uid % 5).alias("service_name"),
@@ -99,13 +100,13 @@ class Views:
     @cached_property
     def intelligence_usage(self) -> DataFrame:
         return self._service("purchase").select(
-            "start_time", "end_time", "user_name",
+            "start_time", "usage_date", "end_time", "user_name",
             text("WS", F.col("user_id") % 4).alias("workspace_name"), *self._agent_columns(),
         )
 
     @cached_property
     def agent_usage(self) -> DataFrame:
-        return self._service("signup").select("start_time", "end_time", "user_name", *self._agent_columns())
+        return self._service("signup").select("start_time", "usage_date", "end_time", "user_name", *self._agent_columns())
 
     def _code(self, surface: int) -> DataFrame:
         return self.events.where((F.col("event_type") == "error") & (F.col("event_id") % 2 == surface)).select(
@@ -214,7 +215,9 @@ class Views:
             F.col("p_name").alias("name"),
             F.col("p_type").alias("short_description"),
             pick(F.col("p_size") % 4, "TRUE", "true", "FALSE", None).alias("state"),
-            pick(key % 4, "USING CRON 16 8 * * * UTC", "USING CRON 0 6 * * 1 UTC", "USING CRON 0 6 7 * * UTC", "USING CRON 0 6 9,24 * * UTC").alias("schedule"),
+            pick(key % 9, "USING CRON 16 8 * * * UTC", "USING CRON 0 6 * * 1 UTC", "USING CRON 0 6 7 * * UTC", "USING CRON 0 6 9,24 * * UTC",
+                 "USING CRON 0 * * * * UTC", "USING CRON 0 6,18 * * * UTC", "USING CRON 0 6 1 1 * UTC", "USING CRON */20 8-10 * * 1-5 UTC",
+                 "USING CRON 0 6 * * MON-FRI UTC").alias("schedule"),
             pick(key % 3, "mail", None, "queue").alias("notification"),
             (F.lit("2001-07-01").cast("timestamp") + F.make_dt_interval(key % 30)).alias("last_scan_timestamp"),
             package_id(key % 6).alias("scanner_package_id"),
@@ -338,10 +341,11 @@ class Views:
 
     @cached_property
     def monitoring_overlap(self) -> DataFrame:
-        """How far other monitoring covers a scanner (aggregate: one row per scanner); for some it is unknown."""
-        number = F.col("s_suppkey") % 40
+        """How far other monitoring covers a scanner (aggregate: one row per package and scanner); for some it is unknown."""
+        number, package = F.col("s_suppkey") % 40, F.col("s_suppkey") % 3
         return self.table("supplier").select(
-            text("S", number).alias("scanner_name"), pick(number % 4, "YES", "PARTIAL", "NO", None).alias("overlap")
+            pick(package, "Security Essentials", "CIS Benchmarks", "Threat Intelligence").alias("scanner_package_name"),
+            text("S", number).alias("scanner_name"), pick((number + package) % 4, "YES", "PARTIAL", "NO", None).alias("overlap")
         ).distinct()
 
     # ---- accounts, logins, grants, objects -------------------------------------------------------
@@ -485,6 +489,7 @@ def ai_usage_of(events: DataFrame) -> DataFrame:
     copies = F.when(event % 100 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
     return events.select(
         hour.alias("start_time"),
+        F.to_date("ts").alias("usage_date"),
         (hour + F.expr("interval 1 hour")).alias("end_time"),
         F.col("event_type").alias("function_name"),
         text("m", uid % 4).alias("model_name"),
@@ -523,7 +528,7 @@ def logins_of(events: DataFrame) -> DataFrame:
         text("10.0.", uid % 250, ".", F.floor(event / 50) % 9).alias("client_ip"),
         text("app", F.floor(k / 10)).alias("client_app"),
         pick(k % 3, "connector-a", "connector-b", "connector-c").alias("client_kind"),
-        (k % 9).alias("client_version"),
+        text(k % 9, ".", event % 12, ".", uid % 3).alias("client_version"),
         (F.col("event_type") != "error").alias("is_success"),
         pick(event % 3 / 2, "PASSWORD", "KEY_PAIR").alias("first_factor"),
         F.when(event % 4 == 0, "MFA").alias("second_factor"),
@@ -534,7 +539,7 @@ def change_events_of(events: DataFrame) -> DataFrame:
     event, k = F.col("event_id"), F.col("k")
     return events.select(
         "event_id", "ts", "user_id",
-        pick(k % 4, "CREATE", "ALTER", "DROP", "SHOW").alias("action"),
+        pick(k % 5, "CREATE", "ALTER", "DROP", "SHOW", "GRANT").alias("action"),
         pick(event % 10, "AUTHENTICATION POLICY", "NETWORK POLICY", "PARAMETER", "PASSWORD POLICY", "SESSION POLICY",
              "SECURITY INTEGRATION", "SHARE", "ROLE GRANT", "PRIVILEGE GRANT", "PROVISIONING TOKEN").alias("object_kind"),
         pick(F.floor(event / 10) % 5, "ACCOUNTADMIN", "MANAGE GRANTS", "NETWORK_POLICY", "PREVENT_UNLOAD_TO_INLINE_URL",

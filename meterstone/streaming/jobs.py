@@ -49,29 +49,36 @@ def spend_alerts(
 def enforce_limits(
     usage: DataFrame, folder: str, access: StateTable, at: Column | None = None, every: str | None = None
 ) -> StreamingQuery:
-    """Revokes access of users whose spend of their newest month passes their limit.
+    """Revokes access of users whose spend of the month of the check passes their limit.
 
-    Only users with new usage are looked at; action rows go to ``folder/actions``.
+    Usage of other months, and usage later than the check, does not count, whenever it arrives. The state is one row per
+    user with usage in the current month and starts anew with each month. Action rows go to ``folder/actions``.
     """
     stamp = F.current_timestamp() if at is None else at
-    month = F.date_trunc("month", "start_time")
-    spend = usage.groupBy("user_id", month.alias("month")).agg(F.sum("credits").alias("total_credits"))
+    month = F.to_date(F.date_trunc("month", stamp))
+    spent = StateTable(f"{folder}/spend", usage.sparkSession.createDataFrame([], "user_id bigint, month date, total_credits decimal(38,6)"))
 
-    def step(changed: DataFrame, batch_id: int) -> None:
-        newest = changed.groupBy("user_id").agg(F.max_by("total_credits", "month").alias("total_credits"))
-        current = access.before(batch_id)
-        newest.persist()
-        write_batch(limits.limit_enforcement(current, newest), f"{folder}/actions", batch_id)
-        access.replace(batch_id, limits.enforced_access(current, newest, stamp).select(*ACCESS_COLUMNS))
-        newest.unpersist()
+    def step(batch: DataFrame, batch_id: int) -> None:
+        added = batch.where(F.col("start_time").between(F.date_trunc("month", stamp), stamp)).groupBy("user_id").agg(F.sum("credits").alias("total_credits"))
+        held = spent.before(batch_id).where(F.col("month") == month).select("user_id", "total_credits")
+        totals = held.unionByName(added).groupBy("user_id").agg(F.sum("total_credits").cast("decimal(38,6)").alias("total_credits"))
+        spent.replace(batch_id, totals.withColumn("month", month))
+        current, now = access.before(batch_id), spent.after(batch_id).select("user_id", "total_credits")
+        write_batch(limits.limit_enforcement(current, now), f"{folder}/actions", batch_id)
+        access.replace(batch_id, limits.enforced_access(current, now, stamp).select(*ACCESS_COLUMNS))
+
+    return run_batches(usage, folder, step, every=every)
 
-    return run_batches(spend, folder, step, mode="update", every=every)
 
+def runaway_work(usage: DataFrame, users: DataFrame, threshold: Decimal, at: Column | None = None, hours: int = 48) -> DataFrame:
+    """One action row per runaway usage row of the ``hours`` before the check; an equal row that comes again gives none.
 
-def runaway_work(usage: DataFrame, users: DataFrame, threshold: Decimal, late: str = "48 hours") -> DataFrame:
-    """One action row per runaway query, whatever number of its windows qualify within ``late``."""
-    rows = limits.runaway_rows(usage.withWatermark("start_time", late), users, threshold)
-    return rows.dropDuplicatesWithinWatermark(["query_id"])
+    Equal rows are remembered as long as they can still be in the window.
+    """
+    stamp = F.current_timestamp() if at is None else at
+    recent = usage.where(F.col("start_time").between(stamp - F.make_dt_interval(F.lit(0), F.lit(hours)), stamp))
+    rows = limits.runaway_rows(recent.withWatermark("start_time", f"{hours} hours"), users, threshold)
+    return rows.dropDuplicatesWithinWatermark(["query_id", "user_name", "function_name", "model_name", "start_time", "credits"])
 
 
 def auth_failures(logins: DataFrame, n: int, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -90,6 +97,16 @@ def active_scanners(findings: DataFrame, window: str = "1 day", late: str = "1 h
     ).select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "scanners")
 
 
+def with_open_windows(closed: DataFrame, build, rows: DataFrame, ts: str, end: str) -> DataFrame:
+    """The windows a stream has given out, and those it still holds open, worked out from the rows of the table.
+
+    ``build`` is the function the stream was made with. A stream gives out all windows that end before its watermark, so
+    the open ones hold exactly the rows from the end of the last one given out; only these are read.
+    """
+    last = closed.agg(F.max(end)).first()[0]
+    return closed.unionByName(build(rows if last is None else rows.where(F.col(ts) >= F.lit(last))))
+
+
 def unusual_ip_logins(logins: DataFrame, known: DataFrame) -> DataFrame:
     """First login of each user from an address that is neither in the known table nor seen by the stream.
 

@@ -6,7 +6,7 @@ from meterstone.operators import compliance as c
 from meterstone.operators import detect as d
 from tests.conftest import rows, ts
 
-LOGINS = """login_id bigint, ts timestamp, user_id bigint, client_ip string, client_app string, client_kind string, client_version bigint,
+LOGINS = """login_id bigint, ts timestamp, user_id bigint, client_ip string, client_app string, client_kind string, client_version string,
 is_success boolean, first_factor string, second_factor string"""
 START = ts("2024-01-01T08:00:00")
 
@@ -114,7 +114,7 @@ def test_privileged_code_runs_as_owner_by_default(spark):
 
 def test_sessions_and_objects(spark):
     data = logins(spark, login(0), login(0, second="MFA"), login(0, ok=False), login(0, first="KEY_PAIR", version=2), login(0, first="KEY_PAIR", kind="odd", version=0))
-    assert rows(c.session_monitor(data, {"k": 3}), "rule") == [("CIS 2.4",), ("CIS 2.9",)]
+    assert rows(c.session_monitor(data, {"k": "3"}), "rule") == [("CIS 2.4",), ("CIS 2.9",)]
     stages = spark.createDataFrame([("i1", "INTERNAL", None, None), ("i2", "INTERNAL", "AES-256", None), ("e1", "EXTERNAL", None, None), ("e2", "EXTERNAL", None, "s")],
                                    "object_name string, stage_kind string, encryption string, storage_integration string")
     columns = spark.createDataFrame([("t", "a", True), ("t", "b", True), ("v", "a", True), ("w", "a", False)], "table_name string, column_name string, is_sensitive boolean")

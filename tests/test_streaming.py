@@ -64,18 +64,39 @@ def test_enforcement_revokes_each_user_once(spark, parts, tmp_path):
                                    "is_active boolean, revoked_at timestamp, revocation_reason string")
     state = StateTable(str(tmp_path / "access"), access)
     usage = views.ai_usage_of(stream(spark, parts))
-    jobs.enforce_limits(usage, str(tmp_path / "job"), state)
+    jobs.enforce_limits(usage, str(tmp_path / "job"), state, F.lit("2024-01-31").cast("timestamp"))
     spend = limits.user_month_spend(views.ai_usage_of(batch(spark)), dt.date(2024, 1, 31))
     want = rows(limits.limit_enforcement(access, spend), "user_name")
     assert want and rows(spark.read.parquet(str(tmp_path / "job" / "actions")), "user_name") == want
     assert rows(state.after(3).where("not is_active"), "user_name") == want
 
 
+def test_late_usage_of_an_old_month_revokes_nobody(spark, tmp_path):
+    folder = tmp_path / "usage"
+    folder.mkdir()
+    kind = "user_id bigint, start_time timestamp, credits decimal(38,6)"
+    for data in ([(1, ts("2024-01-20"), dec(90)), (1, ts("2024-02-01"), dec(5))], [(1, ts("2024-01-21"), dec(20)), (1, ts("2024-02-20"), dec(500))], [(2, ts("2024-02-02"), dec(101))]):
+        spark.createDataFrame(data, kind).coalesce(1).write.mode("append").parquet(str(folder))
+    access = spark.createDataFrame([(f"u{i}", i, ts("2024-01-01"), dec(100), True, None, None) for i in (1, 2)],
+                                   "user_name string, user_id bigint, granted_at timestamp, monthly_credit_limit decimal(38,6), "
+                                   "is_active boolean, revoked_at timestamp, revocation_reason string")
+    usage = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(folder))
+    jobs.enforce_limits(usage, str(tmp_path / "job"), StateTable(str(tmp_path / "access"), access), F.lit("2024-02-03").cast("timestamp"))
+    assert rows(spark.read.parquet(str(tmp_path / "job" / "actions")), "user_name", "credits_used") == [("u2", dec("101.000000"))]
+
+
+def test_open_windows_complete_a_stream(spark, parts, tmp_path):
+    build = lambda df: jobs.auth_failures(df, 1, "1 day")
+    closed = run_to_end(build(views.logins_of(stream(spark, parts))), str(tmp_path / "out"))
+    whole = jobs.with_open_windows(closed, build, views.logins_of(batch(spark)), "ts", "window_end")
+    assert rows(whole) == rows(detect.auth_failures(views.logins_of(batch(spark)), 1, "1 day")) and closed.count() < whole.count()
+
+
 def test_runaway_queries_are_reported_once(spark, parts, tmp_path):
     users = spark.createDataFrame([], "user_id bigint, name string")
-    found = run_to_end(jobs.runaway_work(views.ai_usage_of(stream(spark, parts)), users, Decimal("50"), late="30 days"), str(tmp_path / "out"))
-    want = limits.runaway_rows(views.ai_usage_of(batch(spark)), users, Decimal("50")).select("query_id").distinct()
-    assert rows(found, "query_id") == rows(want)
+    found = run_to_end(jobs.runaway_work(views.ai_usage_of(stream(spark, parts)), users, Decimal("50"), F.lit("2024-01-31").cast("timestamp")), str(tmp_path / "out"))
+    want = limits.runaway_detection(views.ai_usage_of(batch(spark)), users, dt.date(2024, 1, 31), Decimal("50")).distinct()
+    assert rows(found) == rows(want) and found.count() >= 1
 
 
 def test_dormant_logins_across_batches_equal_the_batch(spark, parts, tmp_path):
