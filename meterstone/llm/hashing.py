@@ -8,22 +8,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-BLOCK = 1 << 16
+#: A row of a sketch is merged in so many blocks, of at least 65,536 cells.
+BLOCKS, LEAST_BLOCK = 256, 1 << 16
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 MIX = np.uint64(0xFF51AFD7ED558CCD)
-REMEMBERED = 1_000_000
-
-
-class WordHashes(dict):
-    """64-bit hashes of words, remembered."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= REMEMBERED:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+#: Bytes hashed at a time.
+SEGMENT = 1 << 20
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -53,6 +45,35 @@ class Rolling:
         return mixed((sums[length:] - sums[:n]) * self.up[:n]) if n > 0 else np.zeros(0, np.uint64)
 
 
+class WordHashes:
+    """Hashes of the words of texts (runs of bytes other than white space), from running sums over their bytes."""
+
+    def __init__(self) -> None:
+        rng = np.random.default_rng(2)
+        self.values = rng.integers(0, 1 << 64, 256, dtype=np.uint64)
+        self.rolling = Rolling(0xA0761D6478BD642F)
+
+    def of(self, texts: list[str | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """All hashes, text after text, and the number of words of each text. ``lower`` lower-cases A to Z."""
+        parts = [(t or "").encode("utf-8", "replace") for t in texts]
+        raw = b"\n".join(parts)
+        points = np.frombuffer(raw.lower() if lower else raw, np.uint8)
+        gaps = np.ones(len(points) + 2, bool)
+        gaps[1:-1] = SPACE[points]
+        edges = np.flatnonzero(gaps[1:] != gaps[:-1])
+        starts, ends = edges[::2], edges[1::2]
+        out, i = np.zeros(len(starts), np.uint64), 0
+        while i < len(starts):
+            j = max(i + 1, int(np.searchsorted(ends, starts[i] + SEGMENT, "right")))
+            low = starts[i]
+            sums = self.rolling.sums(self.values[points[low:ends[j - 1]]])
+            first = starts[i:j] - low
+            out[i:j] = mixed((sums[ends[i:j] - low] - sums[first]) * self.rolling.up[first])
+            i = j
+        bounds = np.cumsum([0] + [len(p) + 1 for p in parts])
+        return out, np.diff(np.searchsorted(starts, bounds))
+
+
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     """Smallest of each ``width`` neighbours."""
     n, reach = len(x) - width + 1, 1
@@ -90,18 +111,22 @@ USED = "row int, block int, many boolean, used binary"
 
 def sketch_cells(distinct: int, cells_each: int, most: int) -> int:
     """Cells a row for so many different hashes: a power of two, ``most`` at most."""
-    return min(most, max(BLOCK, 1 << (cells_each * distinct - 1).bit_length()))
+    return min(most, max(LEAST_BLOCK, 1 << (cells_each * distinct - 1).bit_length()))
+
+
+def block_size(cells: int) -> int:
+    return max(LEAST_BLOCK, cells // BLOCKS)
 
 
 def used_cells(hashes: np.ndarray, cells: int) -> pd.DataFrame:
     """A task's sketch: the cells used once, and those used more often, by blocks of cells."""
-    out = []
+    out, size = [], block_size(cells)
     for row, used in enumerate(cells_of(hashes, cells)):
         cell, times = np.unique(used, return_counts=True)
         for many in (False, True):
             mine = cell[(times > 1) == many]
-            blocks, begins = np.unique(mine // BLOCK, return_index=True)
-            parts = np.split((mine % BLOCK).astype("<u2"), begins[1:]) if len(mine) else []
+            blocks, begins = np.unique(mine // size, return_index=True)
+            parts = np.split((mine % size).astype("<u4"), begins[1:]) if len(mine) else []
             out += [(row, int(b), many, p.tobytes()) for b, p in zip(blocks, parts)]
     return pd.DataFrame(out, columns=["row", "block", "many", "used"])
 
@@ -109,17 +134,19 @@ def used_cells(hashes: np.ndarray, cells: int) -> pd.DataFrame:
 def merged_sketch(used: DataFrame, cells: int) -> np.ndarray:
     """Bits (2 rows) of the cells used twice or more over all tasks. ``cells`` bounds what comes to the driver."""
 
+    size = block_size(cells)
+
     def merge(parts: pd.DataFrame) -> pd.DataFrame:
-        times = np.zeros(BLOCK, np.int8)
+        times = np.zeros(size, np.int8)
         for many, part in zip(parts["many"], parts["used"]):
-            at = np.frombuffer(part, "<u2")
+            at = np.frombuffer(part, "<u4")
             times[at] = np.minimum(2, times[at] + (2 if many else 1))
         return pd.DataFrame({"row": parts["row"].iloc[:1], "block": parts["block"].iloc[:1], "bits": [np.packbits(times > 1, bitorder="little").tobytes()]})
 
     bits = np.zeros((2, cells // 8), np.uint8)
     for r in used.groupBy("row", "block").applyInPandas(merge, "row int, block int, bits binary").toLocalIterator():
-        start = r["block"] * (BLOCK // 8)
-        bits[r["row"], start:start + BLOCK // 8] = np.frombuffer(r["bits"], np.uint8)
+        start = r["block"] * (size // 8)
+        bits[r["row"], start:start + size // 8] = np.frombuffer(r["bits"], np.uint8)
     return bits
 
 

@@ -37,14 +37,12 @@ class Windows:
 
     def __init__(self, window: int) -> None:
         self.window, self.gram = window, window // 2 + 1
-        self.known, self.first, self.second = WordHashes(), Rolling(BASES[0]), Rolling(BASES[1])
+        self.words, self.first, self.second = WordHashes(), Rolling(BASES[0]), Rolling(BASES[1])
 
     def of(self, texts: list[str | None], with_hashes: bool) -> tuple[np.ndarray, ...]:
         """Document number, place and anchor of each window, and its two hashes if asked for."""
-        words = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        sizes = np.array([len(w) for w in words])
+        hashes, sizes = self.words.of(texts)
         ends = np.cumsum(sizes)
-        hashes = np.fromiter((h for w in words for h in map(self.known.__getitem__, w)), np.uint64, int(ends[-1]))
         starts = np.concatenate([np.arange(e - s, max(e - s, e - self.window + 1)) for s, e in zip(sizes, ends)])
         number = np.repeat(np.arange(len(sizes)), np.maximum(0, sizes - self.window + 1))
         if not len(starts):
@@ -109,7 +107,7 @@ def likely_repeats(docs: DataFrame, bits: np.ndarray, window: int, chunk_words:
     return docs.mapInPandas(find, "doc_id long, text_key long, settled array<int>, place array<int>, h1 array<long>, h2 array<int>")
 
 
-def repeated_places(docs: DataFrame, window: int = 50, max_cells: int = 1 << 28, cells_per_anchor: int = 8, chunk_words: int = 1_500_000) -> DataFrame:
+def repeated_places(docs: DataFrame, window: int = 50, max_cells: int = 1 << 28, cells_per_anchor: int = 8, chunk_words: int = 500_000) -> DataFrame:
     """(doc_id, text_key, places): where the windows start that also start in a document with a smaller id."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text").where(
         "doc_id is not null and text is not null")
