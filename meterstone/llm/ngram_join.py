@@ -42,14 +42,12 @@ class Shingles:
     """Distinct shingles of a chunk of texts."""
 
     def __init__(self, n: int) -> None:
-        self.n, self.known, self.rolling = n, WordHashes(), Rolling(BASES[0])
+        self.n, self.words, self.rolling = n, WordHashes(), Rolling(BASES[0])
 
     def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(text number, shingle), each pair once, by number and shingle."""
-        words = [(t or "").encode("utf-8", "replace").lower().split() for t in texts]
-        sizes = np.array([len(w) for w in words])
+        hashes, sizes = self.words.of(texts, lower=True)
         ends = np.cumsum(sizes)
-        hashes = np.fromiter((h for w in words for h in map(self.known.__getitem__, w)), np.uint64, int(ends[-1]))
         sums = self.rolling.sums(hashes)
         counts = np.maximum(0, sizes - self.n + 1)
         number = np.repeat(np.arange(len(sizes)), counts)
@@ -58,10 +56,13 @@ class Shingles:
         shingle = runs[begins] if len(begins) else np.zeros(0, np.uint64)
         short = np.flatnonzero((sizes > 0) & (sizes < self.n))
         whole = [mixed((sums[ends[i]:ends[i] + 1] - sums[ends[i] - sizes[i]]) * self.rolling.up[ends[i] - sizes[i]] + np.uint64(int(sizes[i]))) for i in short]
-        number = np.concatenate([number, short])
-        shingle = np.concatenate([shingle, *whole]) if whole else shingle
-        order = np.lexsort((shingle, number))
-        number, shingle = number[order], shingle[order]
+        if whole:
+            number, shingle = np.concatenate([number, short]), np.concatenate([shingle, *whole])
+            order = np.argsort(number, kind="stable")
+            number, shingle = number[order], shingle[order]
+        cuts = np.searchsorted(number, np.arange(len(texts) + 1)).tolist()
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            shingle[a:b].sort()
         fresh = np.ones(len(number), bool)
         fresh[1:] = (number[1:] != number[:-1]) | (shingle[1:] != shingle[:-1])
         return number[fresh], shingle[fresh]
@@ -73,8 +74,11 @@ def bucket_of(shingle: np.ndarray) -> np.ndarray:
 
 def rare_first(number: np.ndarray, shingle: np.ndarray, levels: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The rows in order (number, level of rarity, shingle), and the place of each inside its document."""
-    order = np.lexsort((shingle, levels[bucket_of(shingle)], number))
-    return order, np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    level, ends, order = levels[bucket_of(shingle)], np.cumsum(sizes), np.arange(len(shingle))
+    for i in np.unique(number[level > 0]):  # all others are in order already
+        own = slice(ends[i] - sizes[i], ends[i])
+        order[own] = own.start + np.argsort(level[own], kind="stable")
+    return order, np.arange(len(order)) - np.repeat(ends - sizes, sizes)
 
 
 def first_fifth(n: np.ndarray) -> np.ndarray:
@@ -118,11 +122,11 @@ def rarity_levels(measured: DataFrame) -> np.ndarray:
 
 
 def signature(number: np.ndarray, shingle: np.ndarray, sizes: np.ndarray) -> list[bytes]:
-    """A bitmap per document, of the power of two that is at least four bits a shingle."""
+    """A bitmap per document, of the power of two that is at least two bits a shingle."""
     out, end = [], 0
     mixed_all = mixed(shingle + np.uint64(7))
     for size in sizes:
-        width = max(64, 1 << int(4 * max(1, size) - 1).bit_length())
+        width = max(64, 1 << int(2 * max(1, size) - 1).bit_length())
         bits = np.zeros(width, bool)
         bits[(mixed_all[end:end + size] & np.uint64(width - 1)).astype(np.int64)] = True
         out.append(np.packbits(bits, bitorder="little").tobytes())
@@ -173,7 +177,7 @@ def candidates(docs: DataFrame, n: int, levels: np.ndarray, max_cells: int, chun
                     "bits": signature(None, np.concatenate([shingle[own] for _, own in part]), np.array([sizes[i] for i, _ in part])) if part else [],
                     "shingles": [shingle[own].view(np.int64) for _, own in part]})
 
-    cells = sketch_cells(max(1, n_shingles // 4), 8, max_cells)
+    cells = sketch_cells(max(1, n_shingles // 4), 4, max_cells)
     bits = spark.sparkContext.broadcast(merged_sketch(docs.mapInPandas(use, USED), cells))
     return docs.mapInPandas(keep, "id long, n int, firsts array<long>, bits binary, shingles array<long>").where("size(firsts) > 0")
 
@@ -286,6 +290,36 @@ def join_block(block: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.minimum(a, b), np.maximum(a, b)
 
 
+def join_small(frame: pd.DataFrame, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs worth a check of many blocks of one leaf each: the same tests as in a walk, for all of them at once."""
+    ids, n, group, part = (frame[c].to_numpy(np.int64) for c in ("id", "n", "comp", "part"))
+    rows = np.repeat(starts, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    ends = np.repeat(starts + sizes, sizes)
+    later = ends - rows - 1
+    i = np.repeat(rows, later)
+    j = i + 1 + np.arange(later.sum()) - np.repeat(np.cumsum(later) - later, later)
+    mixed_block = np.repeat(np.repeat(np.maximum.reduceat(part, starts) != np.minimum.reduceat(part, starts), sizes), later) if len(starts) else np.zeros(0, bool)
+    fits = (5 * n[i] >= 4 * n[j]) & (5 * n[j] >= 4 * n[i]) & (group[i] != group[j]) & ~(mixed_block & (part[i] == part[j]))
+    i, j = i[fits], j[fits]
+    i, j = np.where(ids[i] < ids[j], i, j), np.where(ids[i] < ids[j], j, i)
+    _, once = np.unique(np.stack([ids[i], ids[j]], axis=1), axis=0, return_index=True)  # a pair shares many shingles
+    i, j = i[once], j[once]
+    bits = frame["bits"].to_numpy()
+    widths = np.array([len(b) for b in bits])
+    keep = np.zeros(len(i), bool)
+    for width in np.unique(np.minimum(widths[i], widths[j])) if len(i) else ():
+        mine = np.flatnonzero(np.minimum(widths[i], widths[j]) == width)
+        used = np.unique(np.concatenate([i[mine], j[mine]]))
+        words = np.stack([np.bitwise_or.reduce(np.frombuffer(bits[r], np.uint64).reshape(-1, width // 8), axis=0) for r in used])
+        loose = n[used] - np.bitwise_count(words).sum(axis=1)
+        x, y = np.searchsorted(used, i[mine]), np.searchsorted(used, j[mine])
+        for k in range(0, len(mine), 4096):
+            u, v = x[k:k + 4096], y[k:k + 4096]
+            most = np.bitwise_count(words[u] & words[v]).sum(axis=1) + np.minimum(loose[u], loose[v])
+            keep[mine[k:k + 4096]] = 9 * most >= 4 * (n[used[u]] + n[used[v]])
+    return ids[i[keep]], ids[j[keep]]
+
+
 def join_blocks(blocks: DataFrame, part_rows: int) -> DataFrame:
     """Pairs (a, b) worth a check, from rows (shingle, id, n, comp, bits, rows of the block)."""
     parts = F.ceil(F.col("rows") / part_rows).cast("int")
@@ -297,16 +331,13 @@ def join_blocks(blocks: DataFrame, part_rows: int) -> DataFrame:
         held: list[pd.DataFrame] = []
 
         def done(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
-            a, b = [], []
             marks = frame["cell"].to_numpy()
-            starts = np.concatenate([[0], np.flatnonzero(marks[1:] != marks[:-1]) + 1, [len(marks)]]) if len(marks) else [0]
-            for s, e in zip(starts[:-1], starts[1:]):
-                if e - s > 1:
-                    x, y = join_block(frame.iloc[s:e])
-                    a.append(x)
-                    b.append(y)
-            if a:
-                yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).drop_duplicates()
+            starts = np.concatenate([[0], np.flatnonzero(marks[1:] != marks[:-1]) + 1]).astype(np.int64)
+            sizes = np.diff(np.append(starts, len(marks)))
+            few = sizes <= LEAF
+            found = [join_small(frame, starts[few], sizes[few])]
+            found += [join_block(frame.iloc[s:s + n]) for s, n in zip(starts[~few], sizes[~few])]
+            yield pd.DataFrame({"a": np.concatenate([x for x, _ in found]), "b": np.concatenate([y for _, y in found])}).drop_duplicates()
 
         for batch in batches:
             if not len(batch):
@@ -328,7 +359,7 @@ def join_blocks(blocks: DataFrame, part_rows: int) -> DataFrame:
     return dealt.mapInPandas(join, "a long, b long").distinct()
 
 
-def similar_sets(docs: DataFrame, n: int = 5, rounds: int = 3, part_rows: int = 1500, max_cells: int = 1 << 28, chunk_words: int = 1_000_000) -> DataFrame:
+def similar_sets(docs: DataFrame, n: int = 5, rounds: int = 3, part_rows: int = 1500, max_cells: int = 1 << 28, chunk_words: int = 400_000) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text)."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     measured = stored(measure(keyed, n, chunk_words), "sets")
