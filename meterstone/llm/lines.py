@@ -4,7 +4,8 @@
    minima is banded (16 bands of four): of pairs with similarity 0.8 more than 99.9 percent share a band. Lines with many
    shingles take the minima of 64 ranges of one hash instead of 64 hashes; around the size where that begins lines
    have both signatures, so no pair falls between the two. Lines that occur again in the same task are settled there.
-2. A count-min sketch of all bands tells which stand in two lines or more. Only lines with such a band go on.
+2. A count-min sketch of all bands tells which stand in two lines or more; these few are counted exactly. Only lines with
+   such a band go on.
 3. Lines of a band are compared with one line of it, by the exact Jaccard similarity of their shingles, and the links give
    components. Bands that still hold several components are compared in full, in parts of bounded size, each line only
    with lines it is not yet joined to.
@@ -28,8 +29,9 @@ from meterstone.llm.components import components
 from meterstone.llm.hashing import BASES, USED, Rolling, chunks, merged_sketch, mixed, sketch_cells, used_cells, used_twice
 
 BANDS, ROWS = 16, 4
-#: From ``SPLIT`` shingles on, ranges of one hash; up to ``WHOLE``, 64 hashes. Sets between have both.
-SPLIT, WHOLE = 480, 640
+#: From ``SPLIT`` different shingles on, ranges of one hash; up to ``WHOLE``, 64 hashes. Sets between have both: sizes
+#: of similar sets differ by a quarter at most.
+SPLIT, WHOLE = 200, 280
 PERCENT = 80
 
 
@@ -55,7 +57,7 @@ class Signer:
         rng = np.random.default_rng(11)
         self.turn = rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
         self.odd = rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-        self.ranges = np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) << np.uint64(26)
+        self.begins = np.arange(BANDS * ROWS, dtype=np.uint32) << np.uint32(26)
 
     def keys(self, lines: list[str]) -> list[np.ndarray]:
         points = [np.frombuffer(x.encode("utf-32-le", "replace"), "<u4") for x in lines]
@@ -64,8 +66,8 @@ class Signer:
         sums = self.rolling.sums(mixed(np.concatenate(points).astype(np.uint64) + np.uint64(1)))
         runs = (self.rolling.runs(sums, self.k) >> np.uint64(32)).astype(np.uint32)
         minima = np.zeros((len(lines), BANDS * ROWS), np.uint32)
-        owner, kind = [], []
-        more = []
+        room = np.empty((WHOLE, BANDS * ROWS), np.uint32)
+        owner, more = [], []
         for i, (size, end) in enumerate(zip(sizes.tolist(), ends.tolist())):
             count = size - self.k + 1
             if count <= 0:  # the whole line is its one shingle
@@ -73,15 +75,20 @@ class Signer:
                 x = (mixed(np.array([whole], np.uint64)) >> np.uint64(32)).astype(np.uint32)
             else:
                 x = runs[end - size:end - size + count]
-            if count <= WHOLE:
-                minima[i] = ((x[:, None] ^ self.turn) * self.odd).min(axis=0)
-                owner.append(i)
-                kind.append(0)
-            if count >= SPLIT:
+            if len(x) >= SPLIT:
                 ordered = np.sort(x)
-                first = np.searchsorted(ordered, np.concatenate([[0], self.ranges[:-1]]).astype(np.uint64).astype(np.uint32))
-                found = ordered[np.minimum(first, len(ordered) - 1)]
-                empty = (first >= len(ordered)) | (found.astype(np.uint64) >= self.ranges)
+                fresh = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+                x = ordered[fresh]
+            if len(x) <= WHOLE:
+                turned = room[:len(x)]
+                np.bitwise_xor(x[:, None], self.turn, out=turned)
+                turned *= self.odd
+                minima[i] = turned.min(axis=0)
+                owner.append(i)
+            if len(x) >= SPLIT:
+                first = np.searchsorted(x, self.begins)
+                found = x[np.minimum(first, len(x) - 1)]
+                empty = (first >= len(x)) | (found >> np.uint32(26) != self.begins >> np.uint32(26))
                 more.append((i, np.where(empty, np.uint32(0xFFFFFFFF), found)))
         out = [np.zeros(0, np.int64)] * len(lines)
         if owner:
@@ -140,8 +147,8 @@ def signed_lines(docs: DataFrame, k: int, min_chars: int, chunk_words: int) -> D
 
 
 def shared_bands(lines: DataFrame, max_cells: int) -> DataFrame:
-    """The lines with a band that stands in two of them or more; ``bands`` holds those bands only."""
-    cells = sketch_cells(max(1, lines.count() * BANDS), 4, max_cells)
+    """(id, band): the bands that stand in two rows of ``lines`` or more. The sketch leaves few others, which are then counted."""
+    cells = sketch_cells(max(1, lines.count() * BANDS), 8, max_cells)
 
     def use(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -153,16 +160,34 @@ def shared_bands(lines: DataFrame, max_cells: int) -> DataFrame:
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                sizes = np.array([len(b) for b in batch["bands"]])
                 every = np.concatenate(batch["bands"].to_numpy())
+                owner = np.repeat(np.arange(len(batch)), [len(b) for b in batch["bands"]])
                 twice = used_twice(every.view(np.uint64), bits.value)
-                cuts = np.cumsum(sizes)[:-1]
-                left = [b[t] for b, t in zip(np.split(every, cuts), np.split(twice, cuts))]
-                some = np.array([len(b) > 0 for b in left])
-                yield batch.assign(bands=left)[some]
+                owner = owner[twice]
+                yield pd.DataFrame({"h1": batch["h1"].to_numpy()[owner], "h2": batch["h2"].to_numpy()[owner], "band": every[twice]})
+
+    likely = stored(lines.select("h1", "h2", "bands").mapInPandas(keep, "h1 long, h2 long, band long"), "bands")
+    shared = likely.groupBy("band").agg(F.count("*").alias("rows")).where("rows > 1").select("band")
+    return likely.join(shared, "band").select(F.struct("h1", "h2").alias("id"), "band").distinct()
+
+
+def lines_of(lines: DataFrame, members: DataFrame, max_cells: int) -> DataFrame:
+    """The rows (id, place, text) of the lines in ``members``, and very few others: a bitmap of their ids goes to all tasks."""
+    ids = members.select("id.h1").distinct()
+    cells = sketch_cells(max(1, ids.count()), 64, max_cells)
+
+    def use(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield used_cells(np.repeat(batch["h1"].to_numpy(np.int64).view(np.uint64), 2), cells)
+
+    bits = lines.sparkSession.sparkContext.broadcast(merged_sketch(ids.mapInPandas(use, USED), cells))
 
-    slim = lines.select("h1", "h2", "doc_id", "text_key", "line", "bands", "text")
-    return slim.mapInPandas(keep, slim.schema)
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch[used_twice(batch["h1"].to_numpy(np.int64).view(np.uint64), bits.value)]
+
+    slim = lines.select("h1", "h2", "doc_id", "text_key", "line", "text")
+    return slim.mapInPandas(keep, slim.schema).select(F.struct("h1", "h2").alias("id"), F.struct("doc_id", "text_key", "line").alias("place"), "text")
 
 
 def alike_pairs(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
@@ -190,53 +215,64 @@ def compare_bands(rows: DataFrame, k: int, part_rows: int) -> DataFrame:
     parts = F.ceil(F.col("rows") / part_rows).cast("int")
     grid = rows.withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int")).select(
         "*", F.explode(F.sequence(F.lit(0), parts - 1)).alias("with")).select(
-        "band", F.least("part", "with").alias("p"), F.greatest("part", "with").alias("q"), "id.h1", "id.h2", F.xxhash64("comp").alias("comp"), "part", "text")
+        F.xxhash64("band", F.least("part", "with"), F.greatest("part", "with")).alias("cell"),
+        (F.col("part") != F.col("with")).alias("across"), "id.h1", "id.h2", F.xxhash64("comp").alias("comp"), "part", "text")
+    # Rows of a cell off the diagonal all have ``across``, as their own part meets another one there.
 
-    def compare(cell: pd.DataFrame) -> pd.DataFrame:
-        sets = [shingle_set(t, k) for t in cell["text"]]
-        group = {c: c for c in cell["comp"]}
+    def links(cell: list[tuple], sets: dict[str, set[str]]) -> Iterator[tuple[int, int, int, int]]:
+        group: dict[int, int] = {}
 
         def top(c: int) -> int:
-            while group[c] != c:
+            while group.setdefault(c, c) != c:
                 c = group[c]
             return c
 
-        comps, sides, out = cell["comp"].tolist(), cell["part"].tolist(), []
-        across = cell["p"].iloc[0] != cell["q"].iloc[0]
-        order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
-        for n, i in enumerate(order):
-            for j in order[n + 1:]:
-                if PERCENT * len(sets[j]) > 100 * len(sets[i]):
+        for row in cell:
+            if row[5] not in sets:
+                sets[row[5]] = shingle_set(row[5], k)
+        cell = sorted(cell, key=lambda row: len(sets[row[5]]))
+        for n, (across, h1, h2, comp, part, text) in enumerate(cell):
+            for _, g1, g2, other, side, more in cell[n + 1:]:
+                if PERCENT * len(sets[more]) > 100 * len(sets[text]):
                     break
-                if (across and sides[i] == sides[j]) or top(comps[i]) == top(comps[j]):
-                    continue
-                if alike(sets[i], sets[j]):
-                    out.append((i, j))
-                    group[top(comps[i])] = top(comps[j])
-        h1, h2 = cell["h1"].to_numpy(), cell["h2"].to_numpy()
-        i, j = (np.array([p[x] for p in out], np.int64) for x in (0, 1))
-        return pd.DataFrame({"a1": h1[i], "a2": h2[i], "b1": h1[j], "b2": h2[j]})
-
-    found = grid.groupBy("band", "p", "q").applyInPandas(compare, "a1 long, a2 long, b1 long, b2 long")
+                if not (across and part == side) and top(comp) != top(other) and alike(sets[text], sets[more]):
+                    group[top(comp)] = top(other)
+                    yield h1, h2, g1, g2
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cell, mark, sets, out = [], None, {}, []
+        for batch in batches:
+            columns = [batch[c].tolist() for c in ("across", "h1", "h2", "comp", "part", "text")]
+            for new, row in zip(batch["cell"].tolist(), zip(*columns)):
+                if new != mark:
+                    out += links(cell, sets)
+                    cell, mark = [], new
+                    if len(sets) > 2000:
+                        sets.clear()
+                cell.append(row)
+            yield pd.DataFrame(out, columns=["a1", "a2", "b1", "b2"])
+            out = []
+        yield pd.DataFrame(list(links(cell, sets)), columns=["a1", "a2", "b1", "b2"])
+
+    found = grid.repartition("cell").sortWithinPartitions("cell").mapInPandas(compare, "a1 long, a2 long, b1 long, b2 long").distinct()
     return found.select(F.struct(F.col("a1").alias("h1"), F.col("a2").alias("h2")).alias("a"), F.struct(F.col("b1").alias("h1"), F.col("b2").alias("h2")).alias("b"))
 
 
-def repeated_lines(docs: DataFrame, k: int = 9, min_chars: int = 24, part_rows: int = 800, max_cells: int = 1 << 27, chunk_words: int = 400_000) -> DataFrame:
+def repeated_lines(docs: DataFrame, k: int = 9, min_chars: int = 24, part_rows: int = 800, max_cells: int = 1 << 28, chunk_words: int = 400_000) -> DataFrame:
     """(doc_id, text_key, line): the places of all lines that go."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text").where(
         "doc_id is not null and text is not null")
     lines = stored(signed_lines(keyed, k, min_chars, chunk_words), "lines")
     settled = stored(lines.where("size(again) > 0").select(F.explode("again").alias("p")).select("p.*"), "settled")
-    kept = stored(shared_bands(lines, max_cells).select(F.struct("h1", "h2").alias("id"), F.struct("doc_id", "text_key", "line").alias("place"), "bands", "text"), "shared")
+    members = stored(shared_bands(lines, max_cells), "members")
+    kept = stored(lines_of(lines, members, max_cells), "shared")
     drop_stored(lines)
-    # The same line from several tasks: one text, its bands, and its first place.
-    unique = stored(kept.groupBy("id").agg(F.first("bands").alias("bands"), F.first("text").alias("text")), "unique")
-    members = unique.select("id", F.explode("bands").alias("band"))
+    # The same line from several tasks is one text.
+    texts = stored(kept.groupBy("id").agg(F.first("text").alias("text")), "texts")
     pivots = members.groupBy("band").agg(F.min("id").alias("pivot"), F.count("*").alias("rows")).where("rows > 1")
     # Of the lines it could be compared with first, each takes the one it shares most bands with.
     tries = members.join(pivots, "band").where("id != pivot").groupBy("id", "pivot").agg(F.count("*").alias("shared"))
     best = tries.groupBy("id").agg(F.max(F.struct("shared", "pivot")).alias("t")).select(F.col("id").alias("a"), F.col("t.pivot").alias("b"))
-    texts = unique.select("id", "text")
     links = stored(alike_pairs(best, texts, k), "links")
     labels = components(links)
     marked = members.join(labels.withColumnRenamed("root", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
