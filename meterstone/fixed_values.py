@@ -48,9 +48,7 @@ HEALTH_FREE_PACKAGE = ("Security Essentials active", "WARN - CHECK SE")
 FREE_PACKAGE_ID = "SECURITY_ESSENTIALS"
 FREE_PACKAGE_NAME = "Security Essentials"
 CIS_PACKAGE_ID = "CIS_BENCHMARKS"
-CIS_PACKAGE_NAME = "CIS Benchmarks"
 THREAT_PACKAGE_ID = "THREAT_INTELLIGENCE"
-THREAT_PACKAGE_NAME = "Threat Intelligence"
 FREE_PACKAGE_SCANNERS = 6
 
 SEVERITIES = ("CRITICAL", "HIGH", "MEDIUM", "LOW")

@@ -81,10 +81,6 @@ def package_status(packages: DataFrame, package_ids: tuple[str, ...] = (CIS_PACK
     return packages.where(F.col("id").isin(*package_ids)).select("id", "name", "state", "schedule")
 
 
-def scanner_status(scanners: DataFrame, scanner_id) -> DataFrame:
-    return scanners.where(F.col("id") == scanner_id).select("id", "name", "state")
-
-
 def enabled_in_package(scanners: DataFrame, package_id: str) -> DataFrame:
     """Scanners of one package that are still on (none expected after the package was switched off)."""
     return scanners.where((F.col("scanner_package_id") == package_id) & is_true("state")).select("id", "name", "state")

@@ -90,3 +90,27 @@ def test_report_sets(spark):
         reports.cost_estimate(v.scanner_packages, v.scanners, v.findings),
     ]
     assert all(frame.count() > 0 for frames in sets for frame in frames.values())
+
+
+@pytest.mark.parametrize("name", ["load_analyst", "ai_by_user", "month_spend", "long_running", "summary_by_day", "runaway_detection"])
+def test_time_bound_reaches_the_usage_scan(spark, name):
+    pushed = [line for line in plan_of(contract.queries()[name](spark, FOLDER)).splitlines() if "PushedFilters" in line]
+    assert any("GreaterThanOrEqual(ts,2024-01" in line for line in pushed)
+
+
+def test_a_report_is_printed_whole(spark, capsys):
+    from meterstone.sources.sinks import report_text
+
+    report_text(spark.range(60))
+    assert "|59 |" in capsys.readouterr().out
+    report_text(spark.range(60), 50)
+    assert "10 more rows" in capsys.readouterr().out
+
+
+def test_month_spend_stops_at_the_moment_asked_for(spark):
+    from decimal import Decimal
+
+    from meterstone.operators import limits
+
+    usage = spark.sql("SELECT * FROM VALUES (TIMESTAMP '2024-01-05', 10BD), (TIMESTAMP '2024-01-25', 20BD), (TIMESTAMP '2024-02-02', 40BD) AS t(start_time, credits)")
+    assert limits.month_spend(usage, "2024-01-15").first()[0] == Decimal(10)
