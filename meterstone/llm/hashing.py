@@ -118,6 +118,17 @@ def block_size(cells: int) -> int:
     return max(LEAST_BLOCK, cells // BLOCKS)
 
 
+def packed(cells: np.ndarray, size: int) -> bytes:
+    """Sorted cells of a block in two bytes each, after how many there are in each 65,536."""
+    counts = np.bincount(cells >> 16, minlength=size >> 16).astype("<u4")
+    return counts.tobytes() + (cells & 0xFFFF).astype("<u2").tobytes()
+
+
+def unpacked(raw: bytes, size: int) -> np.ndarray:
+    counts = np.frombuffer(raw, "<u4", size >> 16)
+    return np.frombuffer(raw, "<u2", offset=counts.nbytes).astype(np.int64) + np.repeat(np.arange(len(counts)) << 16, counts)
+
+
 def used_cells(hashes: np.ndarray, cells: int) -> pd.DataFrame:
     """A task's sketch: the cells used once, and those used more often, by blocks of cells."""
     out, size = [], block_size(cells)
@@ -126,8 +137,8 @@ def used_cells(hashes: np.ndarray, cells: int) -> pd.DataFrame:
         for many in (False, True):
             mine = cell[(times > 1) == many]
             blocks, begins = np.unique(mine // size, return_index=True)
-            parts = np.split((mine % size).astype("<u4"), begins[1:]) if len(mine) else []
-            out += [(row, int(b), many, p.tobytes()) for b, p in zip(blocks, parts)]
+            parts = np.split(mine % size, begins[1:]) if len(mine) else []
+            out += [(row, int(b), many, packed(p, size)) for b, p in zip(blocks, parts)]
     return pd.DataFrame(out, columns=["row", "block", "many", "used"])
 
 
@@ -139,7 +150,7 @@ def merged_sketch(used: DataFrame, cells: int) -> np.ndarray:
     def merge(parts: pd.DataFrame) -> pd.DataFrame:
         times = np.zeros(size, np.int8)
         for many, part in zip(parts["many"], parts["used"]):
-            at = np.frombuffer(part, "<u4")
+            at = unpacked(part, size)
             times[at] = np.minimum(2, times[at] + (2 if many else 1))
         return pd.DataFrame({"row": parts["row"].iloc[:1], "block": parts["block"].iloc[:1], "bits": [np.packbits(times > 1, bitorder="little").tobytes()]})
 

@@ -166,25 +166,38 @@ def shared_bands(lines: DataFrame, max_cells: int) -> DataFrame:
                 owner = owner[twice]
                 yield pd.DataFrame({"h1": batch["h1"].to_numpy()[owner], "h2": batch["h2"].to_numpy()[owner], "band": every[twice]})
 
-    likely = stored(lines.select("h1", "h2", "bands").mapInPandas(keep, "h1 long, h2 long, band long"), "bands")
+    # The same line from several tasks counts once, so lines that only have exact copies end here.
+    likely = stored(lines.select("h1", "h2", "bands").mapInPandas(keep, "h1 long, h2 long, band long").distinct(), "bands")
     shared = likely.groupBy("band").agg(F.count("*").alias("rows")).where("rows > 1").select("band")
-    return likely.join(shared, "band").select(F.struct("h1", "h2").alias("id"), "band").distinct()
+    return likely.join(shared, "band").select(F.struct("h1", "h2").alias("id"), "band")
 
 
-def lines_of(lines: DataFrame, members: DataFrame, max_cells: int) -> DataFrame:
-    """The rows (id, place, text) of the lines in ``members``, and very few others: a bitmap of their ids goes to all tasks."""
-    ids = members.select("id.h1").distinct()
+def bitmap(ids: DataFrame, max_cells: int):
+    """A broadcast bitmap of the distinct ``h1``; it lets very few others through."""
     cells = sketch_cells(max(1, ids.count()), 64, max_cells)
 
     def use(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield used_cells(np.repeat(batch["h1"].to_numpy(np.int64).view(np.uint64), 2), cells)
 
-    bits = lines.sparkSession.sparkContext.broadcast(merged_sketch(ids.mapInPandas(use, USED), cells))
+    return ids.sparkSession.sparkContext.broadcast(merged_sketch(ids.mapInPandas(use, USED), cells))
+
+
+def lines_of(lines: DataFrame, members: DataFrame, max_cells: int) -> DataFrame:
+    """Rows (id, place, text) of the lines that stand in ``members`` or in several rows, and of very few others.
+
+    The text is null where only exact copies are known.
+    """
+    copies = stored(lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1").distinct(), "copies")
+    near = stored(members.select("id.h1").distinct(), "near")
+    several, compared = bitmap(copies, max_cells), bitmap(near, max_cells)
 
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch[used_twice(batch["h1"].to_numpy(np.int64).view(np.uint64), bits.value)]
+            hashes = batch["h1"].to_numpy(np.int64).view(np.uint64)
+            wanted = used_twice(hashes, compared.value)
+            either = wanted | used_twice(hashes, several.value)
+            yield batch.assign(text=batch["text"].where(wanted, None))[either]
 
     slim = lines.select("h1", "h2", "doc_id", "text_key", "line", "text")
     return slim.mapInPandas(keep, slim.schema).select(F.struct("h1", "h2").alias("id"), F.struct("doc_id", "text_key", "line").alias("place"), "text")
@@ -268,7 +281,7 @@ def repeated_lines(docs: DataFrame, k: int = 9, min_chars: int = 24, part_rows:
     kept = stored(lines_of(lines, members, max_cells), "shared")
     drop_stored(lines)
     # The same line from several tasks is one text.
-    texts = stored(kept.groupBy("id").agg(F.first("text").alias("text")), "texts")
+    texts = stored(kept.where("text is not null").groupBy("id").agg(F.first("text").alias("text")), "texts")
     pivots = members.groupBy("band").agg(F.min("id").alias("pivot"), F.count("*").alias("rows")).where("rows > 1")
     # Of the lines it could be compared with first, each takes the one it shares most bands with.
     tries = members.join(pivots, "band").where("id != pivot").groupBy("id", "pivot").agg(F.count("*").alias("shared"))
