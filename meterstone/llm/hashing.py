@@ -155,7 +155,7 @@ def merged_sketch(used: DataFrame, cells: int) -> np.ndarray:
         return pd.DataFrame({"row": parts["row"].iloc[:1], "block": parts["block"].iloc[:1], "bits": [np.packbits(times > 1, bitorder="little").tobytes()]})
 
     bits = np.zeros((2, cells // 8), np.uint8)
-    for r in used.groupBy("row", "block").applyInPandas(merge, "row int, block int, bits binary").toLocalIterator():
+    for r in used.groupBy("row", "block").applyInPandas(merge, "row int, block int, bits binary").collect():
         start = r["block"] * (size // 8)
         bits[r["row"], start:start + size // 8] = np.frombuffer(r["bits"], np.uint8)
     return bits
