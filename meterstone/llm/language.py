@@ -125,7 +125,9 @@ def fit_language(docs: DataFrame, max_rows: int = 600, size: int = 16, epochs: i
     chosen = (docs.where("lang is not null and text is not null").select("doc_id", "lang").withColumn("turn", F.xxhash64("doc_id", F.lit("sample")))
               .withColumn("place", F.row_number().over(order)).where(F.col("place") <= max_rows).select("doc_id", "lang"))
     kept = docs.select("doc_id", "text", "lang").where("text is not null").join(F.broadcast(chosen.withColumnRenamed("lang", "mark")), "doc_id")
-    rows = sorted(((r["doc_id"], r["mark"], r["text"]) for r in kept.where("lang = mark").toLocalIterator() if has_letter(r["text"])))
+    # Dealt to a few partitions first: the table is read once by all tasks, then the bounded sample comes part by part.
+    sample = kept.where("lang = mark").repartition(16, "doc_id").toLocalIterator()
+    rows = sorted((r["doc_id"], r["mark"], r["text"]) for r in sample if has_letter(r["text"]))
     names = tuple(sorted({r[1] for r in rows}))
     if not names:
         return None
