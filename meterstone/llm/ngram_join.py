@@ -34,7 +34,7 @@ from meterstone.llm.components import components
 from meterstone.llm.hashing import BASES, USED, Rolling, WordHashes, chunks, merged_sketch, mixed, sketch_cells, used_cells, used_twice
 
 #: Buckets of the table of document counts, and how many of them make a row of the shuffle.
-COUNT_BUCKETS, COUNT_BLOCK = 1 << 18, 1 << 13
+COUNT_BUCKETS, COUNT_BLOCK = 1 << 17, 1 << 12
 LEAF, FAN = 16, 8
 
 
@@ -97,7 +97,7 @@ def measure(docs: DataFrame, n: int, chunk_words: int) -> DataFrame:
             sums = np.concatenate([[np.uint64(0)], np.cumsum(shingle, dtype=np.uint64)])
             others = np.concatenate([[np.uint64(0)], np.cumsum(mixed(shingle + np.uint64(1)), dtype=np.uint64)])
             ends = np.cumsum(sizes)
-            counts = np.bincount(bucket_of(shingle), minlength=COUNT_BUCKETS).astype("<u4")
+            counts = np.minimum(np.bincount(bucket_of(shingle), minlength=COUNT_BUCKETS), 65535).astype("<u2")  # of one chunk
             yield pd.DataFrame({
                 "doc_id": chunk["doc_id"], "n": sizes, "h1": (sums[ends] - sums[ends - sizes]).view(np.int64),
                 "h2": (others[ends] - others[ends - sizes]).view(np.int64), "block": -1, "counts": None})
@@ -112,7 +112,7 @@ def rarity_levels(measured: DataFrame) -> np.ndarray:
     """Level of each bucket: 0 for those up to twice the mean, then one more for each doubling."""
 
     def add(parts: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum([np.frombuffer(c, "<u4") for c in parts["counts"]], axis=0, dtype=np.int64)
+        total = np.sum([np.frombuffer(c, "<u2") for c in parts["counts"]], axis=0, dtype=np.int64)
         return pd.DataFrame({"block": parts["block"].iloc[:1], "counts": [total.astype("<i8").tobytes()]})
 
     counts = np.zeros(COUNT_BUCKETS)
@@ -325,7 +325,7 @@ def join_blocks(blocks: DataFrame, part_rows: int) -> DataFrame:
     parts = F.ceil(F.col("rows") / part_rows).cast("int")
     own = F.pmod(F.xxhash64("id"), parts).cast("int")
     grid = blocks.withColumn("part", own).select("*", F.explode(F.sequence(F.lit(0), parts - 1)).alias("with")).select(
-        F.xxhash64("shingle", F.least("part", "with"), F.greatest("part", "with")).alias("cell"), "shingle", "part", "id", "n", "comp", "bits")
+        F.xxhash64("shingle", F.least("part", "with"), F.greatest("part", "with")).alias("cell"), "part", "id", "n", "comp", "bits")
 
     def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -359,7 +359,7 @@ def join_blocks(blocks: DataFrame, part_rows: int) -> DataFrame:
     return dealt.mapInPandas(join, "a long, b long").distinct()
 
 
-def similar_sets(docs: DataFrame, n: int = 5, rounds: int = 3, part_rows: int = 1500, max_cells: int = 1 << 28, chunk_words: int = 400_000) -> DataFrame:
+def similar_sets(docs: DataFrame, n: int = 5, rounds: int = 2, part_rows: int = 1500, max_cells: int = 1 << 28, chunk_words: int = 400_000) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text)."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     measured = stored(measure(keyed, n, chunk_words), "sets")
@@ -386,7 +386,10 @@ def similar_sets(docs: DataFrame, n: int = 5, rounds: int = 3, part_rows: int =
         drop_stored(blocks)
         links = links.unionByName(found)
     worth = stored(join_blocks(blocks.select("shingle", "id", "n", "comp", "rows").join(kept.select("id", "bits"), "id"), part_rows), "pairs")
-    labels = components(links.unionByName(checked(worth, kept)))
+    drop_stored(blocks)
+    drop_stored(firsts)
+    labels = components(links.unionByName(stored(checked(worth, kept), "links")))
+    drop_stored(kept)
     return sets.join(labels, sets["doc_id"] == labels["id"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
 
