@@ -33,7 +33,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take repeated lines out of the texts. Documents left without any text go; those that had none stay."""
-    left = remove_lines(docs, counts="__lines").where(
+    left = remove_lines(docs, counts="__lines", min_chars=1).where(
         (F.col("__lines.n_removed") == 0) | (F.length(F.trim(F.translate("text", "\r\n\t", "   "))) > 0))
     return left.select(*[F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 

@@ -1,6 +1,7 @@
 """Line dedup with MinHash: of all lines that are alike, directly or through others, the first one stays.
 
-1. Every line of ``min_chars`` signs or more (stripped, lower-cased) is a set of character shingles. Its signature of 64
+1. Every line of ``min_chars`` signs or more (stripped, lower-cased; the query and the pipeline take all lines that are not
+   blank) is a set of character shingles; a line shorter than a shingle is its one shingle. Its signature of 64
    minima is banded (16 bands of four): of pairs with similarity 0.8 more than 99.9 percent share a band. Lines with many
    shingles take the minima of 64 ranges of one hash instead of 64 hashes; around the size where that begins lines
    have both signatures, so no pair falls between the two. Lines that occur again in the same task are settled there.
@@ -11,7 +12,7 @@
    with lines it is not yet joined to.
 4. The first line (by id, then place) of each component stays; the others are taken out of their texts.
 
-Shorter and blank lines stay. Null texts stay null. Rows without an id keep all lines and no other line goes because of them.
+Lines under ``min_chars`` and blank lines stay. Null texts stay null. Rows without an id keep all lines and no other line goes because of them.
 Identical rows are one document: both keep the same lines. A table without lines to compare comes back as it is.
 """
 
@@ -321,5 +322,5 @@ def remove_lines(docs: DataFrame, counts: str = "line_counts", **options) -> Dat
 def op5_lines(spark, sf_dir: str) -> DataFrame:
     """Per document: its lines, how many went, and the hash of what is left."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return remove_lines(docs).select("doc_id", "line_counts.n_lines", "line_counts.n_removed",
+    return remove_lines(docs, min_chars=1).select("doc_id", "line_counts.n_lines", "line_counts.n_removed",
                                      F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))

@@ -265,6 +265,16 @@ def test_lines_keep_one_of_each_component(docs, rows):
     assert done.columns == [*docs.columns, "line_counts"]
 
 
+def test_short_lines_take_part(spark, tmp_path):
+    """Lines of any length but blank ones: exact repeats go, in one document and across documents."""
+    texts = ["wh the.\nwh the.\n\nx\nall rights reserved.", "All rights reserved. \nX\n\ny\nwh the", "\n \n", "wh the.", "all rights reversed."]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = ["wh the.\n\nx\nall rights reserved.", "\ny\nwh the", "\n \n", "", "all rights reversed."]
+    found = got(lines.op5_lines(spark, str(tmp_path)), "doc_id", "n_lines", "n_removed", "kept_sha256")
+    assert sorted(found) == [(k, a.count("\n") + 1, gone, hashlib.sha256(b.encode()).hexdigest())
+                             for k, (a, b, gone) in enumerate(zip(texts, want, (1, 2, 0, 1, 0)))]
+
+
 def test_fuzzy_lines_of_all_sizes_are_found(spark):
     """One added sign in lines of 180 to 3000 signs, across the size where signatures change."""
     data = []
