@@ -5,7 +5,8 @@ nearest centre. Equal vectors are one class with its smallest ids; a list with m
 ``chunk_rows``, so neither a common vector nor a crowded list is one task's work.
 
 The number of lists to probe follows from the data: for ``trial_queries`` vectors of the sample the true neighbours are found
-by comparing them with all vectors (one linear pass), and as many lists are probed as hold ``target`` of them.
+by comparing them with all vectors (one linear pass), and as many lists are probed as hold ``target`` of them. A query whose
+lists hold too few ids goes on to the next ones until they suffice.
 
 Search: a query probes the lists of its nearest centres. In each chunk the vectors, turned by a random rotation,
 are read a block of columns after the other. After each block a test on the partial distance (it tells the whole distance
@@ -131,12 +132,15 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, vector: str = "e
     index = classes.sparkSession.sparkContext.broadcast(fitted)
     asked = stored(asked, "queries")
 
-    def probe(frame: DataFrame, n: int) -> DataFrame:
+    def probe(frame: DataFrame, n: int, held: np.ndarray | None = None) -> DataFrame:
+        """The ``n`` nearest lists of each row; with ``held`` (ids of each list) as many more as ``k`` ids and its own take."""
         def add(batches):
             for batch in batches:
-                if len(batch):
-                    near = nearest_centres(np.stack(batch["v"].to_numpy()), index.value.centres, n)
-                    yield batch.assign(lists=[list(map(int, r)) for r in near])
+                for start in range(0, len(batch), 1024):
+                    part = batch.iloc[start:start + 1024]
+                    near = nearest_centres(np.stack(part["v"].to_numpy()), index.value.centres, n if held is None else len(index.value.centres))
+                    counts = np.full(len(near), n) if held is None else np.maximum(n, (np.cumsum(held[near], axis=1) <= k).sum(axis=1) + 1)
+                    yield part.assign(lists=[list(map(int, r[:m])) for r, m in zip(near, counts)])
 
         probed = frame.mapInPandas(add, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in frame.schema.fields) + ", lists array<int>")
         return probed.select(*frame.columns, F.explode("lists").alias("list"))
@@ -148,7 +152,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, vector: str = "e
     sizes = F.broadcast(listed.groupBy("list").agg(F.ceil(F.count("*") / chunk_rows).cast("int").alias("chunks")))
     chunked = listed.join(sizes, "list").withColumn("chunk", F.pmod("h1", F.col("chunks")).cast("int")).drop("chunks")
     wanted = classes.join(asked.select("key").distinct(), "key", "left_semi").select(F.col("key.*"), "v").toDF("h1", "h2", "v")
-    probing = probe(wanted, probes).join(sizes, "list").select("h1", "h2", "v", "list", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    held = np.zeros(len(fitted.centres), np.int64)
+    for r in listed.groupBy("list").agg(F.sum(F.size("ids")).alias("n")).collect():  # at most ``max_lists`` rows
+        held[r["list"]] = r["n"]
+    probing = probe(wanted, probes, held).join(sizes, "list").select("h1", "h2", "v", "list", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
 
     def scan_chunk(held: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
         out = []

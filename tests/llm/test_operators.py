@@ -161,6 +161,21 @@ def test_neighbours_are_nearly_exact(spark):
     assert [i for _, i, _ in sorted(found[0])] == list(range(600, 610))  # ties go to smaller ids
 
 
+def test_lone_vectors_get_all_their_neighbours(spark):
+    """Tight clusters and outliers: lists of the outliers hold fewer vectors than are asked for."""
+    rng = np.random.default_rng(8)
+    tight = np.repeat(rng.normal(size=(80, 16)), 12, axis=0) + rng.normal(size=(960, 16)) * 0.001
+    v = np.concatenate([tight, rng.normal(size=(60, 16)) * 30])
+    df = spark.createDataFrame([(k, [float(x) for x in row]) for k, row in enumerate(v)], "vec_id long, embedding array<double>")
+    for k in (10, 200):
+        found = defaultdict(list)
+        for q, rank, i, score in got(neighbours.search(df, df.where("vec_id >= 940").select("vec_id"), k=k), "query_id", "rank", "vec_id", "score"):
+            found[q].append((rank, i))
+        assert sorted(found) == list(range(940, 1020))
+        for q, mine in found.items():
+            assert [r for r, _ in sorted(mine)] == list(range(1, k + 1)) and len({i for _, i in mine} - {q}) == k
+
+
 def test_few_or_no_neighbours(spark):
     kind = "vec_id long, embedding array<float>"
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0])], kind)
