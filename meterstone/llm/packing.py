@@ -17,6 +17,7 @@ combinations of one fullness go to the longest lengths. An empty table gives no
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -38,16 +39,27 @@ SAFE_BLANK = re.compile(r"(?<=[!-~À-ɏ]) (?=[!-~À-ɏ])")
 
 
 def default_vocabulary() -> str:
-    """The rank file of the same vocabulary as byte_bpe_50k.json; both give the same ids."""
+    """The rank file of the same vocabulary as byte_bpe_50k.json; both give the same ids between added tokens."""
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def default_added() -> dict[str, int]:
+    """The added tokens of byte_bpe_50k.json with their ids. Each stands for its exact text, wherever it occurs."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        return {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
+
+
 class ChunkEncoder:
-    """Token ids of texts, each chunk between single blanks looked up once and then remembered."""
+    """Token ids of texts, each chunk between single blanks looked up once and then remembered.
 
-    def __init__(self, vocabulary: str) -> None:
+    ``added`` maps texts to the one id each of them has; what stands between them is encoded part by part.
+    """
+
+    def __init__(self, vocabulary: str, added: dict[str, int] | None = None) -> None:
         import public_tokenizers
         import tiktoken
 
@@ -55,9 +67,17 @@ class ChunkEncoder:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.encode = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.known: dict[str, bytes] = {}
+        self.added = {text: np.array([i], dtype="<u4").tobytes() for text, i in (added or {}).items()}
+        self.find_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
 
     def ids(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
+        if self.find_added is None:
+            return self.plain_ids(text)
+        return b"".join(self.added[part] if i % 2 else self.plain_ids(part) for i, part in enumerate(self.find_added.split(text)))
+
+    def plain_ids(self, text: str) -> bytes:
+        """Ids of a text without added tokens."""
         first, *rest = (SAFE_BLANK.split(text) if ODD_BLANK.search(text) else text.split(" "))
         known = self.known
         missing = set(rest).difference(known)
@@ -69,14 +89,15 @@ class ChunkEncoder:
         return np.array(self.encode(first), dtype="<u4").tobytes() + b"".join(map(known.__getitem__, rest))
 
 
-def cut(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+def cut(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False,
+        added: dict[str, int] | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) of every document."""
     end = np.array([end_id], dtype="<u4").tobytes()
     key = docs.schema["doc_id"].dataType.simpleString()
     extra = ", ids binary" if with_ids else ""
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = ChunkEncoder(vocabulary)
+        encoder = ChunkEncoder(vocabulary, added)
         names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
         for batch in batches:
             out = []
@@ -174,8 +195,12 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
-    """Pieces of ``docs`` with their sequence and place; ``with_ids`` adds the ids themselves as bytes."""
-    pieces = stored(cut(docs, vocabulary or default_vocabulary(), capacity, end_id, with_ids), "pieces")
+    """Pieces of ``docs`` with their sequence and place; ``with_ids`` adds the ids themselves as bytes.
+
+    Only the default vocabulary has added tokens.
+    """
+    added = None if vocabulary else default_added()
+    pieces = stored(cut(docs, vocabulary or default_vocabulary(), capacity, end_id, with_ids, added), "pieces")
     return place(pieces, capacity)
 
 

@@ -232,6 +232,20 @@ def test_chunks_give_the_ids_of_the_whole_text(text):
     assert mine == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_have_the_ids_of_the_tokenizer(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    mark = "<|endoftext|>"
+    texts = [f"end{mark}start", mark, f"{mark}{mark} a", f" a {mark} b ", f"<|endoftext|{mark}>", "<|ENDOFTEXT|> <|endoftext|", f"x\n{mark}\n y  {mark}z", f"a b {mark} " * 400]
+    found = defaultdict(bytes)
+    for doc_id, _, raw in sorted(got(packing.pack(frame(spark, [(k, t, None, None, None) for k, t in enumerate(texts)]), with_ids=True), "doc_id", "piece", "ids")):
+        found[doc_id] += bytes(raw)
+    for k, text in enumerate(texts):
+        assert np.frombuffer(found[k], "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids + [2], text
+
+
 def test_fullest_combination():
     from itertools import combinations
 
