@@ -118,6 +118,40 @@ def test_copies_share_a_shard_where_they_fit(spark):
     assert sum(len(p) for p in places.values()) <= len(places) + 4
 
 
+def test_groups_stay_whole_where_all_rows_have_copies(spark):
+    """Groups of 2 to 11 rows and no row without a copy, and a group of 0.8 of a shard: hardly any has to be cut."""
+    data = [(100 * k + j, f"text {k}", None, None, None) for k in range(150) for j in range(2 + k % 10)] + [(10 ** 6 + j, "large", None, None, None) for j in range(100)]
+    places, counts = defaultdict(set), defaultdict(int)
+    for crc, shard in got(sharding.shard_documents(frame(spark, data), 8), "text_crc32", "shard"):
+        places[crc].add(shard)
+        counts[shard] += 1
+    assert sum(counts.values()) == len(data) and max(counts.values()) - min(counts.values()) <= 1 and len(counts) == 8
+    assert sum(len(p) > 1 for p in places.values()) <= 8 and len(places[zlib.crc32(b"large")]) == 1
+
+
+def test_rows_with_several_hubs_are_even(spark):
+    links = spark.range(200).select(F.col("id").alias("row_id"), F.explode(F.array(F.floor(F.col("id") / 10), F.lit(100) + F.floor((F.col("id") + 5) / 10))).alias("hub"))
+    found = dict(got(sharding.assign(spark.range(300).select(F.col("id").alias("row_id")), links, 5), "row_id", "shard"))
+    assert sorted(found) == list(range(300)) and all(list(found.values()).count(s) == 60 for s in range(5))
+
+
+@pytest.mark.parametrize("even", [True, False])
+def test_plan_of_groups_places_each_row_once(even):
+    for sizes, room in [({11: 7, 5: 20, 2: 31}, [60, 60, 60, 59]), ({60: 1, 25: 1}, [20, 20, 20, 25]), ({2: 30}, [15, 15, 15, 15]), ({3: 4}, [40] * 3), ({}, [1])]:
+        whole, parts = sharding.deal(sizes, room, even)
+        used = defaultdict(int)
+        for size, first, last, shard in whole:
+            used[shard] += size * (last - first)
+        for size, _, start, stop, shard in parts:
+            used[shard] += stop - start
+        for size, count in sizes.items():
+            done = [n for s, first, last, _ in whole if s == size for n in range(first, last)]
+            cut = sorted({p[1] for p in parts if p[0] == size})
+            assert sorted(done + cut) == list(range(count))
+            assert all(sum(p[3] - p[2] for p in parts if p[:2] == (size, n)) == size for n in cut)
+        assert all(used[s] <= r for s, r in enumerate(room)) and len({p[:2] for p in parts}) <= len(room)
+
+
 def test_sharding_uses_no_python(docs):
     plan = docs._sc._jvm.PythonSQLUtils.explainString(sharding.shard_documents(docs, 3)._jdf.queryExecution(), "formatted")
     assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))
