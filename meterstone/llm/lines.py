@@ -4,10 +4,11 @@
    blank) is a set of character shingles; a line shorter than a shingle is its one shingle. Its signature of 64
    minima is banded (16 bands of four): of pairs with similarity 0.8 more than 99.9 percent share a band. Lines with many
    shingles take the minima of 64 ranges of one hash instead of 64 hashes; around the size where that begins lines
-   have both signatures, so no pair falls between the two. Lines that occur again in the same task are settled there.
+   have both signatures, so no pair falls between the two. Lines of 24 to 119 signs also have a signature of shorter shingles.
+   Lines that occur again in the same task are settled there.
 2. A count-min sketch of all bands tells which stand in two lines or more; these few are counted exactly. Only lines with
    such a band go on.
-3. Lines of a band are compared with one line of it, by the exact Jaccard similarity of their shingles, and the links give
+3. Lines of a band are compared with one line of it, by the exact Jaccard similarity of their shingles (of either length), and the links give
    components. Bands that still hold several components are compared in full, in parts of bounded size, each line only
    with lines it is not yet joined to.
 4. The first line (by id, then place) of each component stays; the others are taken out of their texts.
@@ -34,6 +35,9 @@ BANDS, ROWS = 16, 4
 #: of similar sets differ by a quarter at most.
 SPLIT, WHOLE = 200, 280
 PERCENT = 80
+#: One changed sign touches 9 of a line's shingles of 9, too many in lines under 89 signs. Lines of ``SHORT_FROM`` to
+#: ``SHORT_TO`` signs (exclusive) are also compared by shingles of ``SHORT_K``, beyond that border so that no pair falls between.
+SHORT_K, SHORT_FROM, SHORT_TO = 3, 24, 120
 
 
 def plain(line: str) -> str:
@@ -50,11 +54,25 @@ def alike(a: set[str], b: set[str]) -> bool:
     return 100 * both >= PERCENT * (len(a) + len(b) - both)
 
 
+def is_short(line: str) -> bool:
+    return SHORT_FROM <= len(line) < SHORT_TO
+
+
+def shingle_sets(line: str, k: int) -> tuple[set[str], set[str] | None]:
+    """The shingles of a line, and its short ones if it is compared by them too."""
+    return shingle_set(line, k), shingle_set(line, SHORT_K) if is_short(plain(line)) else None
+
+
+def either_alike(a: tuple[set[str], set[str] | None], b: tuple[set[str], set[str] | None]) -> bool:
+    """Whether two lines are alike by their shingles, or by the short ones where both have them."""
+    return any(x is not None and y is not None and 100 * min(len(x), len(y)) >= PERCENT * max(len(x), len(y)) and alike(x, y) for x, y in zip(a, b))
+
+
 class Signer:
-    """Band keys of lines."""
+    """Band keys of lines. Keys of other ``kind`` never meet; a signer uses ``kind`` and the next one."""
 
-    def __init__(self, k: int) -> None:
-        self.k, self.rolling = k, Rolling(BASES[0])
+    def __init__(self, k: int, kind: int = 0) -> None:
+        self.k, self.kind, self.rolling = k, kind, Rolling(BASES[0])
         rng = np.random.default_rng(11)
         self.turn = rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
         self.odd = rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -93,10 +111,10 @@ class Signer:
                 more.append((i, np.where(empty, np.uint32(0xFFFFFFFF), found)))
         out = [np.zeros(0, np.int64)] * len(lines)
         if owner:
-            for i, key in zip(owner, self.banded(minima[owner], 0)):
+            for i, key in zip(owner, self.banded(minima[owner], self.kind)):
                 out[i] = key
         if more:
-            for (i, _), key in zip(more, self.banded(np.stack([m for _, m in more]), 1)):
+            for (i, _), key in zip(more, self.banded(np.stack([m for _, m in more]), self.kind + 1)):
                 out[i] = np.concatenate([out[i], key])
         return out
 
@@ -118,7 +136,7 @@ def signed_lines(docs: DataFrame, k: int, min_chars: int, chunk_words: int) -> D
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
-        signer = Signer(k)
+        signer, short_signer = Signer(k), Signer(SHORT_K, 2)
         for chunk in chunks(batches, chunk_words):
             firsts: dict[str, tuple] = {}
             again: dict[str, set] = {}
@@ -137,11 +155,15 @@ def signed_lines(docs: DataFrame, k: int, min_chars: int, chunk_words: int) -> D
                 part = lines[start:start + 4000]
                 digests = [xxhash.xxh3_128_intdigest(x.encode("utf-8", "replace")) for x in part]
                 places = [firsts[x] for x in part]
+                bands = signer.keys(part)
+                short = [i for i, x in enumerate(part) if is_short(x)]
+                for i, key in zip(short, short_signer.keys([part[i] for i in short]) if short else ()):
+                    bands[i] = np.concatenate([bands[i], key])
                 yield pd.DataFrame({
                     "h1": np.array([d >> 64 for d in digests], np.uint64).view(np.int64), "h2": np.array([d & (1 << 64) - 1 for d in digests], np.uint64).view(np.int64),
                     "doc_id": [p[0] for p in places], "text_key": [p[1] for p in places], "line": [p[2] for p in places],
                     "again": [[{"doc_id": p[0], "text_key": p[1], "line": p[2]} for p in again.get(x, ())] for x in part],
-                    "bands": signer.keys(part), "text": part})
+                    "bands": bands, "text": part})
 
     place = "doc_id long, text_key long, line int"
     return docs.mapInPandas(sign, f"h1 long, h2 long, {place}, again array<struct<{place.replace(' ', ':').replace(',:', ',')}>>, bands array<long>, text string")
@@ -149,7 +171,7 @@ def signed_lines(docs: DataFrame, k: int, min_chars: int, chunk_words: int) -> D
 
 def shared_bands(lines: DataFrame, max_cells: int) -> DataFrame:
     """(id, band): the bands that stand in two rows of ``lines`` or more. The sketch leaves few others, which are then counted."""
-    cells = sketch_cells(max(1, lines.count() * BANDS), 8, max_cells)
+    cells = sketch_cells(max(1, lines.count() * 2 * BANDS), 8, max_cells)
 
     def use(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -209,16 +231,16 @@ def alike_pairs(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def test(left: pd.Series, right: pd.Series) -> pd.Series:
-        held: dict[str, set[str]] = {}
+        held: dict[str, tuple] = {}
 
-        def of(text: str) -> set[str]:
+        def of(text: str) -> tuple:
             if text not in held:
                 if len(held) > 200:
                     held.clear()
-                held[text] = shingle_set(text, k)
+                held[text] = shingle_sets(text, k)
             return held[text]
 
-        return pd.Series([alike(of(a), of(b)) for a, b in zip(left, right)], dtype=bool)
+        return pd.Series([either_alike(of(a), of(b)) for a, b in zip(left, right)], dtype=bool)
 
     both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
     return both.where(test("ta", "tb")).select("a", "b")
@@ -233,7 +255,7 @@ def compare_bands(rows: DataFrame, k: int, part_rows: int) -> DataFrame:
         (F.col("part") != F.col("with")).alias("across"), "id.h1", "id.h2", F.xxhash64("comp").alias("comp"), "part", "text")
     # Rows of a cell off the diagonal all have ``across``, as their own part meets another one there.
 
-    def links(cell: list[tuple], sets: dict[str, set[str]]) -> Iterator[tuple[int, int, int, int]]:
+    def links(cell: list[tuple], sets: dict[str, tuple]) -> Iterator[tuple[int, int, int, int]]:
         group: dict[int, int] = {}
 
         def top(c: int) -> int:
@@ -243,13 +265,13 @@ def compare_bands(rows: DataFrame, k: int, part_rows: int) -> DataFrame:
 
         for row in cell:
             if row[5] not in sets:
-                sets[row[5]] = shingle_set(row[5], k)
-        cell = sorted(cell, key=lambda row: len(sets[row[5]]))
+                sets[row[5]] = shingle_sets(row[5], k)
+        cell = sorted(cell, key=lambda row: len(sets[row[5]][0]))
         for n, (across, h1, h2, comp, part, text) in enumerate(cell):
             for _, g1, g2, other, side, more in cell[n + 1:]:
-                if PERCENT * len(sets[more]) > 100 * len(sets[text]):
+                if sets[text][1] is None and PERCENT * len(sets[more][0]) > 100 * len(sets[text][0]):
                     break
-                if not (across and part == side) and top(comp) != top(other) and alike(sets[text], sets[more]):
+                if not (across and part == side) and top(comp) != top(other) and either_alike(sets[text], sets[more]):
                     group[top(comp)] = top(other)
                     yield h1, h2, g1, g2
 

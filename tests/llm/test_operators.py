@@ -348,6 +348,16 @@ def test_fuzzy_lines_of_all_sizes_are_found(spark):
     assert all(found[2 * k] and not found[2 * k + 1] for k in range(10))
 
 
+def test_one_changed_sign_in_ordinary_lines_is_found(spark):
+    """Lines of 36 to 130 signs with one sign changed in the middle, also across the size where shingles change."""
+    data = []
+    for k, n in enumerate((36, 50, 64, 80, 88, 90, 100, 118, 119, 120, 130)):
+        line = sentence(700 + k, 30)[:n - 1] + "."
+        data += [(2 * k, line, None, None, None), (2 * k + 1, line[:n // 2] + "#" + line[n // 2 + 1:], None, None, None)]
+    found = dict(got(lines.remove_lines(frame(spark, data)), "doc_id", "text"))
+    assert all(found[2 * k] and not found[2 * k + 1] for k in range(11))
+
+
 def test_bands_with_several_components(spark):
     pairs = spark.createDataFrame([(1, (k, k), (k % 2, 0), sentence(400 + k % 2, 12) + f" {k}", 10) for k in range(6)],
                                   "band long, id struct<h1:long,h2:long>, comp struct<h1:long,h2:long>, text string, rows long")
