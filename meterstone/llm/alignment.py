@@ -37,8 +37,8 @@ from meterstone.llm.common import stored, table
 from meterstone.llm.packing import ChunkEncoder, default_vocabulary
 from meterstone.llm.piece_codec import CONTROL, UNKNOWN, PieceCodec, default_model, slices
 
-#: Signs of text in a chunk.
-CHUNK = 16 << 20
+#: Signs of text in a chunk, and what stands between the ids of A and B in a window's key.
+CHUNK, BETWEEN = 16 << 20, 0xFFFFFFFF
 
 
 class Tokens:
@@ -90,7 +90,7 @@ class Windows:
 
     def __init__(self, a_tokens: Tokens, b_tokens: Tokens) -> None:
         self.a_lengths, self.b_lengths = a_tokens.lengths.tolist(), b_tokens.lengths.tolist()
-        self.number: dict[tuple[bytes, bytes], int] = {}
+        self.number: dict[bytes, int] = {}
         self.pair_number: dict[int, int] = {}
         self.texts: list[str] = []
         self.n_groups, self.n_links = array("q"), array("q")
@@ -98,18 +98,21 @@ class Windows:
         self.starts, self.pairs, self.times = array("q", [0]), array("q"), array("q")
         self.docs = np.zeros(1 << 16, np.int64)
 
-    def add(self, key: tuple[bytes, bytes]) -> int:
-        a, b = (np.frombuffer(k, "<u4").tolist() for k in key)
-        found, links = groups_of(a, b, self.a_lengths, self.b_lengths), Counter()
+    def add(self, key: bytes) -> int:
+        ids = np.frombuffer(key, "<u4").tolist()
+        middle = ids.index(BETWEEN)
+        found, links = groups_of(ids[:middle], ids[middle + 1:], self.a_lengths, self.b_lengths), {}
         for x, y in found:
             if len(x) == len(y) == 1:
-                links[x[0] << 32 | y[0]] += 1
-            else:  # equal ids of a group are one pair, met as often as both numbers say
-                right = Counter(y).items()
-                for i, m in Counter(x).items():
-                    for j, n in right:
-                        links[i << 32 | j] += m * n
-        self.texts.append(";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in found))
+                pair = x[0] << 32 | y[0]
+                links[pair] = links.get(pair, 0) + 1
+                continue
+            right = Counter(y).items() if len(y) > 1 else ((y[0], 1),)
+            for i, m in Counter(x).items() if len(x) > 1 else ((x[0], 1),):
+                for j, n in right:  # equal ids of a group are one pair, met as often as both numbers say
+                    pair = i << 32 | j
+                    links[pair] = links.get(pair, 0) + m * n
+        self.texts.append(";".join([",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in found]))
         self.n_groups.append(len(found))
         self.n_links.append(sum(links.values()))
         for pair, n in links.items():
@@ -119,33 +122,36 @@ class Windows:
         self.number[key] = number = len(self.number)
         return number
 
-    def of(self, keys: list[tuple[bytes, bytes]]) -> np.ndarray:
+    def of(self, keys: list[bytes]) -> np.ndarray:
         """Numbers of windows; new ones are aligned. Their pairs count as linked in one more document."""
-        known = self.number
-        numbers = np.array([known[k] if k in known else self.add(k) for k in keys], np.int64)
-        places, _ = self.places(np.unique(numbers))
-        linked = np.unique(np.frombuffer(self.pairs, np.int64)[places])
+        numbers = list(map(self.number.get, keys))
+        for i, number in enumerate(numbers):
+            if number is None:  # the same window may have been new a few places before
+                numbers[i] = self.number[keys[i]] if keys[i] in self.number else self.add(keys[i])
+        numbers = np.array(numbers, np.int64)
+        linked = np.unique(np.frombuffer(self.pairs, np.int64)[self.places(np.unique(numbers))])
         if len(self.docs) < len(self.pair_number):
             self.docs = np.concatenate([self.docs, np.zeros(max(len(self.docs), len(self.pair_number)), np.int64)])
         self.docs[linked] += 1
         return numbers
 
-    def places(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the pairs of windows, and how many each has."""
+    def places(self, numbers: np.ndarray) -> np.ndarray:
+        """Places of the pairs of windows."""
         starts = np.frombuffer(self.starts, np.int64)
         first, sizes = starts[numbers], starts[numbers + 1] - starts[numbers]
-        return np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum()), sizes
+        return np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
 
 
-def window_keys(a: np.ndarray, b: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray, a_tokens: Tokens, b_tokens: Tokens) -> list[tuple[bytes, bytes]]:
-    """Both id tuples, as bytes, of each window of a text."""
+def window_keys(a: np.ndarray, b: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray, a_tokens: Tokens, b_tokens: Tokens) -> list[bytes]:
+    """Both id tuples of each window of a text, as bytes with a number between them that is no id."""
     a_cuts = a_ends[:-1][a_tokens.blank[a[1:]]]
     b_cuts = b_ends[:-1][b_tokens.blank[b[1:]]]
     anchors = np.intersect1d(a_cuts, b_cuts, assume_unique=True)
     a_at = [0, *(4 * np.searchsorted(a_ends, anchors) + 4).tolist(), 4 * len(a)]
     b_at = [0, *(4 * np.searchsorted(b_ends, anchors) + 4).tolist(), 4 * len(b)]
     a_raw, b_raw = a.astype("<u4").tobytes(), b.astype("<u4").tobytes()
-    return [(a_raw[i:j], b_raw[k:n]) for i, j, k, n in zip(a_at, a_at[1:], b_at, b_at[1:])]
+    middle = BETWEEN.to_bytes(4, "little")
+    return [a_raw[i:j] + middle + b_raw[k:n] for i, j, k, n in zip(a_at, a_at[1:], b_at, b_at[1:])]
 
 
 def packed_numbers(numbers: np.ndarray) -> bytes:

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from meterstone.llm.alignment import op13_alignment
 from meterstone.llm.decontamination import op6_decontamination
 from meterstone.llm.language import op7_language
 from meterstone.llm.lines import op5_lines
 from meterstone.llm.neighbours import op3_neighbours
 from meterstone.llm.ngram_join import op1_ngram_join
 from meterstone.llm.packing import op4_packing
+from meterstone.llm.piece_codec import op12_sentencepiece
 from meterstone.llm.pii import op9_pii
 from meterstone.llm.quality import op10_quality
 from meterstone.llm.sharding import op2_sharding
 from meterstone.llm.substrings import op8_substrings
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_sharding, op3_neighbours, op4_packing, op5_lines, op6_decontamination, op7_language, op8_substrings, op9_pii, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_sharding, op3_neighbours, op4_packing, op5_lines, op6_decontamination, op7_language, op8_substrings, op9_pii, op10_quality, op12_sentencepiece, op13_alignment)}
 
 ORACLES: dict[str, str] = {}
