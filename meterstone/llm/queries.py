@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from meterstone.llm.alignment import op13_alignment
 from meterstone.llm.decontamination import op6_decontamination
+from meterstone.llm.hard_negatives import op11_hard_negatives
 from meterstone.llm.language import op7_language
 from meterstone.llm.lines import op5_lines
 from meterstone.llm.neighbours import op3_neighbours
@@ -15,6 +16,6 @@ from meterstone.llm.quality import op10_quality
 from meterstone.llm.sharding import op2_sharding
 from meterstone.llm.substrings import op8_substrings
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_sharding, op3_neighbours, op4_packing, op5_lines, op6_decontamination, op7_language, op8_substrings, op9_pii, op10_quality, op12_sentencepiece, op13_alignment)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_sharding, op3_neighbours, op4_packing, op5_lines, op6_decontamination, op7_language, op8_substrings, op9_pii, op10_quality, op11_hard_negatives, op12_sentencepiece, op13_alignment)}
 
 ORACLES: dict[str, str] = {}
