@@ -6,8 +6,9 @@ passed over when their turn comes, and the pairs of the new symbol go on the age
 at the end becomes byte pieces, or the unknown piece where the vocabulary has no bytes.
 
 No piece of usual vocabularies holds a blank sign after another sign, so no pair across such a place ever joins: texts are
-cut there, and each task remembers the ids of the parts it has met. Vocabularies with such pieces are not cut. Time grows with the
-length of a text times its logarithm, so a text without blanks is no danger.
+cut there, and each task remembers the ids of the parts it has met. Vocabularies with such pieces are not cut. The agendas of short
+new parts are rows of arrays, worked off side by side: each round takes the best pair of every row. Longer parts have a
+heap each, so time grows with a part's length times its logarithm and a text without blanks is no danger.
 
 Each slice of a batch is also encoded and decoded by the library; column ``agrees`` says whether both gave the same.
 
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -33,6 +34,9 @@ from meterstone.llm.common import table
 BLANK = "▁"
 #: Parts of texts whose ids a task remembers (twice over), and signs of text handled at a time.
 REMEMBERED, SLICE = 200_000, 1 << 20
+#: Parts up to so many signs are merged side by side.
+SHORT = 24
+NO_PAIR = np.iinfo(np.int32).max
 #: Numbers of fields and kinds in a model file.
 PIECES, TRAINER, NORMALIZER = 1, 2, 3
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
@@ -90,6 +94,7 @@ class PieceCodec:
         places = {score: i for i, score in enumerate(sorted({p[2] for p in pieces}, reverse=True))}
         self.order = {n: places[p[2]] for n, p in zip(names, pieces) if p[3] == NORMAL and len(n) > 1}
         self.id_of = {n: i for i, (n, p) in enumerate(zip(names, pieces)) if p[3] == NORMAL}
+        self.names = names
         self.unknown = int(np.flatnonzero(self.kinds == UNKNOWN)[0])
         self.byte_ids = [int(i) for i in np.flatnonzero(self.kinds == BYTE)] if trainer.get(35) else []
         ids = {name: int(trainer.get(field, i)) for name, field, i in (("begin", 41, 1), ("end", 42, 2))}
@@ -101,6 +106,13 @@ class PieceCodec:
         self.plain_rules = not rules.get(2) and not self.squeeze and escape and not trainer.get(24)
         self.cuts = not any(BLANK in n.lstrip(BLANK) for n in self.order)
         self.model, self.library_, self.known, self.older = model, None, {}, {}
+        # The number of a symbol is its id, or that of its sign after all ids.
+        signs = {c: len(names) + ord(c) for n in self.id_of for c in n}
+        numbers, self.width = signs | self.id_of, len(names) + 0x110000
+        self.sign_number = np.arange(len(names), self.width)
+        self.sign_number[[ord(c) for c in signs]] = [numbers[c] for c in signs]
+        joined = sorted((numbers[n[:k]] * self.width + numbers[n[k:]], place, self.id_of[n]) for n, place in self.order.items() for k in range(1, len(n)) if n[:k] in numbers and n[k:] in numbers)
+        self.pair_keys, self.pair_places, self.pair_ids = (np.array(x, np.int64) for x in (zip(*joined) if joined else ([], [], [])))
 
     @property
     def library(self):
@@ -139,8 +151,12 @@ class PieceCodec:
             j = before[i]
             if j >= 0 and (place := order(symbols[j] + left)) is not None:
                 heappush(agenda, place << 32 | j)
+        return self.packed(filter(None, symbols))
+
+    def packed(self, symbols: Iterable[str]) -> bytes:
+        """Ids of symbols; a sign that is no piece becomes byte pieces, or the unknown piece once for a run of them."""
         ids, found = [], self.id_of
-        for symbol in filter(None, symbols):
+        for symbol in symbols:
             if symbol in found:
                 ids.append(found[symbol])
             elif self.byte_ids:
@@ -149,6 +165,11 @@ class PieceCodec:
                 ids.append(self.unknown)
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def with_bytes(self, numbers: bytes) -> bytes:
+        """Ids of symbols given by their numbers."""
+        first = len(self.names)
+        return self.packed(self.names[i] if i < first else chr(i - first) for i in np.frombuffer(numbers, "<u4").tolist())
+
     def split(self, text: str) -> list[str]:
         """Parts of a normalised text, cut before each blank sign that follows another sign."""
         if not self.cuts or not self.byte_ids:  # unknown pieces run on across blanks
@@ -162,19 +183,72 @@ class PieceCodec:
                 blanks = ""
         return [*parts, blanks] if blanks else parts
 
-    def ids(self, text: str) -> bytes:
-        """Ids of a text, without begin and end, as little-endian unsigned 32-bit numbers."""
-        parts, known, older = self.split(self.normalised(text)), self.known, self.older
-        for part in set(parts).difference(known):
-            known[part] = older.get(part) or self.merge(part)
-        out = b"".join(map(known.__getitem__, parts))
-        if len(known) > REMEMBERED:  # what is met again soon is taken over from the older half
-            self.known, self.older = {}, known
+    def places(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For pairs of symbols the place of their score, or ``NO_PAIR``, and the piece they join to."""
+        keys = left * self.width + right
+        at = np.minimum(np.searchsorted(self.pair_keys, keys), max(0, len(self.pair_keys) - 1))
+        found = self.pair_keys[at] == keys
+        return np.where(found, self.pair_places[at], NO_PAIR), self.pair_ids[at]
+
+    def merge_side_by_side(self, parts: list[str]) -> None:
+        """Remember the ids of parts of one length; each row is the agenda of a part."""
+        n = len(parts[0])
+        symbols = self.sign_number[np.frombuffer("".join(parts).encode("utf-32-le", "replace"), "<u4")].reshape(-1, n)
+        place, joined = self.places(symbols[:, :-1], symbols[:, 1:])
+        rows = np.arange(len(parts))
+        while len(rows):
+            best = place.argmin(axis=1) if n > 1 else np.zeros(len(rows), np.int64)
+            going = place[np.arange(len(rows)), best] < NO_PAIR if n > 1 else np.zeros(len(rows), bool)
+            raw, size = symbols[~going].astype("<u4").tobytes(), 4 * n
+            odd = (symbols[~going] >= len(self.parts)).any(axis=1).tolist()  # signs that are no pieces
+            for k, row in enumerate(rows[~going].tolist()):
+                ids = raw[k * size:k * size + size]
+                self.known[parts[row]] = self.with_bytes(ids) if odd[k] else ids
+            rows, symbols, place, joined, best = rows[going], symbols[going], place[going], joined[going], best[going]
+            if not len(rows):
+                return
+            each, n = np.arange(len(rows)), n - 1
+            symbols[each, best] = joined[each, best]
+            # The right symbol and one pair go; what stood after them moves up.
+            symbols = np.take_along_axis(symbols, np.arange(n) + (np.arange(n) > best[:, None]), axis=1)
+            order = np.arange(n - 1) + (np.arange(n - 1) >= best[:, None])
+            place, joined = np.take_along_axis(place, order, axis=1), np.take_along_axis(joined, order, axis=1)
+            for at, there in ((best - 1, best > 0), (best, best < n - 1)):
+                r, c = each[there], at[there]
+                place[r, c], joined[r, c] = self.places(symbols[r, c], symbols[r, c + 1])
+
+    def remember(self, missing: list[str]) -> None:
+        """Work out the ids of parts that are not known."""
+        older, known, short = self.older, self.known, {}
+        for part in missing:
+            if part in older:
+                known[part] = older[part]
+            elif len(part) <= SHORT:
+                short.setdefault(len(part), []).append(part)
+            else:
+                known[part] = self.merge(part)
+        for parts in short.values():
+            self.merge_side_by_side(parts)
+
+    def ids_of(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts, without begin and end, as little-endian unsigned 32-bit numbers."""
+        parts = [self.split(self.normalised(t)) for t in texts]
+        missing = set().union(*parts).difference(self.known)
+        self.remember(list(missing))
+        out = [b"".join(map(self.known.__getitem__, p)) for p in parts]
+        if len(self.known) > REMEMBERED:  # what is met again soon is taken over from the older half
+            self.known, self.older = {}, self.known
         return out
 
+    def ids(self, text: str) -> bytes:
+        return self.ids_of([text])[0]
+
     def encode(self, text: str) -> bytes:
         """Ids with begin and end ids."""
-        return np.array(self.begin, "<u4").tobytes() + self.ids(text) + np.array(self.end, "<u4").tobytes()
+        return self.framed(self.ids(text))
+
+    def framed(self, raw: bytes) -> bytes:
+        return np.array(self.begin, "<u4").tobytes() + raw + np.array(self.end, "<u4").tobytes()
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of any ids of the vocabulary. Runs of byte pieces that are no characters give one mark for each bad byte."""
@@ -238,7 +312,7 @@ def encode_decode(docs: DataFrame, model: str | None = None, with_ids: bool = Fa
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for start, stop in slices(texts):
                 mine = texts[start:stop]
-                raw = [codec.encode(t) for t in mine]
+                raw = list(map(codec.framed, codec.ids_of(mine)))
                 numbers = [np.frombuffer(r, "<u4") for r in raw]
                 decoded = [codec.decode(n) for n in numbers]
                 theirs = codec.library.encode(mine, add_bos=True, add_eos=True, num_threads=1)
