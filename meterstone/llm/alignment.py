@@ -21,8 +21,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from array import array
-from collections import Counter
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,11 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterstone.llm.common import stored, table
-from meterstone.llm.packing import ChunkEncoder, default_vocabulary
+from meterstone.llm.packing import ODD_BLANK, SAFE_BLANK, ChunkEncoder, default_vocabulary
 from meterstone.llm.piece_codec import CONTROL, UNKNOWN, PieceCodec, default_model, slices
 
 #: Signs of text in a chunk, and what stands between the ids of A and B in a window's key.
 CHUNK, BETWEEN = 16 << 20, 0xFFFFFFFF
+#: Chunks of text whose ids a task remembers (twice over), and chunks that may follow each other in one text.
+REMEMBERED = 200_000
+SAFE_ENDS = re.compile(r"[!-~](?:.*[!-~])?\Z", re.DOTALL)
 
 
 class Tokens:
@@ -49,12 +51,8 @@ class Tokens:
         self.lengths = np.array([len(p) for p in parts], np.int64)
         self.blank = np.array([p[:1] == b" " for p in parts])
 
-    def ends(self, ids: np.ndarray, raw: bytes) -> np.ndarray | None:
-        """The offset after each token, or nothing where the tokens do not give back ``raw``."""
-        ends = np.cumsum(self.lengths[ids])
-        if not len(ids) or ends[-1] != len(raw) or b"".join(map(self.parts.__getitem__, ids.tolist())) != raw:
-            return None
-        return ends
+    def joined(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.parts.__getitem__, ids.tolist()))
 
 
 def rank_tokens(vocabulary: str) -> Tokens:
@@ -69,77 +67,117 @@ def piece_tokens(codec: PieceCodec) -> Tokens:
     return Tokens([b"" if k in (CONTROL, UNKNOWN) else p for p, k in zip(codec.parts, codec.kinds)])
 
 
-def groups_of(a: list[int], b: list[int], a_lengths: np.ndarray, b_lengths: np.ndarray) -> list[tuple[list[int], list[int]]]:
-    """The groups of a window in order: one walk over both, cut wherever both have come to the same offset."""
-    out, i, j, first_a, first_b, at_a, at_b = [], 0, 0, 0, 0, 0, 0
-    while i < len(a) or j < len(b):
-        if at_a <= at_b:
-            at_a += a_lengths[a[i]]
-            i += 1
-        else:
-            at_b += b_lengths[b[j]]
-            j += 1
-        if at_a == at_b:
-            out.append((a[first_a:i], b[first_b:j]))
-            first_a, first_b = i, j
-    return out
+class RankEncoder(ChunkEncoder):
+    """Ids of many texts; the chunks not met before are encoded in one go and told apart by their bytes."""
+
+    def __init__(self, vocabulary: str, tokens: Tokens) -> None:
+        super().__init__(vocabulary)
+        self.lengths, self.older = tokens.lengths, {}
+
+    def ids_of(self, texts: list[str]) -> list[bytes]:
+        """Ids of a blank and each text."""
+        parts = [SAFE_BLANK.split(" " + t) if ODD_BLANK.search(" " + t) else (" " + t).split(" ") for t in texts]
+        missing = set().union(*(p[1:] for p in parts)).difference(self.known)
+        known, older = self.known, self.older
+        fresh = []
+        for chunk in missing:
+            if chunk in older:
+                known[chunk] = older[chunk]
+            elif SAFE_ENDS.match(chunk):  # put after another such chunk, its blank starts a new token
+                fresh.append(" " + chunk)
+            else:
+                known[chunk] = np.array(self.encode(" " + chunk), "<u4").tobytes()
+        if fresh:
+            ids = np.array(self.encode("".join(fresh)), "<u4")
+            ends = np.cumsum([len(c.encode("utf-8", "replace")) for c in fresh])
+            bounds = [0, *(4 * np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 4).tolist()]
+            raw = ids.tobytes()
+            for chunk, start, stop in zip(fresh, bounds, bounds[1:]):
+                known[chunk[1:]] = raw[start:stop]
+        out = [(np.array(self.encode(p[0]), "<u4").tobytes() if p[0] else b"") + b"".join(map(known.__getitem__, p[1:])) for p in parts]
+        if len(known) > REMEMBERED:
+            self.known, self.older = {}, known
+        return out
 
 
 class Windows:
     """The windows a chunk has met: their groups as text, their linked pairs of ids with how often, and in how many documents a pair is."""
 
     def __init__(self, a_tokens: Tokens, b_tokens: Tokens) -> None:
-        self.a_lengths, self.b_lengths = a_tokens.lengths.tolist(), b_tokens.lengths.tolist()
+        self.tokens = (a_tokens, b_tokens)
         self.number: dict[bytes, int] = {}
         self.pair_number: dict[int, int] = {}
         self.texts: list[str] = []
-        self.n_groups, self.n_links = array("q"), array("q")
+        self.n_groups, self.n_links = np.zeros(0, np.int64), np.zeros(0, np.int64)
         #: Pairs of window w: places starts[w] to starts[w + 1].
-        self.starts, self.pairs, self.times = array("q", [0]), array("q"), array("q")
-        self.docs = np.zeros(1 << 16, np.int64)
-
-    def add(self, key: bytes) -> int:
-        ids = np.frombuffer(key, "<u4").tolist()
-        middle = ids.index(BETWEEN)
-        found, links = groups_of(ids[:middle], ids[middle + 1:], self.a_lengths, self.b_lengths), {}
-        for x, y in found:
-            if len(x) == len(y) == 1:
-                pair = x[0] << 32 | y[0]
-                links[pair] = links.get(pair, 0) + 1
-                continue
-            right = Counter(y).items() if len(y) > 1 else ((y[0], 1),)
-            for i, m in Counter(x).items() if len(x) > 1 else ((x[0], 1),):
-                for j, n in right:  # equal ids of a group are one pair, met as often as both numbers say
-                    pair = i << 32 | j
-                    links[pair] = links.get(pair, 0) + m * n
-        self.texts.append(";".join([",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in found]))
-        self.n_groups.append(len(found))
-        self.n_links.append(sum(links.values()))
-        for pair, n in links.items():
-            self.pairs.append(self.pair_number.setdefault(pair, len(self.pair_number)))
-            self.times.append(n)
-        self.starts.append(len(self.pairs))
-        self.number[key] = number = len(self.number)
-        return number
+        self.starts, self.pairs, self.times = np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.docs = np.zeros(0, np.int64)
+        # A group's ids as text, each after a sign that tells what it follows.
+        self.shown = [[np.array([sign + str(i) for i in range(len(t.parts))], object) for sign in signs] for t, signs in ((a_tokens, (";", ",")), (b_tokens, ("|", ",")))]
+
+    def add(self, keys: list[bytes]) -> None:
+        """Align new windows, all in one go."""
+        if not keys:
+            return
+        a, b, a_window, b_window = sides(keys)
+        # Ends within all windows together: those of a window lie between its first and last, as both sides have equally many bytes there.
+        a_ends, b_ends = np.cumsum(self.tokens[0].lengths[a]), np.cumsum(self.tokens[1].lengths[b])
+        shared = np.intersect1d(a_ends, b_ends, assume_unique=True)
+        a_group, b_group = np.searchsorted(shared, a_ends), np.searchsorted(shared, b_ends)
+        n_a, n_b = np.bincount(a_group, minlength=len(shared)), np.bincount(b_group, minlength=len(shared))
+        group_window = a_window[np.cumsum(n_a) - 1]
+        # Each group's ids with how often they are in it, so a long group of equal ids stays small.
+        (ga, ia, ma), (gb, ib, mb) = counted(a_group, a), counted(b_group, b)
+        b_first, b_many = np.searchsorted(gb, np.arange(len(shared))), np.bincount(gb, minlength=len(shared))
+        left = np.repeat(np.arange(len(ga)), b_many[ga])
+        right = spread(b_first[ga], b_many[ga])
+        links = pd.DataFrame({"window": group_window[ga[left]], "pair": ia[left] << 32 | ib[right], "times": ma[left] * mb[right]})
+        links = links.groupby(["window", "pair"], sort=True, as_index=False)["times"].sum()
+        pairs, known = links["pair"].tolist(), self.pair_number
+        for pair in set(pairs).difference(known):
+            known[pair] = len(known)
+        self.pairs = np.concatenate([self.pairs, np.fromiter(map(known.__getitem__, pairs), np.int64, len(pairs))])
+        self.times = np.concatenate([self.times, links["times"].to_numpy()])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.bincount(links["window"], minlength=len(keys)))])
+        self.n_groups = np.concatenate([self.n_groups, np.bincount(group_window, minlength=len(keys))])
+        self.n_links = np.concatenate([self.n_links, np.bincount(group_window, n_a * n_b, len(keys)).astype(np.int64)])
+        self.docs = np.concatenate([self.docs, np.zeros(len(known) - len(self.docs), np.int64)])
+        # Tokens in the order of the groups, A before B.
+        order = np.argsort(np.concatenate([2 * a_group, 2 * b_group + 1]), kind="stable")
+        texts = np.concatenate([np.where(np.diff(a_group, prepend=-1) > 0, self.shown[0][0][a], self.shown[0][1][a]),
+                                np.where(np.diff(b_group, prepend=-1) > 0, self.shown[1][0][b], self.shown[1][1][b])])[order].tolist()
+        stops = np.cumsum([len(k) // 4 - 1 for k in keys]).tolist()
+        self.texts += ["".join(texts[i:j])[1:] for i, j in zip([0, *stops], stops)]
+        self.number.update(zip(keys, range(len(self.number), len(self.number) + len(keys))))
 
     def of(self, keys: list[bytes]) -> np.ndarray:
-        """Numbers of windows; new ones are aligned. Their pairs count as linked in one more document."""
-        numbers = list(map(self.number.get, keys))
-        for i, number in enumerate(numbers):
-            if number is None:  # the same window may have been new a few places before
-                numbers[i] = self.number[keys[i]] if keys[i] in self.number else self.add(keys[i])
-        numbers = np.array(numbers, np.int64)
-        linked = np.unique(np.frombuffer(self.pairs, np.int64)[self.places(np.unique(numbers))])
-        if len(self.docs) < len(self.pair_number):
-            self.docs = np.concatenate([self.docs, np.zeros(max(len(self.docs), len(self.pair_number)), np.int64)])
-        self.docs[linked] += 1
+        """Numbers of a document's windows, all known. Its pairs count as linked in one more document."""
+        numbers = np.fromiter(map(self.number.__getitem__, keys), np.int64, len(keys))
+        different = np.unique(numbers)
+        self.docs[np.unique(self.pairs[spread(self.starts[different], self.starts[different + 1] - self.starts[different])])] += 1
         return numbers
 
-    def places(self, numbers: np.ndarray) -> np.ndarray:
-        """Places of the pairs of windows."""
-        starts = np.frombuffer(self.starts, np.int64)
-        first, sizes = starts[numbers], starts[numbers + 1] - starts[numbers]
-        return np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+
+def sides(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of A and of B in all windows together, and which window each belongs to."""
+    ids = np.frombuffer(b"".join(keys), "<u4").astype(np.int64)
+    window = np.repeat(np.arange(len(keys)), [len(k) // 4 for k in keys])
+    middles = np.flatnonzero(ids == BETWEEN)
+    of_a, of_b = np.arange(len(ids)) < middles[window], np.arange(len(ids)) > middles[window]
+    return ids[of_a], ids[of_b], window[of_a], window[of_b]
+
+
+def counted(groups: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different (group, id) in order, and how often each occurs."""
+    order = np.lexsort((ids, groups))
+    groups, ids = groups[order], ids[order]
+    first = np.flatnonzero(np.concatenate([[True], (groups[1:] != groups[:-1]) | (ids[1:] != ids[:-1])]))
+    return groups[first], ids[first], np.diff(first, append=len(ids))
+
+
+def spread(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """``first``, ``first`` + 1, ... of each run, ``sizes`` numbers each."""
+    return np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
 
 
 def window_keys(a: np.ndarray, b: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray, a_tokens: Tokens, b_tokens: Tokens) -> list[bytes]:
@@ -154,6 +192,30 @@ def window_keys(a: np.ndarray, b: np.ndarray, a_ends: np.ndarray, b_ends: np.nda
     return [a_raw[i:j] + middle + b_raw[k:n] for i, j, k, n in zip(a_at, a_at[1:], b_at, b_at[1:])]
 
 
+def keys_of(texts: list[str], ids: list[tuple[np.ndarray, np.ndarray]], a_tokens: Tokens, b_tokens: Tokens, known: dict[bytes, int]) -> list[list[bytes]]:
+    """Window keys of texts; none for a text that is empty or that its tokens do not give back.
+
+    The tokens of A are checked on the whole texts, those of B against A in each window that is new.
+    """
+    keys = []
+    for text, (a, b) in zip(texts, ids):
+        raw = (" " + text).encode("utf-8", "replace")
+        a_ends, b_ends = np.cumsum(a_tokens.lengths[a]), np.cumsum(b_tokens.lengths[b])
+        fits = text and len(a) and len(b) and a_ends[-1] == b_ends[-1] == len(raw) and a_tokens.joined(a) == raw
+        keys.append(window_keys(a, b, a_ends, b_ends, a_tokens, b_tokens) if fits else [])
+    fresh = list(set().union(*keys).difference(known))
+    if not fresh or same_bytes(fresh, a_tokens, b_tokens):
+        return keys
+    wrong = {k for k in fresh if not same_bytes([k], a_tokens, b_tokens)}
+    return [[] if not wrong.isdisjoint(k) else k for k in keys]
+
+
+def same_bytes(keys: list[bytes], a_tokens: Tokens, b_tokens: Tokens) -> bool:
+    """Whether both sides of the windows, each as long as the other, stand for the same bytes."""
+    a, b, _, _ = sides(keys)
+    return a_tokens.joined(a) == b_tokens.joined(b)
+
+
 def packed_numbers(numbers: np.ndarray) -> bytes:
     """Numbers in any order, sorted and compressed by their differences."""
     return zstandard.ZstdCompressor(level=1).compress(np.diff(np.sort(numbers), prepend=0).astype("<u4").tobytes())
@@ -170,8 +232,8 @@ def aligned_chunks(docs: DataFrame, vocabulary: str, model: str, chunk_signs: in
               "pair long, docs long, pairs_of binary")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, codec = ChunkEncoder(vocabulary), PieceCodec(model)
-        a_tokens, b_tokens = rank_tokens(vocabulary), piece_tokens(codec)
+        a_tokens, codec = rank_tokens(vocabulary), PieceCodec(model, agenda=False)
+        encoder, b_tokens = RankEncoder(vocabulary, a_tokens), piece_tokens(codec)
         chunk, windows, signs, key = TaskContext.get().partitionId() << 32, Windows(a_tokens, b_tokens), 0, None
         names = ["chunk", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "windows", "pair", "docs", "pairs_of"]
         kinds = [pa.int64(), None, *[pa.int64()] * 4, pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
@@ -184,26 +246,26 @@ def aligned_chunks(docs: DataFrame, vocabulary: str, model: str, chunk_signs: in
             pairs = np.fromiter(windows.pair_number, np.int64, len(windows.pair_number))
             for start in range(0, len(pairs), 100_000):
                 part = slice(start, start + 100_000)
-                yield rows(len(pairs[part]), pair=pa.array(pairs[part]), docs=pa.array(windows.docs[:len(pairs)][part]))
-            sizes = np.diff(np.frombuffer(windows.starts, np.int64))
-            parts = [np.array([len(pairs), len(sizes)], "<u4").tobytes(), pairs.tobytes(), *(np.frombuffer(x, np.int64).astype("<u4").tobytes() for x in (sizes.tobytes(), windows.pairs, windows.times))]
+                yield rows(len(pairs[part]), pair=pa.array(pairs[part]), docs=pa.array(windows.docs[part]))
+            sizes = np.diff(windows.starts)
+            parts = [np.array([len(pairs), len(sizes)], "<u4").tobytes(), pairs.tobytes(), *(x.astype("<u4").tobytes() for x in (sizes, windows.pairs, windows.times))]
             yield rows(1, pairs_of=pa.array([zstandard.ZstdCompressor(level=1).compress(b"".join(parts))], pa.binary()))
 
         for batch in batches:
             key = batch.schema.field(0).type
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for start, stop in slices(texts):
-                out = []
-                for text, b in zip(texts[start:stop], codec.library.encode(texts[start:stop], num_threads=1)):
-                    raw = (" " + text).encode("utf-8", "replace")
-                    a, b = np.frombuffer(encoder.ids(" " + text), "<u4"), np.array(b, np.int64)
-                    a_ends, b_ends = (a_tokens.ends(a, raw), b_tokens.ends(b, raw)) if text else (None, None)
-                    if a_ends is None or b_ends is None:
+                mine, out = texts[start:stop], []
+                ids = [(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")) for x, y in zip(encoder.ids_of(mine), codec.ids_of(mine))]
+                keys = keys_of(mine, ids, a_tokens, b_tokens, windows.number)
+                windows.add(list(set().union(*keys).difference(windows.number)))
+                for (a, b), held in zip(ids, keys):
+                    if not held:
                         out.append((0, 0, 0, 0, "", packed_numbers(np.zeros(0, np.int64))))
                         continue
-                    numbers = windows.of(window_keys(a, b, a_ends, b_ends, a_tokens, b_tokens))
+                    numbers = windows.of(held)
                     sha = hashlib.sha256(";".join(map(windows.texts.__getitem__, numbers.tolist())).encode()).hexdigest()
-                    out.append((len(a), len(b), int(np.frombuffer(windows.n_groups, np.int64)[numbers].sum()), int(np.frombuffer(windows.n_links, np.int64)[numbers].sum()), sha, packed_numbers(numbers)))
+                    out.append((len(a), len(b), int(windows.n_groups[numbers].sum()), int(windows.n_links[numbers].sum()), sha, packed_numbers(numbers)))
                 yield rows(len(out), doc_id=batch.column(0).slice(start, stop - start), **{c: pa.array(x, k) for c, k, x in zip(names[2:8], kinds[2:8], zip(*out))})
                 signs += sum(map(len, texts[start:stop]))
                 if signs >= chunk_signs:

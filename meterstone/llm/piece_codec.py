@@ -10,7 +10,8 @@ cut there, and each task remembers the ids of the parts it has met. Vocabularies
 new parts are rows of arrays, worked off side by side: each round takes the best pair of every row. Longer parts have a
 heap each, so time grows with a part's length times its logarithm and a text without blanks is no danger.
 
-Each slice of a batch is also encoded and decoded by the library; column ``agrees`` says whether both gave the same.
+The library checks the work within each batch: it encodes every part that is new to the task, and decodes the ids of every text. Column
+``agrees`` says whether it gave the same for all parts of a text and for the decoded text.
 
 A null text counts as empty: begin and end ids alone, decoded to an empty text. Repeated rows and null ids are kept as they
 are, row by row. Other columns are not passed on, so their names cannot clash. An empty table gives no rows.
@@ -33,7 +34,7 @@ from meterstone.llm.common import table
 #: The sign that stands for a blank in pieces.
 BLANK = "▁"
 #: Parts of texts whose ids a task remembers (twice over), and signs of text handled at a time.
-REMEMBERED, SLICE = 200_000, 1 << 20
+REMEMBERED, SLICE = 300_000, 1 << 22
 #: Parts up to so many signs are merged side by side.
 SHORT = 24
 NO_PAIR = np.iinfo(np.int32).max
@@ -79,7 +80,9 @@ def fields(raw: bytes) -> Iterator[tuple[int, int | float | bytes]]:
 class PieceCodec:
     """Ids of texts and texts of ids, as the library gives them for a model file of merge type."""
 
-    def __init__(self, model: str) -> None:
+    def __init__(self, model: str, check: bool = False, agenda: bool = True) -> None:
+        """``check`` compares all new parts with the library; without ``agenda`` the library itself encodes them."""
+        self.check, self.agenda, self.wrong = check, agenda, set()
         with open(model, "rb") as file:
             message = list(fields(file.read()))
         trainer = dict(fields(next((v for k, v in message if k == TRAINER), b"")))
@@ -106,13 +109,14 @@ class PieceCodec:
         self.plain_rules = not rules.get(2) and not self.squeeze and escape and not trainer.get(24)
         self.cuts = not any(BLANK in n.lstrip(BLANK) for n in self.order)
         self.model, self.library_, self.known, self.older = model, None, {}, {}
+        self.words = {}  # ids of words that follow one blank; a second way to the parts in ``known``
         # The number of a symbol is its id, or that of its sign after all ids.
         signs = {c: len(names) + ord(c) for n in self.id_of for c in n}
         numbers, self.width = signs | self.id_of, len(names) + 0x110000
-        self.sign_number = np.arange(len(names), self.width)
+        self.sign_number = np.arange(len(names), self.width, dtype=np.int32)
         self.sign_number[[ord(c) for c in signs]] = [numbers[c] for c in signs]
         joined = sorted((numbers[n[:k]] * self.width + numbers[n[k:]], place, self.id_of[n]) for n, place in self.order.items() for k in range(1, len(n)) if n[:k] in numbers and n[k:] in numbers)
-        self.pair_keys, self.pair_places, self.pair_ids = (np.array(x, np.int64) for x in (zip(*joined) if joined else ([], [], [])))
+        self.pair_keys, self.pair_places, self.pair_ids = (np.array(x, kind) for x, kind in zip(zip(*joined) if joined else ([], [], []), (np.int64, np.int32, np.int32)))
 
     @property
     def library(self):
@@ -185,7 +189,7 @@ class PieceCodec:
 
     def places(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For pairs of symbols the place of their score, or ``NO_PAIR``, and the piece they join to."""
-        keys = left * self.width + right
+        keys = left.astype(np.int64) * self.width + right
         at = np.minimum(np.searchsorted(self.pair_keys, keys), max(0, len(self.pair_keys) - 1))
         found = self.pair_keys[at] == keys
         return np.where(found, self.pair_places[at], NO_PAIR), self.pair_ids[at]
@@ -217,28 +221,54 @@ class PieceCodec:
                 r, c = each[there], at[there]
                 place[r, c], joined[r, c] = self.places(symbols[r, c], symbols[r, c + 1])
 
-    def remember(self, missing: list[str]) -> None:
+    def remember(self, missing: Iterable[str]) -> None:
         """Work out the ids of parts that are not known."""
         older, known, short = self.older, self.known, {}
+        fresh = []
         for part in missing:
             if part in older:
                 known[part] = older[part]
-            elif len(part) <= SHORT:
+            elif part == BLANK:  # to the library it would be an empty text
+                known[part] = self.merge(part)
+            else:
+                fresh.append(part)
+        # The library puts a prefix of its own before a text.
+        own = self.cuts and self.plain_rules and self.prefix
+        theirs = self.library.encode([p[1:] for p in fresh], num_threads=1) if own and (self.check or not self.agenda) else []
+        if not self.agenda and own:
+            known.update((part, struct.pack(f"<{len(ids)}I", *ids)) for part, ids in zip(fresh, theirs))
+            return
+        for part in fresh:
+            if len(part) <= SHORT:
                 short.setdefault(len(part), []).append(part)
             else:
                 known[part] = self.merge(part)
         for parts in short.values():
             self.merge_side_by_side(parts)
+        self.wrong.update(part for part, ids in zip(fresh, theirs) if known[part] != struct.pack(f"<{len(ids)}I", *ids))
+
+    def usual(self, text: str) -> bool:
+        """Whether every word follows one blank, the first one that of the prefix."""
+        return self.cuts and self.prefix and self.plain_rules and bool(self.byte_ids) and bool(text) and "  " not in text and BLANK not in text and text[0] != " " != text[-1]
 
     def ids_of(self, texts: list[str]) -> list[bytes]:
         """Ids of texts, without begin and end, as little-endian unsigned 32-bit numbers."""
-        parts = [self.split(self.normalised(t)) for t in texts]
-        missing = set().union(*parts).difference(self.known)
-        self.remember(list(missing))
-        out = [b"".join(map(self.known.__getitem__, p)) for p in parts]
+        return [raw for raw, _ in self.checked(texts)]
+
+    def checked(self, texts: list[str]) -> list[tuple[bytes, bool]]:
+        """Ids of texts, and whether the library gives the same ids for all parts of the text."""
+        usual = [self.usual(t) for t in texts]
+        words = [t.split(" ") if u else [] for t, u in zip(texts, usual)]
+        odd = [[] if u else self.split(self.normalised(t)) for t, u in zip(texts, usual)]
+        fresh = set().union(*words).difference(self.words)
+        parts = dict.fromkeys(BLANK + w for w in fresh)  # in the order of ``fresh``
+        self.remember(set().union(parts, *odd).difference(self.known))
+        self.words.update(zip(fresh, map(self.known.__getitem__, parts)))
+        out = [b"".join(map(self.words.__getitem__, w)) if u else b"".join(map(self.known.__getitem__, p)) for w, p, u in zip(words, odd, usual)]
+        right = [not self.wrong or self.wrong.isdisjoint([BLANK + x for x in w] if u else p) for w, p, u in zip(words, odd, usual)]
         if len(self.known) > REMEMBERED:  # what is met again soon is taken over from the older half
-            self.known, self.older = {}, self.known
-        return out
+            self.known, self.older, self.words = {}, self.known, {}
+        return list(zip(out, right))
 
     def ids(self, text: str) -> bytes:
         return self.ids_of([text])[0]
@@ -307,16 +337,18 @@ def encode_decode(docs: DataFrame, model: str | None = None, with_ids: bool = Fa
     key = docs.schema["doc_id"].dataType.simpleString()
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = PieceCodec(model)
+        codec = PieceCodec(model, check=True)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for start, stop in slices(texts):
-                mine = texts[start:stop]
-                raw = list(map(codec.framed, codec.ids_of(mine)))
+                found = codec.checked(texts[start:stop])
+                raw = [codec.framed(r) for r, _ in found]
                 numbers = [np.frombuffer(r, "<u4") for r in raw]
                 decoded = [codec.decode(n) for n in numbers]
-                theirs = codec.library.encode(mine, add_bos=True, add_eos=True, num_threads=1)
-                agrees = [n.tolist() == t and codec.library.decode(t) == d for n, t, d in zip(numbers, theirs, decoded)]
+                # Vocabularies that are not cut are compared text by text.
+                whole = [True] * len(raw) if codec.cuts and codec.plain_rules and codec.prefix else [
+                    n.tolist() == codec.library.encode(t, add_bos=True, add_eos=True) for n, t in zip(numbers, texts[start:stop])]
+                agrees = [right and same and codec.library.decode(n.tolist()) == d for (_, right), same, n, d in zip(found, whole, numbers, decoded)]
                 sha = [[hashlib.sha256(x).hexdigest() for x in xs] for xs in (raw, [d.encode() for d in decoded])]
                 columns = [batch.column(0).slice(start, stop - start), pa.array([len(n) for n in numbers], pa.int64()), *map(pa.array, (sha[0], sha[1], agrees))]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "agrees"]

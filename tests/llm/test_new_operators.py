@@ -132,6 +132,17 @@ def test_any_ids_are_decoded_as_by_the_library(codec):
         assert codec.decode(np.array(ids, np.int64)) == codec.library.decode(ids), ids
 
 
+def test_wrong_parts_are_told():
+    checked = piece_codec.PieceCodec(piece_codec.default_model(), check=True)
+    checked.merge_side_by_side = lambda parts: checked.known.update((p, b"") for p in parts)
+    assert [right for _, right in checked.checked(["abc def", "", " "])] == [False, True, True]
+
+
+def test_the_library_can_encode_the_parts(codec):
+    texts = odd_texts(300)
+    assert piece_codec.PieceCodec(piece_codec.default_model(), agenda=False).ids_of(texts) == [codec.ids(t) for t in texts]
+
+
 def test_without_cuts_and_with_a_small_memory_ids_stay(codec, monkeypatch):
     texts = odd_texts(300)
     want = [codec.ids(t) for t in texts]
@@ -223,10 +234,21 @@ def test_alignment_of_tables_without_texts(spark):
 
 
 def test_groups_of_a_window_end_where_both_end():
-    lengths = [0, 1, 2, 3]
-    assert alignment.groups_of([2, 1, 3], [1, 1, 1, 1, 2], lengths, lengths) == [([2], [1, 1]), ([1], [1]), ([3], [1, 2])]
-    assert alignment.groups_of([2, 1], [1, 2], lengths, lengths) == [([2, 1], [1, 2])]
-    assert alignment.groups_of([], [], lengths, lengths) == []
+    tokens = alignment.Tokens([b"", b"a", b"aa", b"aaa"])
+    windows, key = alignment.Windows(tokens, tokens), lambda a, b: np.array([*a, alignment.BETWEEN, *b], "<u4").tobytes()
+    windows.add([key([2, 1, 3], [1, 1, 1, 1, 2]), key([2, 1], [1, 2]), key([1], [1])])
+    assert windows.texts == ["2|1,1;1|1;3|1,2", "2,1|1,2", "1|1"] and windows.n_groups.tolist() == [3, 1, 1] and windows.n_links.tolist() == [5, 4, 1]
+    windows.add([])
+    windows.add([key([1, 1], [2])])
+    assert windows.of([key([1, 1], [2]), key([1], [1])]).tolist() == [3, 2] and windows.docs.sum() == 2
+    # The pair of ids (1, 2) is linked twice in its window.
+    assert windows.times[windows.starts[3]:].tolist() == [2]
+
+
+def test_windows_whose_sides_differ_are_found():
+    tokens, other = alignment.Tokens([b" a", b"b"]), alignment.Tokens([b" a", b"c"])
+    ids = [(np.array([0, 1], "<u4"), np.array([0, 1], "<u4")), (np.array([0], "<u4"), np.array([0], "<u4"))]
+    assert [len(k) for k in alignment.keys_of(["ab", "a"], ids, tokens, other, {})] == [0, 1]
 
 
 def test_numbers_survive_packing():
