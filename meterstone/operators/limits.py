@@ -133,6 +133,13 @@ def enforced_access(access: DataFrame, spend: DataFrame, as_of: Instant) -> Data
     }).select(*ACCESS_COLUMNS)
 
 
+def revoked_access(access: DataFrame, users: DataFrame, as_of: Instant | Column) -> DataFrame:
+    """Access rows of ``users`` (user_name) that are still active, as they are once revoked."""
+    stamp = as_of if isinstance(as_of, Column) else instant(as_of)
+    hit = access.where("is_active").join(users, "user_name", "left_semi")
+    return hit.withColumns({"is_active": F.lit(False), "revoked_at": stamp, "revocation_reason": F.lit(LIMIT_REASON)}).select(*ACCESS_COLUMNS)
+
+
 def access_control_status(access: DataFrame) -> DataFrame:
     return access.select(*ACCESS_COLUMNS).orderBy("user_name")
 

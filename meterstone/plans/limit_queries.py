@@ -238,9 +238,12 @@ def budget_thresholds(v):
     return m.budget_thresholds(m.tag_spend(v.agent_usage, v.agent_tags), v.tag_budgets)
 
 
-@query("R08", f"""WITH used AS (SELECT s.tag_value, s.month, s.credits / b.monthly_limit AS part FROM ({TAG_SPEND}) s JOIN tag_budgets b ON s.tag_value = b.tag_value)
+BUDGET_ACTIONS = f"""WITH used AS (SELECT s.tag_value, s.month, s.credits / b.monthly_limit AS part FROM ({TAG_SPEND}) s JOIN tag_budgets b ON s.tag_value = b.tag_value)
 SELECT tag_value, month, 'NOTIFY' AS action FROM used WHERE part >= 0.8 UNION ALL SELECT tag_value, month, 'REVOKE' FROM used WHERE part >= 1
-UNION ALL SELECT tag_value, CAST(month + INTERVAL 1 MONTH AS DATE), 'REINSTATE' FROM used WHERE part >= 1""")
+UNION ALL SELECT tag_value, CAST(month + INTERVAL 1 MONTH AS DATE), 'REINSTATE' FROM used WHERE part >= 1"""
+
+
+@query("R08", BUDGET_ACTIONS)
 def budget_actions(v):
     """Notify and revoke are separate actions; access comes back when the next month starts."""
     return m.budget_actions(m.tag_spend(v.agent_usage, v.agent_tags), v.tag_budgets)

@@ -59,9 +59,9 @@ class Views:
             .select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("name"))
         )
 
-    def _service(self, event_type: str) -> DataFrame:
+    def _service(self, event_type: str, events: DataFrame | None = None) -> DataFrame:
         hour = F.date_trunc("hour", "ts")
-        return self.events.where(F.col("event_type") == event_type).select(
+        return (self.events if events is None else events).where(F.col("event_type") == event_type).select(
             "*",
             hour.alias("start_time"),
             F.to_date("ts").alias("usage_date"),
@@ -106,7 +106,10 @@ class Views:
 
     @cached_property
     def agent_usage(self) -> DataFrame:
-        return self._service("signup").select("start_time", "usage_date", "end_time", "user_name", *self._agent_columns())
+        return self.agent_usage_of(self.events)
+
+    def agent_usage_of(self, events: DataFrame) -> DataFrame:
+        return self._service("signup", events).select("start_time", "usage_date", "end_time", "user_name", *self._agent_columns())
 
     def _code(self, surface: int) -> DataFrame:
         return self.events.where((F.col("event_type") == "error") & (F.col("event_id") % 2 == surface)).select(

@@ -8,14 +8,16 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from meterstone.fixed_values import DEFAULT_NOTIFY_PERCENT, DEFAULT_REVOKE_PERCENT, SPEND_ALERT_NAME
 from meterstone.operators import detect, limits
 from meterstone.operators.governance import is_paid
-from meterstone.operators.limits import ACCESS_COLUMNS
-from meterstone.streaming.tables import StateTable, run_batches, write_batch
+from meterstone.sources import buckets
+from meterstone.streaming import keyed
+from meterstone.streaming.tables import run_batches
 
 
 def hourly_usage(usage: DataFrame, ts: str = "ts", late: str = "2 hours") -> DataFrame:
@@ -29,45 +31,54 @@ def hourly_usage(usage: DataFrame, ts: str = "ts", late: str = "2 hours") -> Dat
     )
 
 
-def spend_alerts(
-    usage: DataFrame, folder: str, alert_state: StateTable, threshold: Decimal, sent_at: Column | None = None, every: str | None = None
-) -> StreamingQuery:
-    """One alert per month whose spend goes above the threshold.
-
-    The running totals are one row per month. A repeated batch finds its alert in the state and adds none.
-    """
+def spend_alerts(usage: DataFrame, threshold: Decimal, sent_at: Column | None = None, late: str = "2 hours") -> DataFrame:
+    """One alert row per month whose spend goes above the threshold, for the table of alerts sent."""
+    hours = keyed.hourly_spend(usage.withWatermark("start_time", late), F.lit(SPEND_ALERT_NAME)).withColumn("credit_limit", F.lit(threshold).cast("decimal(38,6)"))
     stamp = F.current_timestamp() if sent_at is None else sent_at
+    return keyed.spend_watch(hours, [("ALERT", 100)]).select(
+        F.col("subject").alias("alert_name"), F.col("month").alias("alert_month"), stamp.alias("sent_at"), F.col("credits").alias("credits_at_alert"))
 
-    def step(totals: DataFrame, batch_id: int) -> None:
-        sent = alert_state.before(batch_id)
-        new = limits.new_alerts(totals, sent, threshold, stamp)
-        alert_state.replace(batch_id, sent.unionByName(new))
 
-    return run_batches(limits.month_totals(usage), folder, step, mode="update", every=every)
+def limit_actions(usage: DataFrame, access: DataFrame, at: Column | None = None, late: str = "2 hours") -> DataFrame:
+    """One REVOKED row per active user whose spend of the month of the check passes their limit.
 
+    Usage of other months, and usage later than the check, does not count, whenever it arrives. Each month starts anew.
+    """
+    stamp = F.current_timestamp() if at is None else at
+    counted = usage.withWatermark("start_time", late).where(F.col("start_time").between(F.date_trunc("month", stamp), stamp))
+    hours = keyed.hourly_spend(counted, F.col("user_id"))
+    active = access.where("is_active").select("user_id", "user_name", F.col("monthly_credit_limit").cast("decimal(38,6)").alias("credit_limit"))
+    named = active.withColumnRenamed("user_id", "subject")
+    found = keyed.spend_watch(hours.join(named.select("subject", "credit_limit"), "subject"), [("REVOKED", 100)])
+    return found.drop("credit_limit").join(named, "subject").select("user_name", F.col("credits").alias("credits_used"), "credit_limit", "action")
 
-def enforce_limits(
-    usage: DataFrame, folder: str, access: StateTable, at: Column | None = None, every: str | None = None
-) -> StreamingQuery:
-    """Revokes access of users whose spend of the month of the check passes their limit.
 
-    Usage of other months, and usage later than the check, does not count, whenever it arrives. The state is one row per
-    user with usage in the current month and starts anew with each month. Action rows go to ``folder/actions``.
+def apply_actions(spark: SparkSession, folder: str, table: str, at: Column | None = None, every: str | None = None) -> StreamingQuery:
+    """Takes access away from the users of the actions written to ``folder/rows``, in the bucketed table of access rights.
+
+    The stream follows the written actions, so each counts once. Only the buckets of these users are written, and a batch
+    that is repeated finds nothing left to change.
     """
     stamp = F.current_timestamp() if at is None else at
-    month = F.to_date(F.date_trunc("month", stamp))
-    spent = StateTable(f"{folder}/spend", usage.sparkSession.createDataFrame([], "user_id bigint, month date, total_credits decimal(38,6)"))
 
-    def step(batch: DataFrame, batch_id: int) -> None:
-        added = batch.where(F.col("start_time").between(F.date_trunc("month", stamp), stamp)).groupBy("user_id").agg(F.sum("credits").alias("total_credits"))
-        held = spent.before(batch_id).where(F.col("month") == month).select("user_id", "total_credits")
-        totals = held.unionByName(added).groupBy("user_id").agg(F.sum("total_credits").cast("decimal(38,6)").alias("total_credits"))
-        spent.replace(batch_id, totals.withColumn("month", month))
-        current, now = access.before(batch_id), spent.after(batch_id).select("user_id", "total_credits")
-        write_batch(limits.limit_enforcement(current, now), f"{folder}/actions", batch_id)
-        access.replace(batch_id, limits.enforced_access(current, now, stamp).select(*ACCESS_COLUMNS))
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        buckets.update_rows(table, batch.select("user_name").distinct(), limits.revoked_access, stamp)
+
+    schema = spark.read.parquet(f"{folder}/rows").schema
+    return run_batches(spark.readStream.schema(schema).parquet(f"{folder}/rows"), f"{folder}/applied", apply, every=every)
+
 
-    return run_batches(usage, folder, step, every=every)
+def budget_actions(usage: DataFrame, tags: DataFrame, budgets: DataFrame, notify_percent: int = DEFAULT_NOTIFY_PERCENT,
+                   revoke_percent: int = DEFAULT_REVOKE_PERCENT, late: str = "2 hours") -> DataFrame:
+    """NOTIFY and REVOKE when a tag's spend of a month reaches its percentages, and REINSTATE when the next month starts.
+
+    A timer gives out REINSTATE, so it comes without any usage in the new month.
+    """
+    tagged = usage.select("agent_name", "start_time", F.col("token_credits").alias("credits")).withWatermark("start_time", late)
+    hours = keyed.hourly_spend(tagged.join(tags, "agent_name"), F.col("tag_value"))
+    limited = hours.join(budgets.select(F.col("tag_value").alias("subject"), F.col("monthly_limit").cast("decimal(38,6)").alias("credit_limit")), "subject")
+    found = keyed.spend_watch(limited, [("NOTIFY", notify_percent), ("REVOKE", revoke_percent)], strict=False, at_end="REINSTATE")
+    return found.select(F.col("subject").alias("tag_value"), "month", "action")
 
 
 def runaway_work(usage: DataFrame, users: DataFrame, threshold: Decimal, at: Column | None = None, hours: int = 48) -> DataFrame:
@@ -97,45 +108,22 @@ def active_scanners(findings: DataFrame, window: str = "1 day", late: str = "1 h
     ).select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "scanners")
 
 
-def with_open_windows(closed: DataFrame, build, rows: DataFrame, ts: str, end: str) -> DataFrame:
-    """The windows a stream has given out, and those it still holds open, worked out from the rows of the table.
+def unusual_ip_logins(logins: DataFrame, known: DataFrame | None = None, forget_days: int = 400) -> DataFrame:
+    """First login of each user from an address that is neither in the known table (user_id, client_ip, last_seen) nor seen since.
 
-    ``build`` is the function the stream was made with. A stream gives out all windows that end before its watermark, so
-    the open ones hold exactly the rows from the end of the last one given out; only these are read.
+    The state is keyed by user and address, so one busy user is spread over all tasks. A pair not seen for ``forget_days`` is forgotten.
     """
-    last = closed.agg(F.max(end)).first()[0]
-    return closed.unionByName(build(rows if last is None else rows.where(F.col(ts) >= F.lit(last))))
+    good = logins.where("is_success").select("user_id", "client_ip", "ts")
+    return keyed.last_seen(good, ["user_id", "client_ip"], "ts", None, forget_days, known).select("user_id", "client_ip", F.col("seen_at").alias("login_at"))
 
 
-def unusual_ip_logins(logins: DataFrame, known: DataFrame) -> DataFrame:
-    """First login of each user from an address that is neither in the known table nor seen by the stream.
+def dormant_logins(logins: DataFrame, days: int = 90, known: DataFrame | None = None, forget_days: int = 1100) -> DataFrame:
+    """Logins after ``days`` or more days without one.
 
-    The state is keyed by user and address, so one busy user is spread over all tasks.
+    ``known`` (user_id, last_seen) is the last login of each user before the stream. Who has not logged in for ``forget_days`` is forgotten.
     """
-    fresh = logins.where("is_success").join(known.select("user_id", "client_ip"), ["user_id", "client_ip"], "left_anti")
-    return fresh.dropDuplicates(["user_id", "client_ip"]).select("user_id", "client_ip")
-
-
-def dormant_logins(
-    logins: DataFrame, folder: str, last_logins: StateTable, days: int = 90, every: str | None = None
-) -> StreamingQuery:
-    """Logins after ``days`` or more days without one; rows go to ``folder/rows``.
-
-    Each batch is first cut down to one row per user and day, then set against the last login of each user
-    (state: user_id, last_login).
-    """
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        before = last_logins.before(batch_id)
-        seen = detect.active_days(batch).select("user_id", "first_login", "last_login").unionByName(
-            before.select("user_id", F.lit(None).cast("timestamp").alias("first_login"), "last_login")
-        )
-        previous = F.lag("last_login").over(Window.partitionBy("user_id").orderBy("last_login"))
-        gap_ends = F.col("previous_login") + F.make_dt_interval(F.lit(days))
-        found = seen.withColumn("previous_login", previous).where(F.col("first_login") >= gap_ends)
-        seen.persist()
-        write_batch(found.select("user_id", "previous_login", F.col("first_login").alias("login_at")), f"{folder}/rows", batch_id)
-        last_logins.replace(batch_id, seen.groupBy("user_id").agg(F.max("last_login").alias("last_login")))
-        seen.unpersist()
-
-    return run_batches(logins, folder, step, every=every)
+    if not 1 <= days <= forget_days:
+        raise ValueError("days must lie between 1 and forget_days")
+    good = logins.where("is_success").select("user_id", "ts")
+    return keyed.last_seen(good, ["user_id"], "ts", days, forget_days, known).select(
+        "user_id", F.col("previous_seen").alias("previous_login"), F.col("seen_at").alias("login_at"))

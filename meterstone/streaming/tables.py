@@ -1,13 +1,19 @@
-"""Streams over table folders, and state that survives a restart."""
+"""Streams over table folders, run once or at an interval."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import datetime as dt
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
-from meterstone.sources.sinks import table_exists
+#: Keyed state needs this store.
+STORE, ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: The time of the row that closes all windows of a stream whose input has ended.
+FAR_AHEAD = dt.datetime(9000, 1, 1)
 
 
 def stream_table(spark: SparkSession, folder: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -19,54 +25,26 @@ def stream_table(spark: SparkSession, folder: str, name: str, files_per_trigger:
     return reader.parquet(folder)
 
 
-class StateTable:
-    """A table that every micro-batch replaces, kept in two slots below a shared folder.
+@contextmanager
+def _store(spark: SparkSession) -> Iterator[None]:
+    """A query keeps the store it was started with; the session's own setting comes back."""
+    before = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, ROCKS)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(STORE)
+        else:
+            spark.conf.set(STORE, before)
 
-    Batch n reads the slot of batch n-1 and writes its own, so a batch that is repeated after a failure
-    reads the same input and gives the same result. Between runs of a job, another job may replace the
-    state of the latest batch (a monthly reinstatement, for instance).
-    """
-
-    def __init__(self, folder: str, initial: DataFrame):
-        self.folder = folder.rstrip("/")
-        self.initial = initial
-        self.spark = initial.sparkSession
-
-    def _slot(self, batch_id: int) -> str:
-        return f"{self.folder}/slot{batch_id % 2}"
-
-    def before(self, batch_id: int) -> DataFrame:
-        return self.initial if batch_id == 0 else self.after(batch_id - 1)
-
-    def after(self, batch_id: int) -> DataFrame:
-        return self.spark.read.schema(self.initial.schema).parquet(self._slot(batch_id))
-
-    def replace(self, batch_id: int, rows: DataFrame) -> None:
-        """Write the state of a batch, and then the note that it is complete."""
-        rows.select(*self.initial.columns).write.mode("overwrite").parquet(self._slot(batch_id))
-        self.spark.range(batch_id, batch_id + 1).write.mode("overwrite").parquet(f"{self._slot(batch_id)}-batch")
-
-    def latest_batch(self) -> int | None:
-        notes = [f"{self._slot(slot)}-batch" for slot in (0, 1)]
-        done = [self.spark.read.parquet(note).first()[0] for note in notes if table_exists(self.spark, note)]
-        return max(done, default=None)
-
-    def current(self) -> DataFrame:
-        """State after the latest complete batch; the initial one when there is none."""
-        batch_id = self.latest_batch()
-        return self.initial if batch_id is None else self.after(batch_id)
 
-
-def write_batch(rows: DataFrame, folder: str, batch_id: int) -> None:
-    """Output rows of one micro-batch; repeating the batch replaces them."""
-    rows.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/batch_id={batch_id}")
-
-
-def _start(writer: DataStreamWriter, folder: str, every: str | None, path: str | None = None) -> StreamingQuery:
+def _start(spark: SparkSession, writer: DataStreamWriter, folder: str, every: str | None, path: str | None = None) -> StreamingQuery:
     """Start a query; without an interval it takes the input there is now and has ended on return."""
     writer = writer.option("checkpointLocation", f"{folder}/checkpoint")
     writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
-    query = writer.start(path) if path else writer.start()
+    with _store(spark):
+        query = writer.start(path) if path else writer.start()
     if not every:
         query.awaitTermination()
     return query
@@ -74,7 +52,7 @@ def _start(writer: DataStreamWriter, folder: str, every: str | None, path: str |
 
 def run_rows(stream: DataFrame, folder: str, every: str | None = None) -> StreamingQuery:
     """Append the rows of a stream to the table ``folder/rows``, once or at an interval such as ``1 hour``."""
-    return _start(stream.writeStream.format("parquet").outputMode("append"), folder, every, f"{folder}/rows")
+    return _start(stream.sparkSession, stream.writeStream.format("parquet").outputMode("append"), folder, every, f"{folder}/rows")
 
 
 def run_to_end(stream: DataFrame, folder: str) -> DataFrame:
@@ -83,8 +61,27 @@ def run_to_end(stream: DataFrame, folder: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
+def run_closed(build: Callable[[DataFrame], DataFrame], rows: DataFrame, folder: str, ts: str, **values) -> DataFrame:
+    """``run_to_end`` of ``build(rows)`` for a table that has come to its end, so that no window stays open.
+
+    After all input one more row, far ahead in time, moves the watermark past every window and timer. It belongs to a window that never
+    closes, so it is in no result. Its columns are blank or zero, or as in ``values`` where ``build`` would drop such a row at once.
+    """
+    spark, folder = rows.sparkSession, folder.rstrip("/")
+    ends = spark.createDataFrame([], rows.schema)
+    ends.write.mode("append").parquet(f"{folder}/ends")
+    closing = spark.readStream.schema(rows.schema).parquet(f"{folder}/ends")
+    stream = build(rows.unionByName(closing))
+    run_rows(stream, folder)
+    blank = {f.name: F.lit("" if f.dataType.typeName() == "string" else False if f.dataType.typeName() == "boolean" else 0) for f in rows.schema.fields
+             if f.dataType.typeName() in ("string", "boolean", "integer", "long", "double", "decimal")}
+    row = blank | {ts: F.lit(FAR_AHEAD)} | {k: F.lit(v) for k, v in values.items()}
+    spark.range(1).select(*[row.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema.fields]).write.mode("append").parquet(f"{folder}/ends")
+    return run_to_end(build(rows.unionByName(closing)), folder)
+
+
 def run_batches(
     stream: DataFrame, folder: str, step: Callable[[DataFrame, int], None], mode: str = "append", every: str | None = None
 ) -> StreamingQuery:
     """Call ``step`` for every micro-batch, once or at an interval."""
-    return _start(stream.writeStream.foreachBatch(step).outputMode(mode), folder, every)
+    return _start(stream.sparkSession, stream.writeStream.foreachBatch(step).outputMode(mode), folder, every)
