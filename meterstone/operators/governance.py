@@ -160,6 +160,18 @@ def findings_matrix(findings: DataFrame) -> DataFrame:
     ).orderBy("scanner_package_name")
 
 
+def findings_totals(findings: DataFrame) -> DataFrame:
+    """Open findings and entities at risk per package and severity, per package, per severity and in all, in one pass.
+
+    ``level`` tells what a row sums up: 0 one package and severity, 1 a package, 2 a severity, 3 everything.
+    """
+    opened = findings.where(is_open_finding()).select("scanner_package_name", F.upper("severity").alias("severity"), "total_at_risk_count")
+    keys = [F.col("scanner_package_name"), F.col("severity")]
+    sets = [keys, keys[:1], keys[1:], []]
+    return opened.groupingSets(sets, *keys).agg(
+        F.grouping_id().cast("int").alias("level"), F.count(F.lit(1)).alias("total"), F.sum("total_at_risk_count").alias("at_risk_entities"))
+
+
 def recent_findings_by_package(findings: DataFrame, as_of: Instant, days: int = 7) -> DataFrame:
     recent = findings.where(within("created_on", as_of, days=days))
     return recent.groupBy("scanner_package_name").agg(F.count(F.lit(1)).alias("recent_findings")).orderBy(

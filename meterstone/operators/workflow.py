@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meterstone.functions.time import Instant, seconds_between_marks, within
@@ -134,6 +134,18 @@ def test_report(*results: DataFrame) -> DataFrame:
     return report.withColumn("status", F.when(F.col("failures") == 0, "PASS").otherwise("FAIL"))
 
 
+def observed_tests(df: DataFrame, failures: Mapping[str, Column]) -> tuple[DataFrame, Observation]:
+    """The same rows with a counter of the failing rows of each test, filled by whatever job writes them."""
+    counter = Observation("tests")
+    counts = [F.count_if(test).alias(name) for name, test in failures.items()]
+    return df.observe(counter, *counts), counter
+
+
+def observed_report(spark: SparkSession, counter: Observation) -> DataFrame:
+    """Test report of rows that have been written; the table is not read again."""
+    return test_report(spark.createDataFrame(list(counter.get.items()), "test_name string, failures bigint"))
+
+
 # ---- lineage ---------------------------------------------------------------------------------------------
 
 
@@ -163,25 +175,65 @@ def cross_project_refs(projects: list[DataFrame]) -> DataFrame:
     ).distinct()
 
 
-def lineage_closure(edges: DataFrame, start: DataFrame | None = None, direction: str = "upstream") -> DataFrame:
+def lineage_closure(edges: DataFrame, start: DataFrame | None = None, direction: str = "upstream", steps_at_once: int = 4) -> DataFrame:
     """Every model reachable from each start model, with the least number of steps.
 
-    Each round walks one step on from the pairs of the last one and keeps those that no earlier round has reached, until
-    there are none; there is no depth limit and a cycle ends by itself. Only the new pairs are checkpointed, once per
-    round, so the plan stays short and outlives lost executors.
+    Each round walks ``steps_at_once`` steps on from the pairs first reached at the end of the last one, as one job, and keeps what no
+    earlier round has reached, until a round ends with nothing new; there is no depth limit and a cycle ends by itself. Only
+    the new pairs are checkpointed, once per round, so the plan stays short and outlives lost executors. Without ``start`` all
+    pairs are listed; ``reaches`` answers for given pairs without that.
     """
     near, far = ("model", "parent") if direction == "upstream" else ("parent", "model")
     steps = cut_lineage(edges.select(F.col(near).alias("_at"), F.col(far).alias("_next")).distinct())
-    first = steps.select(F.col("_at").alias("model"), F.col("_next").alias("related"), F.lit(1).alias("depth"))
-    if start is not None:
-        first = first.join(start.select("model").distinct(), "model", "left_semi")
-    last, depth = cut_lineage(first), 1
-    reached = last
-    while not last.isEmpty():
-        depth += 1
-        walked = last.select("model", F.col("related").alias("_at")).join(steps, "_at").select(
-            "model", F.col("_next").alias("related")
-        ).distinct()
-        last = cut_lineage(walked.join(reached, ["model", "related"], "left_anti").withColumn("depth", F.lit(depth)))
-        reached = reached.unionByName(last)
-    return reached
+    begin = steps.select(F.col("_at").alias("model")) if start is None else start.select("model")
+    last = begin.distinct().select("model", F.col("model").alias("related"))
+    reached, depth = None, 0
+    while True:
+        found = None
+        for _ in range(steps_at_once):
+            depth += 1
+            last = last.withColumnRenamed("related", "_at").join(steps, "_at").select("model", F.col("_next").alias("related")).distinct()
+            level = last.withColumn("depth", F.lit(depth))
+            found = level if found is None else found.unionByName(level)
+        new = found.groupBy("model", "related").agg(F.min("depth").alias("depth"))
+        new = cut_lineage(new if reached is None else new.join(reached, ["model", "related"], "left_anti"))
+        reached = new if reached is None else reached.unionByName(new)
+        last = new.where(F.col("depth") == depth).select("model", "related")
+        if last.isEmpty():
+            return reached
+
+
+def reaches(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(model, related, reachable) for given ``pairs``: whether one walks from ``model`` to ``related`` along parents.
+
+    The models asked about are numbered. Each round, every node takes the numbers of the models that reach one of its
+    children, as bitmaps combined by OR, so a node has one row for up to 32,768 models asked about however many pairs that are.
+    It ends when no bitmap grows, so cycles do no harm. A model does not reach itself unless a cycle leads back.
+    """
+    asked = cut_lineage(pairs.select("model", "related").distinct())
+    numbered = cut_lineage(_numbered(asked.select("model").distinct()))
+    steps = cut_lineage(edges.select(F.col("model").alias("_at"), F.col("parent").alias("_next")).distinct())
+    bucket, position = F.bitmap_bucket_number("number"), F.bitmap_bit_position("number")
+    first = numbered.join(steps, numbered["model"] == steps["_at"]).select(F.col("_next").alias("node"), bucket.alias("bucket"), position.alias("bit"))
+    held = cut_lineage(first.groupBy("node", "bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).withColumn("fresh", F.lit(True)))
+    while not held.where("fresh").isEmpty():
+        walked = held.where("fresh").join(steps, F.col("node") == F.col("_at")).select(F.col("_next").alias("node"), "bucket", "bits")
+        both = held.select("node", "bucket", "bits", F.bitmap_count("bits").alias("n")).unionByName(walked.withColumn("n", F.lit(0).cast("bigint")))
+        grown = both.groupBy("node", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"), F.max("n").alias("n"))
+        held = cut_lineage(grown.select("node", "bucket", "bits", (F.bitmap_count("bits") > F.col("n")).alias("fresh")))
+    named = asked.join(numbered, "model").withColumn("bucket", bucket).withColumn("bit", position.cast("int"))
+    found = named.join(held.select(F.col("node").alias("related"), "bucket", "bits"), ["related", "bucket"], "left")
+    # Bit b is bit b % 8 of byte b / 8.
+    byte = F.conv(F.hex(F.substring("bits", F.floor(F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    there = F.coalesce(F.call_function("getbit", byte, F.col("bit") % 8) == 1, F.lit(False))
+    return found.select("model", "related", there.alias("reachable"))
+
+
+def _numbered(names: DataFrame) -> DataFrame:
+    """Numbers without gaps for many names: counted per hash bucket, then shifted by the buckets before."""
+    dealt = names.select("model", F.pmod(F.xxhash64("model"), F.lit(256)).alias("_deal"))
+    counts = dealt.groupBy("_deal").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.orderBy("_deal").rowsBetween(Window.unboundedPreceding, -1))  # 256 rows
+    offsets = counts.select("_deal", F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_deal").orderBy("model"))
+    return dealt.withColumn("_i", inside).join(offsets, "_deal").select("model", (F.col("_before") + F.col("_i") - 1).alias("number"))

@@ -7,9 +7,12 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from meterstone.operators import governance as g
+from meterstone.operators import sketches
 from meterstone.plans.registry import query
 from meterstone.session import work_folder
 from meterstone.sources import sinks
+from meterstone.sources import views as w
+from meterstone.streaming.tables import run_closed, stream_table
 
 SCAN_AS_OF = dt.date(2001, 8, 1)
 NOW = "TIMESTAMP '2001-08-01'"
@@ -151,6 +154,36 @@ def findings_matrix(v):
     return g.findings_matrix(v.findings)
 
 
+@query("A39", f"""SELECT scanner_package_name, upper(severity) AS severity, CAST(grouping(scanner_package_name, upper(severity)) AS INTEGER) AS level,
+count(*) AS total, CAST(sum(total_at_risk_count) AS BIGINT) AS at_risk_entities FROM findings WHERE {OPEN}
+GROUP BY CUBE (scanner_package_name, upper(severity))""")
+def findings_totals(v):
+    """Each package and severity, the totals of both, and the grand total."""
+    return g.findings_totals(v.findings)
+
+
+@query("A27", f"SELECT count(DISTINCT scanner_name) AS scanners FROM findings WHERE {PAID} AND CAST(start_timestamp AS DATE) BETWEEN DATE '1999-03-01' AND DATE '1999-06-15'")
+def paid_scanners_over_span(v):
+    """Merged from daily sketches, the findings are not read for the span."""
+    daily = stored_daily(v, sketches.daily_scanners(v.findings), "scanners")
+    return sketches.paid_scanners_over(daily, "1999-03-01", "1999-06-15")
+
+
+@query("A27 A28", f"""SELECT CAST(start_timestamp AS DATE) AS day, scanner_package_name, count(DISTINCT scanner_name) AS scanners, count(DISTINCT event_id) AS runs
+FROM findings GROUP BY ALL""")
+def active_scanners_stream(v):
+    """The daily sketch table written by a stream."""
+    orders = stream_table(v.spark, v.folder, "orders")
+    daily = run_closed(lambda rows: sketches.streamed_scanners(w.findings_of(rows)), orders, work_folder(v.spark, "daily"), "o_orderdate")
+    return daily.select("day", "scanner_package_name", sketches.estimate("scanner_name").alias("scanners"), sketches.estimate("event_id").alias("runs"))
+
+
+def stored_daily(v, rows, label):
+    folder = work_folder(v.spark, label)
+    rows.write.parquet(folder)
+    return v.spark.read.parquet(folder)
+
+
 @query("A23 U05 P07", f"SELECT scanner_package_name, scanner_name, max(start_timestamp) AS last_run FROM findings WHERE {last(7)} GROUP BY 1, 2")
 def recently_active(v):
     return g.recently_active(v.findings, SCAN_AS_OF)

@@ -12,7 +12,7 @@ from meterstone.operators import usage as u
 from meterstone.plans.registry import query
 from meterstone.plans.usage_queries import AS_OF, services, services_sql
 from meterstone.session import work_folder
-from meterstone.sources import sinks
+from meterstone.sources import buckets, sinks
 
 THRESHOLD = DEFAULT_SPEND_THRESHOLD
 RUNAWAY = DEFAULT_RUNAWAY_CREDITS
@@ -154,18 +154,32 @@ def reinstated_access(v):
     return m.reinstated_access(v.access_control, v.users, "2024-02-01")
 
 
-@query("R06 J09", """SELECT coalesce(a.user_name, g.user_name) AS user_name,
+UPSERT = """SELECT coalesce(a.user_name, g.user_name) AS user_name,
 CASE WHEN g.user_name IS NULL THEN a.user_id ELSE u.user_id END AS user_id,
 CASE WHEN g.user_name IS NULL THEN a.granted_at ELSE TIMESTAMP '2024-01-31' END AS granted_at,
 CASE WHEN g.user_name IS NULL THEN a.monthly_credit_limit ELSE coalesce(g.monthly_credit_limit, 100) END AS monthly_credit_limit,
 g.user_name IS NOT NULL OR a.is_active AS is_active,
 CASE WHEN g.user_name IS NULL THEN a.revoked_at END AS revoked_at,
 CASE WHEN g.user_name IS NULL THEN a.revocation_reason END AS revocation_reason
-FROM access_control a FULL JOIN grant_requests g ON a.user_name = g.user_name LEFT JOIN users u ON g.user_name = u.name""")
+FROM access_control a FULL JOIN grant_requests g ON a.user_name = g.user_name LEFT JOIN users u ON g.user_name = u.name"""
+
+
+@query("R06 J09", UPSERT)
 def grant_upsert(v):
     return m.grant_upsert(v.access_control, v.grant_requests, v.users, AS_OF)
 
 
+@query("R06 J09", UPSERT)
+def stored_grant_upsert(v):
+    """Grants merged into the bucketed access table in two batches; the table's rows are not moved."""
+    table = "access_" + work_folder(v.spark, "t").rpartition("-")[2]
+    buckets.save_buckets(v.access_control, table, 8, path=work_folder(v.spark, "access"))
+    half = F.pmod(F.hash("user_name"), F.lit(2)) == 0
+    for part in (half, ~half):
+        buckets.grant(table, v.grant_requests.where(part), v.users, AS_OF)
+    return buckets.read_buckets(v.spark, table)
+
+
 TWO_DAYS = "start_time BETWEEN TIMESTAMP '2024-01-29' AND TIMESTAMP '2024-01-31'"
 RUNAWAY_SQL = f"""WITH r AS (SELECT * FROM ai_usage WHERE {TWO_DAYS} AND NOT is_completed AND credits > 50)
 SELECT query_id, (SELECT name FROM users WHERE users.user_id = r.user_id) AS user_name, function_name, model_name, credits, start_time,

@@ -10,8 +10,10 @@ from meterstone.operators import compliance as c
 from meterstone.operators import costmodel as m
 from meterstone.operators import detect as d
 from meterstone.operators import governance as g
+from meterstone.operators import sketches
 from meterstone.plans.governance_queries import DURATIONS, RATES
 from meterstone.plans.registry import query
+from meterstone.session import work_folder
 
 AS_OF = dt.date(2024, 1, 31)
 GRANTS_AS_OF = dt.date(2001, 7, 1)
@@ -56,6 +58,18 @@ def long_query_outliers(v):
     return d.long_query_outliers(v.query_history)
 
 
+@query("D06", """WITH q AS (SELECT *, CAST(start_time AS DATE) AS day FROM query_history WHERE duration_seconds IS NOT NULL),
+d AS (SELECT DISTINCT entity, day FROM q),
+l AS (SELECT d.entity, d.day, list_sort(list(p.duration_seconds)) AS x FROM d JOIN q p ON p.entity = d.entity AND p.day BETWEEN d.day - INTERVAL 30 DAY AND d.day - INTERVAL 1 DAY GROUP BY ALL)
+SELECT q.entity, query_id, user_id, start_time, duration_seconds, x[CAST(ceil(0.99 * len(x)) AS INTEGER)] AS "limit"
+FROM q JOIN l ON q.entity = l.entity AND q.day = l.day WHERE duration_seconds > x[CAST(ceil(0.99 * len(x)) AS INTEGER)]""")
+def long_query_outliers_by_quantile(v):
+    """Longer than 99 percent of the entity's queries of the 30 days before, from daily sketches."""
+    folder = work_folder(v.spark, "durations")
+    sketches.daily_durations(v.query_history).write.parquet(folder)
+    return sketches.long_query_outliers(v.query_history, v.spark.read.parquet(folder))
+
+
 FIRST_SEEN = """SELECT user_id, {key}, count(*) FILTER (ts < TIMESTAMP '2024-01-24') AS seen_before,
 count(*) FILTER (ts >= TIMESTAMP '2024-01-24') AS logins, min(ts) FILTER (ts >= TIMESTAMP '2024-01-24') AS first_seen
 FROM logins WHERE is_success GROUP BY 1, 2"""

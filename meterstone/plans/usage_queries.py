@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from meterstone.fixed_values import DEFAULT_RATES
 from meterstone.functions.amounts import with_commas
 from meterstone.functions.time import cutoff_date
+from meterstone.operators import sketches
 from meterstone.operators import usage as u
 from meterstone.plans.registry import query
 from meterstone.session import work_folder
@@ -157,6 +158,24 @@ def stored_usage_by_day(v):
     return u.daily_credits(u.since_date(v.spark.read.parquet(folder), "start_time", FIRST_DAY))
 
 
+@query("P02 A05 K04", "SELECT user_id, model_name, sum(credits) AS credits FROM ai_usage WHERE user_id BETWEEN 20 AND 24 GROUP BY ALL")
+def z_ordered_usage_by_user(v):
+    """Usage written along a curve through hour, user and model; the user filter skips row groups inside every day."""
+    folder = work_folder(v.spark, "curve")
+    sinks.write_z_ordered_usage(v.ai_usage, folder)
+    kept = v.spark.read.parquet(folder).where(F.col("user_id").between(20, 24))
+    return kept.groupBy("user_id", "model_name").agg(F.sum("credits").alias("credits"))
+
+
+@query("A13 A14 A15 A16", """SELECT model_name, count(DISTINCT user_id) AS users, count(DISTINCT query_id) AS queries FROM ai_usage
+WHERE CAST(start_time AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-18' GROUP BY ALL""")
+def model_users_over_span(v):
+    """Different users and queries of each model, merged from the daily sketches of the span."""
+    folder = work_folder(v.spark, "daily-usage")
+    sketches.daily_usage(v.ai_usage, 18).write.parquet(folder)
+    return sketches.usage_over(v.spark.read.parquet(folder), "2024-01-05", "2024-01-18", ["model_name"])
+
+
 @query("S02 P02 O02", f"SELECT start_time, end_time, username, credits, request_count FROM analyst_usage WHERE CAST(start_time AS DATE) >= {SINCE}")
 def load_analyst(v):
     return u.load_analyst(v.analyst_usage, FIRST_DAY)

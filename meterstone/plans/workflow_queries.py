@@ -10,7 +10,8 @@ from meterstone.operators import snapshots as s
 from meterstone.operators import workflow as w
 from meterstone.plans.registry import query
 from meterstone.session import work_folder
-from meterstone.sources import files, sinks
+from meterstone.sources import files, sinks, snapshot_store
+from meterstone.streaming.tables import run_to_end
 
 AS_OF = dt.date(2001, 9, 1)
 NOW = "TIMESTAMP '2001-09-01'"
@@ -53,6 +54,32 @@ def hard_deletes(v):
     return s.hard_deletes(v.snapshot_source, v.snapshot_history, "order_id", AS_OF)
 
 
+def stored_history(v, step):
+    """The history after a snapshot step on its stored form, of which only the parts that change are written."""
+    folder = work_folder(v.spark, "history")
+    snapshot_store.save_history(v.snapshot_history, folder)
+    for _ in range(2):  # the second run finds nothing to change
+        snapshot_store.advance(v.spark, folder, step)
+    return snapshot_store.read_history(v.spark, folder)
+
+
+@query("T01 J10", versions("cu > ou", "cu", "NULL"))
+def stored_snapshot_timestamp(v):
+    return stored_history(v, lambda held: s.snapshot_timestamp(v.snapshot_source, held, "order_id", "updated_at", AS_OF))
+
+
+@query("T02 T03 J10", versions("cs IS DISTINCT FROM os", NOW, NOW))
+def stored_snapshot_check(v):
+    return stored_history(v, lambda held: s.snapshot_check(v.snapshot_source, held, "order_id", ["status"], AS_OF, hard_deletes=True))
+
+
+@query("T03", f"""SELECT h.order_id, h.status, h.updated_at, h.valid_from,
+CASE WHEN h.valid_to IS NULL AND c.order_id IS NULL THEN {NOW} ELSE h.valid_to END AS valid_to
+FROM snapshot_history h LEFT JOIN snapshot_source c ON h.order_id = c.order_id""")
+def stored_hard_deletes(v):
+    return stored_history(v, lambda held: s.hard_deletes(v.snapshot_source, held, "order_id", AS_OF))
+
+
 @query("W03", """SELECT *, updated_at AS valid_from, lead(updated_at) OVER (PARTITION BY order_id ORDER BY updated_at) AS valid_to FROM order_changes""")
 def validity_from_history(v):
     return s.validity_from_history(v.order_changes, "order_id", "updated_at")
@@ -124,6 +151,34 @@ def read_artifacts(v):
     return w.artifact_nodes(manifests).withColumn("depends_on", F.array_join("depends_on", ","))
 
 
+def written_documents(v) -> str:
+    """Both artifacts of a run for each project, each file one document with fields a reader does not know, and a file of another name."""
+    folder = work_folder(v.spark, "documents")
+    node = F.struct("project", F.struct(F.col("depends_on").alias("nodes"), F.lit("x").alias("extra")).alias("depends_on"), F.lit(1).alias("unknown"))
+    result = F.struct(F.col("model").alias("unique_id"), F.when(F.col("n") % 7 == 0, "error").otherwise("success").alias("status"), (F.col("n") % 50 / 4.0).alias("execution_time"))
+    numbered = v.model_nodes.withColumn("n", F.substring("model", 2, 20).cast("bigint"))
+    run = F.concat_ws("-", "project", F.floor(F.col("n") / 500))  # a document holds a bounded number of models
+    documents = numbered.withColumn("run_id", run).groupBy("run_id").agg(
+        F.to_json(F.struct("run_id", F.lit("v9").alias("schema"), F.map_from_entries(F.collect_list(F.struct("model", node))).alias("nodes"))).alias("manifest"),
+        F.to_json(F.struct("run_id", F.collect_list(result).alias("results"))).alias("run_results"))
+    both = documents.unpivot("run_id", ["manifest", "run_results"], "name", "value")
+    files.write_documents(both.select(F.col("run_id").alias("folder"), F.concat("name", F.lit(".json")).alias("name"), "value"), folder)
+    v.model_nodes.limit(1).select("model").write.csv(folder + "/other")
+    return folder
+
+
+@query("S15", """SELECT project || '-' || (CAST(substr(model, 2) AS BIGINT) // 500) AS run_id, model, project, array_to_string(depends_on, ',') AS depends_on,
+CASE WHEN CAST(substr(model, 2) AS BIGINT) % 7 = 0 THEN 'error' ELSE 'success' END AS status,
+CAST(CAST(substr(model, 2) AS BIGINT) % 50 / 4.0 AS DOUBLE) AS execution_seconds, 1 AS unknown FROM model_nodes""")
+def artifact_documents(v):
+    """Both named files as a stream of whole documents."""
+    found = run_to_end(files.artifact_documents(v.spark, written_documents(v), stream=True).withColumn("document", F.to_json("document")), work_folder(v.spark, "taken"))
+    documents = found.withColumn("document", F.parse_json("document"))
+    nodes = files.document_nodes(documents).select("run_id", "model", "project", F.array_join("depends_on", ",").alias("depends_on"),
+                                                  F.try_variant_get("node", "$.unknown", "int").alias("unknown"))
+    return nodes.join(files.document_results(documents).drop("result"), ["run_id", "model"])
+
+
 @query("S17", "SELECT n_nationkey AS code, n_name AS name, c_custkey AS customer_id FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def load_seed(v):
     """Country codes kept as CSV, used as a lookup for every customer."""
@@ -155,6 +210,19 @@ def materialised_models(v):
     return sinks.materialise(w.order_facts(enriched), "order_facts", "marts", folder)
 
 
+@query("T05 T06 K03", """WITH f AS (SELECT count(*) AS orders, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS amount, max(o_orderdate) AS last_order
+FROM orders GROUP BY o_custkey, date_trunc('month', o_orderdate))
+SELECT *, CASE WHEN failures = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM (SELECT 'has_orders' AS test_name, count(*) FILTER (orders <= 0) AS failures FROM f
+UNION ALL SELECT 'small_month', count(*) FILTER (amount > 400000) FROM f UNION ALL SELECT 'order_known', count(*) FILTER (last_order IS NULL) FROM f)""")
+def built_model_tests(v):
+    """A mart is stored and its rows are tested by the write itself."""
+    month = F.date_trunc("month", F.col("o_orderdate").cast("timestamp"))
+    facts = v.table("orders").groupBy("o_custkey", month.alias("month")).agg(
+        F.count(F.lit(1)).alias("orders"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("amount"), F.max("o_orderdate").alias("last_order"))
+    tests = {"has_orders": F.col("orders") <= 0, "small_month": F.col("amount") > 400000, "order_known": F.col("last_order").isNull()}
+    return sinks.materialise_tested(facts, "customer_months", "marts", work_folder(v.spark, "tested"), tests)[1]
+
+
 @query("T05", "SELECT o_orderkey, o_totalprice - 20000 AS net FROM orders WHERE o_totalprice - 20000 <= 0")
 def assert_positive_amounts(v):
     net = v.table("orders").select("o_orderkey", (F.col("o_totalprice") - 20000).alias("net"))
@@ -205,6 +273,21 @@ def lineage_downstream(v):
     return w.lineage_closure(w.lineage_edges(v.model_nodes, v.external_edges), start, "downstream")
 
 
+ASKED = """asked AS (SELECT DISTINCT 'm' || p_partkey AS model, 'm' || (p_partkey // (2 + p_partkey % 9)) AS related FROM part WHERE p_partkey > 0
+UNION SELECT 'm' || p_partkey, 'src' || (p_partkey % 9) FROM part WHERE p_partkey > 0 AND p_partkey % 3 = 0)"""
+
+
+@query("T07", f"""WITH RECURSIVE {EDGES}, {ASKED}, walk AS (SELECT model, parent AS related FROM edges UNION SELECT w.model, e.parent FROM walk w JOIN edges e ON w.related = e.model)
+SELECT model, related, EXISTS (SELECT 1 FROM walk w WHERE w.model = a.model AND w.related = a.related) AS reachable FROM asked a""")
+def lineage_reaches(v):
+    """Whether given models are built on given others, without a list of all pairs."""
+    key = F.col("p_partkey")
+    parts = v.table("part").where(key > 0).select(key, F.concat(F.lit("m"), key).alias("model"))
+    pairs = parts.select("model", F.concat(F.lit("m"), F.floor(key / (2 + key % 9))).alias("related")).union(
+        parts.where(key % 3 == 0).select("model", F.concat(F.lit("src"), key % 9)))
+    return w.reaches(w.lineage_edges(v.model_nodes, v.external_edges), pairs)
+
+
 @query("T09", """SELECT DISTINCT n.model, n.project, p.model AS parent, p.project AS parent_project
 FROM (SELECT model, project, unnest(depends_on) AS parent FROM model_nodes) n JOIN model_nodes p ON n.parent = p.model WHERE n.project <> p.project""")
 def cross_project_refs(v):

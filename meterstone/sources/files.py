@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +27,57 @@ def run_results(artifacts: DataFrame) -> DataFrame:
                        F.col("r.execution_time").alias("execution_seconds"))
 
 
+#: The two documents a run leaves behind.
+ARTIFACTS = ("manifest.json", "run_results.json")
+
+
+def artifact_documents(spark: SparkSession, folder: str, stream: bool = False) -> DataFrame:
+    """The named artifacts in a folder or below it, each file one document: (path, artifact, document).
+
+    Documents are variants: fields that come, go or change their type between versions do no harm, and all are kept. A file that
+    holds no valid JSON has a NULL document. With ``stream`` new files are taken up as they arrive, each once.
+    """
+    reader = (spark.readStream if stream else spark.read).format("text").option("wholetext", True).option("recursiveFileLookup", True)
+    names = reader.option("pathGlobFilter", "{" + ",".join(ARTIFACTS) + "}")
+    files = (names.schema("value string") if stream else names).load(folder)
+    return files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("artifact"), F.try_parse_json("value").alias("document"))
+
+
+def write_documents(documents: DataFrame, folder: str) -> None:
+    """Write each row (folder, name, value) as one file ``folder/name``; the tasks write all of them in one job."""
+    spark, aside = documents.sparkSession, f"{folder.rstrip('/')}/_aside"
+    documents.repartition("folder", "name").write.partitionBy("folder", "name").text(aside)
+    jvm = spark._jvm.org.apache.hadoop.fs
+    system = jvm.Path(aside).getFileSystem(spark._jsc.hadoopConfiguration())
+    for part in system.globStatus(jvm.Path(f"{aside}/*/*/part-*")):
+        name = part.getPath().getParent()
+        target = jvm.Path(f"{folder.rstrip('/')}/{name.getParent().getName().partition('=')[2]}/{name.getName().partition('=')[2]}")
+        system.mkdirs(target.getParent())
+        system.rename(part.getPath(), target)
+    system.delete(jvm.Path(aside), True)
+
+
+def document_nodes(documents: DataFrame) -> DataFrame:
+    """Model rows (run_id, model, project, depends_on, node) of manifests; ``node`` keeps all other fields."""
+    manifests = documents.where(F.col("artifact") == ARTIFACTS[0])
+    nodes = manifests.select(_field("document", "$.run_id", "string").alias("run_id"), F.explode(_field("document", "$.nodes", "map<string,variant>")).alias("model", "node"))
+    return nodes.select("run_id", "model", _field("node", "$.project", "string").alias("project"),
+                        F.coalesce(_field("node", "$.depends_on.nodes", "array<string>"), F.array().cast("array<string>")).alias("depends_on"), "node")
+
+
+def document_results(documents: DataFrame) -> DataFrame:
+    """One row per model result (run_id, model, status, execution_seconds, result) of the run results."""
+    results = documents.where(F.col("artifact") == ARTIFACTS[1])
+    rows = results.select(_field("document", "$.run_id", "string").alias("run_id"), F.explode(_field("document", "$.results", "array<variant>")).alias("result"))
+    return rows.select("run_id", _field("result", "$.unique_id", "string").alias("model"), _field("result", "$.status", "string").alias("status"),
+                       _field("result", "$.execution_time", "double").alias("execution_seconds"), "result")
+
+
+def _field(column: str, path: str, kind: str) -> Column:
+    """A field of a variant; NULL where it is missing or does not fit the type."""
+    return F.try_variant_get(column, path, kind)
+
+
 def read_run_log(spark: SparkSession, folder: str) -> DataFrame:
     """Log lines kept under ``object_name=<name>`` folders, each starting with its run id and a tab.
 
