@@ -4,8 +4,8 @@ Every text is fully tokenised by both vocabularies: a byte-level one (A, ranks o
 Byte offsets where tokens of both end cut the tokens into groups; all tokens of A and of B in one group are linked.
 
 Anchors: an offset where both have a token end, checked on the bytes, and both go on with a token that starts with a blank. They
-split a document into windows, a word or so each. A window's groups depend on nothing but its ids of A and B, so each task
-aligns a window once and remembers the result by both tuples of ids; a text without blanks is one window, aligned in one walk.
+split a document into windows, a word or so each. A window's groups depend on nothing but its ids of A and B, so in each chunk of
+texts equal windows, by both tuples of ids, are aligned once and the result serves all of them; a text without blanks is one window.
 
 Counts over the corpus: the texts of a task are taken in chunks of a bounded number of signs. A chunk passes on, for each pair of ids,
 in how many of its documents it is linked, and for each document the numbers of its windows. The counts are summed by pair, and
@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,14 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterstone.llm.common import stored, table
-from meterstone.llm.packing import ODD_BLANK, SAFE_BLANK, ChunkEncoder, default_vocabulary
+from meterstone.llm.hashing import mixed
+from meterstone.llm.packing import default_vocabulary
 from meterstone.llm.piece_codec import CONTROL, UNKNOWN, PieceCodec, default_model, slices
 
-#: Signs of text in a chunk, and what stands between the ids of A and B in a window's key.
-CHUNK, BETWEEN = 16 << 20, 0xFFFFFFFF
-#: Chunks of text whose ids a task remembers (twice over), and chunks that may follow each other in one text.
-REMEMBERED = 200_000
-SAFE_ENDS = re.compile(r"[!-~](?:.*[!-~])?\Z", re.DOTALL)
+#: Signs of text in a chunk; a longer text is a chunk of its own.
+CHUNK = 3 << 20
 
 
 class Tokens:
@@ -50,128 +47,109 @@ class Tokens:
         self.parts = parts
         self.lengths = np.array([len(p) for p in parts], np.int64)
         self.blank = np.array([p[:1] == b" " for p in parts])
+        self.known: dict[str, np.ndarray] = {}
 
-    def joined(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.parts.__getitem__, ids.tolist()))
+    def joined(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.parts.__getitem__, ids))
 
+    def shown(self, sign: str) -> np.ndarray:
+        """Every id as text after a sign."""
+        if sign not in self.known:
+            self.known[sign] = np.array([sign + str(i) for i in range(len(self.parts))], object)
+        return self.known[sign]
 
-def rank_tokens(vocabulary: str) -> Tokens:
-    """Tokens of a rank file."""
+
+def rank_tokens(vocabulary: str) -> tuple[Tokens, dict[bytes, int]]:
+    """Tokens of a rank file, and the ranks."""
     with open(vocabulary, "rb") as lines:
-        ranks = {int(b): base64.b64decode(a) for a, b in map(bytes.split, lines)}
-    return Tokens([ranks.get(i, b"") for i in range(max(ranks) + 1)])
-
-
-def piece_tokens(codec: PieceCodec) -> Tokens:
-    """Tokens of a piece model; control and unknown pieces stand for no bytes."""
-    return Tokens([b"" if k in (CONTROL, UNKNOWN) else p for p, k in zip(codec.parts, codec.kinds)])
-
-
-class RankEncoder(ChunkEncoder):
-    """Ids of many texts; the chunks not met before are encoded in one go and told apart by their bytes."""
-
-    def __init__(self, vocabulary: str, tokens: Tokens) -> None:
-        super().__init__(vocabulary)
-        self.lengths, self.older = tokens.lengths, {}
-
-    def ids_of(self, texts: list[str]) -> list[bytes]:
-        """Ids of a blank and each text."""
-        parts = [SAFE_BLANK.split(" " + t) if ODD_BLANK.search(" " + t) else (" " + t).split(" ") for t in texts]
-        missing = set().union(*(p[1:] for p in parts)).difference(self.known)
-        known, older = self.known, self.older
-        fresh = []
-        for chunk in missing:
-            if chunk in older:
-                known[chunk] = older[chunk]
-            elif SAFE_ENDS.match(chunk):  # put after another such chunk, its blank starts a new token
-                fresh.append(" " + chunk)
-            else:
-                known[chunk] = np.array(self.encode(" " + chunk), "<u4").tobytes()
-        if fresh:
-            ids = np.array(self.encode("".join(fresh)), "<u4")
-            ends = np.cumsum([len(c.encode("utf-8", "replace")) for c in fresh])
-            bounds = [0, *(4 * np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 4).tolist()]
-            raw = ids.tobytes()
-            for chunk, start, stop in zip(fresh, bounds, bounds[1:]):
-                known[chunk[1:]] = raw[start:stop]
-        out = [(np.array(self.encode(p[0]), "<u4").tobytes() if p[0] else b"") + b"".join(map(known.__getitem__, p[1:])) for p in parts]
-        if len(known) > REMEMBERED:
-            self.known, self.older = {}, known
-        return out
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    parts = {i: part for part, i in ranks.items()}
+    return Tokens([parts.get(i, b"") for i in range(max(parts) + 1)]), ranks
+
+
+def window_starts(a: np.ndarray, b: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray, a_tokens: Tokens, b_tokens: Tokens, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First tokens of A and of B of every window, and the texts' first windows.
+
+    Texts lie one after the other and end at the offsets ``bounds``; windows start with them, and at the anchors between.
+    """
+    a_cuts, b_cuts = a_ends[:-1][a_tokens.blank[a[1:]]], b_ends[:-1][b_tokens.blank[b[1:]]]
+    texts = np.concatenate([[0], bounds[:-1]])
+    cuts = distinct(np.concatenate([np.intersect1d(a_cuts, b_cuts, assume_unique=True), texts]))
+    return np.searchsorted(a_ends, cuts, "right"), np.searchsorted(b_ends, cuts, "right"), np.searchsorted(cuts, texts)
+
+
+def equal_windows(a: np.ndarray, b: np.ndarray, a_first: np.ndarray, b_first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first of each kind of equal windows, and the kind of every window.
+
+    Windows are equal if both their id tuples are. Hashes find them, and the ids themselves are compared after that; should two
+    different windows ever share a hash, another hash is taken.
+    """
+    a_sizes, b_sizes = np.diff(a_first, append=len(a)), np.diff(b_first, append=len(b))
+    for seed in range(1, 1000):
+        hashes = np.zeros(len(a_first), np.uint64)
+        for ids, first, sizes, odd in ((a, a_first, a_sizes, 0x9E3779B97F4A7C15), (b, b_first, b_sizes, 0xD1342543DE82EF95)):
+            places = np.arange(len(ids)) - np.repeat(first, sizes)
+            hashes += np.add.reduceat(mixed((ids.astype(np.uint64) + np.uint64(seed << 32)) * np.uint64(odd) + mixed(places.astype(np.uint64) + np.uint64(odd))), first)
+        _, kinds, kind = np.unique(hashes, return_index=True, return_inverse=True)
+        same = kinds[kind]
+        if all((sizes == sizes[same]).all() and (ids == ids[spread(first[same], sizes)]).all() for ids, first, sizes in ((a, a_first, a_sizes), (b, b_first, b_sizes))):
+            return kinds, kind
+    raise AssertionError("no hash tells the windows apart")
 
 
 class Windows:
-    """The windows a chunk has met: their groups as text, their linked pairs of ids with how often, and in how many documents a pair is."""
-
-    def __init__(self, a_tokens: Tokens, b_tokens: Tokens) -> None:
-        self.tokens = (a_tokens, b_tokens)
-        self.number: dict[bytes, int] = {}
-        self.pair_number: dict[int, int] = {}
-        self.texts: list[str] = []
-        self.n_groups, self.n_links = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        #: Pairs of window w: places starts[w] to starts[w + 1].
-        self.starts, self.pairs, self.times = np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.docs = np.zeros(0, np.int64)
-        # A group's ids as text, each after a sign that tells what it follows.
-        self.shown = [[np.array([sign + str(i) for i in range(len(t.parts))], object) for sign in signs] for t, signs in ((a_tokens, (";", ",")), (b_tokens, ("|", ",")))]
-
-    def add(self, keys: list[bytes]) -> None:
-        """Align new windows, all in one go."""
-        if not keys:
-            return
-        a, b, a_window, b_window = sides(keys)
-        # Ends within all windows together: those of a window lie between its first and last, as both sides have equally many bytes there.
-        a_ends, b_ends = np.cumsum(self.tokens[0].lengths[a]), np.cumsum(self.tokens[1].lengths[b])
+    """The different windows of a chunk, aligned in one go: their groups as text, their linked pairs of ids and how often each."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, a_window: np.ndarray, b_window: np.ndarray, a_tokens: Tokens, b_tokens: Tokens) -> None:
+        """The ids of the windows one after the other, and the window each belongs to; both sides have equal bytes in each."""
+        n = int(a_window[-1]) + 1 if len(a) else 0
+        a_ends, b_ends = np.cumsum(a_tokens.lengths[a]), np.cumsum(b_tokens.lengths[b])
         shared = np.intersect1d(a_ends, b_ends, assume_unique=True)
         a_group, b_group = np.searchsorted(shared, a_ends), np.searchsorted(shared, b_ends)
         n_a, n_b = np.bincount(a_group, minlength=len(shared)), np.bincount(b_group, minlength=len(shared))
         group_window = a_window[np.cumsum(n_a) - 1]
+        self.n_groups = np.bincount(group_window, minlength=n)
+        self.n_links = np.bincount(group_window, n_a * n_b, n).astype(np.int64)
         # Each group's ids with how often they are in it, so a long group of equal ids stays small.
         (ga, ia, ma), (gb, ib, mb) = counted(a_group, a), counted(b_group, b)
         b_first, b_many = np.searchsorted(gb, np.arange(len(shared))), np.bincount(gb, minlength=len(shared))
-        left = np.repeat(np.arange(len(ga)), b_many[ga])
-        right = spread(b_first[ga], b_many[ga])
-        links = pd.DataFrame({"window": group_window[ga[left]], "pair": ia[left] << 32 | ib[right], "times": ma[left] * mb[right]})
-        links = links.groupby(["window", "pair"], sort=True, as_index=False)["times"].sum()
-        pairs, known = links["pair"].tolist(), self.pair_number
-        for pair in set(pairs).difference(known):
-            known[pair] = len(known)
-        self.pairs = np.concatenate([self.pairs, np.fromiter(map(known.__getitem__, pairs), np.int64, len(pairs))])
-        self.times = np.concatenate([self.times, links["times"].to_numpy()])
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.bincount(links["window"], minlength=len(keys)))])
-        self.n_groups = np.concatenate([self.n_groups, np.bincount(group_window, minlength=len(keys))])
-        self.n_links = np.concatenate([self.n_links, np.bincount(group_window, n_a * n_b, len(keys)).astype(np.int64)])
-        self.docs = np.concatenate([self.docs, np.zeros(len(known) - len(self.docs), np.int64)])
-        # Tokens in the order of the groups, A before B.
+        left, right = np.repeat(np.arange(len(ga)), b_many[ga]), spread(b_first[ga], b_many[ga])
+        self.ids, pair = np.unique(ia[left] << 32 | ib[right], return_inverse=True)
+        # Pairs of window w: places starts[w] to starts[w + 1]. A pair in several of its groups counts for each.
+        met, place = np.unique(group_window[ga[left]] * max(1, len(self.ids)) + pair, return_inverse=True)
+        window, self.pairs = np.divmod(met, max(1, len(self.ids)))
+        self.times = np.bincount(place, ma[left] * mb[right], len(met)).astype(np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(window, minlength=n))])
+        self.docs = np.zeros(len(self.ids), np.int64)
+        # Tokens in the order of the groups, A before B, each after a sign that tells what it follows.
         order = np.argsort(np.concatenate([2 * a_group, 2 * b_group + 1]), kind="stable")
-        texts = np.concatenate([np.where(np.diff(a_group, prepend=-1) > 0, self.shown[0][0][a], self.shown[0][1][a]),
-                                np.where(np.diff(b_group, prepend=-1) > 0, self.shown[1][0][b], self.shown[1][1][b])])[order].tolist()
-        stops = np.cumsum([len(k) // 4 - 1 for k in keys]).tolist()
-        self.texts += ["".join(texts[i:j])[1:] for i, j in zip([0, *stops], stops)]
-        self.number.update(zip(keys, range(len(self.number), len(self.number) + len(keys))))
+        texts = np.concatenate([np.where(np.diff(a_group, prepend=-1) > 0, a_tokens.shown(";")[a], a_tokens.shown(",")[a]),
+                                np.where(np.diff(b_group, prepend=-1) > 0, b_tokens.shown("|")[b], b_tokens.shown(",")[b])])[order].tolist()
+        stops = np.cumsum(np.bincount(a_window, minlength=n) + np.bincount(b_window, minlength=n)).tolist()
+        self.texts = ["".join(texts[i:j])[1:] for i, j in zip([0, *stops], stops)]
+
+    def count(self, windows: np.ndarray) -> None:
+        """The pairs of a document's windows are linked in one more document."""
+        different = distinct(windows)
+        self.docs[distinct(self.pairs[spread(self.starts[different], self.starts[different + 1] - self.starts[different])])] += 1
 
-    def of(self, keys: list[bytes]) -> np.ndarray:
-        """Numbers of a document's windows, all known. Its pairs count as linked in one more document."""
-        numbers = np.fromiter(map(self.number.__getitem__, keys), np.int64, len(keys))
-        different = np.unique(numbers)
-        self.docs[np.unique(self.pairs[spread(self.starts[different], self.starts[different + 1] - self.starts[different])])] += 1
-        return numbers
+    def packed(self) -> bytes:
+        """Pairs of each window and how often, for the second pass."""
+        parts = [np.array([len(self.ids), len(self.starts) - 1], "<u4"), self.ids.astype("<i8"), *(x.astype("<u4") for x in (np.diff(self.starts), self.pairs, self.times))]
+        return zstandard.ZstdCompressor(level=1).compress(b"".join(x.tobytes() for x in parts))
 
 
-def sides(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of A and of B in all windows together, and which window each belongs to."""
-    ids = np.frombuffer(b"".join(keys), "<u4").astype(np.int64)
-    window = np.repeat(np.arange(len(keys)), [len(k) // 4 for k in keys])
-    middles = np.flatnonzero(ids == BETWEEN)
-    of_a, of_b = np.arange(len(ids)) < middles[window], np.arange(len(ids)) > middles[window]
-    return ids[of_a], ids[of_b], window[of_a], window[of_b]
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Different numbers in order; sorting is faster than hashing on short arrays."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
 
 
 def counted(groups: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Different (group, id) in order, and how often each occurs."""
     order = np.lexsort((ids, groups))
     groups, ids = groups[order], ids[order]
-    first = np.flatnonzero(np.concatenate([[True], (groups[1:] != groups[:-1]) | (ids[1:] != ids[:-1])]))
+    first = np.flatnonzero(np.concatenate([[True], (groups[1:] != groups[:-1]) | (ids[1:] != ids[:-1])])) if len(ids) else np.zeros(0, np.int64)
     return groups[first], ids[first], np.diff(first, append=len(ids))
 
 
@@ -180,40 +158,48 @@ def spread(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
 
 
-def window_keys(a: np.ndarray, b: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray, a_tokens: Tokens, b_tokens: Tokens) -> list[bytes]:
-    """Both id tuples of each window of a text, as bytes with a number between them that is no id."""
-    a_cuts = a_ends[:-1][a_tokens.blank[a[1:]]]
-    b_cuts = b_ends[:-1][b_tokens.blank[b[1:]]]
-    anchors = np.intersect1d(a_cuts, b_cuts, assume_unique=True)
-    a_at = [0, *(4 * np.searchsorted(a_ends, anchors) + 4).tolist(), 4 * len(a)]
-    b_at = [0, *(4 * np.searchsorted(b_ends, anchors) + 4).tolist(), 4 * len(b)]
-    a_raw, b_raw = a.astype("<u4").tobytes(), b.astype("<u4").tobytes()
-    middle = BETWEEN.to_bytes(4, "little")
-    return [a_raw[i:j] + middle + b_raw[k:n] for i, j, k, n in zip(a_at, a_at[1:], b_at, b_at[1:])]
-
-
-def keys_of(texts: list[str], ids: list[tuple[np.ndarray, np.ndarray]], a_tokens: Tokens, b_tokens: Tokens, known: dict[bytes, int]) -> list[list[bytes]]:
-    """Window keys of texts; none for a text that is empty or that its tokens do not give back.
-
-    The tokens of A are checked on the whole texts, those of B against A in each window that is new.
-    """
-    keys = []
-    for text, (a, b) in zip(texts, ids):
-        raw = (" " + text).encode("utf-8", "replace")
-        a_ends, b_ends = np.cumsum(a_tokens.lengths[a]), np.cumsum(b_tokens.lengths[b])
-        fits = text and len(a) and len(b) and a_ends[-1] == b_ends[-1] == len(raw) and a_tokens.joined(a) == raw
-        keys.append(window_keys(a, b, a_ends, b_ends, a_tokens, b_tokens) if fits else [])
-    fresh = list(set().union(*keys).difference(known))
-    if not fresh or same_bytes(fresh, a_tokens, b_tokens):
-        return keys
-    wrong = {k for k in fresh if not same_bytes([k], a_tokens, b_tokens)}
-    return [[] if not wrong.isdisjoint(k) else k for k in keys]
-
-
-def same_bytes(keys: list[bytes], a_tokens: Tokens, b_tokens: Tokens) -> bool:
-    """Whether both sides of the windows, each as long as the other, stand for the same bytes."""
-    a, b, _, _ = sides(keys)
-    return a_tokens.joined(a) == b_tokens.joined(b)
+class Aligner:
+    """Both tokenisers, and the alignment of a chunk of texts."""
+
+    def __init__(self, vocabulary: str, model: str) -> None:
+        import public_tokenizers
+        import tiktoken
+
+        codec = PieceCodec(model)
+        self.a_tokens, ranks = rank_tokens(vocabulary)
+        self.b_tokens = Tokens([b"" if k in (CONTROL, UNKNOWN) else p for p, k in zip(codec.parts, codec.kinds)])
+        # Strings of added tokens are plain text here.
+        self.encode_a = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.encode_b = codec.library.encode
+
+    def chunk(self, texts: list[str]) -> tuple[list[tuple], Windows]:
+        """(n_a, n_b, n_groups, n_links, groups_sha256, windows) of each text, and the windows of all."""
+        a_ids, b_ids, bounds, valid = [], [], [], []
+        for i, (text, b) in enumerate(zip(texts, self.encode_b(texts, num_threads=1))):
+            raw, a = (" " + text).encode("utf-8", "replace"), self.encode_a(" " + text)
+            if text and self.a_tokens.joined(a) == raw == self.b_tokens.joined(b):
+                a_ids.append(np.array(a, np.int64))
+                b_ids.append(np.array(b, np.int64))
+                bounds.append(len(raw))
+                valid.append(i)
+        nothing = packed_numbers(np.zeros(0, np.int64))
+        rows = [(0, 0, 0, 0, "", nothing)] * len(texts)
+        empty = np.zeros(0, np.int64)
+        if not valid:
+            return rows, Windows(empty, empty, empty, empty, self.a_tokens, self.b_tokens)
+        a, b = np.concatenate(a_ids), np.concatenate(b_ids)
+        a_ends, b_ends = np.cumsum(self.a_tokens.lengths[a]), np.cumsum(self.b_tokens.lengths[b])
+        a_first, b_first, texts_first = window_starts(a, b, a_ends, b_ends, self.a_tokens, self.b_tokens, np.cumsum(bounds))
+        del a_ends, b_ends
+        kinds, kind = equal_windows(a, b, a_first, b_first)
+        a_many, b_many = np.diff(a_first, append=len(a))[kinds], np.diff(b_first, append=len(b))[kinds]
+        numbers = np.arange(len(kinds))
+        found = Windows(a[spread(a_first[kinds], a_many)], b[spread(b_first[kinds], b_many)], np.repeat(numbers, a_many), np.repeat(numbers, b_many), self.a_tokens, self.b_tokens)
+        for i, x, y, mine in zip(valid, a_ids, b_ids, np.split(kind, texts_first[1:])):
+            found.count(mine)
+            sha = hashlib.sha256(";".join(map(found.texts.__getitem__, mine.tolist())).encode()).hexdigest()
+            rows[i] = (len(x), len(y), int(found.n_groups[mine].sum()), int(found.n_links[mine].sum()), sha, packed_numbers(mine))
+        return rows, found
 
 
 def packed_numbers(numbers: np.ndarray) -> bytes:
@@ -231,48 +217,25 @@ def aligned_chunks(docs: DataFrame, vocabulary: str, model: str, chunk_signs: in
     schema = (f"chunk long, doc_id {key_type}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, windows binary, "
               "pair long, docs long, pairs_of binary")
 
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a_tokens, codec = rank_tokens(vocabulary), PieceCodec(model, agenda=False)
-        encoder, b_tokens = RankEncoder(vocabulary, a_tokens), piece_tokens(codec)
-        chunk, windows, signs, key = TaskContext.get().partitionId() << 32, Windows(a_tokens, b_tokens), 0, None
-        names = ["chunk", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "windows", "pair", "docs", "pairs_of"]
-        kinds = [pa.int64(), None, *[pa.int64()] * 4, pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
-
-        def rows(n: int, **given) -> pa.RecordBatch:
-            held = {"chunk": pa.array(np.full(n, chunk), pa.int64())} | given
-            return pa.RecordBatch.from_arrays([held[c] if c in held else pa.nulls(n, key if c == "doc_id" else k) for c, k in zip(names, kinds)], names=names)
-
-        def ended() -> Iterator[pa.RecordBatch]:
-            pairs = np.fromiter(windows.pair_number, np.int64, len(windows.pair_number))
-            for start in range(0, len(pairs), 100_000):
-                part = slice(start, start + 100_000)
-                yield rows(len(pairs[part]), pair=pa.array(pairs[part]), docs=pa.array(windows.docs[part]))
-            sizes = np.diff(windows.starts)
-            parts = [np.array([len(pairs), len(sizes)], "<u4").tobytes(), pairs.tobytes(), *(x.astype("<u4").tobytes() for x in (sizes, windows.pairs, windows.times))]
-            yield rows(1, pairs_of=pa.array([zstandard.ZstdCompressor(level=1).compress(b"".join(parts))], pa.binary()))
+    names = ["chunk", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "windows", "pair", "docs", "pairs_of"]
+    kinds = [pa.int64(), None, *[pa.int64()] * 4, pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
 
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        aligner, chunk = Aligner(vocabulary, model), TaskContext.get().partitionId() << 32
         for batch in batches:
             key = batch.schema.field(0).type
+
+            def rows(n: int, **given) -> pa.RecordBatch:
+                held = {"chunk": pa.array(np.full(n, chunk), pa.int64())} | given
+                return pa.RecordBatch.from_arrays([held[c] if c in held else pa.nulls(n, key if c == "doc_id" else k) for c, k in zip(names, kinds)], names=names)
+
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            for start, stop in slices(texts):
-                mine, out = texts[start:stop], []
-                ids = [(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")) for x, y in zip(encoder.ids_of(mine), codec.ids_of(mine))]
-                keys = keys_of(mine, ids, a_tokens, b_tokens, windows.number)
-                windows.add(list(set().union(*keys).difference(windows.number)))
-                for (a, b), held in zip(ids, keys):
-                    if not held:
-                        out.append((0, 0, 0, 0, "", packed_numbers(np.zeros(0, np.int64))))
-                        continue
-                    numbers = windows.of(held)
-                    sha = hashlib.sha256(";".join(map(windows.texts.__getitem__, numbers.tolist())).encode()).hexdigest()
-                    out.append((len(a), len(b), int(windows.n_groups[numbers].sum()), int(windows.n_links[numbers].sum()), sha, packed_numbers(numbers)))
+            for start, stop in slices(texts, chunk_signs):
+                out, windows = aligner.chunk(texts[start:stop])
                 yield rows(len(out), doc_id=batch.column(0).slice(start, stop - start), **{c: pa.array(x, k) for c, k, x in zip(names[2:8], kinds[2:8], zip(*out))})
-                signs += sum(map(len, texts[start:stop]))
-                if signs >= chunk_signs:
-                    yield from ended()
-                    chunk, windows, signs = chunk + 1, Windows(a_tokens, b_tokens), 0
-        if signs:
-            yield from ended()
+                yield rows(len(windows.ids), pair=pa.array(windows.ids), docs=pa.array(windows.docs))
+                yield rows(1, pairs_of=pa.array([windows.packed()], pa.binary()))
+                chunk += 1
 
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(align, schema)
 

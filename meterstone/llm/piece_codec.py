@@ -7,8 +7,8 @@ at the end becomes byte pieces, or the unknown piece where the vocabulary has no
 
 No piece of usual vocabularies holds a blank sign after another sign, so no pair across such a place ever joins: texts are
 cut there, and each task remembers the ids of the parts it has met. Vocabularies with such pieces are not cut. The agendas of short
-new parts are rows of arrays, worked off side by side: each round takes the best pair of every row. Longer parts have a
-heap each, so time grows with a part's length times its logarithm and a text without blanks is no danger.
+new parts are rows of arrays, worked off side by side: each round takes the best pair of every row. Longer parts, and
+those where pieces of one score meet, have a heap each, so time grows with a part's length times its logarithm and a text without blanks is no danger.
 
 The library checks the work within each batch: it encodes every part that is new to the task, and decodes the ids of every text. Column
 ``agrees`` says whether it gave the same for all parts of a text and for the decoded text.
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from heapq import heapify, heappop, heappush
 
@@ -37,7 +38,6 @@ BLANK = "▁"
 REMEMBERED, SLICE = 300_000, 1 << 22
 #: Parts up to so many signs are merged side by side.
 SHORT = 24
-NO_PAIR = np.iinfo(np.int32).max
 #: Numbers of fields and kinds in a model file.
 PIECES, TRAINER, NORMALIZER = 1, 2, 3
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
@@ -115,8 +115,13 @@ class PieceCodec:
         numbers, self.width = signs | self.id_of, len(names) + 0x110000
         self.sign_number = np.arange(len(names), self.width, dtype=np.int32)
         self.sign_number[[ord(c) for c in signs]] = [numbers[c] for c in signs]
-        joined = sorted((numbers[n[:k]] * self.width + numbers[n[k:]], place, self.id_of[n]) for n, place in self.order.items() for k in range(1, len(n)) if n[:k] in numbers and n[k:] in numbers)
-        self.pair_keys, self.pair_places, self.pair_ids = (np.array(x, kind) for x, kind in zip(zip(*joined) if joined else ([], [], []), (np.int64, np.int32, np.int32)))
+        # In the arrays each piece has a place of its own. Where pieces share a score, the leftmost would go first, which arrays do not see.
+        ordered = sorted(self.order, key=self.order.__getitem__)
+        shared = Counter(self.order.values())
+        self.tied = np.array([shared[self.order[n]] > 1 for n in ordered] + [False])
+        self.piece_at, self.no_pair = np.array([self.id_of[n] for n in ordered] + [0], np.int32), len(ordered)
+        joined = sorted((numbers[n[:k]] * self.width + numbers[n[k:]], place) for place, n in enumerate(ordered) for k in range(1, len(n)) if n[:k] in numbers and n[k:] in numbers)
+        self.pair_keys, self.pair_places = (np.array(x, kind) for x, kind in zip(zip(*joined) if joined else ([], []), (np.int64, np.int32)))
 
     @property
     def library(self):
@@ -187,39 +192,41 @@ class PieceCodec:
                 blanks = ""
         return [*parts, blanks] if blanks else parts
 
-    def places(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For pairs of symbols the place of their score, or ``NO_PAIR``, and the piece they join to."""
+    def places(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """For pairs of symbols the place of the piece they join to, or ``no_pair``."""
         keys = left.astype(np.int64) * self.width + right
         at = np.minimum(np.searchsorted(self.pair_keys, keys), max(0, len(self.pair_keys) - 1))
-        found = self.pair_keys[at] == keys
-        return np.where(found, self.pair_places[at], NO_PAIR), self.pair_ids[at]
+        return np.where(self.pair_keys[at] == keys, self.pair_places[at], self.no_pair)
 
     def merge_side_by_side(self, parts: list[str]) -> None:
         """Remember the ids of parts of one length; each row is the agenda of a part."""
-        n = len(parts[0])
+        n, known = len(parts[0]), self.known
         symbols = self.sign_number[np.frombuffer("".join(parts).encode("utf-32-le", "replace"), "<u4")].reshape(-1, n)
-        place, joined = self.places(symbols[:, :-1], symbols[:, 1:])
-        rows = np.arange(len(parts))
+        place, rows = self.places(symbols[:, :-1], symbols[:, 1:]), np.arange(len(parts))
+        tied = self.tied[place].any(axis=1)
         while len(rows):
             best = place.argmin(axis=1) if n > 1 else np.zeros(len(rows), np.int64)
-            going = place[np.arange(len(rows)), best] < NO_PAIR if n > 1 else np.zeros(len(rows), bool)
-            raw, size = symbols[~going].astype("<u4").tobytes(), 4 * n
-            odd = (symbols[~going] >= len(self.parts)).any(axis=1).tolist()  # signs that are no pieces
-            for k, row in enumerate(rows[~going].tolist()):
-                ids = raw[k * size:k * size + size]
-                self.known[parts[row]] = self.with_bytes(ids) if odd[k] else ids
-            rows, symbols, place, joined, best = rows[going], symbols[going], place[going], joined[going], best[going]
-            if not len(rows):
-                return
-            each, n = np.arange(len(rows)), n - 1
-            symbols[each, best] = joined[each, best]
+            piece = place[np.arange(len(rows)), best] if n > 1 else np.full(len(rows), self.no_pair)
+            done = piece == self.no_pair
+            if done.any():
+                raw, size = symbols[done].astype("<u4").tobytes(), 4 * n
+                odd = (symbols[done] >= len(self.parts)).any(axis=1).tolist()  # signs that are no pieces
+                for k, row in enumerate(rows[done].tolist()):
+                    ids = raw[k * size:k * size + size]
+                    known[parts[row]] = self.merge(parts[row]) if tied[row] else self.with_bytes(ids) if odd[k] else ids
+                rows, symbols, place, best, piece = rows[~done], symbols[~done], place[~done], best[~done], piece[~done]
+                if not len(rows):
+                    return
+            each, columns = np.arange(len(rows)), np.arange(n)
+            symbols[each, best] = self.piece_at[piece]
             # The right symbol and one pair go; what stood after them moves up.
-            symbols = np.take_along_axis(symbols, np.arange(n) + (np.arange(n) > best[:, None]), axis=1)
-            order = np.arange(n - 1) + (np.arange(n - 1) >= best[:, None])
-            place, joined = np.take_along_axis(place, order, axis=1), np.take_along_axis(joined, order, axis=1)
+            symbols = symbols[columns != best[:, None] + 1].reshape(len(rows), n - 1)
+            place = place[columns[:-1] != best[:, None]].reshape(len(rows), n - 2)
+            n -= 1
             for at, there in ((best - 1, best > 0), (best, best < n - 1)):
                 r, c = each[there], at[there]
-                place[r, c], joined[r, c] = self.places(symbols[r, c], symbols[r, c + 1])
+                place[r, c] = met = self.places(symbols[r, c], symbols[r, c + 1])
+                tied[rows[r[self.tied[met]]]] = True
 
     def remember(self, missing: Iterable[str]) -> None:
         """Work out the ids of parts that are not known."""
@@ -280,15 +287,16 @@ class PieceCodec:
     def framed(self, raw: bytes) -> bytes:
         return np.array(self.begin, "<u4").tobytes() + raw + np.array(self.end, "<u4").tobytes()
 
-    def decode(self, ids: np.ndarray) -> str:
+    def decode(self, ids: np.ndarray, listed: list[int] | None = None) -> str:
         """The text of any ids of the vocabulary. Runs of byte pieces that are no characters give one mark for each bad byte."""
+        listed = ids.tolist() if listed is None else listed
         is_byte = self.kinds[ids] == BYTE
         edges = [0, *(np.flatnonzero(is_byte[1:] != is_byte[:-1]) + 1), len(ids)]
         out, opening = [], self.prefix or self.squeeze  # opening: a leading blank is still to be taken off
         for start, stop in zip(edges[:-1], edges[1:]):
             if start == stop:
                 continue
-            run = ids[start:stop].tolist()
+            run = listed[start:stop]
             if is_byte[start]:
                 out.append(characters(b"".join(map(self.parts.__getitem__, run))))
                 opening = False
@@ -344,11 +352,12 @@ def encode_decode(docs: DataFrame, model: str | None = None, with_ids: bool = Fa
                 found = codec.checked(texts[start:stop])
                 raw = [codec.framed(r) for r, _ in found]
                 numbers = [np.frombuffer(r, "<u4") for r in raw]
-                decoded = [codec.decode(n) for n in numbers]
+                listed = [n.tolist() for n in numbers]
+                decoded = [codec.decode(n, x) for n, x in zip(numbers, listed)]
                 # Vocabularies that are not cut are compared text by text.
                 whole = [True] * len(raw) if codec.cuts and codec.plain_rules and codec.prefix else [
-                    n.tolist() == codec.library.encode(t, add_bos=True, add_eos=True) for n, t in zip(numbers, texts[start:stop])]
-                agrees = [right and same and codec.library.decode(n.tolist()) == d for (_, right), same, n, d in zip(found, whole, numbers, decoded)]
+                    n == codec.library.encode(t, add_bos=True, add_eos=True) for n, t in zip(listed, texts[start:stop])]
+                agrees = [right and same and codec.library.decode(n) == d for (_, right), same, n, d in zip(found, whole, listed, decoded)]
                 sha = [[hashlib.sha256(x).hexdigest() for x in xs] for xs in (raw, [d.encode() for d in decoded])]
                 columns = [batch.column(0).slice(start, stop - start), pa.array([len(n) for n in numbers], pa.int64()), *map(pa.array, (sha[0], sha[1], agrees))]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "agrees"]

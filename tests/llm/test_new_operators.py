@@ -219,7 +219,7 @@ def in_order(rows):
     return sorted(rows, key=lambda r: tuple((v is None, v) for v in r))
 
 
-@pytest.mark.parametrize("signs", [alignment.CHUNK, 300])
+@pytest.mark.parametrize("signs", [alignment.CHUNK, 300, 1])
 def test_alignment_equals_the_plain_one(spark, signs):
     rows = [(r[0], r[1]) for r in awkward_rows() if r[0] != 9] + [(100 + k, t) for k, t in enumerate(odd_texts(150, 20))]
     rows += [(1000, "=a" * 300), (1001, "ab" * 400), (1002, "é" * 200), (1003, "  "), (1004, "=" * 999), (1005, "a▁b")]
@@ -235,20 +235,21 @@ def test_alignment_of_tables_without_texts(spark):
 
 def test_groups_of_a_window_end_where_both_end():
     tokens = alignment.Tokens([b"", b"a", b"aa", b"aaa"])
-    windows, key = alignment.Windows(tokens, tokens), lambda a, b: np.array([*a, alignment.BETWEEN, *b], "<u4").tobytes()
-    windows.add([key([2, 1, 3], [1, 1, 1, 1, 2]), key([2, 1], [1, 2]), key([1], [1])])
-    assert windows.texts == ["2|1,1;1|1;3|1,2", "2,1|1,2", "1|1"] and windows.n_groups.tolist() == [3, 1, 1] and windows.n_links.tolist() == [5, 4, 1]
-    windows.add([])
-    windows.add([key([1, 1], [2])])
-    assert windows.of([key([1, 1], [2]), key([1], [1])]).tolist() == [3, 2] and windows.docs.sum() == 2
-    # The pair of ids (1, 2) is linked twice in its window.
+    a, b = ([2, 1, 3], [2, 1], [1], [1, 1]), ([1, 1, 1, 1, 2], [1, 2], [1], [2])
+    flat = lambda side: (np.concatenate(side), np.repeat(np.arange(4), [len(x) for x in side]))
+    (a_ids, a_window), (b_ids, b_window) = flat(a), flat(b)
+    windows = alignment.Windows(a_ids, b_ids, a_window, b_window, tokens, tokens)
+    assert windows.texts == ["2|1,1;1|1;3|1,2", "2,1|1,2", "1|1", "1,1|2"] and windows.n_groups.tolist() == [3, 1, 1, 1] and windows.n_links.tolist() == [5, 4, 1, 2]
+    windows.count(np.array([3, 2, 3]))
+    assert windows.docs.sum() == 2
+    # The pair of ids (1, 2) is linked twice in the last window.
     assert windows.times[windows.starts[3]:].tolist() == [2]
 
 
-def test_windows_whose_sides_differ_are_found():
-    tokens, other = alignment.Tokens([b" a", b"b"]), alignment.Tokens([b" a", b"c"])
-    ids = [(np.array([0, 1], "<u4"), np.array([0, 1], "<u4")), (np.array([0], "<u4"), np.array([0], "<u4"))]
-    assert [len(k) for k in alignment.keys_of(["ab", "a"], ids, tokens, other, {})] == [0, 1]
+def test_equal_windows_have_equal_ids_on_both_sides():
+    a, b = np.array([1, 2, 1, 2, 1, 2, 3]), np.array([5, 5, 5, 5, 6])
+    kinds, kind = alignment.equal_windows(a, b, np.array([0, 2, 4, 6]), np.array([0, 1, 2, 4]))
+    assert kind[0] == kind[1] and len(set(kind.tolist())) == 3 and sorted(kinds.tolist()) == [0, 2, 3]
 
 
 def test_numbers_survive_packing():
