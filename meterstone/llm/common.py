@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import pickle
+
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -32,6 +35,18 @@ def drop_stored(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def sent(spark: SparkSession, value: object) -> Broadcast:
+    """Send an object of one of this package's classes to all tasks as bytes that carry the class; ``received`` reads it.
+
+    Broadcasts alone name the class, which workers without the package could not find.
+    """
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def received(broadcast: Broadcast) -> object:
+    return pickle.loads(broadcast.value)
+
+
 def lower_az(text: Column) -> Column:
     """Lower-case A to Z only."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

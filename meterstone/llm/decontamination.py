@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterstone.llm.common import table
+from meterstone.llm.common import received, sent, table
 
 #: Maps bytes to lower case, and all bytes of no word to a blank.
 TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -172,10 +172,10 @@ MATCHES = "matches array<struct<start:int,words:int,item_id:string,item_start:in
 def find_matches(docs: DataFrame, block: TestBlock | None, shard_words: int = 1_000_000) -> DataFrame:
     """(doc_id, text_key, n_words, matches) per document for one block of items."""
     key = docs.schema["doc_id"].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(block)
+    shared = sent(docs.sparkSession, block)
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        b = shared.value
+        b = received(shared)
 
         def done(ids: list, keys: list, texts: list[list[bytes]]) -> pd.DataFrame:
             found: list[list[dict]] = [[] for _ in texts]

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from meterstone.llm.common import crc32_rest, table
+from meterstone.llm.common import crc32_rest, received, sent, table
 
 BUCKETS = 1 << 16
 #: Signs that are hashed at a time.
@@ -161,11 +161,11 @@ def predict_language(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     kind = "lang_pred string, score double, rejected boolean"
     if model is None:
         return docs.withColumn("language", F.struct(F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected")))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = sent(docs.sparkSession, model)
 
     @F.pandas_udf(kind)
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        m = shared.value
+        m = received(shared)
         for texts in batches:
             out = []
             for text in texts:

@@ -20,7 +20,7 @@ to the smaller id.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -31,8 +31,7 @@ from pyspark.sql.window import Window
 from meterstone.llm.common import stored, table
 
 
-@dataclass(frozen=True)
-class Index:
+class Index(NamedTuple):
     centres: np.ndarray
     rotation: np.ndarray
 
@@ -72,7 +71,7 @@ def fit_index(classes: DataFrame, n_classes: int, sample_rows: int, max_lists: i
 def probes_needed(listed: DataFrame, index, trials: np.ndarray, k: int, target: float) -> int:
     """How many of the nearest lists hold ``target`` of the true ``k`` neighbours of the trial vectors."""
     def near(batches):
-        place = np.argsort(nearest_centres(trials, index.value.centres, len(index.value.centres)), axis=1)
+        place = np.argsort(nearest_centres(trials, index.value[0], len(index.value[0])), axis=1)
         for batch in batches:
             if len(batch):
                 v, lists = np.stack(batch["v"].to_numpy()), batch["list"].to_numpy()
@@ -129,7 +128,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, vector: str = "e
     if not n_classes:
         return asked.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).where("false")
     fitted, sample = fit_index(classes, n_classes, sample_rows, max_lists, seed)
-    index = classes.sparkSession.sparkContext.broadcast(fitted)
+    index = classes.sparkSession.sparkContext.broadcast(tuple(fitted))  # plain arrays: workers need not have this package
     asked = stored(asked, "queries")
 
     def probe(frame: DataFrame, n: int, held: np.ndarray | None = None) -> DataFrame:
@@ -138,7 +137,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, vector: str = "e
             for batch in batches:
                 for start in range(0, len(batch), 1024):
                     part = batch.iloc[start:start + 1024]
-                    near = nearest_centres(np.stack(part["v"].to_numpy()), index.value.centres, n if held is None else len(index.value.centres))
+                    near = nearest_centres(np.stack(part["v"].to_numpy()), index.value[0], n if held is None else len(index.value[0]))
                     counts = np.full(len(near), n) if held is None else np.maximum(n, (np.cumsum(held[near], axis=1) <= k).sum(axis=1) + 1)
                     yield part.assign(lists=[list(map(int, r[:m])) for r, m in zip(near, counts)])
 
@@ -161,10 +160,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, vector: str = "e
         out = []
         if len(held) and len(asking):
             original = np.stack(held["v"].to_numpy())
-            turned = original @ index.value.rotation
+            turned = original @ index.value[1]
             ids_ = held["ids"].to_numpy()
             for h1, h2, v in zip(asking["h1"], asking["h2"], asking["v"]):
-                places, distances = scan(v, v @ index.value.rotation, original, turned, k + 1, block, strictness)
+                places, distances = scan(v, v @ index.value[1], original, turned, k + 1, block, strictness)
                 found = sorted((d, int(i)) for p, d in zip(places.tolist(), distances.tolist()) for i in ids_[p])[:k + 1]
                 out += [(h1, h2, i, d) for d, i in found]
         return pd.DataFrame(out, columns=["h1", "h2", "vec_id", "score"])
