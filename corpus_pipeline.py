@@ -25,10 +25,13 @@ from meterstone.llm.quality import fit_quality, score_quality
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents with a score of 0.5 or more; the model learns from labelled rows whose crc32 modulo 3 is not 1."""
+    """Keep documents with a score of 0.5 or more, and those without text, of which there is nothing to judge.
+
+    The model learns from labelled rows whose crc32 modulo 3 is not 1.
+    """
     labels = table(spark, sf_dir, "labels").where(crc32_rest(F.col("doc_id"), 3) != 1)
     scored = score_quality(docs, fit_quality(docs, labels), column="__score")
-    return scored.where("__score >= 0.5").select(*docs.columns)
+    return scored.where("text is null or text = '' or __score >= 0.5").select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
