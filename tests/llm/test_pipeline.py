@@ -87,3 +87,10 @@ def test_contract_columns(spark):
             divisor, rest = (4, 2) if start == "op7_" else (3, 1)
             assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % divisor == rest) for r in found.collect())
             assert found.where(~F.col("score").between(0, 1)).count() == 0
+
+
+def test_quality_keeps_rows_without_text_whatever_the_model(spark, docs, monkeypatch):
+    # A model whose score of an empty text is far below one half.
+    monkeypatch.setattr(p, "score_quality", lambda df, model, column: df.withColumn(column, F.when(F.length("text") > 20, 0.9).otherwise(0.1)))
+    kept = {r[0] for r in p.quality(spark, docs, FOLDER).select("doc_id").collect()}
+    assert {4, 5} <= kept and 7 not in kept and 1 in kept
