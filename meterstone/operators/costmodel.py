@@ -150,28 +150,31 @@ def schedule_fields(schedules: DataFrame) -> DataFrame:
     return distinct.select("schedule", *named, F.get(text, 2).startswith("*").alias("any_day"), F.get(text, 4).startswith("*").alias("any_weekday"))
 
 
-def run_days(schedules: DataFrame, first: Instant, last: Instant) -> DataFrame:
-    """Days on which each distinct schedule runs, and the runs per day. When both day fields are restricted, either one suffices."""
-    dates = schedule_fields(schedules).select("*", F.explode(F.sequence(day(first), day(last))).alias("run_day"))
-    week_day = F.dayofweek("run_day") - 1
-    in_month = F.array_contains("days", F.dayofmonth("run_day"))
+def _runs_on(date: Column) -> Column:
+    """Whether a schedule with its fields in columns runs on a date. When both day fields are restricted, either one suffices."""
+    week_day = F.dayofweek(date) - 1
+    in_month = F.array_contains("days", F.dayofmonth(date))
     in_week = F.array_contains("weekdays", week_day) | ((week_day == 0) & F.array_contains("weekdays", 7))
     listed = F.when(F.col("any_day") | F.col("any_weekday"), in_month & in_week).otherwise(in_month | in_week)
-    return dates.where(listed & F.array_contains("months", F.month("run_day"))).select(
-        "schedule", "run_day", (F.size("minutes") * F.size("hours")).alias("runs"))
+    return listed & F.array_contains("months", F.month(date))
+
+
+def run_days(schedules: DataFrame, first: Instant, last: Instant) -> DataFrame:
+    """Days on which each distinct schedule runs, and the runs per day."""
+    dates = schedule_fields(schedules).select("*", F.explode(F.sequence(day(first), day(last))).alias("run_day"))
+    return dates.where(_runs_on(F.col("run_day"))).select("schedule", "run_day", (F.size("minutes") * F.size("hours")).alias("runs"))
 
 
 def scheduled_runs(scanners: DataFrame, first: Instant, last: Instant) -> DataFrame:
     """Runs each enabled scanner is due for between two days: 0 without a schedule, NULL if it cannot be read.
 
-    Only the few distinct schedules are expanded.
+    The fields of the few distinct schedules are read once, and the days are counted inside the row of each.
     """
-    counts = run_days(scanners, first, last).groupBy("schedule").agg(F.sum("runs").alias("runs"))
-    readable = schedule_fields(scanners).select(
-        "schedule", (F.size("minutes") + F.size("hours") + F.size("days") + F.size("months") + F.size("weekdays")).isNotNull().alias("readable"))
-    known = readable.join(counts, "schedule", "left").select("schedule", F.when(F.col("readable"), F.coalesce("runs", F.lit(0))).alias("runs"))
-    enabled = scanners.where(is_true("state"))
-    return enabled.join(known, "schedule", "left").select(
+    fields = schedule_fields(scanners)
+    readable = (F.size("minutes") + F.size("hours") + F.size("days") + F.size("months") + F.size("weekdays")).isNotNull()
+    days = F.size(F.filter(F.sequence(day(first), day(last)), _runs_on))
+    known = fields.select("schedule", F.when(readable, days * F.size("minutes") * F.size("hours")).alias("runs"))
+    return scanners.where(is_true("state")).join(known, "schedule", "left").select(
         "id", "scanner_package_id", "schedule", F.when(F.col("schedule").isNull(), 0).otherwise(F.col("runs")).cast("bigint").alias("runs")
     )
 

@@ -6,6 +6,8 @@ stream alike.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,13 +80,14 @@ def long_query_outliers(queries: DataFrame, deviations: float = 3.0) -> DataFram
 # ---- logins that differ from the past ---------------------------------------------------------------------
 
 
-def _first_seen(logins: DataFrame, key: str, since: Instant, at_most: int) -> DataFrame:
-    """One aggregation gives both the past count and the recent logins of each (user, key)."""
+def _first_seen(logins: DataFrame, key: str, since: Instant, at_most: int | None) -> DataFrame:
+    """One aggregation gives both the past count and the recent logins of each (user, key); all of them without ``at_most``."""
     recent = F.col("ts") >= instant(since)
-    return logins.where("is_success").groupBy("user_id", key).agg(
+    found = logins.where("is_success").groupBy("user_id", key).agg(
         F.count_if(~recent).alias("seen_before"), F.count_if(recent).alias("logins"),
         F.min(F.when(recent, F.col("ts"))).alias("first_seen"),
-    ).where((F.col("logins") > 0) & (F.col("seen_before") <= at_most))
+    )
+    return found if at_most is None else found.where((F.col("logins") > 0) & (F.col("seen_before") <= at_most))
 
 
 def unusual_app(logins: DataFrame, since: Instant, at_most: int = 0) -> DataFrame:
@@ -92,6 +95,18 @@ def unusual_app(logins: DataFrame, since: Instant, at_most: int = 0) -> DataFram
     return _first_seen(logins, "client_app", since, at_most)
 
 
+def rare_app(logins: DataFrame, since: Instant, share: Decimal = Decimal("0.05"), at_least: int = 10) -> DataFrame:
+    """Apps a user has used since a time, and before it in less than ``share`` of at least ``at_least`` logins.
+
+    Logins are counted per user and app first, so a busy user is a few rows when the user's own total is looked up.
+    """
+    seen = _first_seen(logins, "client_app", since, None)
+    totals = seen.groupBy(F.col("user_id").alias("u")).agg(F.sum("seen_before").alias("logins_before"))
+    rare = F.col("seen_before") < F.col("logins_before") * F.lit(share)
+    return seen.join(totals, F.col("user_id").eqNullSafe(F.col("u"))).where((F.col("logins") > 0) & (F.col("logins_before") >= at_least) & rare).select(
+        "user_id", "client_app", "seen_before", "logins_before", "logins", "first_seen")
+
+
 def unusual_ip_login(logins: DataFrame, since: Instant) -> DataFrame:
     """Addresses a user logs in from since a time and never before."""
     return _first_seen(logins, "client_ip", since, 0).drop("seen_before")

@@ -99,42 +99,45 @@ def load_ai_functions(usage: DataFrame, users: DataFrame, first_day: dt.date, ke
 
 
 def load_analyst(usage: DataFrame, first_day: dt.date) -> DataFrame:
-    return _newest(since_date(usage, "start_time", first_day).select(
+    return since_date(usage, "start_time", first_day).select(
         "start_time", "end_time", "username", "credits", "request_count"
-    ))
+    )
 
 
 def load_search(usage: DataFrame, first_day: dt.date) -> DataFrame:
-    return _newest(since_date(usage, "start_time", first_day).select(
+    return since_date(usage, "start_time", first_day).select(
         "start_time", "end_time", "database_name", "schema_name", "service_name", "credits"
-    ))
+    )
 
 
 def load_intelligence(usage: DataFrame, first_day: dt.date) -> DataFrame:
-    return _newest(since_date(usage, "start_time", first_day).select(
+    return since_date(usage, "start_time", first_day).select(
         "start_time", "end_time", F.col("user_name").alias("username"), "workspace_name",
         "agent_database_name", "agent_schema_name", "agent_name", F.col("token_credits").alias("credits"), "tokens",
-    ))
+    )
 
 
 def load_agents(usage: DataFrame, first_day: dt.date) -> DataFrame:
-    return _newest(since_date(usage, "start_time", first_day).select(
+    return since_date(usage, "start_time", first_day).select(
         "start_time", "end_time", F.col("user_name").alias("username"),
         "agent_database_name", "agent_schema_name", "agent_name", F.col("token_credits").alias("credits"), "tokens",
-    ))
+    )
 
 
 def load_code(usage: DataFrame, users: DataFrame, first_day: dt.date) -> DataFrame:
     """Per-request usage of either code assistant surface."""
     recent = since_date(usage, "usage_time", first_day)
-    return _newest(name_users(recent, users).select(
+    return name_users(recent, users).select(
         "user_id", "username", "request_id", F.col("usage_time").alias("start_time"),
         F.col("token_credits").alias("credits"), "tokens",
-    ))
+    )
+
 
+def newest_first(df: DataFrame, ts: str = "start_time") -> DataFrame:
+    """Detail rows in the order of a listing. Loaders leave rows as the scan gives them: only what is shown needs an order.
 
-def _newest(df: DataFrame, ts: str = "start_time") -> DataFrame:
-    """Newest first. The other columns order rows of one time, so a busy hour is sorted by several tasks."""
+    The other columns order rows of one time, so a busy hour is sorted by several tasks.
+    """
     return df.orderBy(F.col(ts).desc_nulls_last(), *[c for c in df.columns if c != ts])
 
 
@@ -279,7 +282,7 @@ def ai_by_model_and_user(rows: DataFrame, users: DataFrame) -> DataFrame:
 
 def ai_detail(loaded: DataFrame) -> DataFrame:
     """Row listing of the loaded AI usage, newest day first."""
-    return _newest(loaded.select(
+    return newest_first(loaded.select(
         F.to_date("start_time").alias("usage_day"), "function_name", "model_name", "username",
         "input_tokens", "output_tokens", "credits",
     ), "usage_day")
@@ -287,7 +290,7 @@ def ai_detail(loaded: DataFrame) -> DataFrame:
 
 def detail(df: DataFrame, columns: list[str]) -> DataFrame:
     """Chosen columns of any service, newest first."""
-    return _newest(df.select(*columns))
+    return newest_first(df.select(*columns))
 
 
 def kpi_row(df: DataFrame, rate: Decimal, tokens: tuple[str, ...] = (), distinct: Mapping[str, str] | None = None) -> DataFrame:

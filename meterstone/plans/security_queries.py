@@ -80,6 +80,15 @@ def unusual_app(v):
     return d.unusual_app(v.logins, SINCE, at_most=1)
 
 
+@query("D07", """WITH a AS (SELECT user_id, client_app, count(*) FILTER (ts < TIMESTAMP '2024-01-24') AS seen_before, count(*) FILTER (ts >= TIMESTAMP '2024-01-24') AS logins,
+min(ts) FILTER (ts >= TIMESTAMP '2024-01-24') AS first_seen FROM logins WHERE is_success GROUP BY 1, 2),
+t AS (SELECT *, CAST(sum(seen_before) OVER (PARTITION BY user_id) AS BIGINT) AS logins_before FROM a)
+SELECT user_id, client_app, seen_before, logins_before, logins, first_seen FROM t WHERE logins > 0 AND logins_before >= 10 AND seen_before < logins_before * 0.05""")
+def rare_app(v):
+    """Rare as a share of the user's own logins."""
+    return d.rare_app(v.logins, SINCE)
+
+
 @query("D10", """SELECT user_id, client_ip, count(*) AS logins, min(ts) AS first_seen FROM logins l WHERE is_success AND ts >= TIMESTAMP '2024-01-24'
 AND NOT EXISTS (SELECT 1 FROM logins p WHERE p.is_success AND p.user_id = l.user_id AND p.client_ip = l.client_ip
 AND p.ts < TIMESTAMP '2024-01-24') GROUP BY 1, 2""")

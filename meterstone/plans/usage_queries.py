@@ -178,32 +178,32 @@ def model_users_over_span(v):
 
 @query("S02 P02 O02", f"SELECT start_time, end_time, username, credits, request_count FROM analyst_usage WHERE CAST(start_time AS DATE) >= {SINCE}")
 def load_analyst(v):
-    return u.load_analyst(v.analyst_usage, FIRST_DAY)
+    return u.newest_first(u.load_analyst(v.analyst_usage, FIRST_DAY))
 
 
 @query("S03 P02 O02", f"SELECT * FROM search_usage WHERE CAST(start_time AS DATE) >= {SINCE}")
 def load_search(v):
-    return u.load_search(v.search_usage, FIRST_DAY)
+    return u.newest_first(u.load_search(v.search_usage, FIRST_DAY))
 
 
 @query("S04 P01", f"SELECT * EXCLUDE (user_name, token_credits), user_name AS username, token_credits AS credits FROM intelligence_usage WHERE CAST(start_time AS DATE) >= {SINCE}")
 def load_intelligence(v):
-    return u.load_intelligence(v.intelligence_usage, FIRST_DAY)
+    return u.newest_first(u.load_intelligence(v.intelligence_usage, FIRST_DAY))
 
 
 @query("S05 P01", f"SELECT * EXCLUDE (user_name, token_credits), user_name AS username, token_credits AS credits FROM agent_usage WHERE CAST(start_time AS DATE) >= {SINCE}")
 def load_agents(v):
-    return u.load_agents(v.agent_usage, FIRST_DAY)
+    return u.newest_first(u.load_agents(v.agent_usage, FIRST_DAY))
 
 
 @query("S06 J01", CODE.format(table="code_cli_usage"))
 def load_code_cli(v):
-    return u.load_code(v.code_cli_usage, v.users, FIRST_DAY)
+    return u.newest_first(u.load_code(v.code_cli_usage, v.users, FIRST_DAY))
 
 
 @query("S07 J01", CODE.format(table="code_web_usage"))
 def load_code_web(v):
-    return u.load_code(v.code_web_usage, v.users, FIRST_DAY)
+    return u.newest_first(u.load_code(v.code_web_usage, v.users, FIRST_DAY))
 
 
 @query("S19", "SELECT name FROM users WHERE name <> ''")

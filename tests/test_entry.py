@@ -29,5 +29,5 @@ def left_over(name):
 
 def test_the_rest_works_without_the_optional_package_or_its_libraries():
     assert left_over("meterstone.llm") == 0
-    assert left_over("zstandard") == 0
-    assert left_over("absent") >= 0
+    assert left_over("pandas") == 0
+    assert left_over("zstandard") <= 1  # only some operators need it
