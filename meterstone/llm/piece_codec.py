@@ -35,7 +35,7 @@ from meterstone.llm.common import table
 #: The sign that stands for a blank in pieces.
 BLANK = "▁"
 #: Parts of texts whose ids a task remembers (twice over), and signs of text handled at a time.
-REMEMBERED, SLICE = 300_000, 1 << 22
+REMEMBERED, SLICE = 500_000, 1 << 22
 #: Parts up to so many signs are merged side by side.
 SHORT = 24
 #: Numbers of fields and kinds in a model file.
@@ -80,9 +80,9 @@ def fields(raw: bytes) -> Iterator[tuple[int, int | float | bytes]]:
 class PieceCodec:
     """Ids of texts and texts of ids, as the library gives them for a model file of merge type."""
 
-    def __init__(self, model: str, check: bool = False, agenda: bool = True) -> None:
-        """``check`` compares all new parts with the library; without ``agenda`` the library itself encodes them."""
-        self.check, self.agenda, self.wrong = check, agenda, set()
+    def __init__(self, model: str, check: bool = False) -> None:
+        """``check`` compares all new parts with the library."""
+        self.check, self.wrong = check, set()
         with open(model, "rb") as file:
             message = list(fields(file.read()))
         trainer = dict(fields(next((v for k, v in message if k == TRAINER), b"")))
@@ -109,7 +109,8 @@ class PieceCodec:
         self.plain_rules = not rules.get(2) and not self.squeeze and escape and not trainer.get(24)
         self.cuts = not any(BLANK in n.lstrip(BLANK) for n in self.order)
         self.model, self.library_, self.known, self.older = model, None, {}, {}
-        self.words = {}  # ids of words that follow one blank; a second way to the parts in ``known``
+        self.words = {}  # ids of words (``words_of``); a second way to the parts in ``known``
+        self.line_ends = not any("\n" in n for n in self.id_of)
         # The number of a symbol is its id, or that of its sign after all ids.
         signs = {c: len(names) + ord(c) for n in self.id_of for c in n}
         numbers, self.width = signs | self.id_of, len(names) + 0x110000
@@ -239,12 +240,9 @@ class PieceCodec:
                 known[part] = self.merge(part)
             else:
                 fresh.append(part)
-        # The library puts a prefix of its own before a text.
-        own = self.cuts and self.plain_rules and self.prefix
-        theirs = self.library.encode([p[1:] for p in fresh], num_threads=1) if own and (self.check or not self.agenda) else []
-        if not self.agenda and own:
-            known.update((part, struct.pack(f"<{len(ids)}I", *ids)) for part, ids in zip(fresh, theirs))
-            return
+        # The library puts a blank sign of its own before a text.
+        own = self.check and self.cuts and self.plain_rules and self.prefix
+        theirs = self.library.encode([p[1:] if p[0] == BLANK else p for p in fresh], num_threads=1) if own else []
         for part in fresh:
             if len(part) <= SHORT:
                 short.setdefault(len(part), []).append(part)
@@ -252,11 +250,20 @@ class PieceCodec:
                 known[part] = self.merge(part)
         for parts in short.values():
             self.merge_side_by_side(parts)
-        self.wrong.update(part for part, ids in zip(fresh, theirs) if known[part] != struct.pack(f"<{len(ids)}I", *ids))
+        self.wrong.update(part for part, ids in zip(fresh, theirs) if known[part] != struct.pack(f"<{len(ids)}I", *ids)[0 if part[0] == BLANK else 4:])
 
-    def usual(self, text: str) -> bool:
-        """Whether every word follows one blank, the first one that of the prefix."""
-        return self.cuts and self.prefix and self.plain_rules and bool(self.byte_ids) and bool(text) and "  " not in text and BLANK not in text and text[0] != " " != text[-1]
+    def words_of(self, text: str) -> list[str]:
+        """Words of a text where every word follows one blank, the first one that of the prefix; none for other texts.
+
+        A line end that is in no piece never joins anything, so texts are cut before it too: such a word follows no blank.
+        """
+        if self.line_ends:
+            text = text.replace("\n", " \n")
+        fits = self.cuts and self.prefix and self.plain_rules and self.byte_ids and text and "  " not in text and BLANK not in text and text[0] != " " != text[-1]
+        return text.split(" ") if fits else []
+
+    def part_of(self, word: str) -> str:
+        return word if self.line_ends and word[0] == "\n" else BLANK + word
 
     def ids_of(self, texts: list[str]) -> list[bytes]:
         """Ids of texts, without begin and end, as little-endian unsigned 32-bit numbers."""
@@ -264,15 +271,14 @@ class PieceCodec:
 
     def checked(self, texts: list[str]) -> list[tuple[bytes, bool]]:
         """Ids of texts, and whether the library gives the same ids for all parts of the text."""
-        usual = [self.usual(t) for t in texts]
-        words = [t.split(" ") if u else [] for t, u in zip(texts, usual)]
-        odd = [[] if u else self.split(self.normalised(t)) for t, u in zip(texts, usual)]
+        words = [self.words_of(t) for t in texts]
+        odd = [[] if w else self.split(self.normalised(t)) for t, w in zip(texts, words)]
         fresh = set().union(*words).difference(self.words)
-        parts = dict.fromkeys(BLANK + w for w in fresh)  # in the order of ``fresh``
+        parts = [self.part_of(w) for w in fresh]
         self.remember(set().union(parts, *odd).difference(self.known))
         self.words.update(zip(fresh, map(self.known.__getitem__, parts)))
-        out = [b"".join(map(self.words.__getitem__, w)) if u else b"".join(map(self.known.__getitem__, p)) for w, p, u in zip(words, odd, usual)]
-        right = [not self.wrong or self.wrong.isdisjoint([BLANK + x for x in w] if u else p) for w, p, u in zip(words, odd, usual)]
+        out = [b"".join(map(self.words.__getitem__, w)) if w else b"".join(map(self.known.__getitem__, p)) for w, p in zip(words, odd)]
+        right = [not self.wrong or self.wrong.isdisjoint(map(self.part_of, w) if w else p) for w, p in zip(words, odd)]
         if len(self.known) > REMEMBERED:  # what is met again soon is taken over from the older half
             self.known, self.older, self.words = {}, self.known, {}
         return list(zip(out, right))
