@@ -37,7 +37,7 @@ from meterstone.llm.packing import default_vocabulary
 from meterstone.llm.piece_codec import CONTROL, UNKNOWN, PieceCodec, default_model, slices
 
 #: Signs of text in a chunk; a longer text is a chunk of its own.
-CHUNK = 3 << 20
+CHUNK = 4 << 20
 
 
 class Tokens:
@@ -172,14 +172,19 @@ class Aligner:
         self.encode_a = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.encode_b = codec.library.encode
 
-    def chunk(self, texts: list[str]) -> tuple[list[tuple], Windows]:
-        """(n_a, n_b, n_groups, n_links, groups_sha256, windows) of each text, and the windows of all."""
+    def chunk(self, texts: list[str], each: bool = False) -> tuple[list[tuple], Windows]:
+        """(n_a, n_b, n_groups, n_links, groups_sha256, windows) of each text, and the windows of all.
+
+        The bytes of A are checked on the texts, those of B against A in each kind of window; should one differ, the texts are
+        gone through again and B is checked on ``each``.
+        """
         a_ids, b_ids, bounds, valid = [], [], [], []
         for i, (text, b) in enumerate(zip(texts, self.encode_b(texts, num_threads=1))):
             raw, a = (" " + text).encode("utf-8", "replace"), self.encode_a(" " + text)
-            if text and self.a_tokens.joined(a) == raw == self.b_tokens.joined(b):
+            b_array = np.array(b, np.int64)
+            if text and self.a_tokens.joined(a) == raw and self.b_tokens.lengths[b_array].sum() == len(raw) and (not each or self.b_tokens.joined(b) == raw):
                 a_ids.append(np.array(a, np.int64))
-                b_ids.append(np.array(b, np.int64))
+                b_ids.append(b_array)
                 bounds.append(len(raw))
                 valid.append(i)
         nothing = packed_numbers(np.zeros(0, np.int64))
@@ -194,7 +199,10 @@ class Aligner:
         kinds, kind = equal_windows(a, b, a_first, b_first)
         a_many, b_many = np.diff(a_first, append=len(a))[kinds], np.diff(b_first, append=len(b))[kinds]
         numbers = np.arange(len(kinds))
-        found = Windows(a[spread(a_first[kinds], a_many)], b[spread(b_first[kinds], b_many)], np.repeat(numbers, a_many), np.repeat(numbers, b_many), self.a_tokens, self.b_tokens)
+        a, b = a[spread(a_first[kinds], a_many)], b[spread(b_first[kinds], b_many)]
+        if not each and self.a_tokens.joined(a.tolist()) != self.b_tokens.joined(b.tolist()):
+            return self.chunk(texts, each=True)
+        found = Windows(a, b, np.repeat(numbers, a_many), np.repeat(numbers, b_many), self.a_tokens, self.b_tokens)
         for i, x, y, mine in zip(valid, a_ids, b_ids, np.split(kind, texts_first[1:])):
             found.count(mine)
             sha = hashlib.sha256(";".join(map(found.texts.__getitem__, mine.tolist())).encode()).hexdigest()

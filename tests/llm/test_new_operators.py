@@ -247,6 +247,18 @@ def test_equal_windows_have_equal_ids_on_both_sides():
     assert kind[0] == kind[1] and len(set(kind.tolist())) == 3 and sorted(kinds.tolist()) == [0, 2, 3]
 
 
+def test_texts_that_only_look_alike_in_length_have_no_tokens():
+    from meterstone.llm.packing import default_vocabulary
+
+    aligner = alignment.Aligner(default_vocabulary(), piece_codec.default_model())
+    right = aligner.chunk(["ab cd", "ab xy"])[0]
+    # A piece that stands for other bytes of the same length, as if the vocabulary held such a one.
+    wrong = next(i for i in aligner.encode_b(["ab xy"])[0] if b"x" in aligner.b_tokens.parts[i])
+    aligner.b_tokens.parts[wrong] = b"?" * len(aligner.b_tokens.parts[wrong])
+    first, second = aligner.chunk(["ab cd", "ab xy"])[0]
+    assert first[:5] == right[0][:5] and second[:5] == (0, 0, 0, 0, "")
+
+
 def test_numbers_survive_packing():
     for numbers in (np.zeros(0, np.int64), np.array([7]), np.array([5, 5, 0, 70_000, 3])):
         assert alignment.unpacked_numbers(alignment.packed_numbers(numbers)).tolist() == sorted(numbers.tolist())
