@@ -4,17 +4,18 @@ Documents that share a link go to the same shard as far as room allows, and all
 more or less (law ``rows``). A link is a hub: a row (doc_id, hub) says that the document hangs on that hub; all documents of a
 hub are neighbours. So a group of copies is one row per document, never a row per pair.
 
-1. Each linked document starts with the largest of its hubs. From the number of hubs of each size (a table on the driver: sizes
-   add up to the documents, so there are few different ones) a plan puts whole hubs into shards, the largest first. Only a hub
-   that no shard has room for is cut; where all rows have copies that may be up to one hub for each shard.
-2. Where documents hang on several hubs, rounds follow, as long as they bring hubs together: each hub counts its documents per shard and calls them to the shard that holds most of them and still has
-   room (ties by a hash of hub and shard). A document follows its strongest hub. Where more want to come than there is room,
-   hubs with many documents already there come first, in an order without ties; whole hubs are let in where possible.
-   A round's moves are one join and a few sums per hub and shard; the room of the shards is a table of ``shards`` rows.
+1. Linked documents start in an even deal over all shards.
+2. Rounds: each hub counts its documents per shard and calls them to the shard that holds most of them (ties by a hash). A document
+   follows the hub that has most documents at its target. How many may go from one shard to another is a table of pairs of
+   shards on the driver: moves there and back are exchanged, and free room is used up along chains, so no shard ever
+   holds more than its quota. Among those that want to go, hubs with many documents already there come first. A hub larger than a
+   shard fills one shard after the other. Rounds go on as long as they bring hubs together. Hubs that are still cut then, as may be where
+   all rows have copies and no shard has free room, are put whole into the room that the others leave, if that cuts less.
 3. Documents without links fill what is left. As linked documents never take more than a shard may hold, the counts come out
    exactly even.
 
-Sums run in two steps, so a hub with a third of all documents is no task's burden; ranks come from ``common.ranked``.
+A round's joins are on documents, and on hubs; hubs with more than a thousandth of all documents, fewer than a thousand, are sent to all
+tasks, so no hub is one task's work. Counts are combined inside the tasks first; ranks come from ``common.ranked``.
 """
 
 from __future__ import annotations
@@ -85,58 +86,171 @@ def literal_table(spark: SparkSession, rows: list[tuple], names: list[str]) -> D
     return cells.select(*[F.col("c")[i].cast("long").alias(name) for i, name in enumerate(names)])
 
 
-def start_whole(links: DataFrame, room: list[int]) -> DataFrame:
+def admitted(wanted: dict[tuple[int, int], int], room: list[int]) -> dict[tuple[int, int], int]:
+    """How many rows may move from one shard to another: moves there and back cancel out, then free room is used up.
+
+    A row that leaves makes room for another, so moves into free room go on along chains. No shard ends above its room.
+    """
+    room, left = list(room), dict(wanted)
+    moves = {pair: min(n, wanted.get(pair[::-1], 0)) for pair, n in wanted.items()}
+    left = {pair: n - moves[pair] for pair, n in wanted.items()}
+    while True:
+        done = True
+        for (here, there), n in sorted(left.items(), key=lambda x: (-x[1], x[0])):
+            go = min(n, room[there])
+            if go:
+                left[here, there] -= go
+                moves[here, there] += go
+                room[there] -= go
+                room[here] += go
+                done = False
+        if done:
+            break
+    while cycle := circle(left):
+        go = min(left[pair] for pair in cycle)
+        for pair in cycle:
+            left[pair] -= go
+            moves[pair] += go
+    return {pair: n for pair, n in moves.items() if n}
+
+
+def circle(wanted: dict[tuple[int, int], int]) -> list[tuple[int, int]]:
+    """Moves that form a circle of shards, so that all of them can be made without any room; none if there is no circle."""
+    following: dict[int, list[int]] = {}
+    for (here, there), n in sorted(wanted.items()):
+        if n:
+            following.setdefault(here, []).append(there)
+    closed: set[int] = set()
+    for start in following:
+        path, on_path, open_ = [start], {start}, [iter(following[start])]
+        while path:
+            there = next((x for x in open_[-1] if x not in closed), None)
+            if there is None:
+                closed.add(path[-1])
+                on_path.discard(path.pop())
+                open_.pop()
+            elif there in on_path:
+                ring = path[path.index(there):] + [there]
+                return list(zip(ring, ring[1:]))
+            else:
+                path.append(there)
+                on_path.add(there)
+                open_.append(iter(following.get(there, [])))
+    return []
+
+
+def targets_of(held: DataFrame, quotas: Column) -> DataFrame:
+    """(hub, target, there, whole) from the rows of each hub in each shard: the shard that holds most of them, ties by a hash.
+
+    A hub larger than a shard fills one after the other: a shard that holds nothing but the hub is full and calls no more.
+    """
+    calls = F.struct((F.col("votes") < quotas).cast("int").alias("open"), "votes", hash_of("hub", "shard").alias("tie"), F.col("shard").alias("target"))
+    return held.groupBy("hub").agg(F.max(calls).alias("c"), F.count("*").alias("pieces")).where("c.open = 1").select(
+        "hub", "c.target", F.col("c.votes").alias("there"))
+
+
+def by_hub(links: DataFrame, hubs: DataFrame) -> DataFrame:
+    """Join on hub. The hubs with more than a thousandth of all links, fewer than a thousand, go to all tasks; the others are shuffled."""
+    large = links.where("large").join(F.broadcast(hubs.where("large").drop("large")), "hub")
+    return large.unionByName(links.where("not large").join(hubs.where("not large").drop("large"), "hub"))
+
+
+def by_hub_size(named: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Links of hubs with several rows, marked ``large``; the large hubs go to all tasks."""
+    large = F.broadcast(sizes.where("large"))
+    return named.join(large, "hub").unionByName(
+        named.join(F.broadcast(sizes.where("large").select("hub")), "hub", "left_anti").join(sizes.where("not large"), "hub"))
+
+
+def propagate(start: DataFrame, links: DataFrame, quotas: list[int]) -> DataFrame:
+    """(row_id, shard) for linked rows after rounds of moves; no shard ever holds more than its quota.
+
+    ``start`` has row_id and shard, ``links`` row_id, hub and whether the hub is large. Rounds go on as long as they lower the number
+    of shards that hubs stand in, summed over all hubs.
+    """
+    spark, labels, pieces = start.sparkSession, start, None
+    quota = F.element_at(F.array(*map(F.lit, quotas)), F.col("shard") + 1)
+    while True:
+        labelled = stored(links.join(labels, "row_id"), "labelled")
+        held = stored(labelled.groupBy("hub", "large", "shard").agg(F.count("*").alias("votes")), "held")
+        now = held.count()
+        if pieces is not None and now >= pieces:
+            return best
+        best, pieces = labels, now
+        targets = targets_of(held, quota).join(held.select("hub", "large").distinct(), "hub")
+        # Each row follows the hub that has most rows at its target; one that is there already stays.
+        follow = by_hub(labelled, targets).groupBy("row_id", "shard").agg(F.max(F.struct("there", "hub", "target")).alias("to"))
+        wants = stored(follow.select("row_id", "shard", "to.*").where("shard != target and there < " + str(max(quotas))), "wants")
+        cells = wants.groupBy("shard", "target", "there", "hub").agg(F.count("*").alias("n"))
+        flows = {(r["shard"], r["target"]): r["n"] for r in cells.groupBy("shard", "target").agg(F.sum("n").alias("n")).collect()}  # shards squared
+        if not flows:
+            return best
+        taken = {r["shard"]: r["n"] for r in labels.groupBy("shard").agg(F.count("*").alias("n")).collect()}
+        allowed = admitted(flows, [q - taken.get(shard, 0) for shard, q in enumerate(quotas)])
+        table_ = pair_table(spark, allowed)
+        # The cells of a pair of shards in order: hubs with many rows at the target first. Sums over buckets, then inside each.
+        bucket = F.concat(F.lpad((F.lit(999_999_999) - F.least("there", F.lit(999_999_999))).cast("string"), 9, "0"), F.lpad(F.pmod(hash_of("hub"), F.lit(64)).cast("string"), 2, "0"))
+        dealt = cells.withColumn("bucket", bucket)
+        pair_ = ["shard", "target"]
+        before = Window.partitionBy(*pair_).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+        sums = dealt.groupBy(*pair_, "bucket").agg(F.sum("n").alias("all")).withColumn("before", F.coalesce(F.sum("all").over(before), F.lit(0))).drop("all")
+        inside = Window.partitionBy(*pair_, "bucket").orderBy("hub").rowsBetween(Window.unboundedPreceding, -1)
+        placed = dealt.withColumn("inner", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(sums, [*pair_, "bucket"]).join(F.broadcast(table_), pair_)
+        go = F.least("n", F.col("allowed") - F.col("before") - F.col("inner"))
+        going = stored(placed.withColumn("go", go).where("go > 0").select("shard", "hub", "n", "go", (F.col("n") * 1000 > F.lit(sum(flows.values()))).alias("large")), "going")
+        rows = wants.select("row_id", "shard", "hub", "target")
+        cell = ["shard", "hub"]
+        # Fewer than a thousand cells are large.
+        moving = rows.join(F.broadcast(going.where("large").drop("large")), cell).unionByName(
+            rows.join(F.broadcast(going.where("large").select(*cell)), cell, "left_anti").join(going.where("not large").drop("large"), cell))
+        whole = moving.where("go = n").select("row_id", "target")
+        some = ranked(moving.where("go < n").select("row_id", "target", "shard", "hub", "go"), cell, F.col("row_id"), "place", buckets=16).where("place < go")
+        moves = whole.unionByName(some.select("row_id", "target"))
+        labels = stored(labels.join(moves, "row_id", "left").select("row_id", F.coalesce("target", "shard").cast("int").alias("shard")), "shards")
+
+
+def pair_table(spark: SparkSession, allowed: dict[tuple[int, int], int]) -> DataFrame:
+    """(shard, target, allowed), a row for each pair of shards at most, without Python in its plan."""
+    rows = [F.struct(F.lit(a).alias("shard"), F.lit(b).alias("target"), F.lit(n).cast("long").alias("allowed")) for (a, b), n in sorted(allowed.items())]
+    if not rows:
+        return spark.range(0).select(F.lit(0).alias("shard"), F.lit(0).alias("target"), F.col("id").alias("allowed"))
+    return spark.range(1).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
+def place_whole(links: DataFrame, room: list[int]) -> DataFrame:
     """(row_id, shard) for linked rows, each with the largest of its hubs; groups stay whole where a shard has room for them."""
     spark = links.sparkSession
-    sizes = links.groupBy("hub").agg(F.count("*").alias("n"))
-    groups = stored(links.join(sizes, "hub").groupBy("row_id").agg(F.max(F.struct("n", "hub")).alias("g")).select("row_id", F.col("g.hub").alias("hub")), "groups")
-    numbered = stored(ranked(groups.groupBy("hub").agg(F.count("*").alias("size")), ["size"], F.col("hub"), "number"), "numbered")
+    sizes = links.groupBy("hub", "large").agg(F.count("*").alias("n"))
+    groups = stored(by_hub(links, sizes).groupBy("row_id").agg(F.max(F.struct("n", "hub", "large")).alias("g")).select("row_id", "g.hub", "g.large"), "groups")
+    numbered = stored(ranked(groups.groupBy("hub", "large").agg(F.count("*").alias("size")), ["size"], F.col("hub"), "number", buckets=16), "numbered")
     histogram = {r["size"]: r["n"] for r in numbered.groupBy("size").agg(F.count("*").alias("n")).collect()}
     whole, parts = min((deal(histogram, room, even) for even in (True, False)), key=lambda plan: len(plan[1]))
     spans = literal_table(spark, whole, ["size", "first", "last", "shard"])
-    uncut = numbered.join(spans, "size").where("number >= first and number < last").select("hub", "shard")
-    pieces = numbered.join(literal_table(spark, parts, ["size", "number", "start", "stop", "shard"]), ["size", "number"]).select("hub", "start", "stop", "shard")
+    uncut = numbered.join(spans, "size").where("number >= first and number < last").select("hub", "large", "shard")
+    # At most two pieces a shard.
+    pieces = F.broadcast(numbered.join(literal_table(spark, parts, ["size", "number", "start", "stop", "shard"]), ["size", "number"]).select("hub", "start", "stop", "shard"))
     cut = ranked(groups.join(pieces.select("hub").distinct(), "hub", "left_semi"), ["hub"], F.col("row_id"), "place")
     cut = cut.join(pieces, "hub").where("place >= start and place < stop")
-    return stored(groups.join(uncut, "hub").select("row_id", F.col("shard").cast("int")).unionByName(
-        cut.select("row_id", F.col("shard").cast("int"))), "shards")
+    return stored(by_hub(groups, uncut).select("row_id", F.col("shard").cast("int")).unionByName(cut.select("row_id", F.col("shard").cast("int"))), "shards")
 
 
-def propagate(linked: DataFrame, links: DataFrame, shards: int, quota: int) -> DataFrame:
-    """(row_id, shard) for linked rows; no shard grows beyond ``quota``. ``linked`` has row_id and the start in ``shard``.
+def place_rest(placed: DataFrame, hubs: DataFrame, quotas: list[int]) -> DataFrame:
+    """Rows of hubs that the rounds have left in several shards, put anew, whole hubs first, into the room the others leave.
 
-    Rounds go on as long as they lower the number of shards that hubs stand in, summed over all hubs.
+    Where no shard has free room, moves alone may come to rest with small hubs still cut. The new places are taken if they cut less.
     """
-    best_so_far, pieces, turn = linked, None, -1
-    while True:
-        turn += 1
-        held = stored(links.join(linked, "row_id").groupBy("hub", "shard").agg(F.count("*").alias("votes")), "held")
-        now = held.count()
-        if pieces is not None and now >= pieces:
-            return best_so_far
-        best_so_far, pieces = linked, now
-        room = linked.groupBy("shard").agg(F.count("*").alias("n")).select("shard", (F.lit(quota) - F.col("n")).alias("room"))
-        shard_room = F.broadcast(linked.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard")).join(
-            room, "shard", "left").select("shard", F.coalesce("room", F.lit(quota)).alias("room")))  # ``shards`` rows
-        best = held.join(shard_room, "shard").groupBy("hub").agg(
-            F.sum("votes").alias("size"),
-            F.max(F.struct((F.col("room") > 0).cast("int").alias("open"), "votes", hash_of("hub", "shard", F.lit(turn)).alias("tie"),
-                           "shard", "room")).alias("to"))
-        wants = best.where("to.open = 1 and size > to.votes").select(
-            "hub", F.col("to.shard").alias("target"), F.col("to.votes").alias("there"), (F.col("size") - F.col("to.votes")).alias("coming"), "to.room")
-        # Hubs with the largest part already there first; a running sum over buckets of hubs and inside each bucket says who fits.
-        bucket = F.concat(F.lpad((F.lit(999_999_999) - F.least("there", F.lit(999_999_999))).cast("string"), 9, "0"),
-                          F.lpad(F.pmod(hash_of("hub"), F.lit(64)).cast("string"), 2, "0"))
-        wants = wants.withColumn("bucket", F.substring(bucket, 1, 11))
-        sums = wants.groupBy("target", "bucket").agg(F.sum("coming").alias("all"))
-        before = Window.partitionBy("target").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-        sums = sums.select("target", "bucket", F.coalesce(F.sum("all").over(before), F.lit(0)).alias("before"))
-        inside = Window.partitionBy("target", "bucket").orderBy("hub").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        allowed = wants.withColumn("sum", F.sum("coming").over(inside)).join(sums, ["target", "bucket"]).where(
-            F.col("before") + F.col("sum") <= F.col("room")).select("hub", "target", "there")
-        moves = links.join(allowed, "hub").groupBy("row_id").agg(F.max(F.struct("there", "target")).alias("to"))
-        linked = stored(linked.join(moves, "row_id", "left").select(
-            "row_id", F.coalesce("to.target", "shard").alias("shard")), "shards")
+    held = hubs.join(placed, "row_id").groupBy("hub").agg(F.count_distinct("shard").alias("pieces"))
+    cut = stored(held.where("pieces > 1"), "cut")
+    before = cut.agg(F.sum("pieces"), F.count("*")).first()
+    if not before[1]:
+        return placed
+    again = stored(by_hub(hubs, cut.join(hubs.select("hub", "large").distinct(), "hub")).select("row_id").distinct(), "again")
+    kept = placed.join(again, "row_id", "left_anti")
+    taken = {r["shard"]: r["n"] for r in kept.groupBy("shard").agg(F.count("*").alias("n")).collect()}
+    moved = place_whole(hubs.join(again, "row_id"), [q - taken.get(shard, 0) for shard, q in enumerate(quotas)])
+    newer = stored(kept.unionByName(moved), "shards")
+    after = hubs.join(newer, "row_id").groupBy("hub").agg(F.count_distinct("shard").alias("pieces")).agg(F.sum(F.col("pieces") - 1)).first()[0]
+    return newer if after < before[0] - before[1] else placed
 
 
 def assign(rows: DataFrame, links: DataFrame, shards: int) -> DataFrame:
@@ -146,12 +260,15 @@ def assign(rows: DataFrame, links: DataFrame, shards: int) -> DataFrame:
     """
     total = rows.count()
     quota = total // shards
+    quotas = [quota + (shard < total % shards) for shard in range(shards)]
     named = links.where("hub is not null").select("row_id", F.xxhash64("hub").alias("hub")).distinct()
-    sizes = named.groupBy("hub").agg(F.count("*").alias("n")).where("n > 1").select("hub")
-    hubs = stored(named.join(sizes, "hub").select("row_id", "hub"), "links")
-    placed = start_whole(hubs, [quota + (shard < total % shards) for shard in range(shards)])
-    if hubs.count() > placed.count():  # otherwise no row has two hubs, and no round could bring a hub together
-        placed = propagate(placed, hubs, shards, quota)
+    sizes = named.groupBy("hub").agg(F.count("*").alias("n")).where("n > 1").select("hub", (F.col("n") * 1000 > total).alias("large"))
+    hubs = stored(by_hub_size(named, sizes), "links")
+    # The start is an even deal, so linked rows leave the room of the others free in every shard.
+    linked = hubs.select("row_id").distinct().withColumn("all", F.lit(0))
+    placed = stored(ranked(linked, ["all"], F.col("row_id"), "number").select("row_id", (F.col("number") % shards).cast("int").alias("shard")), "start")
+    if not placed.isEmpty():
+        placed = place_rest(propagate(placed, hubs, quotas), hubs, quotas)
     free = rows.select("row_id").join(placed, "row_id", "left_anti")
     numbered = ranked(free.withColumn("all", F.lit(0)), ["all"], F.col("row_id"), "number").drop("all")
     spark = rows.sparkSession

@@ -552,3 +552,74 @@ def test_quality_without_labels_or_with_one_kind(spark, docs):
     assert quality.fit_quality(docs, spark.createDataFrame([(1, 1), (2, 1), (7, 1)], "doc_id long, quality int")) == 1.0
     assert quality.score_quality(docs, 0.5).where("quality_score = 0.5").count() == docs.count()
     assert quality.fit_quality(empty(spark), none) == 0.5
+
+
+# 2, its rounds
+
+
+def test_allowed_moves_keep_every_shard_within_its_room():
+    rng = np.random.default_rng(6)
+    for shards in (2, 3, 7):
+        for _ in range(60):
+            wanted = {(a, b): int(rng.integers(0, 9)) for a in range(shards) for b in range(shards) if a != b and rng.random() < 0.5}
+            room = rng.integers(0, 3, shards).tolist()
+            moves = sharding.admitted(wanted, room)
+            assert all(0 < n <= wanted[pair] for pair, n in moves.items())
+            for s in range(shards):
+                assert sum(n for (_, b), n in moves.items() if b == s) - sum(n for (a, _), n in moves.items() if a == s) <= room[s]
+            # Nothing more could go: no room is left for a move, and no circle of moves.
+            left = {pair: n - moves.get(pair, 0) for pair, n in wanted.items()}
+            free = [room[s] - sum(n for (_, b), n in moves.items() if b == s) + sum(n for (a, _), n in moves.items() if a == s) for s in range(shards)]
+            assert not any(n and free[b] > 0 for (_, b), n in left.items()) and not sharding.circle(left)
+    assert sharding.admitted({(0, 1): 4, (1, 0): 3}, [0, 0]) == {(0, 1): 3, (1, 0): 3}
+    assert sharding.admitted({(0, 1): 2, (1, 2): 2, (2, 0): 1}, [0, 0, 0]) == {(0, 1): 1, (1, 2): 1, (2, 0): 1}
+    assert sharding.admitted({(0, 1): 2, (1, 2): 2}, [0, 0, 1]) == {(0, 1): 1, (1, 2): 1}
+
+
+def plain_rounds(shard_of, hub_of, quotas):
+    """Pieces of hubs after each round of a plain propagation without ties by hash: a row moves while its target has room."""
+    shard_of, history = dict(shard_of), []
+    while True:
+        votes = defaultdict(lambda: defaultdict(int))
+        for row, hub in hub_of.items():
+            votes[hub][shard_of[row]] += 1
+        pieces = sum(map(len, votes.values()))
+        if history and pieces >= history[-1]:
+            return history
+        history.append(pieces)
+        counts = defaultdict(int)
+        for s in shard_of.values():
+            counts[s] += 1
+        for row, hub in hub_of.items():
+            target = max(votes[hub], key=lambda s: (votes[hub][s], s))
+            if target != shard_of[row] and counts[target] < quotas[target]:
+                counts[target] += 1
+                counts[shard_of[row]] -= 1
+                shard_of[row] = target
+
+
+def test_rounds_run_and_bring_copies_together(spark, monkeypatch):
+    """The query's own path: labels really move, round by round, and the cut ends no worse than that of a plain propagation."""
+    data = [(k, f"copied {k % 40}" if k < 200 else f"alone {k}", None, None, None) for k in range(500)] + [(1000 + k, "hot", None, None, None) for k in range(150)]
+    seen, begun, kept = [], [], sharding.stored
+
+    def watched(df, label):
+        out = kept(df, label)
+        if label == "held":
+            seen.append(out.count())
+        if label == "start":
+            begun.append({r["row_id"]: r["shard"] for r in out.collect()})
+        if label == "links":
+            begun.append({r["row_id"]: r["hub"] for r in out.collect()})
+        return out
+
+    monkeypatch.setattr(sharding, "stored", watched)
+    found = got(sharding.shard_documents(frame(spark, data), 8), "text_crc32", "shard")
+    assert len(seen) >= 2 and seen[0] > 3 * len(set(begun[0].values())) and seen[1] < seen[0] / 2  # the start is cut, the first round mends most
+    places = defaultdict(set)
+    for crc, shard in found:
+        places[crc].add(shard)
+    hub_of, start = begun
+    plain = plain_rounds(start, hub_of, [82] * 2 + [81] * 6)
+    repeated = {zlib.crc32(f"copied {k}".encode()) for k in range(40)} | {zlib.crc32(b"hot")}
+    assert sum(len(places[c]) for c in repeated) <= plain[-1] and sum(len(places[c]) > 1 for c in repeated) <= 2
