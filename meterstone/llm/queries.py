@@ -18,4 +18,15 @@ from meterstone.llm.substrings import op8_substrings
 
 QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_sharding, op3_neighbours, op4_packing, op5_lines, op6_decontamination, op7_language, op8_substrings, op9_pii, op10_quality, op11_hard_negatives, op12_sentencepiece, op13_alignment)}
 
-ORACLES: dict[str, str] = {}
+HARD_NEGATIVES = """WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE CAST(label AS BIGINT) END AS label,
+[floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS u FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+AND len([x FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0),
+s AS (SELECT a.vec_id AS anchor_id, v.vec_id, a.label = v.label AS same, CAST(list_dot_product(a.u, v.u) AS BIGINT) AS score
+FROM v a JOIN v ON a.vec_id <> v.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS place FROM s WHERE same),
+n AS (SELECT p.anchor_id, positive_id, positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank
+FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same WHERE place <= 5 AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10"""
+
+ORACLES: dict[str, str] = {"op11_hard_negatives": HARD_NEGATIVES}

@@ -262,3 +262,15 @@ def test_texts_that_only_look_alike_in_length_have_no_tokens():
 def test_numbers_survive_packing():
     for numbers in (np.zeros(0, np.int64), np.array([7]), np.array([5, 5, 0, 70_000, 3])):
         assert alignment.unpacked_numbers(alignment.packed_numbers(numbers)).tolist() == sorted(numbers.tolist())
+
+
+def test_mining_equals_its_sql(spark):
+    import duckdb
+
+    from meterstone.llm.queries import ORACLES, QUERIES
+
+    connection = duckdb.connect()
+    connection.execute("CREATE VIEW embeddings AS SELECT * FROM '/root/testdata/sf0.001/embeddings.parquet'")
+    want = sorted(connection.execute(ORACLES["op11_hard_negatives"]).fetchall())
+    columns = ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"]
+    assert sorted(tuple(r) for r in QUERIES["op11_hard_negatives"](spark, "/root/testdata/sf0.001").select(*columns).collect()) == want and want
