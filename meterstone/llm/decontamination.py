@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterstone.llm.common import received, sent, table
+from meterstone.llm.common import drop_stored, received, sent, stored, table
 
 #: Maps bytes to lower case, and all bytes of no word to a blank.
 TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -205,14 +205,21 @@ def find_matches(docs: DataFrame, block: TestBlock | None, shard_words: int = 1_
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_words: int = 2_000_000) -> DataFrame:
     """Per document: doc_id, text_key (hash of the text), n_words, and all matches (place, words, item, place in the item, longest)."""
-    blocks = list(test_blocks(benchmark, window, block_words)) or [None]
-    found = find_matches(docs, blocks[0])
-    for block in blocks[1:]:
-        more = find_matches(docs, block).groupBy("doc_id", "text_key").agg(F.first("matches").alias("more"))
+    blocks = test_blocks(benchmark, window, block_words)
+    block, following = next(blocks, None), next(blocks, None)
+    found = find_matches(docs, block)
+    if following is None:
+        return found
+    # One block is on the driver at a time; what it gave is written before the next one comes.
+    found = stored(found, "matches")
+    while following is not None:
+        more = find_matches(docs, following).groupBy("doc_id", "text_key").agg(F.first("matches").alias("more"))
         same = found["doc_id"].eqNullSafe(more["doc_id"]) & (found["text_key"] == more["text_key"])
-        found = found.join(more, same, "left").select(
+        both = stored(found.join(more, same, "left").select(
             found["doc_id"], found["text_key"], found["n_words"],
-            F.concat("matches", F.coalesce("more", F.array().cast(MATCHES.split(" ", 1)[1]))).alias("matches"))
+            F.concat("matches", F.coalesce("more", F.array().cast(MATCHES.split(" ", 1)[1]))).alias("matches")), "matches")
+        drop_stored(found)
+        found, following = both, next(blocks, None)
     return found
 
 

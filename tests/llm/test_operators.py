@@ -240,7 +240,6 @@ def test_packing_is_a_round_trip(docs, rows):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     found = got(packing.pack(docs, with_ids=True), "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "ids")
     check_packing(found, rows)
     texts = defaultdict(list)
@@ -261,8 +260,7 @@ def test_chunks_give_the_ids_of_the_whole_text(text):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
-    mine = np.frombuffer(packing.ChunkEncoder(packing.default_vocabulary()).ids(text), "<u4").tolist()
+    mine = np.frombuffer(packing.ChunkEncoder(packing.default_vocabulary(), packing.default_added()).ids(text), "<u4").tolist()
     assert mine == tokenizer.encode(text, add_special_tokens=False).ids
 
 
@@ -623,3 +621,56 @@ def test_rounds_run_and_bring_copies_together(spark, monkeypatch):
     plain = plain_rounds(start, hub_of, [82] * 2 + [81] * 6)
     repeated = {zlib.crc32(f"copied {k}".encode()) for k in range(40)} | {zlib.crc32(b"hot")}
     assert sum(len(places[c]) for c in repeated) <= plain[-1] and sum(len(places[c]) > 1 for c in repeated) <= 2
+
+
+# 7 and 10 against plain predictors, and on nothing
+
+
+def test_predictions_are_those_of_a_plain_predictor(spark):
+    """The same model, word by word in Python: the mean of the rows of all subwords, softmax, the best."""
+    alphabets = {"aa": "abcdef", "bb": "ghijkl"}
+    rng = np.random.default_rng(3)
+    data = [(k, " ".join("".join(rng.choice(list(alphabets[lang]), 4)) for _ in range(9)), lang, None, None) for k in range(60) for lang in [list(alphabets)[k % 2]]]
+    model = language.fit_language(frame(spark, data), epochs=2)
+    probes = [(k, t, None, None, None) for k, t in enumerate(["abc ghi", "Abc! 12", "ghi" * 400, "é", "ab\ncd", "zz zz"])]
+    found = {r["doc_id"]: r["language"] for r in language.predict_language(frame(spark, probes), model).collect()}
+    for k, text, *_ in probes:
+        rows_ = [model.logits[i].astype(float) for i in language.subwords(language.letters_of(text))]
+        z = [sum(column) / len(rows_) / model.temperature for column in zip(*rows_)]
+        p = [np.exp(x - max(z)) / sum(np.exp(y - max(z)) for y in z) for x in z]
+        best = max(range(len(p)), key=lambda i: (p[i], -i))
+        assert found[k]["lang_pred"] == model.names[best] and abs(found[k]["score"] - p[best]) < 1e-6 and found[k]["rejected"] == (p[best] < model.least_score)
+    assert language.predict_language(empty(spark), model).count() == 0
+    assert {"lang", "source", "id"} <= set(language.predict_language(empty(spark), model).columns)
+
+
+def test_scores_are_those_of_a_plain_scorer(spark):
+    """Sizes of texts compressed with either dictionary, one text at a time, through the logistic curve."""
+    import zstandard
+
+    data = [(k, sentence(k, 60) if k % 2 else "buy now cheap cheap " * (5 + k % 7), None, None, None) for k in range(80)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(80)], "doc_id long, quality int")
+    model = quality.fit_quality(frame(spark, data), labels)
+    probes = [(100 + k, t, None, None, None) for k, t in enumerate([sentence(900, 50), "cheap cheap buy now " * 9, "a", "é" * 30])]
+    found = {r["doc_id"]: r["quality_score"] for r in quality.score_quality(frame(spark, probes), model).collect()}
+    for k, text, *_ in probes:
+        good, bad = (len(zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False).compress(text.encode()))
+                     for d in (model.good, model.bad))
+        z = model.slope * (bad - good) / (bad + good) + model.intercept
+        assert abs(found[k] - 1 / (1 + np.exp(-z))) < 1e-6, text
+    assert found[100] > 0.5 > found[101]
+    assert quality.score_quality(empty(spark), model).count() == 0
+
+
+def test_blocks_of_a_benchmark_come_one_at_a_time(spark, docs, monkeypatch):
+    alive, made = [], decontamination.test_blocks
+
+    def watched(*args):
+        for block in made(*args):
+            alive.append(block)
+            yield block
+
+    monkeypatch.setattr(decontamination, "test_blocks", watched)
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    found = decontamination.decontaminate(docs, bench, block_words=40)
+    assert len(alive) > 2 and found.count() == docs.count() and hasattr(found, "stored_at")
