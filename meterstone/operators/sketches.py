@@ -7,7 +7,7 @@ exactly), quantiles from KLL sketches (``k`` values or fewer exactly; beyond, th
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterstone.functions.time import Instant, day
@@ -65,12 +65,14 @@ def daily_durations(queries: DataFrame, k: int = KLL_SIZE) -> DataFrame:
 
 
 def moving_quantile(daily: DataFrame, days: int, quantile: float) -> DataFrame:
-    """For each entity and day with queries, the quantile of the ``days`` days before it; days without any before them have none."""
-    reach = F.explode(F.sequence(F.date_add("day", 1), F.date_add("day", days))).alias("day")
-    asked = daily.select(F.col("entity").alias("e"), F.col("day").alias("d"))
-    spans = daily.select("entity", "seconds", reach).join(asked, (F.col("entity") == F.col("e")) & (F.col("day") == F.col("d")), "left_semi")
-    merged = spans.groupBy("entity", "day").agg(F.kll_merge_agg_bigint("seconds").alias("seconds"))
-    return merged.select("entity", "day", F.kll_sketch_get_quantile_bigint("seconds", F.lit(quantile)).alias("limit"))
+    """For each entity and day with queries, the quantile of the ``days`` days before it; days without any before them have none.
+
+    Each day's sketch is moved once; an entity is as many rows as it has days.
+    """
+    span = Window.partitionBy("entity").orderBy(F.datediff("day", F.lit("1970-01-01"))).rangeBetween(-days, -1)
+    merged = daily.select("entity", "day", F.kll_merge_agg_bigint("seconds").over(span).alias("seconds"))
+    known = merged.where(F.kll_sketch_get_n_bigint("seconds") > 0)
+    return known.select("entity", "day", F.kll_sketch_get_quantile_bigint("seconds", F.lit(quantile)).alias("limit"))
 
 
 def long_query_outliers(queries: DataFrame, daily: DataFrame, days: int = 30, quantile: float = 0.99) -> DataFrame:

@@ -42,18 +42,21 @@ def spend_alerts(usage: DataFrame, threshold: Decimal, sent_at: Column | None =
 def limit_actions(usage: DataFrame, access: DataFrame, at: Column | None = None, late: str = "2 hours") -> DataFrame:
     """One REVOKED row per active user whose spend of the month of the check passes their limit.
 
-    Usage of other months, and usage later than the check, does not count, whenever it arrives. Each month starts anew.
+    Usage of other months, and usage later than the check, does not count, whenever it arrives. Each month starts anew. Who is granted
+    access again during the month is checked again with the hours that follow. The access table is read as it is when the
+    job starts, so a job that follows changes is run to its end as often as the check is due, and ``apply_actions`` after it.
     """
     stamp = F.current_timestamp() if at is None else at
     counted = usage.withWatermark("start_time", late).where(F.col("start_time").between(F.date_trunc("month", stamp), stamp))
     hours = keyed.hourly_spend(counted, F.col("user_id"))
-    active = access.where("is_active").select("user_id", "user_name", F.col("monthly_credit_limit").cast("decimal(38,6)").alias("credit_limit"))
-    named = active.withColumnRenamed("user_id", "subject")
-    found = keyed.spend_watch(hours.join(named.select("subject", "credit_limit"), "subject"), [("REVOKED", 100)])
-    return found.drop("credit_limit").join(named, "subject").select("user_name", F.col("credits").alias("credits_used"), "credit_limit", "action")
+    # Spend of users without access counts on, for the time they get it back.
+    named = access.select(
+        F.col("user_id").alias("subject"), "user_name", F.col("monthly_credit_limit").cast("decimal(38,6)").alias("credit_limit"), F.col("granted_at").alias("since"), "is_active")
+    found = keyed.spend_watch(hours.join(named.drop("user_name", "is_active"), "subject"), [("REVOKED", 100)])
+    return found.drop("credit_limit").join(named.where("is_active").drop("since", "is_active"), "subject").select("user_name", F.col("credits").alias("credits_used"), "credit_limit", "action")
 
 
-def apply_actions(spark: SparkSession, folder: str, table: str, at: Column | None = None, every: str | None = None) -> StreamingQuery:
+def apply_actions(spark: SparkSession, folder: str, table: str, at: Column | None = None) -> StreamingQuery:
     """Takes access away from the users of the actions written to ``folder/rows``, in the bucketed table of access rights.
 
     The stream follows the written actions, so each counts once. Only the buckets of these users are written, and a batch
@@ -65,7 +68,7 @@ def apply_actions(spark: SparkSession, folder: str, table: str, at: Column | Non
         buckets.update_rows(table, batch.select("user_name").distinct(), limits.revoked_access, stamp)
 
     schema = spark.read.parquet(f"{folder}/rows").schema
-    return run_batches(spark.readStream.schema(schema).parquet(f"{folder}/rows"), f"{folder}/applied", apply, every=every)
+    return run_batches(spark.readStream.schema(schema).parquet(f"{folder}/rows"), f"{folder}/applied", apply)
 
 
 def budget_actions(usage: DataFrame, tags: DataFrame, budgets: DataFrame, notify_percent: int = DEFAULT_NOTIFY_PERCENT,

@@ -64,30 +64,32 @@ class LastSeen(StatefulProcessor):
 class SpendWatch(StatefulProcessor):
     """Spend of a (subject, month) against its limit.
 
-    ``steps`` are (action, percent of the limit) in rising order; each action is given out once. When the month is over, ``at_end``
-    follows if the last action has been given out, whether or not any usage arrives, and the state goes.
+    ``steps`` are (action, percent of the limit) in rising order; each action is given out once, and again where ``since`` tells that the
+    limit has been granted anew. When the month is over, ``at_end`` follows if the last action has been given out, whether or not any
+    usage arrives, and the state goes.
     """
 
     def __init__(self, steps: list[tuple[str, Decimal]], strict: bool, at_end: str | None) -> None:
         self.steps, self.strict, self.at_end = steps, strict, at_end
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.state = handle, handle.getValueState("spent", "credits decimal(38,6), done int")
+        self.handle, self.state = handle, handle.getValueState("spent", "credits decimal(38,6), done int, since bigint")
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        spent, done = self.state.get() if self.state.exists() else (Decimal(0), None)
+        spent, done, since = self.state.get() if self.state.exists() else (Decimal(0), None, None)
         if done is None:
             self.handle.registerTimer(key[1] // 1000)
-            done = 0
-        for _, credits, limit in sorted((r["hour_us"], r["credits"], r["credit_limit"]) for r in rows):
+        for _, credits, limit, granted in sorted((r["hour_us"], r["credits"], r["credit_limit"], r["since_us"]) for r in rows):
             spent += credits
+            if done is None or granted != since:
+                done, since = 0, granted
             while done < len(self.steps) and (spent * 100 > limit * self.steps[done][1] or not self.strict and spent * 100 == limit * self.steps[done][1]):
                 yield self.row(key, self.steps[done][0], spent, limit)
                 done += 1
-        self.state.update((spent, done))
+        self.state.update((spent, done, since))
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        spent, done = self.state.get() if self.state.exists() else (None, None)
+        spent, done, _ = self.state.get() if self.state.exists() else (None, None, None)
         self.state.clear()
         if done == len(self.steps) and self.at_end:
             yield self.row(key, self.at_end, spent, None)
@@ -124,13 +126,15 @@ def hourly_spend(usage: DataFrame, subject: Column) -> DataFrame:
 
 
 def spend_watch(hours: DataFrame, steps: list[tuple[str, int]], strict: bool = True, at_end: str | None = None) -> DataFrame:
-    """A stream of (subject, month, action, credits, credit_limit) from ``hourly_spend`` with a column ``credit_limit``.
+    """A stream of (subject, month, action, credits, credit_limit) from ``hourly_spend`` with columns ``credit_limit`` and, at will, ``since``.
 
     Each hour is a check: ``credits`` is the spend of the month up to the first hour that calls for the action, however
     the hours come in batches. ``at_end`` carries the month that then starts.
     """
     watch = SpendWatch([(name, Decimal(percent)) for name, percent in steps], strict, at_end)
     kind = hours.schema["subject"].dataType.simpleString()
+    since = F.unix_micros("since") if "since" in hours.columns else F.lit(0).cast("bigint")
+    hours = hours.withColumn("since_us", F.coalesce(since, F.lit(0)))
     found = hours.groupBy("subject", "month_end_us").transformWithState(
         watch, f"subject {kind}, month_end_us bigint, action string, credits decimal(38,6), credit_limit decimal(38,6)", "append", "eventTime")
     month_end = F.to_date(F.timestamp_micros("month_end_us"))

@@ -95,6 +95,27 @@ def test_late_usage_of_an_old_month_revokes_nobody(spark, tmp_path):
     assert rows(found, "user_name", "credits_used") == [("u2", dec("101.000000"))]
 
 
+def test_who_is_granted_access_again_is_checked_again(spark, tmp_path):
+    access = spark.createDataFrame([("u1", 1, ts("2024-01-01"), dec(100), True, None, None)], ACCESS)
+    buckets.save_buckets(access, "regranted_access", 2, path=str(tmp_path / "access"))
+    users = spark.createDataFrame([(1, "u1")], "user_id bigint, name string")
+    job, at = str(tmp_path / "job"), F.lit("2024-01-31").cast("timestamp")
+
+    def check(day, credits):
+        usage_files(spark, tmp_path / "usage", [(1, ts(day), dec(credits))])
+        usage = spark.readStream.schema(USAGE).parquet(str(tmp_path / "usage"))
+        found = run_to_end(jobs.limit_actions(usage, buckets.read_buckets(spark, "regranted_access"), at, late="0 seconds"), job)
+        jobs.apply_actions(spark, job, "regranted_access", at)
+        return rows(found, "credits_used"), rows(buckets.read_buckets(spark, "regranted_access"), "is_active")
+
+    check("2024-01-02", 101)
+    assert check("2024-01-03", 1) == ([(dec("101.000000"),)], [(False,)])
+    buckets.grant("regranted_access", spark.createDataFrame([("u1", dec(150), ts("2024-01-04"))], "user_name string, monthly_credit_limit decimal(38,6), requested_at timestamp"), users, dt.date(2024, 1, 4))
+    assert check("2024-01-05", 30)[1] == [(True,)]
+    check("2024-01-06", 30)
+    assert check("2024-01-07", 1)[1] == [(False,)]
+
+
 def test_budget_actions_come_once_and_access_returns_without_usage(spark, tmp_path):
     kind = "agent_name string, start_time timestamp, token_credits decimal(38,6)"
     folder = tmp_path / "usage"
