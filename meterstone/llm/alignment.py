@@ -114,11 +114,10 @@ class Windows:
         (ga, ia, ma), (gb, ib, mb) = counted(a_group, a), counted(b_group, b)
         b_first, b_many = np.searchsorted(gb, np.arange(len(shared))), np.bincount(gb, minlength=len(shared))
         left, right = np.repeat(np.arange(len(ga)), b_many[ga]), spread(b_first[ga], b_many[ga])
-        self.ids, pair = np.unique(ia[left] << 32 | ib[right], return_inverse=True)
+        pair, self.ids = pd.factorize(ia[left] << 32 | ib[right])
         # Pairs of window w: places starts[w] to starts[w + 1]. A pair in several of its groups counts for each.
-        met, place = np.unique(group_window[ga[left]] * max(1, len(self.ids)) + pair, return_inverse=True)
-        window, self.pairs = np.divmod(met, max(1, len(self.ids)))
-        self.times = np.bincount(place, ma[left] * mb[right], len(met)).astype(np.int64)
+        window, self.pairs, first, order = runs_of(group_window[ga[left]], pair)
+        self.times = np.add.reduceat((ma[left] * mb[right])[order], first) if len(first) else np.zeros(0, np.int64)
         self.starts = np.concatenate([[0], np.cumsum(np.bincount(window, minlength=n))])
         self.docs = np.zeros(len(self.ids), np.int64)
         # Tokens in the order of the groups, A before B, each after a sign that tells what it follows.
@@ -145,12 +144,19 @@ def distinct(x: np.ndarray) -> np.ndarray:
     return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
 
 
-def counted(groups: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Different (group, id) in order, and how often each occurs."""
-    order = np.lexsort((ids, groups))
+def runs_of(groups: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Different (group, id) in order, where each begins in that order, and the order. ``groups`` come in order."""
+    # Nearly sorted already, which a stable sort makes use of.
+    order = np.argsort(groups << 32 | ids, kind="stable")
     groups, ids = groups[order], ids[order]
     first = np.flatnonzero(np.concatenate([[True], (groups[1:] != groups[:-1]) | (ids[1:] != ids[:-1])])) if len(ids) else np.zeros(0, np.int64)
-    return groups[first], ids[first], np.diff(first, append=len(ids))
+    return groups[first], ids[first], first, order
+
+
+def counted(groups: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different (group, id) in order, and how often each occurs."""
+    found, which, first, _ = runs_of(groups, ids)
+    return found, which, np.diff(first, append=len(ids))
 
 
 def spread(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -175,16 +181,17 @@ class Aligner:
     def chunk(self, texts: list[str], each: bool = False) -> tuple[list[tuple], Windows]:
         """(n_a, n_b, n_groups, n_links, groups_sha256, windows) of each text, and the windows of all.
 
-        The bytes of A are checked on the texts, those of B against A in each kind of window; should one differ, the texts are
-        gone through again and B is checked on ``each``.
+        Byte-level tokens are pieces of the text's own bytes, so as many bytes as the text has are its bytes. The bytes of B are checked
+        against those of A in each kind of window; should one differ, the texts are gone through again and checked ``each``.
         """
         a_ids, b_ids, bounds, valid = [], [], [], []
         for i, (text, b) in enumerate(zip(texts, self.encode_b(texts, num_threads=1))):
-            raw, a = (" " + text).encode("utf-8", "replace"), self.encode_a(" " + text)
-            b_array = np.array(b, np.int64)
-            if text and self.a_tokens.joined(a) == raw and self.b_tokens.lengths[b_array].sum() == len(raw) and (not each or self.b_tokens.joined(b) == raw):
-                a_ids.append(np.array(a, np.int64))
-                b_ids.append(b_array)
+            raw = (" " + text).encode("utf-8", "replace")
+            x, y = np.array(self.encode_a(" " + text), np.int64), np.array(b, np.int64)
+            fits = text and self.a_tokens.lengths[x].sum() == self.b_tokens.lengths[y].sum() == len(raw)
+            if fits and (not each or self.a_tokens.joined(x.tolist()) == self.b_tokens.joined(b) == raw):
+                a_ids.append(x)
+                b_ids.append(y)
                 bounds.append(len(raw))
                 valid.append(i)
         nothing = packed_numbers(np.zeros(0, np.int64))
