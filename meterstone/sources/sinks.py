@@ -116,6 +116,8 @@ def materialise(df: DataFrame, name: str, layer: str, folder: str | None = None)
 
 def materialise_tested(df: DataFrame, name: str, layer: str, folder: str, failures: Mapping[str, Column]) -> tuple[DataFrame, DataFrame]:
     """Store a model and test its rows on the way: the stored model, and the test report. No second scan takes place."""
+    if LAYER_MATERIALISATION[layer] != "table":
+        raise ValueError(f"models of the layer {layer} are not stored, so nothing would count their rows")
     watched, counter = observed_tests(df, failures)
     stored = materialise(watched, name, layer, folder)
     return stored, observed_report(df.sparkSession, counter)

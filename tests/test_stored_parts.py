@@ -152,8 +152,13 @@ def test_curve_places_keep_the_order_of_each_column(spark):
     df = spark.createDataFrame([(float(a), float(b)) for a in range(4) for b in range(4)], "a double, b double")
     got = {(r.a, r.b): r.z for r in df.withColumn("z", sinks.z_value({"a": [0.0, 1.0, 2.0], "b": [0.0, 1.0, 2.0]}, 2)).collect()}
     assert len(set(got.values())) == 16 and got[0, 0] == 0 and got[3, 3] == 15 and got[1, 1] == 3 and got[2, 0] == 4
-    empty = spark.createDataFrame([], "start_time timestamp, user_id bigint, model_name string")
-    assert empty.count() == 0
+
+
+def test_nothing_can_be_ordered_along_a_curve(spark, tmp_path):
+    kind = "start_time timestamp, user_id bigint, model_name string"
+    sinks.write_z_ordered_usage(spark.createDataFrame([], kind), str(tmp_path / "e"))
+    sinks.write_z_ordered_usage(spark.createDataFrame([(ts("2024-01-01"), None, None), (ts("2024-01-02"), 3, "m")], kind), str(tmp_path / "n"))
+    assert rows(spark.read.parquet(str(tmp_path / "n")), "user_id", "model_name") == [(3, "m"), (None, None)]
 
 
 # Sketches
@@ -221,6 +226,8 @@ def test_a_model_is_tested_by_its_own_write(spark, tmp_path):
     stored, report = sinks.materialise_tested(df, "m", "marts", str(tmp_path), {"small": F.col("id") > 89, "known": F.col("id").isNull()})
     assert rows(report) == [("known", 0, "PASS"), ("small", 10, "FAIL")] and stored.count() == 100
     assert seen.value == 100  # each row was made once, by the write
+    with pytest.raises(ValueError):
+        sinks.materialise_tested(df, "m", "staging", str(tmp_path), {})
     _, none = sinks.materialise_tested(df.limit(0), "none", "marts", str(tmp_path), {"small": F.col("id") > 89})
     assert rows(none) == [("small", 0, "PASS")]
 
@@ -264,12 +271,21 @@ def test_closure_and_questions_equal_a_walk(spark, edges, steps):
         assert rows(workflow.reaches(df, asked)) == sorted(((a, b, b in want.get(a, {})) for a, b in pairs), key=lambda r: tuple((v is None, str(v)) for v in r))
 
 
-def test_fewer_jobs_than_levels(spark):
+def test_lineage_of_nothing(spark):
+    none = spark.createDataFrame([], "model string, parent string")
+    assert workflow.lineage_closure(none).collect() == []
+    pairs = spark.createDataFrame([("a", "b"), ("a", None), (None, "b")], "model string, related string")
+    assert rows(workflow.reaches(none, pairs.dropna())) == [("a", "b", False)]
+    assert workflow.reaches(none, pairs.limit(0)).collect() == []
+
+
+def test_fewer_rounds_than_levels(spark, monkeypatch):
     chain = spark.createDataFrame([(f"n{k}", f"n{k + 1}") for k in range(24)], "model string, parent string")
-    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
-    workflow.lineage_closure(chain, spark.createDataFrame([("n0",)], "model string"), steps_at_once=8).count()
-    many = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
-    assert len(many) - before < 60
+    rounds, cut = [], workflow.cut_lineage
+    monkeypatch.setattr(workflow, "cut_lineage", lambda df: rounds.append(1) or cut(df))
+    found = workflow.lineage_closure(chain, spark.createDataFrame([("n0",)], "model string"), steps_at_once=8)
+    # 24 levels: the edges, three rounds, and one that finds nothing more.
+    assert found.count() == 24 and len(rounds) == 5
 
 
 # Artifacts
