@@ -12,7 +12,7 @@ from meterstone.plans.registry import query
 from meterstone.session import work_folder
 from meterstone.sources import sinks
 from meterstone.sources import views as w
-from meterstone.streaming.tables import run_closed, stream_table
+from meterstone.streaming.tables import run_closed, state_partitions, stream_table
 
 SCAN_AS_OF = dt.date(2001, 8, 1)
 NOW = "TIMESTAMP '2001-08-01'"
@@ -174,7 +174,7 @@ FROM findings GROUP BY ALL""")
 def active_scanners_stream(v):
     """The daily sketch table written by a stream."""
     orders = stream_table(v.spark, v.folder, "orders")
-    daily = run_closed(lambda rows: sketches.streamed_scanners(w.findings_of(rows)), orders, work_folder(v.spark, "daily"), "o_orderdate")
+    daily = run_closed(lambda rows: sketches.streamed_scanners(w.findings_of(rows)), orders, work_folder(v.spark, "daily"), "o_orderdate", state_partitions(v.spark, f"{v.folder}/orders.parquet"))
     return daily.select("day", "scanner_package_name", sketches.estimate("scanner_name").alias("scanners"), sketches.estimate("event_id").alias("runs"))
 
 

@@ -13,7 +13,7 @@ from meterstone.session import work_folder
 from meterstone.sources import buckets
 from meterstone.sources import views as w
 from meterstone.streaming import jobs
-from meterstone.streaming.tables import run_closed, run_to_end, stream_table
+from meterstone.streaming.tables import run_closed, run_to_end, state_partitions, stream_table
 
 BUCKETS = 8
 
@@ -26,9 +26,13 @@ def event_stream(v):
     return w.event_columns(stream_table(v.spark, v.folder, "events"))
 
 
+def event_partitions(v):
+    return state_partitions(v.spark, f"{v.folder}/events.parquet")
+
+
 def closed(v, label, build, **values):
     """All results of a stream over the events, none held back."""
-    return run_closed(build, event_stream(v), work_folder(v.spark, label), "ts", **values)
+    return run_closed(build, event_stream(v), work_folder(v.spark, label), "ts", event_partitions(v), **values)
 
 
 @query("R01", """SELECT date_trunc('hour', ts) AS start_time, date_trunc('hour', ts) + INTERVAL 1 HOUR AS end_time, event_type AS function_name,
@@ -67,14 +71,14 @@ def enforced_access_stream(v):
     table = "access_" + work_folder(v.spark, "t").rpartition("-")[2]
     buckets.save_buckets(v.access_control, table, BUCKETS, path=work_folder(v.spark, "access"))
     folder = work_folder(v.spark, "enforced")
-    run_closed(lambda events: jobs.limit_actions(w.ai_usage_of(events), v.spark.table(table), stamp()), event_stream(v), folder, "ts", user_id=1)
+    run_closed(lambda events: jobs.limit_actions(w.ai_usage_of(events), v.spark.table(table), stamp()), event_stream(v), folder, "ts", event_partitions(v), user_id=1)
     jobs.apply_actions(v.spark, folder, table, stamp())
     return buckets.read_buckets(v.spark, table)
 
 
 @query("R05", f"SELECT DISTINCT * FROM ({RUNAWAY_SQL})")
 def runaway_stream(v):
-    return run_to_end(jobs.runaway_work(w.ai_usage_of(event_stream(v)), v.users, Decimal("50"), stamp()), work_folder(v.spark, "runaway"))
+    return run_to_end(jobs.runaway_work(w.ai_usage_of(event_stream(v)), v.users, Decimal("50"), stamp()), work_folder(v.spark, "runaway"), event_partitions(v))
 
 
 @query("R08", BUDGET_ACTIONS)

@@ -25,43 +25,56 @@ def stream_table(spark: SparkSession, folder: str, name: str, files_per_trigger:
     return reader.parquet(folder)
 
 
+def state_partitions(spark: SparkSession, path: str, bytes_each: int = 64 << 20, least: int = 4) -> int:
+    """Partitions of a stream's state, by the size of the table it reads. They stay as they are for as long as the stream lives."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    folder = jvm.Path(path)
+    size = folder.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(folder).getLength()
+    return max(least, -(-size // bytes_each))
+
+
 @contextmanager
-def _store(spark: SparkSession) -> Iterator[None]:
-    """A query keeps the store it was started with; the session's own setting comes back."""
-    before = spark.conf.get(STORE, None)
-    spark.conf.set(STORE, ROCKS)
+def _settings(spark: SparkSession, **settings: str) -> Iterator[None]:
+    """A query keeps the settings it was started with; the session's own come back."""
+    before = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(STORE)
-        else:
-            spark.conf.set(STORE, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
-def _start(spark: SparkSession, writer: DataStreamWriter, folder: str, every: str | None, path: str | None = None) -> StreamingQuery:
+def _start(spark: SparkSession, writer: DataStreamWriter, folder: str, every: str | None, path: str | None = None, partitions: int | None = None) -> StreamingQuery:
     """Start a query; without an interval it takes the input there is now and has ended on return."""
     writer = writer.option("checkpointLocation", f"{folder}/checkpoint")
     writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
-    with _store(spark):
+    with _settings(spark, **{STORE: ROCKS} | ({"spark.sql.shuffle.partitions": str(partitions)} if partitions else {})):
         query = writer.start(path) if path else writer.start()
     if not every:
         query.awaitTermination()
     return query
 
 
-def run_rows(stream: DataFrame, folder: str, every: str | None = None) -> StreamingQuery:
-    """Append the rows of a stream to the table ``folder/rows``, once or at an interval such as ``1 hour``."""
-    return _start(stream.sparkSession, stream.writeStream.format("parquet").outputMode("append"), folder, every, f"{folder}/rows")
+def run_rows(stream: DataFrame, folder: str, every: str | None = None, partitions: int | None = None) -> StreamingQuery:
+    """Append the rows of a stream to the table ``folder/rows``, once or at an interval such as ``1 hour``.
+
+    ``partitions`` (of the state) counts when the stream starts for the first time; the session's setting otherwise.
+    """
+    return _start(stream.sparkSession, stream.writeStream.format("parquet").outputMode("append"), folder, every, f"{folder}/rows", partitions)
 
 
-def run_to_end(stream: DataFrame, folder: str) -> DataFrame:
+def run_to_end(stream: DataFrame, folder: str, partitions: int | None = None) -> DataFrame:
     """Process all input there is now, and return the table of results."""
-    run_rows(stream, folder)
+    run_rows(stream, folder, partitions=partitions)
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
-def run_closed(build: Callable[[DataFrame], DataFrame], rows: DataFrame, folder: str, ts: str, **values) -> DataFrame:
+def run_closed(build: Callable[[DataFrame], DataFrame], rows: DataFrame, folder: str, ts: str, partitions: int | None = None, **values) -> DataFrame:
     """``run_to_end`` of ``build(rows)`` for a table that has come to its end, so that no window stays open.
 
     After all input one more row, far ahead in time, moves the watermark past every window and timer. It belongs to a window that never
@@ -71,13 +84,12 @@ def run_closed(build: Callable[[DataFrame], DataFrame], rows: DataFrame, folder:
     ends = spark.createDataFrame([], rows.schema)
     ends.write.mode("append").parquet(f"{folder}/ends")
     closing = spark.readStream.schema(rows.schema).parquet(f"{folder}/ends")
-    stream = build(rows.unionByName(closing))
-    run_rows(stream, folder)
+    run_rows(build(rows.unionByName(closing)), folder, partitions=partitions)
     blank = {f.name: F.lit("" if f.dataType.typeName() == "string" else False if f.dataType.typeName() == "boolean" else 0) for f in rows.schema.fields
              if f.dataType.typeName() in ("string", "boolean", "integer", "long", "double", "decimal")}
     row = blank | {ts: F.lit(FAR_AHEAD)} | {k: F.lit(v) for k, v in values.items()}
     spark.range(1).select(*[row.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema.fields]).write.mode("append").parquet(f"{folder}/ends")
-    return run_to_end(build(rows.unionByName(closing)), folder)
+    return run_to_end(build(rows.unionByName(closing)), folder, partitions)
 
 
 def run_batches(
