@@ -1,4 +1,5 @@
 import datetime as dt
+import os
 from decimal import Decimal
 
 import pyarrow.parquet as pq
@@ -23,7 +24,9 @@ def parts(tmp_path):
     size = table.num_rows // 4
     for i in range(4):
         part = table.slice(i * size, size if i < 3 else None)
-        pq.write_table(part, folder / ("events.parquet" if i == 0 else f"events-{i}.parquet"))
+        name = folder / ("events.parquet" if i == 0 else f"events-{i}.parquet")
+        pq.write_table(part, name)
+        os.utime(name, (1_700_000_000 + i,) * 2)  # streams take files by age; two may be written within a millisecond
     return folder
 
 
@@ -156,10 +159,12 @@ def test_dormant_logins_across_batches_and_a_restart_equal_the_batch(spark, part
     for name in ("events-2.parquet", "events-3.parquet"):
         (held / name).write_bytes((parts / name).read_bytes())
         pq.write_table(pq.read_table(EVENTS).slice(0, 0), parts / name)  # these rows come only after the restart
+        os.utime(parts / name, (1_700_000_010,) * 2)
     build = lambda df: jobs.dormant_logins(views.logins_of(df), 1)
     early = run_to_end(build(stream(spark, parts)), str(tmp_path / "first")).count()
     for i, name in enumerate(("events-2.parquet", "events-3.parquet")):
         (parts / f"events-{i + 7}.parquet").write_bytes((held / name).read_bytes())
+        os.utime(parts / f"events-{i + 7}.parquet", (1_700_000_020 + i,) * 2)
     run_to_end(build(stream(spark, parts)), str(tmp_path / "first"))
     got = spark.read.parquet(str(tmp_path / "first" / "rows"))
     want = detect.dormant_login(views.logins_of(batch(spark)), 1)
