@@ -264,13 +264,17 @@ def test_numbers_survive_packing():
         assert alignment.unpacked_numbers(alignment.packed_numbers(numbers)).tolist() == sorted(numbers.tolist())
 
 
-def test_mining_equals_its_sql(spark):
+@pytest.mark.parametrize("name", ["op1_ngram_join", "op6_decontamination", "op8_substrings", "op11_hard_negatives"])
+def test_queries_equal_their_sql(spark, name):
     import duckdb
 
     from meterstone.llm.queries import ORACLES, QUERIES
 
     connection = duckdb.connect()
-    connection.execute("CREATE VIEW embeddings AS SELECT * FROM '/root/testdata/sf0.001/embeddings.parquet'")
-    want = sorted(connection.execute(ORACLES["op11_hard_negatives"]).fetchall())
-    columns = ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"]
-    assert sorted(tuple(r) for r in QUERIES["op11_hard_negatives"](spark, "/root/testdata/sf0.001").select(*columns).collect()) == want and want
+    for table in ("documents", "benchmark", "embeddings"):
+        connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '/root/testdata/sf0.001/{table}.parquet'")
+    found = connection.execute(ORACLES[name])
+    columns, want = [c[0] for c in found.description], sorted(found.fetchall())
+    result = QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert sorted(result.columns) == sorted(columns)
+    assert sorted(tuple(r) for r in result.select(*columns).collect()) == want and want
