@@ -53,7 +53,7 @@ def spend_alert_stream(v):
 
 REVOKED = f"""WITH h AS (SELECT user_id, start_time, sum(credits) AS credits FROM ai_usage WHERE {MTD} GROUP BY 1, 2),
 r AS (SELECT user_id, sum(credits) OVER (PARTITION BY user_id ORDER BY start_time) AS used FROM h)
-SELECT user_name, min(used) AS credits_used, monthly_credit_limit AS credit_limit, 'REVOKED' AS action
+SELECT user_name, DATE '2024-01-01' AS month, min(used) AS credits_used, monthly_credit_limit AS credit_limit, 'REVOKED' AS action
 FROM r JOIN access_control USING (user_id) WHERE used > monthly_credit_limit AND is_active GROUP BY ALL"""
 
 
@@ -68,10 +68,26 @@ CASE WHEN hit THEN TIMESTAMP '2024-01-31' ELSE revoked_at END AS revoked_at,
 CASE WHEN hit THEN 'Monthly limit exceeded' ELSE revocation_reason END AS revocation_reason FROM j""")
 def enforced_access_stream(v):
     """The bucketed access table after the streams have taken access away, bucket by bucket."""
+    return access_after(v, reinstate=False)
+
+
+@query("R03 R04", f"""WITH {SPENT}, j AS (SELECT *, used > monthly_credit_limit AS hit FROM spent)
+SELECT user_name, user_id, CASE WHEN hit THEN TIMESTAMP '2024-02-01' ELSE granted_at END AS granted_at, monthly_credit_limit, is_active OR hit AS is_active,
+CASE WHEN NOT hit THEN revoked_at END AS revoked_at, CASE WHEN NOT hit THEN revocation_reason END AS revocation_reason FROM j""")
+def reinstated_access_stream(v):
+    """Over the limit in January, active again from the first of February, though no usage tells the stream that it has come."""
+    return access_after(v, reinstate=True)
+
+
+def access_after(v, reinstate):
     table = "access_" + work_folder(v.spark, "t").rpartition("-")[2]
     buckets.save_buckets(v.access_control, table, BUCKETS, path=work_folder(v.spark, "access"))
     folder = work_folder(v.spark, "enforced")
-    run_closed(lambda events: jobs.limit_actions(w.ai_usage_of(events), v.spark.table(table), stamp()), event_stream(v), folder, "ts", event_partitions(v), user_id=1)
+
+    def build(events):
+        return jobs.limit_actions(w.ai_usage_of(events), buckets.read_buckets(v.spark, table), stamp(), reinstate=reinstate)
+
+    run_closed(build, event_stream(v), folder, "ts", event_partitions(v), user_id=1)
     jobs.apply_actions(v.spark, folder, table, stamp())
     return buckets.read_buckets(v.spark, table)
 

@@ -39,9 +39,12 @@ def spend_alerts(usage: DataFrame, threshold: Decimal, sent_at: Column | None =
         F.col("subject").alias("alert_name"), F.col("month").alias("alert_month"), stamp.alias("sent_at"), F.col("credits").alias("credits_at_alert"))
 
 
-def limit_actions(usage: DataFrame, access: DataFrame, at: Column | None = None, late: str = "2 hours") -> DataFrame:
+def limit_actions(usage: DataFrame, access: DataFrame, at: Column | None = None, late: str = "2 hours", reinstate: bool = False) -> DataFrame:
     """One REVOKED row per active user whose spend of the month of the check passes their limit.
 
+    With ``reinstate`` a GRANTED row follows when the next month starts, for every user over the limit, with or without access then. A
+    timer gives it out, so it needs no usage.
+
     Usage of other months, and usage later than the check, does not count, whenever it arrives. Each month starts anew. Who is granted
     access again during the month is checked again with the hours that follow. The access table is read as it is when the
     job starts, so a job that follows changes is run to its end as often as the check is due, and ``apply_actions`` after it.
@@ -52,12 +55,13 @@ def limit_actions(usage: DataFrame, access: DataFrame, at: Column | None = None,
     # Spend of users without access counts on, for the time they get it back.
     named = access.select(
         F.col("user_id").alias("subject"), "user_name", F.col("monthly_credit_limit").cast("decimal(38,6)").alias("credit_limit"), F.col("granted_at").alias("since"), "is_active")
-    found = keyed.spend_watch(hours.join(named.drop("user_name", "is_active"), "subject"), [("REVOKED", 100)])
-    return found.drop("credit_limit").join(named.where("is_active").drop("since", "is_active"), "subject").select("user_name", F.col("credits").alias("credits_used"), "credit_limit", "action")
+    found = keyed.spend_watch(hours.join(named.drop("user_name", "is_active"), "subject"), [("REVOKED", 100)], at_end="GRANTED" if reinstate else None)
+    known = found.drop("credit_limit").join(named.drop("since"), "subject").where((F.col("action") == "GRANTED") | F.col("is_active"))
+    return known.select("user_name", "month", F.col("credits").alias("credits_used"), "credit_limit", "action")
 
 
 def apply_actions(spark: SparkSession, folder: str, table: str, at: Column | None = None) -> StreamingQuery:
-    """Takes access away from the users of the actions written to ``folder/rows``, in the bucketed table of access rights.
+    """Carries out the actions written to ``folder/rows`` (``limit_actions``) in the bucketed table of access rights.
 
     The stream follows the written actions, so each counts once. Only the buckets of these users are written, and a batch
     that is repeated finds nothing left to change.
@@ -65,7 +69,11 @@ def apply_actions(spark: SparkSession, folder: str, table: str, at: Column | Non
     stamp = F.current_timestamp() if at is None else at
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        buckets.update_rows(table, batch.select("user_name").distinct(), limits.revoked_access, stamp)
+        # Of several actions for a user the last counts; within a month access is granted before it is taken away.
+        order = F.struct("month", (F.col("action") == "REVOKED").alias("revoked"))
+        last = batch.groupBy("user_name").agg(F.max(order).alias("o")).select("user_name", "o.month", "o.revoked")
+        buckets.update_rows(table, last.where("revoked"), limits.revoked_access, stamp)
+        buckets.update_rows(table, last.where("not revoked"), limits.granted_access, stamp)
 
     schema = spark.read.parquet(f"{folder}/rows").schema
     return run_batches(spark.readStream.schema(schema).parquet(f"{folder}/rows"), f"{folder}/applied", apply)

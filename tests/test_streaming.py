@@ -119,6 +119,26 @@ def test_who_is_granted_access_again_is_checked_again(spark, tmp_path):
     assert check("2024-01-07", 1)[1] == [(False,)]
 
 
+def test_access_comes_back_when_the_month_starts(spark, tmp_path):
+    access = spark.createDataFrame([(f"u{i}", i, ts("2024-01-01"), dec(100), True, None, None) for i in (1, 2, 3)], ACCESS)
+    buckets.save_buckets(access, "returned_access", 2, path=str(tmp_path / "access"))
+    usage = usage_files(spark, tmp_path / "usage", [(1, ts("2024-01-20"), dec(101)), (2, ts("2024-01-21"), dec(99))])
+    at, job = F.lit("2024-01-31").cast("timestamp"), str(tmp_path / "job")
+    build = lambda u: jobs.limit_actions(u, buckets.read_buckets(spark, "returned_access"), at, reinstate=True)
+    found = run_closed(build, usage, job, "start_time", user_id=1)
+    assert rows(found, "user_name", "month", "action") == [("u1", dt.date(2024, 1, 1), "REVOKED"), ("u1", dt.date(2024, 2, 1), "GRANTED")]
+    jobs.apply_actions(spark, job, "returned_access", at)
+    assert rows(buckets.read_buckets(spark, "returned_access"), "user_name", "is_active", "granted_at") == [
+        ("u1", True, ts("2024-02-01")), ("u2", True, ts("2024-01-01")), ("u3", True, ts("2024-01-01"))]
+    # Taken away in one run and given back in a later one.
+    revoked = spark.createDataFrame([("u2",)], "user_name string")
+    buckets.update_rows("returned_access", revoked, limits.revoked_access, at)
+    back = spark.createDataFrame([("u2", dt.date(2024, 2, 1)), ("u3", dt.date(2024, 2, 1))], "user_name string, month date")
+    buckets.update_rows("returned_access", back, limits.granted_access, at)
+    assert rows(buckets.read_buckets(spark, "returned_access"), "user_name", "is_active", "granted_at", "revoked_at") == [
+        ("u1", True, ts("2024-02-01"), None), ("u2", True, ts("2024-02-01"), None), ("u3", True, ts("2024-02-01"), None)]
+
+
 def test_budget_actions_come_once_and_access_returns_without_usage(spark, tmp_path):
     kind = "agent_name string, start_time timestamp, token_credits decimal(38,6)"
     folder = tmp_path / "usage"
