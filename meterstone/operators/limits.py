@@ -136,14 +136,14 @@ def enforced_access(access: DataFrame, spend: DataFrame, as_of: Instant) -> Data
 def revoked_access(access: DataFrame, users: DataFrame, as_of: Instant | Column) -> DataFrame:
     """Access rows of ``users`` (user_name) that are still active, as they are once revoked."""
     stamp = as_of if isinstance(as_of, Column) else instant(as_of)
-    hit = access.where("is_active").join(users.select("user_name"), "user_name", "left_semi")
+    hit = access.where("is_active").join(users.select("user_name").hint("merge"), "user_name", "left_semi")
     return hit.withColumns({"is_active": F.lit(False), "revoked_at": stamp, "revocation_reason": F.lit(LIMIT_REASON)}).select(*ACCESS_COLUMNS)
 
 
 def granted_access(access: DataFrame, users: DataFrame, as_of: Instant | Column) -> DataFrame:
     """Access rows of ``users`` (user_name, month) as they are once reinstated at the start of the month."""
     back = users.groupBy("user_name").agg(F.max("month").cast("timestamp").alias("since"))
-    hit = access.join(back, "user_name")
+    hit = access.join(back.hint("merge"), "user_name")
     none = F.lit(None)
     return hit.withColumns({"is_active": F.lit(True), "granted_at": F.col("since"), "revoked_at": none.cast("timestamp"), "revocation_reason": none.cast("string")}).select(*ACCESS_COLUMNS)
 

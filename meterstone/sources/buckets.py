@@ -88,6 +88,6 @@ def update_rows(table: str, users: DataFrame, change: Callable[[DataFrame, DataF
     if numbers:
         access = read_buckets(spark, table, numbers)
         changed = change(access, users, as_of)
-        others = access.join(changed.select(KEY), KEY, "left_anti")
+        others = access.join(changed.select(KEY).hint("merge"), KEY, "left_anti")
         replace_buckets(others.unionByName(changed), table, buckets)
     return numbers

@@ -52,11 +52,12 @@ def limit_actions(usage: DataFrame, access: DataFrame, at: Column | None = None,
     stamp = F.current_timestamp() if at is None else at
     counted = usage.withWatermark("start_time", late).where(F.col("start_time").between(F.date_trunc("month", stamp), stamp))
     hours = keyed.hourly_spend(counted, F.col("user_id"))
-    # Spend of users without access counts on, for the time they get it back.
+    # Spend of users without access counts on, for the time they get it back. Access rows grow with the users, however small
+    # their compressed files look, so they are not copied through the driver.
     named = access.select(
         F.col("user_id").alias("subject"), "user_name", F.col("monthly_credit_limit").cast("decimal(38,6)").alias("credit_limit"), F.col("granted_at").alias("since"), "is_active")
-    found = keyed.spend_watch(hours.join(named.drop("user_name", "is_active"), "subject"), [("REVOKED", 100)], at_end="GRANTED" if reinstate else None)
-    known = found.drop("credit_limit").join(named.drop("since"), "subject").where((F.col("action") == "GRANTED") | F.col("is_active"))
+    found = keyed.spend_watch(hours.join(named.drop("user_name", "is_active").hint("merge"), "subject"), [("REVOKED", 100)], at_end="GRANTED" if reinstate else None)
+    known = found.drop("credit_limit").join(named.drop("since").hint("merge"), "subject").where((F.col("action") == "GRANTED") | F.col("is_active"))
     return known.select("user_name", "month", F.col("credits").alias("credits_used"), "credit_limit", "action")
 
 

@@ -10,7 +10,7 @@ from meterstone.operators import detect, limits
 from meterstone.sources import buckets, views
 from meterstone.streaming import jobs, keyed
 from meterstone.streaming.tables import STORE, run_batches, run_closed, run_rows, run_to_end, stream_table
-from tests.conftest import dec, rows, ts
+from tests.conftest import dec, plan_of, rows, ts
 
 EVENTS = "/root/testdata/sf0.001/events.parquet"
 
@@ -139,6 +139,20 @@ def test_access_comes_back_when_the_month_starts(spark, tmp_path):
         ("u1", True, ts("2024-02-01"), None), ("u2", True, ts("2024-02-01"), None), ("u3", True, ts("2024-02-01"), None)]
 
 
+def test_access_rows_are_never_copied_through_the_driver(spark, tmp_path):
+    """Names compress to files far below the broadcast threshold, while their rows need hundreds of megabytes on the driver."""
+    access = spark.createDataFrame([("u1", 1, ts("2024-01-01"), dec(100), True, None, None)], ACCESS)
+    buckets.save_buckets(access, "merged_access", 2, path=str(tmp_path / "access"))
+    usage = usage_files(spark, tmp_path / "usage", [(1, ts("2024-01-20"), dec(101))])
+    at = F.lit("2024-01-31").cast("timestamp")
+    stream_plan = plan_of(jobs.limit_actions(usage, buckets.read_buckets(spark, "merged_access"), at, reinstate=True))
+    assert "SortMergeJoin" in stream_plan and "BroadcastHashJoin" not in stream_plan
+    users = spark.createDataFrame([("u1", dt.date(2024, 2, 1))], "user_name string, month date")
+    held = buckets.read_buckets(spark, "merged_access")
+    for changed in (limits.revoked_access(held, users, at), limits.granted_access(held, users, at)):
+        assert "BroadcastHashJoin" not in plan_of(changed)
+
+
 def test_budget_actions_come_once_and_access_returns_without_usage(spark, tmp_path):
     kind = "agent_name string, start_time timestamp, token_credits decimal(38,6)"
     folder = tmp_path / "usage"
