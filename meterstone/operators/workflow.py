@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from meterstone.functions.time import Instant, seconds_between_marks, within
@@ -184,7 +184,7 @@ def lineage_closure(edges: DataFrame, start: DataFrame | None = None, direction:
     pairs are listed; ``reaches`` answers for given pairs without that.
     """
     near, far = ("model", "parent") if direction == "upstream" else ("parent", "model")
-    steps = cut_lineage(edges.select(F.col(near).alias("_at"), F.col(far).alias("_next")).distinct())
+    steps = _moved(cut_lineage(edges.select(F.col(near).alias("_at"), F.col(far).alias("_next")).distinct()))
     begin = steps.select(F.col("_at").alias("model")) if start is None else start.select("model")
     last = begin.distinct().select("model", F.col("model").alias("related"))
     reached, depth = None, 0
@@ -196,44 +196,67 @@ def lineage_closure(edges: DataFrame, start: DataFrame | None = None, direction:
             level = last.withColumn("depth", F.lit(depth))
             found = level if found is None else found.unionByName(level)
         new = found.groupBy("model", "related").agg(F.min("depth").alias("depth"))
-        new = cut_lineage(new if reached is None else new.join(reached, ["model", "related"], "left_anti"))
+        new = cut_lineage(new if reached is None else new.join(reached.hint("merge"), ["model", "related"], "left_anti"))
         reached = new if reached is None else reached.unionByName(new)
         last = new.where(F.col("depth") == depth).select("model", "related")
         if last.isEmpty():
             return reached
 
 
-def reaches(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+def _moved(rows: DataFrame, most: int = 200_000) -> DataFrame:
+    """Rows to join: more than ``most`` are sorted and merged. Names compress so well that a table below the broadcast threshold on disk
+    may be a hundred times that on the driver and in every task."""
+    return rows.hint("merge") if rows.count() > most else rows
+
+
+def reaches(edges: DataFrame, pairs: DataFrame, steps_at_once: int = 4) -> DataFrame:
     """(model, related, reachable) for given ``pairs``: whether one walks from ``model`` to ``related`` along parents.
 
-    The models asked about are numbered. Each round, every node takes the numbers of the models that reach one of its
-    children, as bitmaps combined by OR, so a node has one row for up to 32,768 models asked about however many pairs that are.
-    It ends when no bitmap grows, so cycles do no harm. A model does not reach itself unless a cycle leads back.
+    The models asked about are numbered, those with common forebears side by side. A node has a row for each 64 numbers of which
+    a model reaches it, as the bits of one word, so what is kept grows with the models that do, and is less where neighbours
+    walk the same way. Each round walks ``steps_at_once`` steps on from the bits first set at the end of the last one, and keeps
+    only new bits; it ends when there are none, so cycles do no harm. A model does not reach itself unless a cycle leads back.
     """
     asked = cut_lineage(pairs.select("model", "related").distinct())
-    numbered = cut_lineage(_numbered(asked.select("model").distinct()))
-    steps = cut_lineage(edges.select(F.col("model").alias("_at"), F.col("parent").alias("_next")).distinct())
-    bucket, position = F.bitmap_bucket_number("number"), F.bitmap_bit_position("number")
-    first = numbered.join(steps, numbered["model"] == steps["_at"]).select(F.col("_next").alias("node"), bucket.alias("bucket"), position.alias("bit"))
-    held = cut_lineage(first.groupBy("node", "bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).withColumn("fresh", F.lit(True)))
-    while not held.where("fresh").isEmpty():
-        walked = held.where("fresh").join(steps, F.col("node") == F.col("_at")).select(F.col("_next").alias("node"), "bucket", "bits")
-        both = held.select("node", "bucket", "bits", F.bitmap_count("bits").alias("n")).unionByName(walked.withColumn("n", F.lit(0).cast("bigint")))
-        grown = both.groupBy("node", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"), F.max("n").alias("n"))
-        held = cut_lineage(grown.select("node", "bucket", "bits", (F.bitmap_count("bits") > F.col("n")).alias("fresh")))
-    named = asked.join(numbered, "model").withColumn("bucket", bucket).withColumn("bit", position.cast("int"))
-    found = named.join(held.select(F.col("node").alias("related"), "bucket", "bits"), ["related", "bucket"], "left")
-    # Bit b is bit b % 8 of byte b / 8.
-    byte = F.conv(F.hex(F.substring("bits", F.floor(F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    there = F.coalesce(F.call_function("getbit", byte, F.col("bit") % 8) == 1, F.lit(False))
-    return found.select("model", "related", there.alias("reachable"))
-
-
-def _numbered(names: DataFrame) -> DataFrame:
-    """Numbers without gaps for many names: counted per hash bucket, then shifted by the buckets before."""
-    dealt = names.select("model", F.pmod(F.xxhash64("model"), F.lit(256)).alias("_deal"))
-    counts = dealt.groupBy("_deal").agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(Window.orderBy("_deal").rowsBetween(Window.unboundedPreceding, -1))  # 256 rows
-    offsets = counts.select("_deal", F.coalesce(before, F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_deal").orderBy("model"))
-    return dealt.withColumn("_i", inside).join(offsets, "_deal").select("model", (F.col("_before") + F.col("_i") - 1).alias("number"))
+    steps = _moved(cut_lineage(edges.select(F.col("model").alias("_at"), F.col("parent").alias("_next")).distinct()))
+    numbered = cut_lineage(_numbered(asked.select("model").distinct(), steps))
+    word, position = F.shiftright("number", 6).alias("word"), F.col("number").bitwiseAND(63).cast("int")
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), position)
+    last = numbered.select(F.col("model").alias("node"), word, one.alias("bits")).groupBy("node", "word").agg(F.bit_or("bits").alias("bits"))
+    held, none = None, F.lit(0).cast("bigint")
+    while True:
+        found = None
+        for step in range(steps_at_once):
+            walked = last.join(steps, F.col("node") == F.col("_at")).select(F.col("_next").alias("node"), "word", "bits")
+            last = walked.groupBy("node", "word").agg(F.bit_or("bits").alias("bits"))
+            end = step == steps_at_once - 1
+            level = last.select("node", "word", (none if end else F.col("bits")).alias("early"), (F.col("bits") if end else none).alias("late"), none.alias("old"))
+            found = level if found is None else found.unionByName(level)
+        if held is not None:
+            found = found.unionByName(held.select("node", "word", none.alias("early"), none.alias("late"), F.col("bits").alias("old")))
+        seen = found.groupBy("node", "word").agg(*[F.bit_or(c).alias(c) for c in ("early", "late", "old")])
+        fresh = lambda c: F.col(c).bitwiseAND(F.bitwise_not("old"))
+        new = seen.select("node", "word", fresh("early").alias("early"), fresh("late").alias("late")).where("early <> 0 OR late <> 0")
+        new = cut_lineage(new.select("node", "word", F.col("early").bitwiseOR(F.col("late")).alias("bits"), F.col("late").bitwiseAND(F.bitwise_not("early")).alias("on")))
+        held = new.drop("on") if held is None else held.unionByName(new.drop("on"))
+        last = new.where("on <> 0").select("node", "word", F.col("on").alias("bits"))
+        if last.isEmpty():
+            break
+    named = asked.join(numbered.hint("merge"), "model").select("model", F.col("related").alias("node"), word, one.alias("bit"))
+    whole = held.groupBy("node", "word").agg(F.bit_or("bits").alias("bits"))
+    answered = named.join(whole.hint("merge"), ["node", "word"], "left")
+    there = F.coalesce(F.col("bits").bitwiseAND(F.col("bit")) != 0, F.lit(False))
+    return answered.select("model", F.col("node").alias("related"), there.alias("reachable"))
+
+
+def _numbered(names: DataFrame, steps: DataFrame) -> DataFrame:
+    """Different numbers for many names, with gaps; names that share a forebear one, two, four or eight steps up are neighbours.
+
+    Of several parents the smallest counts. The order has no part in any answer, only in how many words the bits fill.
+    """
+    up = _moved(cut_lineage(steps.groupBy(F.col("_at").alias("model")).agg(F.min("_next").alias("up1"))))
+    for near, far in ((1, 2), (2, 4), (4, 8)):
+        over = up.select(F.col("model").alias(f"up{near}"), F.col(f"up{near}").alias(f"up{far}"))
+        up = _moved(cut_lineage(up.join(over, f"up{near}", "left")))
+    placed = names.join(up, "model", "left").orderBy("up8", "up4", "up2", "up1", "model")
+    return placed.select("model", F.monotonically_increasing_id().alias("number"))

@@ -288,6 +288,27 @@ def test_fewer_rounds_than_levels(spark, monkeypatch):
     assert found.count() == 24 and len(rounds) == 5
 
 
+def test_edges_are_not_copied_to_tasks_when_there_are_many(spark, monkeypatch):
+    monkeypatch.setattr(workflow._moved, "__defaults__", (10,))
+    plans, cut = [], workflow.cut_lineage
+    monkeypatch.setattr(workflow, "cut_lineage", lambda df: plans.append(plan_of(df)) or cut(df))
+    edges = [(f"n{k}", f"n{k // 2}") for k in range(1, 60)]
+    df = spark.createDataFrame(edges, "model string, parent string")
+    assert workflow.lineage_closure(df).count() == sum(len(seen) for seen in walk(edges).values())
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
+
+
+def test_questions_keep_words_of_models_and_no_whole_bitmaps(spark, monkeypatch):
+    edges = [e for e in random_edges(3, 300, 420) if e[0] != e[1]]
+    kinds, cut = set(), workflow.cut_lineage
+    monkeypatch.setattr(workflow, "cut_lineage", lambda df: kinds.update(f.dataType.typeName() for f in df.schema.fields) or cut(df))
+    want, names = walk(edges), [f"n{k}" for k in range(300)]
+    pairs = [(a, b) for a in names for b in names[::7]]
+    got = workflow.reaches(spark.createDataFrame(edges, "model string, parent string"), spark.createDataFrame(pairs, "model string, related string"))
+    assert {(r.model, r.related): r.reachable for r in got.collect()} == {(a, b): b in want.get(a, {}) for a, b in pairs}
+    assert "binary" not in kinds
+
+
 # Artifacts
 
 
