@@ -25,7 +25,7 @@ def stream_table(spark: SparkSession, folder: str, name: str, files_per_trigger:
     return reader.parquet(folder)
 
 
-def state_partitions(spark: SparkSession, path: str, bytes_each: int = 64 << 20, least: int = 4) -> int:
+def state_partitions(spark: SparkSession, path: str, bytes_each: int = 4 << 20, least: int = 4) -> int:
     """Partitions of a stream's state, by the size of the table it reads. They stay as they are for as long as the stream lives."""
     jvm = spark._jvm.org.apache.hadoop.fs
     folder = jvm.Path(path)
