@@ -26,35 +26,60 @@ HOUR = "1 hour"
 
 
 class LastSeen(StatefulProcessor):
-    """When a key was last seen. Gives a row for a key that is new (``gap`` None), or that comes back after ``gap`` or more."""
+    """When keys were last seen. Gives a row for a key that is new (``gap`` None), or that comes back after ``gap`` or more.
 
-    def __init__(self, keys: list[str], gap: int | None, forget: int) -> None:
-        self.names, self.gap, self.forget = [*keys, "previous_us", "seen_us"], gap, forget
+    State is held for groups of keys: reading and writing it costs about the same for one key as for hundreds. One timer a group, no
+    later than its first key is due, so each key is forgotten at its own time.
+    """
+
+    def __init__(self, keys: list[str], kinds: str, gap: int | None, forget: int) -> None:
+        self.keys, self.kinds, self.gap, self.forget = keys, kinds, gap, forget
+        self.names = [*keys, "previous_us", "seen_us"]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.state = handle, handle.getValueState("last", "last bigint, timer bigint")
+        self.handle, self.state = handle, handle.getValueState("last", f"timer bigint, seen array<struct<{self.kinds}, last_us: bigint>>")
+
+    def load(self) -> tuple[int | None, dict[tuple, int]]:
+        timer, seen = self.state.get() or (None, [])
+        return timer, {tuple(r[:-1]): r[-1] for r in seen}
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        last, timer = self.state.get() if self.state.exists() else (None, None)
-        for first, final in sorted((r["first_us"], r["last_us"]) for r in rows):
-            if (last is None) if self.gap is None else (last is not None and first >= last + self.gap):
-                yield Row(**dict(zip(self.names, (*key, last, first))))
-            last = final if last is None else max(last, final)
-        self.remember(last, timer)
+        timer, seen = self.load()
+        came: dict[tuple, list[tuple[int, int]]] = {}
+        for r in rows:
+            came.setdefault(tuple(r[k] for k in self.keys), []).append((r["first_us"], r["last_us"]))
+        for name, times in came.items():
+            last = seen.get(name)
+            for first, final in sorted(times):
+                if (last is None) if self.gap is None else (last is not None and first >= last + self.gap):
+                    yield Row(**dict(zip(self.names, (*name, last, first))))
+                last = final if last is None else max(last, final)
+            seen[name] = last
+        self.remember(seen, timer, min(seen[name] for name in came))
 
     def handleInitialState(self, key: tuple, initialState: Row, timerValues) -> None:
-        self.remember(initialState["last_us"], None)
+        seen = {tuple(r[k] for k in self.keys): r["last_us"] for r in initialState["known"]}
+        self.remember(seen, None, min(seen.values()))
 
-    def remember(self, last: int, timer: int | None) -> None:
-        due = (last + self.forget) // 1000 + 1
-        if timer != due:
+    def remember(self, seen: dict[tuple, int], timer: int | None, earliest: int) -> None:
+        due = self.due(earliest)
+        if timer is None or due < timer:
             if timer is not None:
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(due)
-        self.state.update((last, due))
+            timer = due
+        self.state.update((timer, [(*name, last) for name, last in seen.items()]))
+
+    def due(self, last: int) -> int:
+        return (last + self.forget) // 1000 + 1
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        self.state.clear()
+        now = timerValues.getCurrentWatermarkInMs()
+        seen = {name: last for name, last in self.load()[1].items() if self.due(last) > now}
+        if seen:
+            self.remember(seen, None, min(seen.values()))
+        else:
+            self.state.clear()
         return iter(())
 
     def close(self) -> None:
@@ -76,7 +101,7 @@ class SpendWatch(StatefulProcessor):
         self.handle, self.state = handle, handle.getValueState("spent", "credits decimal(38,6), done int, since bigint")
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        spent, done, since = self.state.get() if self.state.exists() else (Decimal(0), None, None)
+        spent, done, since = self.state.get() or (Decimal(0), None, None)
         if done is None:
             self.handle.registerTimer(key[1] // 1000)
         for _, credits, limit, granted in sorted((r["hour_us"], r["credits"], r["credit_limit"], r["since_us"]) for r in rows):
@@ -89,7 +114,7 @@ class SpendWatch(StatefulProcessor):
         self.state.update((spent, done, since))
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        spent, done, _ = self.state.get() if self.state.exists() else (None, None, None)
+        spent, done, _ = self.state.get() or (None, None, None)
         self.state.clear()
         if done == len(self.steps) and self.at_end:
             yield self.row(key, self.at_end, spent, None)
@@ -101,17 +126,25 @@ class SpendWatch(StatefulProcessor):
         pass
 
 
-def last_seen(rows: DataFrame, keys: list[str], ts: str, gap_days: int | None, forget_days: int, known: DataFrame | None = None, late: str = "10 minutes") -> DataFrame:
+def last_seen(rows: DataFrame, keys: list[str], ts: str, gap_days: int | None, forget_days: int, known: DataFrame | None = None, late: str = "10 minutes",
+              groups: int = 1 << 16) -> DataFrame:
     """A stream of (keys, previous_seen, seen_at): keys seen for the first time, or, with ``gap_days``, again after so many days.
 
-    ``known`` (keys, last_seen) is what had been seen before the stream began; it is read once, into the state.
+    ``known`` (keys, last_seen) is what had been seen before the stream began; it is read once, into the state. State is kept for
+    ``groups`` groups of keys, dealt by their hash; the number stays as it is for as long as the stream lives.
     """
+    group = F.pmod(F.xxhash64(*keys), F.lit(groups)).cast("int").alias("_group")
     hours = rows.withWatermark(ts, late).groupBy(*keys, F.window(ts, HOUR).alias("w")).agg(F.min(ts).alias("first"), F.max(ts).alias("last"))
-    hours = hours.select(*keys, F.unix_micros("first").alias("first_us"), F.unix_micros("last").alias("last_us"), F.window_time("w").alias("at"))
-    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
-    begin = None if known is None else known.groupBy(*keys).agg(F.max(F.unix_micros("last_seen")).alias("last_us")).groupBy(*keys)
-    watch = LastSeen(keys, None if gap_days is None else gap_days * DAY, forget_days * DAY)
-    found = hours.groupBy(*keys).transformWithState(watch, f"{kinds}, previous_us bigint, seen_us bigint", "append", "eventTime", initialState=begin)
+    hours = hours.select(group, *keys, F.unix_micros("first").alias("first_us"), F.unix_micros("last").alias("last_us"), F.window_time("w").alias("at"))
+    kinds = {k: rows.schema[k].dataType.simpleString() for k in keys}
+    begin = None
+    if known is not None:
+        latest = known.groupBy(*keys).agg(F.max(F.unix_micros("last_seen")).alias("last_us")).where("last_us IS NOT NULL")
+        latest = latest.select(*[F.col(k).cast(kind) for k, kind in kinds.items()], "last_us")
+        begin = latest.groupBy(group).agg(F.collect_list(F.struct(*keys, "last_us")).alias("known")).groupBy("_group")
+    watch = LastSeen(keys, ", ".join(f"{k}: {kind}" for k, kind in kinds.items()), None if gap_days is None else gap_days * DAY, forget_days * DAY)
+    listed = ", ".join(f"{k} {kind}" for k, kind in kinds.items())
+    found = hours.groupBy("_group").transformWithState(watch, f"{listed}, previous_us bigint, seen_us bigint", "append", "eventTime", initialState=begin)
     return found.select(*keys, F.timestamp_micros("previous_us").alias("previous_seen"), F.timestamp_micros("seen_us").alias("seen_at"))
 
 

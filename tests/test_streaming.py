@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from meterstone.operators import detect, limits
 from meterstone.sources import buckets, views
 from meterstone.streaming import jobs, keyed
-from meterstone.streaming.tables import STORE, run_batches, run_closed, run_rows, run_to_end, stream_table
+from meterstone.streaming.tables import STORE, run_batches, run_closed, run_rows, run_to_end, state_partitions, stream_table
 from tests.conftest import dec, plan_of, rows, ts
 
 EVENTS = "/root/testdata/sf0.001/events.parquet"
@@ -232,6 +232,21 @@ def test_addresses_are_new_once_and_forgotten_after_a_time(spark, parts, tmp_pat
     assert [r[2] for r in rows(short) if r[0] == 1] == [ts("2024-01-01"), ts("2024-03-01")]
 
 
+def test_keys_that_share_state_are_forgotten_each_at_its_own_time(spark, tmp_path):
+    kind = "user_id bigint, client_ip string, ts timestamp, is_success boolean"
+    for data in ([("a", "2024-01-01"), ("b", "2024-01-05"), (None, "2024-01-05")], [("c", "2024-01-14")], [("a", "2024-01-14"), ("b", "2024-01-14")], [("b", "2024-01-16"), ("a", "2024-01-20")], [(None, "2024-01-21")]):
+        spark.createDataFrame([(1, ip, ts(day), True) for ip, day in data], kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    known = spark.createDataFrame([(1, "c", ts("2024-01-10")), (1, "d", ts("2024-01-01")), (2, None, ts("2024-01-01"))], "user_id bigint, client_ip string, last_seen timestamp")
+    read = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    found = run_closed(lambda df: keyed.last_seen(df.where("is_success"), ["user_id", "client_ip"], "ts", None, 10, known, groups=1), read, str(tmp_path / "job"), "ts", is_success=True)
+    assert rows(found, "client_ip", "seen_at") == [("a", ts("2024-01-01")), ("a", ts("2024-01-14")), ("b", ts("2024-01-05")), (None, ts("2024-01-05")), (None, ts("2024-01-21"))]
+
+
+def test_state_is_split_by_a_few_megabytes_of_input(spark, tmp_path):
+    (tmp_path / "t.parquet").write_bytes(bytes(50 << 20))
+    assert state_partitions(spark, str(tmp_path / "t.parquet")) == 13
+
+
 def test_failures_and_errors_stream(spark, parts, tmp_path):
     got = run_to_end(jobs.auth_failures(views.logins_of(stream(spark, parts)), 2, "1 day"), str(tmp_path / "out"))
     want = detect.auth_failures(views.logins_of(batch(spark)), 2, "1 day").where("window_end <= '2024-01-30'")
