@@ -6,11 +6,11 @@
    shingles take the minima of 64 ranges of one hash instead of 64 hashes; around the size where that begins lines
    have both signatures, so no pair falls between the two. Lines of 24 to 119 signs also have a signature of shorter shingles.
    Lines that occur again in the same task are settled there.
-2. A count-min sketch of all bands tells which stand in two lines or more; these few are counted exactly. Only lines with
-   such a band go on.
+2. Lines that stand in several tasks are made one. A count-min sketch of all bands tells which stand in two lines or more;
+   these few are counted exactly. Only lines with such a band go on.
 3. Lines of a band are compared with one line of it, by the exact Jaccard similarity of their shingles (of either length), and the links give
    components. Bands that still hold several components are compared in full, in parts of bounded size, each line only
-   with lines it is not yet joined to.
+   with lines it is not yet joined to. Bitmaps of the shingles first rule out the pairs that cannot be alike.
 4. The first line (by id, then place) of each component stays; the others are taken out of their texts.
 
 Lines under ``min_chars`` and blank lines stay. Null texts stay null. Rows without an id keep all lines and no other line goes because of them.
@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -127,15 +128,21 @@ class Signer:
         return mixed(key + np.arange(BANDS, dtype=np.uint64) * np.uint64(BASES[0]) + np.uint64(kind)).view(np.int64)
 
 
+def line_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The two halves of the 128-bit hash of each line."""
+    import xxhash
+
+    both = np.frombuffer(b"".join([xxhash.xxh3_128_digest(x.encode("utf-8", "replace")) for x in lines]), ">u8").reshape(-1, 2).astype(np.uint64)
+    return both[:, 0].copy().view(np.int64), both[:, 1].copy().view(np.int64)
+
+
 def signed_lines(docs: DataFrame, k: int, min_chars: int, chunk_words: int) -> DataFrame:
-    """Per different line of a chunk: its key (h1, h2), first place, bands and text; and the later places in that chunk.
+    """Per different line of a chunk: its key (h1, h2), first place and bands; and the later places in that chunk.
 
     ``docs`` has doc_id (long, no nulls), text_key and text.
     """
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import xxhash
-
         signer, short_signer = Signer(k), Signer(SHORT_K, 2)
         for chunk in chunks(batches, chunk_words):
             firsts: dict[str, tuple] = {}
@@ -151,48 +158,83 @@ def signed_lines(docs: DataFrame, k: int, min_chars: int, chunk_words: int) -> D
                         firsts[line] = min(held, place)
                         again.setdefault(line, set()).add(max(held, place))
             lines = list(firsts)
-            for start in range(0, len(lines), 4000):
-                part = lines[start:start + 4000]
-                digests = [xxhash.xxh3_128_intdigest(x.encode("utf-8", "replace")) for x in part]
+            for start in range(0, len(lines), 1000):
+                part = lines[start:start + 1000]
+                h1, h2 = line_keys(part)
                 places = [firsts[x] for x in part]
                 bands = signer.keys(part)
                 short = [i for i, x in enumerate(part) if is_short(x)]
                 for i, key in zip(short, short_signer.keys([part[i] for i in short]) if short else ()):
                     bands[i] = np.concatenate([bands[i], key])
                 yield pd.DataFrame({
-                    "h1": np.array([d >> 64 for d in digests], np.uint64).view(np.int64), "h2": np.array([d & (1 << 64) - 1 for d in digests], np.uint64).view(np.int64),
+                    "h1": h1, "h2": h2,
                     "doc_id": [p[0] for p in places], "text_key": [p[1] for p in places], "line": [p[2] for p in places],
                     "again": [[{"doc_id": p[0], "text_key": p[1], "line": p[2]} for p in again.get(x, ())] for x in part],
-                    "bands": bands, "text": part})
+                    "bands": [b.tobytes() for b in bands]})
 
     place = "doc_id long, text_key long, line int"
-    return docs.mapInPandas(sign, f"h1 long, h2 long, {place}, again array<struct<{place.replace(' ', ':').replace(',:', ',')}>>, bands array<long>, text string")
+    return docs.mapInPandas(sign, f"h1 long, h2 long, {place}, again array<struct<{place.replace(' ', ':').replace(',:', ',')}>>, bands binary")
 
 
-def shared_bands(lines: DataFrame, max_cells: int) -> DataFrame:
-    """(id, band): the bands that stand in two rows of ``lines`` or more. The sketch leaves few others, which are then counted."""
-    cells = sketch_cells(max(1, lines.count() * 2 * BANDS), 8, max_cells)
+def repeated_bits(lines: DataFrame, max_cells: int) -> Broadcast:
+    """A broadcast sketch of ``h1``: it lets the lines through that stand in two rows or more, and very few others."""
+    cells = sketch_cells(max(1, lines.count()), 16, max_cells)
 
     def use(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if len(batch):
-                yield used_cells(np.concatenate(batch["bands"].to_numpy()).view(np.uint64), cells)
+            yield used_cells(batch["h1"].to_numpy(np.int64).view(np.uint64), cells)
 
-    bits = lines.sparkSession.sparkContext.broadcast(merged_sketch(lines.select("bands").mapInPandas(use, USED), cells))
+    return lines.sparkSession.sparkContext.broadcast(merged_sketch(lines.select("h1").mapInPandas(use, USED), cells))
 
-    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def shared_bands(lines: DataFrame, repeated: Broadcast, max_cells: int) -> DataFrame:
+    """(id, band): the bands that stand in two different lines or more. The sketch leaves few others, which are then counted.
+
+    Lines that may stand in several rows (``repeated``) are made one row first, so that copies alone share no band.
+    """
+
+    def rows_of(batches: Iterator[pd.DataFrame], copied: bool | None) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            if copied is not None:
+                batch = batch[used_twice(batch["h1"].to_numpy(np.int64).view(np.uint64), repeated.value) == copied]
             if len(batch):
-                every = np.concatenate(batch["bands"].to_numpy())
-                owner = np.repeat(np.arange(len(batch)), [len(b) for b in batch["bands"]])
+                yield batch
+
+    slim = lines.select("h1", "h2", "bands")
+    several = stored(slim.mapInPandas(lambda batches: rows_of(batches, True), slim.schema).groupBy("h1", "h2").agg(F.first("bands").alias("bands")), "repeated")
+    # Of all rows those that stand alone, and the rows of ``several``.
+    sources = ((slim, False), (several, None))
+    bands = lines.agg(F.sum(F.length("bands"))).first()[0] or 0
+    cells = sketch_cells(max(1, bands // 8), 4, max_cells)
+
+    def use(copied: bool | None):
+        def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in rows_of(batches, copied):
+                yield used_cells(np.frombuffer(b"".join(batch["bands"]), np.uint64), cells)
+
+        return sketch
+
+    first, second = (rows.mapInPandas(use(copied), USED) for rows, copied in sources)
+    bits = lines.sparkSession.sparkContext.broadcast(merged_sketch(first.unionByName(second), cells))
+
+    def keep(copied: bool | None):
+        def likely(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in rows_of(batches, copied):
+                every = np.frombuffer(b"".join(batch["bands"]), np.int64)
+                owner = np.repeat(np.arange(len(batch)), [len(b) // 8 for b in batch["bands"]])
                 twice = used_twice(every.view(np.uint64), bits.value)
                 owner = owner[twice]
-                yield pd.DataFrame({"h1": batch["h1"].to_numpy()[owner], "h2": batch["h2"].to_numpy()[owner], "band": every[twice]})
+                yield pd.DataFrame({"h1": batch["h1"].to_numpy()[owner], "h2": batch["h2"].to_numpy()[owner], "band": every[twice]}).drop_duplicates()
 
-    # The same line from several tasks counts once, so lines that only have exact copies end here.
-    likely = stored(lines.select("h1", "h2", "bands").mapInPandas(keep, "h1 long, h2 long, band long").distinct(), "bands")
-    shared = likely.groupBy("band").agg(F.count("*").alias("rows")).where("rows > 1").select("band")
-    return likely.join(shared, "band").select(F.struct("h1", "h2").alias("id"), "band")
+        return likely
+
+    first, second = (rows.mapInPandas(keep(copied), "h1 long, h2 long, band long") for rows, copied in sources)
+    found = stored(first.unionByName(second), "bands")
+    drop_stored(several)
+    shared = found.groupBy("band").agg(F.count("*").alias("rows")).where("rows > 1").select("band")
+    members = stored(found.join(shared, "band").select(F.struct("h1", "h2").alias("id"), "band"), "members")
+    drop_stored(found)
+    return members
 
 
 def bitmap(ids: DataFrame, max_cells: int):
@@ -206,24 +248,79 @@ def bitmap(ids: DataFrame, max_cells: int):
     return ids.sparkSession.sparkContext.broadcast(merged_sketch(ids.mapInPandas(use, USED), cells))
 
 
-def lines_of(lines: DataFrame, members: DataFrame, max_cells: int) -> DataFrame:
-    """Rows (id, place, text) of the lines that stand in ``members`` or in several rows, and of very few others.
-
-    The text is null where only exact copies are known.
-    """
-    copies = stored(lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1").distinct(), "copies")
-    near = stored(members.select("id.h1").distinct(), "near")
-    several, compared = bitmap(copies, max_cells), bitmap(near, max_cells)
+def lines_of(lines: DataFrame, compared: Broadcast, repeated: Broadcast) -> DataFrame:
+    """Rows (id, place) of the lines that are compared or stand in several rows, and of very few others."""
 
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             hashes = batch["h1"].to_numpy(np.int64).view(np.uint64)
-            wanted = used_twice(hashes, compared.value)
-            either = wanted | used_twice(hashes, several.value)
-            yield batch.assign(text=batch["text"].where(wanted, None))[either]
+            yield batch[used_twice(hashes, compared.value) | used_twice(hashes, repeated.value)]
+
+    slim = lines.select("h1", "h2", "doc_id", "text_key", "line")
+    return slim.mapInPandas(keep, slim.schema).select(F.struct("h1", "h2").alias("id"), F.struct("doc_id", "text_key", "line").alias("place"))
+
 
-    slim = lines.select("h1", "h2", "doc_id", "text_key", "line", "text")
-    return slim.mapInPandas(keep, slim.schema).select(F.struct("h1", "h2").alias("id"), F.struct("doc_id", "text_key", "line").alias("place"), "text")
+def texts_of(docs: DataFrame, compared: Broadcast, min_chars: int) -> DataFrame:
+    """(id, text) of the lines that are compared, and of very few others, once each. They are read again rather than stored with all lines."""
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for start in range(0, len(batch), 1000):
+                different = dict.fromkeys(plain(x) for text in batch["text"].iloc[start:start + 1000] for x in text.split("\n"))
+                some = [x for x in different if len(x) >= min_chars]
+                if some:
+                    h1, h2 = line_keys(some)
+                    wanted = used_twice(h1.view(np.uint64), compared.value)
+                    yield pd.DataFrame({"h1": h1[wanted], "h2": h2[wanted], "text": np.array(some, object)[wanted]})
+
+    found = docs.select("text").mapInPandas(find, "h1 long, h2 long, text string")
+    return found.groupBy(F.struct("h1", "h2").alias("id")).agg(F.first("text").alias("text"))
+
+
+class Bounds:
+    """Per line the number of its shingles, and a bitmap of them; two of these bound how many shingles two lines share."""
+
+    def __init__(self, k: int) -> None:
+        self.kinds = (k, SHORT_K)
+        self.rolling = Rolling(BASES[0])
+
+    def of(self, lines: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For shingles and short shingles: sizes, bitmaps and how many shingles share a bit. No size: not compared by these."""
+        points = np.frombuffer("".join(lines).encode("utf-32-le", "replace"), "<u4")
+        sizes = np.array([len(x) for x in lines], np.int64)
+        begins = np.cumsum(sizes) - sizes
+        sums = self.rolling.sums(mixed(points.astype(np.uint64) + np.uint64(1)))
+        taking_part = np.ones(len(lines), bool), (sizes >= SHORT_FROM) & (sizes < SHORT_TO)
+        return [self.kind(sums, begins, sizes, k, takes) for k, takes in zip(self.kinds, taking_part)]
+
+    def kind(self, sums: np.ndarray, begins: np.ndarray, sizes: np.ndarray, k: int, takes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        counts = np.where(takes, np.maximum(0, sizes - k + 1), 0)
+        owner = np.repeat(np.arange(len(sizes)), counts).astype(np.uint64)
+        at = np.repeat(begins - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        runs = self.rolling.runs(sums, k)
+        keys = np.sort(owner << np.uint64(40) | runs[at] >> np.uint64(24)) if len(at) else owner
+        keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(at) else keys
+        owner = (keys >> np.uint64(40)).astype(np.int64)
+        n = np.bincount(owner, minlength=len(sizes))
+        bits = np.zeros(len(sizes) * 256, bool)
+        bits[owner * 256 + (keys & np.uint64(255)).astype(np.int64)] = True
+        bits[np.flatnonzero(takes & (n == 0)) * 256] = True  # shorter than a shingle: one shingle
+        n = np.where(takes, np.maximum(1, n), 0)
+        words = np.packbits(bits.reshape(-1, 256), axis=1, bitorder="little").view(np.uint64)
+        return n, words, n - np.bitwise_count(words).sum(axis=1, dtype=np.int64)
+
+    @staticmethod
+    def may_be_alike(left: list, right: list, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether lines ``i`` of ``left`` and ``j`` of ``right`` can be alike: true for all that are."""
+        out = np.zeros(len(i), bool)
+        for (n, words, loose), (m, others, slack) in zip(left, right):
+            x, y = n[i], m[j]
+            fits = np.flatnonzero((x > 0) & (y > 0) & (100 * np.minimum(x, y) >= PERCENT * np.maximum(x, y) - 100))
+            u, v = i[fits], j[fits]
+            most = np.bitwise_count(words[u] & others[v]).sum(axis=1, dtype=np.int64) + np.minimum(loose[u], slack[v])
+            # One more, as two shingles of a line may have the same 40 bits.
+            out[fits] |= (100 + PERCENT) * (most + 1) >= PERCENT * (x[fits] + y[fits])
+        return out
 
 
 def alike_pairs(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
@@ -231,23 +328,31 @@ def alike_pairs(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def test(left: pd.Series, right: pd.Series) -> pd.Series:
-        held: dict[str, tuple] = {}
-
-        def of(text: str) -> tuple:
-            if text not in held:
-                if len(held) > 200:
-                    held.clear()
-                held[text] = shingle_sets(text, k)
-            return held[text]
-
-        return pd.Series([either_alike(of(a), of(b)) for a, b in zip(left, right)], dtype=bool)
+        bounds, every = Bounds(k), np.arange(len(left))
+        a, b = left.tolist(), right.tolist()
+        out = bounds.may_be_alike(bounds.of(a), bounds.of(b), every, every)
+        for n in np.flatnonzero(out).tolist():
+            out[n] = either_alike(shingle_sets(a[n], k), shingle_sets(b[n], k))
+        return pd.Series(out)
 
     both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
     return both.where(test("ta", "tb")).select("a", "b")
 
 
-def compare_bands(rows: DataFrame, k: int, part_rows: int) -> DataFrame:
-    """Links (a, b) between the components of each band, from rows (band, id, comp, text, rows of the band)."""
+def cell_pairs(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of all pairs inside cells of these sizes, which follow one another."""
+    ends = np.repeat(np.cumsum(sizes), sizes)
+    rows = np.arange(len(ends))
+    later = ends - rows - 1
+    i = np.repeat(rows, later)
+    return i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(later) - later, later)
+
+
+def compare_bands(rows: DataFrame, k: int, part_rows: int, most_pairs: int = 500_000) -> DataFrame:
+    """Links (a, b) between the components of each band, from rows (band, id, comp, text, rows of the band).
+
+    A task bounds the similarity of all pairs of some cells at once, in arrays, and checks exactly what is left and not yet joined.
+    """
     parts = F.ceil(F.col("rows") / part_rows).cast("int")
     grid = rows.withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int")).select(
         "*", F.explode(F.sequence(F.lit(0), parts - 1)).alias("with")).select(
@@ -255,43 +360,62 @@ def compare_bands(rows: DataFrame, k: int, part_rows: int) -> DataFrame:
         (F.col("part") != F.col("with")).alias("across"), "id.h1", "id.h2", F.xxhash64("comp").alias("comp"), "part", "text")
     # Rows of a cell off the diagonal all have ``across``, as their own part meets another one there.
 
-    def links(cell: list[tuple], sets: dict[str, tuple]) -> Iterator[tuple[int, int, int, int]]:
-        group: dict[int, int] = {}
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bounds, group = Bounds(k), {}
 
         def top(c: int) -> int:
             while group.setdefault(c, c) != c:
+                group[c] = group[group[c]]
                 c = group[c]
             return c
 
-        for row in cell:
-            if row[5] not in sets:
-                sets[row[5]] = shingle_sets(row[5], k)
-        cell = sorted(cell, key=lambda row: len(sets[row[5]][0]))
-        for n, (across, h1, h2, comp, part, text) in enumerate(cell):
-            for _, g1, g2, other, side, more in cell[n + 1:]:
-                if sets[text][1] is None and PERCENT * len(sets[more][0]) > 100 * len(sets[text][0]):
-                    break
-                if not (across and part == side) and top(comp) != top(other) and either_alike(sets[text], sets[more]):
-                    group[top(comp)] = top(other)
-                    yield h1, h2, g1, g2
-
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cell, mark, sets, out = [], None, {}, []
+        def links(cells: pd.DataFrame, sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+            known: dict[str, int] = {}
+            numbers = np.array([known.setdefault(x, len(known)) for x in cells["text"].tolist()], np.int64)
+            texts = list(known)
+            held, comp, part = bounds.of(texts), cells["comp"].to_numpy(np.int64), cells["part"].to_numpy(np.int64)
+            across, sets = cells["across"].to_numpy(bool), {}
+
+            def of(n: int) -> tuple[set[str], set[str] | None]:
+                if n not in sets:
+                    sets[n] = shingle_sets(texts[n], k)
+                return sets[n]
+
+            i, j = cell_pairs(sizes)
+            open_ = (comp[i] != comp[j]) & ~(across[i] & (part[i] == part[j]))
+            i, j = i[open_], j[open_]
+            likely = bounds.may_be_alike(held, held, numbers[i], numbers[j])
+            for x, y in zip(i[likely].tolist(), j[likely].tolist()):
+                a, b = top(int(comp[x])), top(int(comp[y]))
+                if a != b and either_alike(of(int(numbers[x])), of(int(numbers[y]))):
+                    group[a] = b
+                    yield x, y
+
+        def found(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            marks = frame["cell"].to_numpy()
+            starts = np.concatenate([[0], np.flatnonzero(marks[1:] != marks[:-1]) + 1, [len(marks)]]).astype(np.int64)
+            sizes = np.diff(starts)
+            turn = np.cumsum(sizes * (sizes - 1) // 2 + sizes) // most_pairs
+            for cells in np.split(np.arange(len(sizes)), np.flatnonzero(turn[1:] != turn[:-1]) + 1):
+                some = frame.iloc[starts[cells[0]]:starts[cells[-1] + 1]]
+                x, y = np.array(list(links(some, sizes[cells])), np.int64).reshape(-1, 2).T
+                h1, h2 = some["h1"].to_numpy(), some["h2"].to_numpy()
+                yield pd.DataFrame({"a1": h1[x], "a2": h2[x], "b1": h1[y], "b2": h2[y]})
+
+        held: list[pd.DataFrame] = []  # rows of the last cell so far
         for batch in batches:
-            columns = [batch[c].tolist() for c in ("across", "h1", "h2", "comp", "part", "text")]
-            for new, row in zip(batch["cell"].tolist(), zip(*columns)):
-                if new != mark:
-                    out += links(cell, sets)
-                    cell, mark = [], new
-                    if len(sets) > 2000:
-                        sets.clear()
-                cell.append(row)
-            yield pd.DataFrame(out, columns=["a1", "a2", "b1", "b2"])
-            out = []
-        yield pd.DataFrame(list(links(cell, sets)), columns=["a1", "a2", "b1", "b2"])
-
-    found = grid.repartition("cell").sortWithinPartitions("cell").mapInPandas(compare, "a1 long, a2 long, b1 long, b2 long").distinct()
-    return found.select(F.struct(F.col("a1").alias("h1"), F.col("a2").alias("h2")).alias("a"), F.struct(F.col("b1").alias("h1"), F.col("b2").alias("h2")).alias("b"))
+            if not len(batch):
+                continue
+            rows_ = pd.concat([*held, batch], ignore_index=True)
+            last = rows_["cell"].to_numpy() == rows_["cell"].iloc[-1]
+            if not last.all():
+                yield from found(rows_[~last])
+            held = [rows_[last]]
+        if held:
+            yield from found(held[0])
+
+    links_ = grid.repartition("cell").sortWithinPartitions("cell").mapInPandas(compare, "a1 long, a2 long, b1 long, b2 long").distinct()
+    return links_.select(F.struct(F.col("a1").alias("h1"), F.col("a2").alias("h2")).alias("a"), F.struct(F.col("b1").alias("h1"), F.col("b2").alias("h2")).alias("b"))
 
 
 def repeated_lines(docs: DataFrame, k: int = 9, min_chars: int = 24, part_rows: int = 800, max_cells: int = 1 << 28, chunk_words: int = 400_000) -> DataFrame:
@@ -300,11 +424,12 @@ def repeated_lines(docs: DataFrame, k: int = 9, min_chars: int = 24, part_rows:
         "doc_id is not null and text is not null")
     lines = stored(signed_lines(keyed, k, min_chars, chunk_words), "lines")
     settled = stored(lines.where("size(again) > 0").select(F.explode("again").alias("p")).select("p.*"), "settled")
-    members = stored(shared_bands(lines, max_cells), "members")
-    kept = stored(lines_of(lines, members, max_cells), "shared")
+    repeated = repeated_bits(lines, max_cells)
+    members = shared_bands(lines, repeated, max_cells)
+    compared = bitmap(stored(members.select("id.h1").distinct(), "near"), max_cells)
+    kept = stored(lines_of(lines, compared, repeated), "shared")
     drop_stored(lines)
-    # The same line from several tasks is one text.
-    texts = stored(kept.where("text is not null").groupBy("id").agg(F.first("text").alias("text")), "texts")
+    texts = stored(texts_of(keyed, compared, min_chars), "texts")
     pivots = members.groupBy("band").agg(F.min("id").alias("pivot"), F.count("*").alias("rows")).where("rows > 1")
     # Of the lines it could be compared with first, each takes the one it shares most bands with.
     tries = members.join(pivots, "band").where("id != pivot").groupBy("id", "pivot").agg(F.count("*").alias("shared"))

@@ -367,6 +367,27 @@ def test_bands_with_several_components(spark):
     assert len({unions.top(k) for k in range(6)}) == 2
 
 
+def test_bounds_rule_out_most_pairs_and_no_alike_ones():
+    """Short and long lines, repeated shingles, and lines shorter than a shingle; a bound below the similarity would lose a link."""
+    some = [lines.plain(sentence(900 + k, 1 + k % 40)) for k in range(120)]
+    some += [x[:len(x) // 2] + "#" + x[len(x) // 2 + 1:] for x in some] + ["x", "y", "ab " * 30, "ab " * 31]
+    held = lines.Bounds(9).of(some)
+    i, j = lines.cell_pairs(np.array([len(some)]))
+    likely = lines.Bounds.may_be_alike(held, held, i, j)
+    alike = np.array([lines.either_alike(lines.shingle_sets(some[a], 9), lines.shingle_sets(some[b], 9)) for a, b in zip(i, j)])
+    assert len(i) == len(some) * (len(some) - 1) // 2 and alike.sum() >= 60
+    assert likely[alike].all() and likely[~alike].mean() < 0.2
+
+
+def test_copies_in_several_tasks_are_one_line_in_bands(spark):
+    data = [(k, sentence(950 + k % 2, 12), None, None, None) for k in range(12)]
+    docs = frame(spark, data).select("doc_id", F.xxhash64("text").alias("text_key"), "text").repartition(6, "doc_id")
+    signed = lines.stored(lines.signed_lines(docs, 9, 1, 1), "lines")
+    members = lines.shared_bands(signed, lines.repeated_bits(signed, 1 << 20), 1 << 20)
+    assert signed.count() == 12 and members.groupBy("id", "band").count().where("count > 1").isEmpty()
+    assert members.select("id").distinct().count() in (0, 2)
+
+
 def test_lines_of_nothing(spark):
     assert lines.remove_lines(empty(spark)).count() == 0
     assert got(lines.remove_lines(frame(spark, [(1, None, None, None, None), (2, "", None, None, None)])), "doc_id", "text") in ([(1, None), (2, "")], [(2, ""), (1, None)])
