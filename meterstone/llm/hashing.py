@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
 #: A row of a sketch is merged in so many blocks, of at least 65,536 cells.
@@ -167,3 +168,14 @@ def used_twice(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
     for row, cell in enumerate(cells_of(hashes, bits.shape[1] * 8)):
         yes &= (bits[row][cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1
     return yes
+
+
+def bitmap(ids: DataFrame, max_cells: int = 1 << 28) -> Broadcast:
+    """A broadcast bitmap of the distinct ``h1``; it lets very few others through."""
+    cells = sketch_cells(max(1, ids.count()), 64, max_cells)
+
+    def use(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield used_cells(np.repeat(batch["h1"].to_numpy(np.int64).view(np.uint64), 2), cells)
+
+    return ids.sparkSession.sparkContext.broadcast(merged_sketch(ids.mapInPandas(use, USED), cells))

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from meterstone.llm.common import drop_stored, stored, table
 from meterstone.llm.components import components
-from meterstone.llm.hashing import BASES, USED, Rolling, chunks, merged_sketch, mixed, sketch_cells, used_cells, used_twice
+from meterstone.llm.hashing import BASES, USED, Rolling, bitmap, chunks, merged_sketch, mixed, sketch_cells, used_cells, used_twice
 
 BANDS, ROWS = 16, 4
 #: From ``SPLIT`` different shingles on, ranges of one hash; up to ``WHOLE``, 64 hashes. Sets between have both: sizes
@@ -237,17 +237,6 @@ def shared_bands(lines: DataFrame, repeated: Broadcast, max_cells: int) -> DataF
     return members
 
 
-def bitmap(ids: DataFrame, max_cells: int):
-    """A broadcast bitmap of the distinct ``h1``; it lets very few others through."""
-    cells = sketch_cells(max(1, ids.count()), 64, max_cells)
-
-    def use(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield used_cells(np.repeat(batch["h1"].to_numpy(np.int64).view(np.uint64), 2), cells)
-
-    return ids.sparkSession.sparkContext.broadcast(merged_sketch(ids.mapInPandas(use, USED), cells))
-
-
 def lines_of(lines: DataFrame, compared: Broadcast, repeated: Broadcast) -> DataFrame:
     """Rows (id, place) of the lines that are compared or stand in several rows, and of very few others."""
 

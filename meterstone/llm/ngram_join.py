@@ -11,7 +11,9 @@
    node holds the OR of its rows' bitmaps, their range of sizes, and their component if it is one. Two trees (or a tree and
    itself) are walked from the top; a pair of nodes goes on only if the sizes fit and the most overlap that its bitmaps
    allow reaches the least that 0.8 needs. Large blocks are cut into a grid of parts, so no task holds more than two parts.
-5. Pairs of rows that get through are checked on the whole sets. Links give components (``components.components``).
+5. Of the pairs of rows that get through, a task gives only a spanning forest of the components they would join, the
+   likeliest first. They are checked on the whole sets, and links give components (``components.components``). Where all pairs
+   of a tree are joined, the pairs left out lie inside one component. Components of other trees are walked again in full.
 
 No link between different texts is lost; pairs inside one component are not listed again.
 
@@ -22,6 +24,7 @@ document. Extra columns are ignored.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterstone.llm.common import drop_stored, stored, table
-from meterstone.llm.components import components
-from meterstone.llm.hashing import BASES, USED, Rolling, WordHashes, chunks, merged_sketch, mixed, sketch_cells, used_cells, used_twice
+from meterstone.llm.components import components, open_groups
+from meterstone.llm.hashing import BASES, USED, Rolling, WordHashes, bitmap, chunks, merged_sketch, mixed, sketch_cells, used_cells, used_twice
 
 #: Buckets of the table of document counts, and how many of them make a row of the shuffle.
 COUNT_BUCKETS, COUNT_BLOCK = 1 << 17, 1 << 12
@@ -184,7 +187,13 @@ def candidates(docs: DataFrame, n: int, levels: np.ndarray, max_cells: int, chun
 
 def checked(pairs: DataFrame, kept: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough: 100 * intersection >= 80 * union."""
-    sets = kept.select("id", "n", "shingles")
+    named = bitmap(pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct())
+
+    @F.pandas_udf("boolean")
+    def wanted(ids: pd.Series) -> pd.Series:
+        return pd.Series(used_twice(ids.to_numpy(np.int64).view(np.uint64), named.value))
+
+    sets = kept.select("id", "n", "shingles").where(wanted("id"))
     left = sets.toDF("a", "na", "sa")
     right = sets.toDF("b", "nb", "sb")
     both = pairs.join(left, "a").join(right, "b")
@@ -213,6 +222,11 @@ class Tree:
         return first, np.minimum(step, len(self.levels[level - 1][0]) - first)
 
 
+def most_shared(a: tuple, b: tuple, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """A bound of the shingles that rows below the nodes ``i`` and ``j`` share."""
+    return np.bitwise_count(a[0][i] & b[0][j]).sum(axis=1, dtype=np.int64) + np.minimum(a[3][i], b[3][j])
+
+
 def promising(a: tuple, b: tuple, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Whether a pair of rows below the nodes ``i`` and ``j`` can be similar enough and join two components."""
     out = np.zeros(len(i), bool)
@@ -220,8 +234,7 @@ def promising(a: tuple, b: tuple, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         x, y = i[k:k + 4096], j[k:k + 4096]
         fits = (5 * a[2][x] >= 4 * b[1][y]) & (5 * b[2][y] >= 4 * a[1][x]) & ((a[4][x] != b[4][y]) | (a[4][x] < 0))
         x, y = x[fits], y[fits]
-        most = np.bitwise_count(a[0][x] & b[0][y]).sum(axis=1) + np.minimum(a[3][x], b[3][y])
-        fits[fits] = 9 * most >= 4 * (a[1][x] + b[1][y])
+        fits[fits] = 9 * most_shared(a, b, x, y) >= 4 * (a[1][x] + b[1][y])
         out[k:k + 4096] = fits
     return out
 
@@ -253,12 +266,12 @@ def folded(words: np.ndarray) -> np.ndarray:
     return words[:, :half] | words[:, half:]
 
 
-def join_block(block: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of ids of a block worth a check. ``part`` tells the two sides of a grid cell off its diagonal."""
-    ids, sizes, groups, parts = (block[c].to_numpy(np.int64) for c in ("id", "n", "comp", "part"))
+def join_block(block: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows of a block worth a check, and their scores. ``part`` tells the two sides of a grid cell off its diagonal."""
+    sizes, groups, parts = (block[c].to_numpy(np.int64) for c in ("n", "comp", "part"))
     widths = np.array([len(b) for b in block["bits"]])
-    sides = [np.ones(len(ids), bool)] * 2 if len(np.unique(parts)) == 1 else [parts == p for p in np.unique(parts)]
-    out_a, out_b = [], []
+    sides = [np.ones(len(sizes), bool)] * 2 if len(np.unique(parts)) == 1 else [parts == p for p in np.unique(parts)]
+    out: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64),) * 3]
     forest: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
     for width in np.unique(widths):
         for side in (0, 1) if sides[0] is not sides[1] else (0,):
@@ -273,9 +286,11 @@ def join_block(block: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     def meet(x: tuple, y: tuple, same: bool) -> None:
         one = tree(*x)
-        i, j = walk(one, one if same else tree(*y))
-        out_a.append(ids[x[0][i]])
-        out_b.append(ids[y[0][j]])
+        two = one if same else tree(*y)
+        i, j = walk(one, two)
+        a, b = one.levels[0], two.levels[0]
+        scores = [score(most_shared(a, b, i[k:k + 4096], j[k:k + 4096]), a[1][i[k:k + 4096]] + b[1][j[k:k + 4096]]) for k in range(0, len(i), 4096)]
+        out.append((x[0][i], y[0][j], np.concatenate([out[0][2], *scores])))
 
     other = 0 if sides[0] is sides[1] else 1
     for (side, width), held in forest.items():
@@ -286,12 +301,16 @@ def join_block(block: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
             if side == mine and (theirs, width * 2) in forest:
                 rows, words = forest[theirs, width * 2]
                 meet(held, (rows, folded(words)), False)
-    a, b = np.concatenate(out_a or [ids[:0]]), np.concatenate(out_b or [ids[:0]])
-    return np.minimum(a, b), np.maximum(a, b)
+    return tuple(np.concatenate(x) for x in zip(*out))
+
 
+def score(most: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """How likely a pair is similar enough, from a bound of what it shares and the sum of its sizes."""
+    return 10_000 * most // sizes
 
-def join_small(frame: pd.DataFrame, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs worth a check of many blocks of one leaf each: the same tests as in a walk, for all of them at once."""
+
+def join_small(frame: pd.DataFrame, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows worth a check, and their scores, of many blocks of one leaf each: the same tests as in a walk, for all of them at once."""
     ids, n, group, part = (frame[c].to_numpy(np.int64) for c in ("id", "n", "comp", "part"))
     rows = np.repeat(starts, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     ends = np.repeat(starts + sizes, sizes)
@@ -306,7 +325,7 @@ def join_small(frame: pd.DataFrame, starts: np.ndarray, sizes: np.ndarray) -> tu
     i, j = i[once], j[once]
     bits = frame["bits"].to_numpy()
     widths = np.array([len(b) for b in bits])
-    keep = np.zeros(len(i), bool)
+    keep, scores = np.zeros(len(i), bool), np.zeros(len(i), np.int64)
     for width in np.unique(np.minimum(widths[i], widths[j])) if len(i) else ():
         mine = np.flatnonzero(np.minimum(widths[i], widths[j]) == width)
         used = np.unique(np.concatenate([i[mine], j[mine]]))
@@ -315,17 +334,47 @@ def join_small(frame: pd.DataFrame, starts: np.ndarray, sizes: np.ndarray) -> tu
         x, y = np.searchsorted(used, i[mine]), np.searchsorted(used, j[mine])
         for k in range(0, len(mine), 4096):
             u, v = x[k:k + 4096], y[k:k + 4096]
-            most = np.bitwise_count(words[u] & words[v]).sum(axis=1) + np.minimum(loose[u], loose[v])
-            keep[mine[k:k + 4096]] = 9 * most >= 4 * (n[used[u]] + n[used[v]])
-    return ids[i[keep]], ids[j[keep]]
-
-
-def join_blocks(blocks: DataFrame, part_rows: int) -> DataFrame:
-    """Pairs (a, b) worth a check, from rows (shingle, id, n, comp, bits, rows of the block)."""
+            most = np.bitwise_count(words[u] & words[v]).sum(axis=1, dtype=np.int64) + np.minimum(loose[u], loose[v])
+            both = n[used[u]] + n[used[v]]
+            keep[mine[k:k + 4096]], scores[mine[k:k + 4096]] = 9 * most >= 4 * both, score(most, both)
+    return i[keep], j[keep], scores[keep]
+
+
+def spanning(pairs: pd.DataFrame) -> pd.DataFrame:
+    """Of different pairs (a, b, ca, cb, score) a forest that joins all the components ``ca`` and ``cb``, highest scores first.
+
+    ``tree`` names the tree of a pair where other pairs of its components are left out; null where none are.
+    """
+    tops: dict[int, int] = {}
+
+    def top(c: int) -> int:
+        while tops.setdefault(c, c) != c:
+            tops[c] = tops[tops[c]]
+            c = tops[c]
+        return c
+
+    pairs = pairs.sort_values(["score", "a", "b"], ascending=[False, True, True], ignore_index=True)
+    taken = np.zeros(len(pairs), bool)
+    best = np.flatnonzero(~pairs.duplicated(["ca", "cb"]).to_numpy())
+    for at, x, y in zip(best.tolist(), pairs["ca"].to_numpy()[best].tolist(), pairs["cb"].to_numpy()[best].tolist()):
+        x, y = top(x), top(y)
+        if x != y:
+            tops[x], taken[at] = y, True
+    different, number = np.unique(pairs["ca"].to_numpy(), return_inverse=True)
+    roots = np.array([top(c) for c in different.tolist()], np.int64)[number]
+    run, short = uuid.uuid4().hex, np.isin(roots[taken], roots[~taken])
+    return pairs[taken].assign(tree=np.array([f"{run}-{r}" if s else None for r, s in zip(roots[taken].tolist(), short.tolist())], object))
+
+
+def join_blocks(blocks: DataFrame, part_rows: int, forest: bool = False) -> DataFrame:
+    """Pairs worth a check (a, b, their components ca and cb, tree), from rows (shingle, id, n, comp, bits) and columns of ``open_groups``.
+
+    With ``forest`` a task gives only those of ``spanning``.
+    """
     parts = F.ceil(F.col("rows") / part_rows).cast("int")
     own = F.pmod(F.xxhash64("id"), parts).cast("int")
     grid = blocks.withColumn("part", own).select("*", F.explode(F.sequence(F.lit(0), parts - 1)).alias("with")).select(
-        F.xxhash64("shingle", F.least("part", "with"), F.greatest("part", "with")).alias("cell"), "part", "id", "n", "comp", "bits")
+        F.xxhash64("shingle", F.least("part", "with"), F.greatest("part", "with")).alias("cell"), "part", "id", "n", "comp", "bits", "low", "tasks")
 
     def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -336,8 +385,14 @@ def join_blocks(blocks: DataFrame, part_rows: int) -> DataFrame:
             sizes = np.diff(np.append(starts, len(marks)))
             few = sizes <= LEAF
             found = [join_small(frame, starts[few], sizes[few])]
-            found += [join_block(frame.iloc[s:s + n]) for s, n in zip(starts[~few], sizes[~few])]
-            yield pd.DataFrame({"a": np.concatenate([x for x, _ in found]), "b": np.concatenate([y for _, y in found])}).drop_duplicates()
+            for s, n in zip(starts[~few], sizes[~few]):
+                i, j, scores = join_block(frame.iloc[s:s + n])
+                found.append((i + s, j + s, scores))
+            i, j, scores = (np.concatenate(x) for x in zip(*found))
+            ids, comp = frame["id"].to_numpy(np.int64), frame["comp"].to_numpy(np.int64)
+            pairs = pd.DataFrame({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j]), "ca": np.minimum(comp[i], comp[j]),
+                                  "cb": np.maximum(comp[i], comp[j]), "score": scores, "tree": None}).drop_duplicates(["a", "b"])
+            yield (spanning(pairs) if forest else pairs).drop(columns="score")
 
         for batch in batches:
             if not len(batch):
@@ -355,8 +410,9 @@ def join_blocks(blocks: DataFrame, part_rows: int) -> DataFrame:
         if held:
             yield from done(pd.concat(held))
 
-    dealt = grid.repartition("cell").sortWithinPartitions("cell")
-    return dealt.mapInPandas(join, "a long, b long").distinct()
+    # A set stands in many blocks of its family: in one task its rows follow one another and compress to little more than one.
+    dealt = grid.withColumn("deal", F.xxhash64("low", F.pmod("cell", "tasks"))).drop("low", "tasks").repartition("deal").sortWithinPartitions("cell")
+    return dealt.mapInPandas(join, "a long, b long, ca long, cb long, tree string")
 
 
 def similar_sets(docs: DataFrame, n: int = 5, rounds: int = 2, part_rows: int = 1500, max_cells: int = 1 << 28, chunk_words: int = 400_000) -> DataFrame:
@@ -375,20 +431,33 @@ def similar_sets(docs: DataFrame, n: int = 5, rounds: int = 2, part_rows: int =
     for turn in range(rounds):
         labels = components(links)
         marked = firsts.join(labels.withColumnRenamed("root", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        open_ = marked.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("rows"), F.min(
-            F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), F.col("id").alias("pivot"), F.col("n").alias("pn"), F.col("comp").alias("pc"))).alias("p")).where("low != high")
-        blocks = stored(marked.join(open_.select("shingle", "rows", "p.pivot", "p.pn", "p.pc"), "shingle"), "blocks")
         if turn == rounds - 1:
+            blocks = stored(marked.join(stored(open_groups(marked, "shingle", part_rows, 20_000), "open"), "shingle"), "blocks")
             break
+        open_ = marked.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(
+            F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), F.col("id").alias("pivot"), F.col("n").alias("pn"), F.col("comp").alias("pc"))).alias("p")).where("low != high")
+        blocks = stored(marked.join(open_.select("shingle", "p.pivot", "p.pn", "p.pc"), "shingle"), "blocks")
         tries = blocks.where("id != pivot and comp != pc and 5 * n >= 4 * pn and 5 * pn >= 4 * n").groupBy("id", "n", "pivot").agg(F.count("*").alias("shared"))
         one = tries.groupBy("id", "n").agg(F.max(F.struct("shared", "pivot")).alias("t")).where("40 * t.shared >= n")
         found = stored(checked(one.select(F.col("id").alias("a"), F.col("t.pivot").alias("b")), kept), "links")
         drop_stored(blocks)
         links = links.unionByName(found)
-    worth = stored(join_blocks(blocks.select("shingle", "id", "n", "comp", "rows").join(kept.select("id", "bits"), "id"), part_rows), "pairs")
+    bits = kept.select("id", "bits")
+    tried = stored(join_blocks(blocks.join(bits, "id"), part_rows, forest=True).distinct(), "pairs")
+    links = links.unionByName(stored(checked(tried.select("a", "b").distinct(), kept), "links"))
+    labels = components(links)
+    # Trees with a pair that is not joined, and the components of these: only among them can a pair left out be a link.
+    roots = tried.where("tree is not null").join(labels.toDF("a", "ra"), "a", "left").join(labels.toDF("b", "rb"), "b", "left")
+    broken = roots.where("coalesce(ra, a) != coalesce(rb, b)").select("tree").distinct()
+    again = stored(tried.join(broken, "tree", "left_semi").select(F.explode(F.array("ca", "cb")).alias("comp")).distinct(), "again")
+    if not again.isEmpty():
+        marked = blocks.join(again, "comp", "left_semi").select("shingle", "id", "n").join(
+            labels.withColumnRenamed("root", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        rest = marked.join(open_groups(marked, "shingle", part_rows, 20_000), "shingle").join(bits, "id")
+        worth = join_blocks(rest, part_rows).select("a", "b").distinct().join(tried.select("a", "b").distinct(), ["a", "b"], "left_anti")
+        labels = components(links.unionByName(stored(checked(stored(worth, "pairs"), kept), "links")))
     drop_stored(blocks)
     drop_stored(firsts)
-    labels = components(links.unionByName(stored(checked(worth, kept), "links")))
     drop_stored(kept)
     return sets.join(labels, sets["doc_id"] == labels["id"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))

@@ -6,6 +6,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,6 +86,45 @@ def test_blocks_without_rounds_give_the_same(spark):
     assert found == joined_sets(data)
 
 
+def test_pairs_checked_are_no_square_of_a_family(spark, monkeypatch):
+    """Sixty near copies are linked by about as many pairs as there are copies, not by all 1,770."""
+    words, data, tried = sentence(70, 120).split(" "), [], []
+    for k in range(60):
+        own = list(words)
+        own[2 * k % 120] = f"own{k}"
+        data.append((k, " ".join(own), None, None, None))
+    checked = ngram_join.checked
+    monkeypatch.setattr(ngram_join, "checked", lambda pairs, kept: (tried.append(pairs.count()), checked(pairs, kept))[1])
+    found = {r[0]: r[1:] for r in got(ngram_join.similar_sets(frame(spark, data), rounds=1), "doc_id", "n_shingles", "component_id")}
+    assert found == joined_sets(data) and 59 <= sum(tried) <= 59 * 10
+
+
+def test_trees_that_break_are_walked_again(spark, monkeypatch):
+    """Two families whose members nearly link: pairs between them get through the bitmaps, and the one link among them is found."""
+    words, data, tried = sentence(71, 120).split(" "), [], []
+    for k in range(24):
+        own = list(words)
+        if k % 2:
+            own[:17] = [f"other{j}" for j in range(17)]
+        own[100 + k % 12] = f"own{k}"
+        data.append((k, " ".join(own), None, None, None))
+    checked = ngram_join.checked
+    monkeypatch.setattr(ngram_join, "checked", lambda pairs, kept: (tried.append(pairs.count()), checked(pairs, kept))[1])
+    for extra in ([], [(50, " ".join([*(f"other{j}" for j in range(8)), *words[8:]]), None, None, None)]):
+        tried.clear()
+        found = {r[0]: r[1:] for r in got(ngram_join.similar_sets(frame(spark, data + extra), rounds=1), "doc_id", "n_shingles", "component_id")}
+        assert found == joined_sets(data + extra)
+    assert len({c for _, c in joined_sets(data).values()}) > 1
+
+
+def test_a_forest_joins_all_components_likeliest_first():
+    pairs = pd.DataFrame([(1, 2, 1, 2, 90), (3, 4, 1, 2, 95), (2, 5, 2, 5, 80), (1, 5, 1, 5, 85), (7, 8, 7, 8, 70)], columns=["a", "b", "ca", "cb", "score"])
+    rows = [tuple(r) for r in ngram_join.spanning(pairs)[["a", "b", "tree"]].itertuples(index=False)]
+    assert [r[:2] for r in rows] == [(3, 4), (1, 5), (7, 8)]
+    assert rows[0][2] == rows[1][2] is not None and rows[2][2] is None
+    assert len(ngram_join.spanning(pairs[:0])) == 0
+
+
 def test_join_of_nothing(spark):
     assert ngram_join.similar_sets(empty(spark)).count() == 0
     assert got(ngram_join.similar_sets(frame(spark, [(1, None, None, None, None)])), "doc_id", "n_shingles", "component_id") == [(1, 0, 1)]
