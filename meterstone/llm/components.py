@@ -35,6 +35,6 @@ def open_groups(marked: DataFrame, key: str, part_rows: int, task_rows: int) ->
     Groups with the same ``low`` hold much the same rows. They are meant for the same ``tasks`` tasks, of about ``task_rows``
     rows each when groups are cut into a grid of parts of ``part_rows``.
     """
-    open_ = marked.groupBy(key).agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("rows")).where("low != high").drop("high")
+    open_ = stored(marked.groupBy(key).agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("rows")).where("low != high").drop("high"), "open")
     work = F.col("rows") * F.ceil(F.col("rows") / part_rows)
     return open_.join(open_.groupBy("low").agg(F.ceil(F.sum(work) / task_rows).alias("tasks")), "low").select(key, "rows", "low", "tasks")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterstone.llm.common import drop_stored, stored, table
-from meterstone.llm.components import components
+from meterstone.llm.components import components, open_groups
 from meterstone.llm.hashing import BASES, USED, Rolling, bitmap, chunks, merged_sketch, mixed, sketch_cells, used_cells, used_twice
 
 BANDS, ROWS = 16, 4
@@ -337,16 +337,17 @@ def cell_pairs(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(later) - later, later)
 
 
-def compare_bands(rows: DataFrame, k: int, part_rows: int, most_pairs: int = 500_000) -> DataFrame:
+def compare_bands(rows: DataFrame, k: int, part_rows: int, most_pairs: int = 500_000, deal: str = "cell") -> DataFrame:
     """Links (a, b) between the components of each band, from rows (band, id, comp, text, rows of the band).
 
+    ``deal`` is an expression of the cell and the columns of ``rows``: cells of one value go to the same task.
     A task bounds the similarity of all pairs of some cells at once, in arrays, and checks exactly what is left and not yet joined.
     """
     parts = F.ceil(F.col("rows") / part_rows).cast("int")
     grid = rows.withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int")).select(
-        "*", F.explode(F.sequence(F.lit(0), parts - 1)).alias("with")).select(
-        F.xxhash64("band", F.least("part", "with"), F.greatest("part", "with")).alias("cell"),
-        (F.col("part") != F.col("with")).alias("across"), "id.h1", "id.h2", F.xxhash64("comp").alias("comp"), "part", "text")
+        "*", F.explode(F.sequence(F.lit(0), parts - 1)).alias("with")).withColumn(
+        "cell", F.xxhash64("band", F.least("part", "with"), F.greatest("part", "with"))).select(
+        F.expr(deal).alias("deal"), "cell", (F.col("part") != F.col("with")).alias("across"), "id.h1", "id.h2", F.xxhash64("comp").alias("comp"), "part", "text")
     # Rows of a cell off the diagonal all have ``across``, as their own part meets another one there.
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -403,7 +404,7 @@ def compare_bands(rows: DataFrame, k: int, part_rows: int, most_pairs: int = 500
         if held:
             yield from found(held[0])
 
-    links_ = grid.repartition("cell").sortWithinPartitions("cell").mapInPandas(compare, "a1 long, a2 long, b1 long, b2 long").distinct()
+    links_ = grid.repartition("deal").drop("deal").sortWithinPartitions("cell").mapInPandas(compare, "a1 long, a2 long, b1 long, b2 long").distinct()
     return links_.select(F.struct(F.col("a1").alias("h1"), F.col("a2").alias("h2")).alias("a"), F.struct(F.col("b1").alias("h1"), F.col("b2").alias("h2")).alias("b"))
 
 
@@ -425,10 +426,15 @@ def repeated_lines(docs: DataFrame, k: int = 9, min_chars: int = 24, part_rows:
     best = tries.groupBy("id").agg(F.max(F.struct("shared", "pivot")).alias("t")).select(F.col("id").alias("a"), F.col("t.pivot").alias("b"))
     links = stored(alike_pairs(best, texts, k), "links")
     labels = components(links)
-    marked = members.join(labels.withColumnRenamed("root", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    open_ = marked.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("rows")).where("low != high").select("band", "rows")
-    left = marked.join(open_, "band").join(texts, "id").select("band", "id", "comp", "text", "rows")
-    labels = components(links.unionByName(compare_bands(left, k, part_rows)))
+    marked = stored(members.join(labels.withColumnRenamed("root", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id")), "marked")
+    drop_stored(members)
+    open_ = open_groups(marked, "band", part_rows, 20_000)
+    left = marked.join(open_, "band").join(texts, "id").select("band", "id", "comp", "text", "rows", "low", "tasks")
+    # A line stands in many bands with much the same lines: in one task its text is read once, and its rows compress to little more than one.
+    more = stored(compare_bands(left, k, part_rows, deal="xxhash64(low, pmod(cell, tasks))"), "links")
+    drop_stored(marked)
+    drop_stored(texts)
+    labels = components(links.unionByName(more))
     rooted = kept.select("id", "place").join(labels, "id", "left").withColumn("root", F.coalesce("root", "id"))
     first = rooted.groupBy("root").agg(F.min("place").alias("stays"), F.count("*").alias("n")).where("n > 1")
     later = rooted.join(first, "root").where("place != stays").select("place.*")
@@ -437,9 +443,19 @@ def repeated_lines(docs: DataFrame, k: int = 9, min_chars: int = 24, part_rows:
 
 def remove_lines(docs: DataFrame, counts: str = "line_counts", **options) -> DataFrame:
     """The rows and columns of ``docs`` with the remaining text, plus a column ``counts`` (n_lines, n_removed)."""
-    places = repeated_lines(docs.select("doc_id", "text"), **options).groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(
-        F.collect_set("line").alias("__gone"))
-    joined = docs.join(places, (F.col("doc_id").cast("long") == F.col("__id")) & (F.xxhash64("text") == F.col("__key")), "left")
+    places = stored(repeated_lines(docs.select("doc_id", "text"), **options).groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(
+        F.collect_set("line").alias("__gone")), "places")
+    named = bitmap(places.select(F.col("__key").alias("h1")).distinct())
+
+    @F.pandas_udf("boolean")
+    def loses(keys: pd.Series) -> pd.Series:
+        return pd.Series(used_twice(keys.to_numpy(np.int64).view(np.uint64), named.value))
+
+    # Texts without a line that goes stay where they are; very few others are joined and find nothing.
+    key = F.xxhash64(F.coalesce("text", F.lit("")))
+    whole = docs.where(~loses(key)).withColumn("__gone", F.lit(None).cast("array<int>"))
+    joined = docs.where(loses(key)).join(places, (F.col("doc_id").cast("long") == F.col("__id")) & (F.xxhash64("text") == F.col("__key")), "left").select(
+        *docs.columns, "__gone").unionByName(whole.select(*docs.columns, "__gone"))
 
     @F.pandas_udf("text string, n_lines long, n_removed long")
     def keep(texts: pd.Series, gone: pd.Series) -> pd.DataFrame:

@@ -432,7 +432,7 @@ def similar_sets(docs: DataFrame, n: int = 5, rounds: int = 2, part_rows: int =
         labels = components(links)
         marked = firsts.join(labels.withColumnRenamed("root", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
         if turn == rounds - 1:
-            blocks = stored(marked.join(stored(open_groups(marked, "shingle", part_rows, 20_000), "open"), "shingle"), "blocks")
+            blocks = stored(marked.join(open_groups(marked, "shingle", part_rows, 20_000), "shingle"), "blocks")
             break
         open_ = marked.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(
             F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), F.col("id").alias("pivot"), F.col("n").alias("pn"), F.col("comp").alias("pc"))).alias("p")).where("low != high")

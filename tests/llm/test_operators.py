@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from meterstone.llm import decontamination, language, lines, neighbours, ngram_join, packing, pii, quality, sharding, substrings
 from meterstone.llm.common import ranked
-from meterstone.llm.components import components
+from meterstone.llm.components import components, open_groups
 from tests.llm.helpers import LOWER, SCHEMA, WORD, Unions, awkward_rows, frame, joined_sets, sentence
 
 
@@ -407,6 +407,18 @@ def test_bands_with_several_components(spark):
     assert len({unions.top(k) for k in range(6)}) == 2
 
 
+def test_bands_of_one_family_share_a_task(spark):
+    """Bands whose smallest component is the same go to as many tasks as their rows fill; the links are the same."""
+    bands = spark.createDataFrame([(band, (k, k), (k, 0), sentence(400 + k // 4, 12) + f" {k}") for band in range(9) for k in range(4 * (band % 3), 4 * (band % 3) + 4)],
+                                  "band long, id struct<h1:long,h2:long>, comp struct<h1:long,h2:long>, text string")
+    groups = open_groups(bands, "band", 800, 8)
+    assert sorted(got(groups, "band", "rows", "low.h1", "tasks")) == [(b, 4, 4 * (b % 3), 2) for b in range(9)]
+    unions = Unions()
+    for a, b in got(lines.compare_bands(bands.join(groups, "band"), 9, 800, deal="xxhash64(low, pmod(cell, tasks))"), "a", "b"):
+        unions.join(a[0], b[0])
+    assert len({unions.top(k) for k in range(12)}) == 3
+
+
 def test_bounds_rule_out_most_pairs_and_no_alike_ones():
     """Short and long lines, repeated shingles, and lines shorter than a shingle; a bound below the similarity would lose a link."""
     some = [lines.plain(sentence(900 + k, 1 + k % 40)) for k in range(120)]
