@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -181,12 +182,13 @@ def lineage_closure(edges: DataFrame, start: DataFrame | None = None, direction:
     Each round walks ``steps_at_once`` steps on from the pairs first reached at the end of the last one, as one job, and keeps what no
     earlier round has reached, until a round ends with nothing new; there is no depth limit and a cycle ends by itself. Only
     the new pairs are checkpointed, once per round, so the plan stays short and outlives lost executors. Without ``start`` all
-    pairs are listed; ``reaches`` answers for given pairs without that.
+    pairs are listed, and kept as bits until then; ``reaches`` answers for given pairs without that.
     """
     near, far = ("model", "parent") if direction == "upstream" else ("parent", "model")
     steps = _moved(cut_lineage(edges.select(F.col(near).alias("_at"), F.col(far).alias("_next")).distinct()))
-    begin = steps.select(F.col("_at").alias("model")) if start is None else start.select("model")
-    last = begin.distinct().select("model", F.col("model").alias("related"))
+    if start is None:
+        return _all_pairs(steps, steps_at_once)
+    last = start.select("model").distinct().select("model", F.col("model").alias("related"))
     reached, depth = None, 0
     while True:
         found = None
@@ -203,6 +205,44 @@ def lineage_closure(edges: DataFrame, start: DataFrame | None = None, direction:
             return reached
 
 
+def _all_pairs(steps: DataFrame, steps_at_once: int) -> DataFrame:
+    """(model, related, depth) of all pairs along ``steps`` (_at, _next).
+
+    Models are numbered as in ``reaches``, and a node has a row for each 64 numbers of which a model reaches it, with a word of bits for
+    each step of the round that first did. So what is joined, shuffled and kept is far less than the pairs where neighbours walk the
+    same way, and a row a pair at worst. The names come last: each word meets the list of its 64 models and the pairs leave that task.
+    """
+    numbered = cut_lineage(_numbered(steps.select(F.col("_at").alias("model")).where("model is not null").distinct(), steps))
+    word, one = F.shiftright("number", 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("number").bitwiseAND(63).cast("int"))
+    last, none = numbered.select(F.col("model").alias("node"), word, one.alias("bits")), F.lit(0).cast("bigint")
+    names, either = [f"step{k}" for k in range(steps_at_once)], lambda columns: reduce(lambda a, b: a.bitwiseOR(b), map(F.col, columns))
+    rounds, held, depth = [], None, 0
+    while True:
+        found = None
+        for name in names:
+            walked = last.join(steps, F.col("node") == F.col("_at")).select(F.col("_next").alias("node"), "word", "bits")
+            last = walked.groupBy("node", "word").agg(F.bit_or("bits").alias("bits"))
+            level = last.select("node", "word", none.alias("old"), *[(F.col("bits") if n == name else none).alias(n) for n in names])
+            found = level if found is None else found.unionByName(level)
+        if held is not None:
+            found = found.unionByName(held.select("node", "word", F.col("bits").alias("old"), *[none.alias(n) for n in names]))
+        seen = found.groupBy("node", "word").agg(*[F.bit_or(c).alias(c) for c in ("old", *names)])
+        fresh = [F.col(n).bitwiseAND(F.bitwise_not(either(["old", *names[:k]]))).alias(n) for k, n in enumerate(names)]
+        new = cut_lineage(seen.select("node", "word", *fresh).where(either(names) != 0))
+        steps_of = F.array(*[F.struct(F.lit(depth + k + 1).alias("depth"), F.col(n).alias("bits")) for k, n in enumerate(names)])
+        rounds.append(new.select("node", "word", F.explode(steps_of).alias("at")).where("at.bits <> 0").select("node", "word", "at.depth", "at.bits"))
+        depth += steps_at_once
+        bits = new.select("node", "word", either(names).alias("bits"))
+        held = bits if held is None else held.unionByName(bits)
+        last = new.where(F.col(names[-1]) != 0).select("node", "word", F.col(names[-1]).alias("bits"))
+        if last.isEmpty():
+            break
+    models = numbered.groupBy(word).agg(F.collect_list(F.struct(one.alias("bit"), "model")).alias("models"))
+    mine = F.filter("models", lambda m: m["bit"].bitwiseAND(F.col("bits")) != 0)
+    listed = reduce(DataFrame.unionByName, rounds).join(models.hint("merge"), "word")
+    return listed.select("node", "depth", F.explode(mine).alias("m")).select("m.model", F.col("node").alias("related"), "depth")
+
+
 def _moved(rows: DataFrame, most: int = 200_000) -> DataFrame:
     """Rows to join: more than ``most`` are sorted and merged. Names compress so well that a table below the broadcast threshold on disk
     may be a hundred times that on the driver and in every task."""

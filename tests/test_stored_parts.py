@@ -271,6 +271,18 @@ def test_closure_and_questions_equal_a_walk(spark, edges, steps):
         assert rows(workflow.reaches(df, asked)) == sorted(((a, b, b in want.get(a, {})) for a, b in pairs), key=lambda r: tuple((v is None, str(v)) for v in r))
 
 
+def test_all_pairs_are_kept_as_bits(spark, monkeypatch):
+    """Models at half and a third of the number, hundreds of words of them, and a cycle: far fewer rows than pairs are kept, the pairs are the same."""
+    edges = [(f"n{k}", f"n{k // d}") for k in range(1, 1500) for d in (2, 3)] + [("n0", "n7")]
+    kept, cut = [], workflow.cut_lineage
+    monkeypatch.setattr(workflow, "cut_lineage", lambda df: kept.append(cut(df)) or kept[-1])
+    found = workflow.lineage_closure(spark.createDataFrame(edges, "model string, parent string"))
+    want = walk(edges)
+    assert rows(found) == sorted((a, b, d) for a, seen in want.items() for b, d in seen.items())
+    pairs = sum(len(seen) for seen in want.values())
+    assert max(df.count() for df in kept) * 4 < pairs and found.columns == ["model", "related", "depth"]
+
+
 def test_lineage_of_nothing(spark):
     none = spark.createDataFrame([], "model string, parent string")
     assert workflow.lineage_closure(none).collect() == []
