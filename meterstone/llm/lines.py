@@ -4,13 +4,14 @@
    blank) is a set of character shingles; a line shorter than a shingle is its one shingle. Its signature of 64
    minima is banded (16 bands of four): of pairs with similarity 0.8 more than 99.9 percent share a band. Lines with many
    shingles take the minima of 64 ranges of one hash instead of 64 hashes; around the size where that begins lines
-   have both signatures, so no pair falls between the two. Lines of 24 to 119 signs also have a signature of shorter shingles.
+   have both signatures, so no pair falls between the two. Lines of 24 to 119 signs also have a signature of shorter shingles,
+   in 46 bands of eight: 99.9 percent as well, and few of the many lines with some short shingles in common.
    Lines that occur again in the same task are settled there.
 2. Lines that stand in several tasks are made one. A count-min sketch of all bands tells which stand in two lines or more;
    these few are counted exactly. Only lines with such a band go on.
 3. Lines of a band are compared with one line of it, by the exact Jaccard similarity of their shingles (of either length), and the links give
    components. Bands that still hold several components are compared in full, in parts of bounded size, each line only
-   with lines it is not yet joined to. Bitmaps of the shingles first rule out the pairs that cannot be alike.
+   with lines it is not yet joined to. Bitmaps of the shingles, and then their hashes, first rule out the pairs that cannot be alike.
 4. The first line (by id, then place) of each component stays; the others are taken out of their texts.
 
 Lines under ``min_chars`` and blank lines stay. Null texts stay null. Rows without an id keep all lines and no other line goes because of them.
@@ -39,6 +40,11 @@ PERCENT = 80
 #: One changed sign touches 9 of a line's shingles of 9, too many in lines under 89 signs. Lines of ``SHORT_FROM`` to
 #: ``SHORT_TO`` signs (exclusive) are also compared by shingles of ``SHORT_K``, beyond that border so that no pair falls between.
 SHORT_K, SHORT_FROM, SHORT_TO = 3, 24, 120
+#: Lines of one language share many short shingles: with bands of four, nearly all short lines share a band with unlike ones, and the pairs grow
+#: with the square of the lines. Longer bands, and more of them, are as likely to be shared at a similarity of 0.8, and a two-hundredth as likely at 0.2.
+SHORT_BANDS, SHORT_ROWS = 46, 8
+#: Signs whose lines are signed at once, few enough to stay in a core's cache.
+PART_SIGNS = 80_000
 
 
 def plain(line: str) -> str:
@@ -70,62 +76,94 @@ def either_alike(a: tuple[set[str], set[str] | None], b: tuple[set[str], set[str
 
 
 class Signer:
-    """Band keys of lines. Keys of other ``kind`` never meet; a signer uses ``kind`` and the next one."""
+    """Band keys of lines. Keys of other ``kind`` never meet; a signer uses ``kind`` and the next one.
 
-    def __init__(self, k: int, kind: int = 0) -> None:
-        self.k, self.kind, self.rolling = k, kind, Rolling(BASES[0])
+    All lines of a call are signed at once, in arrays.
+    """
+
+    def __init__(self, k: int, kind: int = 0, bands: int = BANDS, rows: int = ROWS) -> None:
+        self.k, self.kind, self.bands, self.rows, self.rolling = k, kind, bands, rows, Rolling(BASES[0])
         rng = np.random.default_rng(11)
-        self.turn = rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
-        self.odd = rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-        self.begins = np.arange(BANDS * ROWS, dtype=np.uint32) << np.uint32(26)
+        self.turn = rng.integers(0, 1 << 32, bands * rows, dtype=np.uint32)
+        self.odd = rng.integers(0, 1 << 31, bands * rows, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
-    def keys(self, lines: list[str]) -> list[np.ndarray]:
-        points = [np.frombuffer(x.encode("utf-32-le", "replace"), "<u4") for x in lines]
-        sizes = np.array([len(p) for p in points])
+    def keys(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of lines, in order, and a band key of each."""
+        points = np.frombuffer("".join(lines).encode("utf-32-le", "replace"), "<u4")
+        sizes = np.array([len(x) for x in lines], np.int64)
         ends = np.cumsum(sizes)
-        sums = self.rolling.sums(mixed(np.concatenate(points).astype(np.uint64) + np.uint64(1)))
+        begins = ends - sizes
+        sums = self.rolling.sums(mixed(points.astype(np.uint64) + np.uint64(1)))
         runs = (self.rolling.runs(sums, self.k) >> np.uint64(32)).astype(np.uint32)
-        minima = np.zeros((len(lines), BANDS * ROWS), np.uint32)
-        room = np.empty((WHOLE, BANDS * ROWS), np.uint32)
-        owner, more = [], []
-        for i, (size, end) in enumerate(zip(sizes.tolist(), ends.tolist())):
-            count = size - self.k + 1
-            if count <= 0:  # the whole line is its one shingle
-                whole = (sums[end] - sums[end - size]) * self.rolling.up[end - size]
-                x = (mixed(np.array([whole], np.uint64)) >> np.uint64(32)).astype(np.uint32)
-            else:
-                x = runs[end - size:end - size + count]
-            if len(x) >= SPLIT:
-                ordered = np.sort(x)
-                fresh = np.concatenate([[True], ordered[1:] != ordered[:-1]])
-                x = ordered[fresh]
-            if len(x) <= WHOLE:
-                turned = room[:len(x)]
-                np.bitwise_xor(x[:, None], self.turn, out=turned)
-                turned *= self.odd
-                minima[i] = turned.min(axis=0)
-                owner.append(i)
-            if len(x) >= SPLIT:
-                first = np.searchsorted(x, self.begins)
-                found = x[np.minimum(first, len(x) - 1)]
-                empty = (first >= len(x)) | (found >> np.uint32(26) != self.begins >> np.uint32(26))
-                more.append((i, np.where(empty, np.uint32(0xFFFFFFFF), found)))
-        out = [np.zeros(0, np.int64)] * len(lines)
-        if owner:
-            for i, key in zip(owner, self.banded(minima[owner], self.kind)):
-                out[i] = key
-        if more:
-            for (i, _), key in zip(more, self.banded(np.stack([m for _, m in more]), self.kind + 1)):
-                out[i] = np.concatenate([out[i], key])
+        counts = np.maximum(1, sizes - self.k + 1)
+        starts = np.cumsum(counts) - counts
+        owner = np.repeat(np.arange(len(lines)), counts)
+        at = np.arange(len(owner)) + (begins - starts)[owner]
+        x = runs[np.minimum(at, len(runs) - 1)] if len(runs) else np.zeros(len(at), np.uint32)
+        tiny = np.flatnonzero(sizes < self.k)  # the whole line is its one shingle
+        x[starts[tiny]] = (mixed((sums[ends[tiny]] - sums[begins[tiny]]) * self.rolling.up[begins[tiny]]) >> np.uint64(32)).astype(np.uint32)
+        long = counts >= SPLIT
+        mine = long[owner]
+        sets = np.sort(owner[mine].astype(np.uint64) << np.uint64(32) | x[mine])
+        sets = sets[np.concatenate([[True], sets[1:] != sets[:-1]])] if len(sets) else sets
+        different = np.where(long, np.bincount((sets >> np.uint64(32)).astype(np.int64), minlength=len(lines)), counts)
+        few, many = np.flatnonzero(different <= WHOLE), np.flatnonzero(long & (different >= SPLIT))
+        found = [(few, self.banded(self.minima(x, starts, counts, few), self.bands, self.kind)),
+                 (many, self.banded(self.lowest(sets, many, len(lines)), BANDS, self.kind + 1))]
+        line = np.concatenate([np.repeat(who, keys.shape[1]) for who, keys in found])
+        order = np.argsort(line, kind="stable")
+        return line[order], np.concatenate([keys.ravel() for _, keys in found])[order]
+
+    def minima(self, x: np.ndarray, starts: np.ndarray, counts: np.ndarray, some: np.ndarray) -> np.ndarray:
+        """Of each of ``some`` lines the minima of its shingles by each hash."""
+        out = np.empty((len(self.turn), len(some)), np.uint32)
+        if len(some):
+            first = np.cumsum(counts[some]) - counts[some]
+            mine = x[np.repeat(starts[some] - first, counts[some]) + np.arange(counts[some].sum())]
+            turned = np.empty_like(mine)
+            for r, (turn, odd) in enumerate(zip(self.turn, self.odd)):
+                np.bitwise_xor(mine, turn, out=turned)
+                np.multiply(turned, odd, out=turned)
+                np.minimum.reduceat(turned, first, out=out[r])
+        return out.T
+
+    @staticmethod
+    def lowest(sets: np.ndarray, some: np.ndarray, lines: int) -> np.ndarray:
+        """Of each of ``some`` lines the minima of ``BANDS * ROWS`` ranges, from sorted numbers of lines and their shingles."""
+        row = np.full(lines, -1)
+        row[some] = np.arange(len(some))
+        cell = (sets >> np.uint64(26)).astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else cell
+        first = first[row[cell[first] >> 6] >= 0]
+        out = np.full((len(some), BANDS * ROWS), 0xFFFFFFFF, np.uint32)
+        out[row[cell[first] >> 6], cell[first] & 63] = (sets[first] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         return out
 
     @staticmethod
-    def banded(minima: np.ndarray, kind: int) -> np.ndarray:
-        rows = minima.astype(np.uint64).reshape(len(minima), BANDS, ROWS)
+    def banded(minima: np.ndarray, bands: int, kind: int) -> np.ndarray:
+        rows = minima.astype(np.uint64).reshape(len(minima), bands, -1) if len(minima) else np.zeros((0, bands, 1), np.uint64)
         key = np.zeros(rows.shape[:2], np.uint64)
-        for r in range(ROWS):
+        for r in range(rows.shape[2]):
             key = mixed(key + rows[:, :, r] * np.uint64(BASES[1]) + np.uint64(r + 1))
-        return mixed(key + np.arange(BANDS, dtype=np.uint64) * np.uint64(BASES[0]) + np.uint64(kind)).view(np.int64)
+        return mixed(key + np.arange(bands, dtype=np.uint64) * np.uint64(BASES[0]) + np.uint64(kind)).view(np.int64)
+
+
+def signed(lines: list[str], signer: Signer, short_signer: Signer) -> list[bytes]:
+    """The bands of each line, those of its short shingles included."""
+    short = np.array([i for i, x in enumerate(lines) if is_short(x)], np.int64)
+    found = [(np.arange(len(lines)), lines, signer), (short, [lines[i] for i in short.tolist()], short_signer)]
+    who, keys = [], []
+    for numbers, some, by in found:
+        signs = np.cumsum([0] + [len(x) for x in some])
+        parts = np.flatnonzero(np.diff(signs[1:] // PART_SIGNS)) + 1 if some else ()
+        for start, end in zip([0, *parts], [*parts, len(some)]) if some else ():
+            line, key = by.keys(some[start:end])
+            who.append(numbers[start:end][line])
+            keys.append(key)
+    line = np.concatenate(who)
+    raw = np.concatenate(keys)[np.argsort(line, kind="stable")].tobytes()
+    ends = (8 * np.cumsum(np.bincount(line, minlength=len(lines)))).tolist()
+    return [raw[a:b] for a, b in zip([0, *ends], ends)]
 
 
 def line_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -143,7 +181,7 @@ def signed_lines(docs: DataFrame, k: int, min_chars: int, chunk_words: int) -> D
     """
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        signer, short_signer = Signer(k), Signer(SHORT_K, 2)
+        signer, short_signer = Signer(k), Signer(SHORT_K, 2, SHORT_BANDS, SHORT_ROWS)
         for chunk in chunks(batches, chunk_words):
             firsts: dict[str, tuple] = {}
             again: dict[str, set] = {}
@@ -162,15 +200,11 @@ def signed_lines(docs: DataFrame, k: int, min_chars: int, chunk_words: int) -> D
                 part = lines[start:start + 1000]
                 h1, h2 = line_keys(part)
                 places = [firsts[x] for x in part]
-                bands = signer.keys(part)
-                short = [i for i, x in enumerate(part) if is_short(x)]
-                for i, key in zip(short, short_signer.keys([part[i] for i in short]) if short else ()):
-                    bands[i] = np.concatenate([bands[i], key])
                 yield pd.DataFrame({
                     "h1": h1, "h2": h2,
                     "doc_id": [p[0] for p in places], "text_key": [p[1] for p in places], "line": [p[2] for p in places],
                     "again": [[{"doc_id": p[0], "text_key": p[1], "line": p[2]} for p in again.get(x, ())] for x in part],
-                    "bands": [b.tobytes() for b in bands]})
+                    "bands": signed(part, signer, short_signer)})
 
     place = "doc_id long, text_key long, line int"
     return docs.mapInPandas(sign, f"h1 long, h2 long, {place}, again array<struct<{place.replace(' ', ':').replace(',:', ',')}>>, bands binary")
@@ -267,14 +301,18 @@ def texts_of(docs: DataFrame, compared: Broadcast, min_chars: int) -> DataFrame:
 
 
 class Bounds:
-    """Per line the number of its shingles, and a bitmap of them; two of these bound how many shingles two lines share."""
+    """Per line the number of its shingles, a bitmap of them, and their hashes; two of these bound how many shingles two lines share."""
+
+    #: Places of the table in which the shingles of one line are marked, to count those of others.
+    MARKS = 1 << 18
 
     def __init__(self, k: int) -> None:
         self.kinds = (k, SHORT_K)
         self.rolling = Rolling(BASES[0])
 
-    def of(self, lines: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """For shingles and short shingles: sizes, bitmaps and how many shingles share a bit. No size: not compared by these."""
+    def of(self, lines: list[str]) -> list[tuple[np.ndarray, ...]]:
+        """For shingles and short shingles: sizes, bitmaps, how many shingles share a bit, and the places of all shingles with
+        where those of each line end. No size: not compared by these."""
         points = np.frombuffer("".join(lines).encode("utf-32-le", "replace"), "<u4")
         sizes = np.array([len(x) for x in lines], np.int64)
         begins = np.cumsum(sizes) - sizes
@@ -282,7 +320,7 @@ class Bounds:
         taking_part = np.ones(len(lines), bool), (sizes >= SHORT_FROM) & (sizes < SHORT_TO)
         return [self.kind(sums, begins, sizes, k, takes) for k, takes in zip(self.kinds, taking_part)]
 
-    def kind(self, sums: np.ndarray, begins: np.ndarray, sizes: np.ndarray, k: int, takes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def kind(self, sums: np.ndarray, begins: np.ndarray, sizes: np.ndarray, k: int, takes: np.ndarray) -> tuple[np.ndarray, ...]:
         counts = np.where(takes, np.maximum(0, sizes - k + 1), 0)
         owner = np.repeat(np.arange(len(sizes)), counts).astype(np.uint64)
         at = np.repeat(begins - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
@@ -294,21 +332,47 @@ class Bounds:
         bits = np.zeros(len(sizes) * 256, bool)
         bits[owner * 256 + (keys & np.uint64(255)).astype(np.int64)] = True
         bits[np.flatnonzero(takes & (n == 0)) * 256] = True  # shorter than a shingle: one shingle
+        places, ends = (keys & np.uint64(self.MARKS - 1)).astype(np.int32), np.cumsum(n)
         n = np.where(takes, np.maximum(1, n), 0)
         words = np.packbits(bits.reshape(-1, 256), axis=1, bitorder="little").view(np.uint64)
-        return n, words, n - np.bitwise_count(words).sum(axis=1, dtype=np.int64)
+        return n, words, n - np.bitwise_count(words).sum(axis=1, dtype=np.int64), places, ends
 
-    @staticmethod
-    def may_be_alike(left: list, right: list, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Whether lines ``i`` of ``left`` and ``j`` of ``right`` can be alike: true for all that are."""
+    @classmethod
+    def may_be_alike(cls, left: list, right: list, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether lines ``i`` of ``left`` and ``j`` of ``right`` can be alike: true for all that are.
+
+        Bitmaps first; they are full where lines are long, so what they leave is counted by the places of all shingles.
+        """
         out = np.zeros(len(i), bool)
-        for (n, words, loose), (m, others, slack) in zip(left, right):
+        for (n, words, loose, places, ends), (m, others, slack, theirs, stops) in zip(left, right):
             x, y = n[i], m[j]
-            fits = np.flatnonzero((x > 0) & (y > 0) & (100 * np.minimum(x, y) >= PERCENT * np.maximum(x, y) - 100))
-            u, v = i[fits], j[fits]
-            most = np.bitwise_count(words[u] & others[v]).sum(axis=1, dtype=np.int64) + np.minimum(loose[u], slack[v])
+            fits = np.flatnonzero(~out & (x > 0) & (y > 0) & (100 * np.minimum(x, y) >= PERCENT * np.maximum(x, y) - 100))
+            most = np.bitwise_count(words[i[fits]] & others[j[fits]]).sum(axis=1, dtype=np.int64) + np.minimum(loose[i[fits]], slack[j[fits]])
             # One more, as two shingles of a line may have the same 40 bits.
-            out[fits] |= (100 + PERCENT) * (most + 1) >= PERCENT * (x[fits] + y[fits])
+            fits = fits[(100 + PERCENT) * (most + 1) >= PERCENT * (x[fits] + y[fits])]
+            fits = fits[np.argsort(i[fits], kind="stable")]
+            most = cls.common(places, ends, theirs, stops, i[fits], j[fits])
+            out[fits] = (100 + PERCENT) * (most + 1) >= PERCENT * (x[fits] + y[fits])
+        return out
+
+    @classmethod
+    def common(cls, places: np.ndarray, ends: np.ndarray, theirs: np.ndarray, stops: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """At most so many shingles that lines ``i``, in order, and ``j`` share."""
+        out, table = np.zeros(len(i), np.int64), np.zeros(cls.MARKS, bool)
+        begin = lambda at, n: at[n - 1] if n else 0
+        groups = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]])).tolist() if len(i) else []
+        others, after = j.tolist(), stops.tolist()
+        for start, end in zip(groups, [*groups[1:], len(i)]):
+            a = int(i[start])
+            mine = places[begin(ends, a):ends[a]]
+            parts = [theirs[begin(after, b):after[b]] for b in others[start:end]]
+            sizes = np.array([len(p) for p in parts])
+            if not len(mine) or not sizes.all():  # a line shorter than a shingle
+                out[start:end] = np.maximum(1, np.minimum(len(mine), sizes))
+                continue
+            table[mine] = True
+            out[start:end] = np.add.reduceat(table[np.concatenate(parts)], np.cumsum(sizes) - sizes, dtype=np.int64)
+            table[mine] = False
         return out
 
 
@@ -317,11 +381,13 @@ def alike_pairs(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def test(left: pd.Series, right: pd.Series) -> pd.Series:
-        bounds, every = Bounds(k), np.arange(len(left))
-        a, b = left.tolist(), right.tolist()
-        out = bounds.may_be_alike(bounds.of(a), bounds.of(b), every, every)
-        for n in np.flatnonzero(out).tolist():
-            out[n] = either_alike(shingle_sets(a[n], k), shingle_sets(b[n], k))
+        bounds, out = Bounds(k), np.zeros(len(left), bool)
+        signs = np.cumsum(left.str.len().to_numpy(np.int64) + right.str.len().to_numpy(np.int64))
+        for rows in np.split(np.arange(len(left)), np.flatnonzero(np.diff(signs // PART_SIGNS)) + 1):
+            a, b = left.iloc[rows].tolist(), right.iloc[rows].tolist()
+            likely = bounds.may_be_alike(bounds.of(a), bounds.of(b), np.arange(len(rows)), np.arange(len(rows)))
+            for n in np.flatnonzero(likely).tolist():
+                out[rows[n]] = either_alike(shingle_sets(a[n], k), shingle_sets(b[n], k))
         return pd.Series(out)
 
     both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
@@ -337,7 +403,7 @@ def cell_pairs(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(later) - later, later)
 
 
-def compare_bands(rows: DataFrame, k: int, part_rows: int, most_pairs: int = 500_000, deal: str = "cell") -> DataFrame:
+def compare_bands(rows: DataFrame, k: int, part_rows: int, most_pairs: int = 500_000, most_signs: int = 2_000_000, deal: str = "cell") -> DataFrame:
     """Links (a, b) between the components of each band, from rows (band, id, comp, text, rows of the band).
 
     ``deal`` is an expression of the cell and the columns of ``rows``: cells of one value go to the same task.
@@ -385,7 +451,8 @@ def compare_bands(rows: DataFrame, k: int, part_rows: int, most_pairs: int = 500
             marks = frame["cell"].to_numpy()
             starts = np.concatenate([[0], np.flatnonzero(marks[1:] != marks[:-1]) + 1, [len(marks)]]).astype(np.int64)
             sizes = np.diff(starts)
-            turn = np.cumsum(sizes * (sizes - 1) // 2 + sizes) // most_pairs
+            signs = np.add.reduceat(frame["text"].str.len().to_numpy(np.int64), starts[:-1])
+            turn = np.cumsum(sizes * (sizes - 1) // 2 + sizes) // most_pairs + np.cumsum(signs) // most_signs
             for cells in np.split(np.arange(len(sizes)), np.flatnonzero(turn[1:] != turn[:-1]) + 1):
                 some = frame.iloc[starts[cells[0]]:starts[cells[-1] + 1]]
                 x, y = np.array(list(links(some, sizes[cells])), np.int64).reshape(-1, 2).T

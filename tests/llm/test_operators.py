@@ -1,6 +1,7 @@
 """Every operator against a plain version of itself, on awkward rows and on empty tables."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import defaultdict
@@ -431,6 +432,31 @@ def test_bounds_rule_out_most_pairs_and_no_alike_ones():
     assert likely[alike].all() and likely[~alike].mean() < 0.2
 
 
+def test_unlike_short_lines_share_few_bands(spark):
+    """Short lines made of the same syllables; of 300 unlike ones few go on to be compared, of those with one changed sign all do."""
+    rng = random.Random(5)
+    parts = ["th", "wh", "es", "nd", "an", "or", "ing", "he", "at", "er", "st", "o", "ve", "li", "cra", "mu"]
+    some = ["".join(rng.choice(parts) + " " * (rng.random() < 0.3) for _ in range(40)).strip() for _ in range(300)]
+    twins = [x[:30] + "#" + x[31:] for x in some[:20]]
+    docs = spark.createDataFrame([(k, k, x) for k, x in enumerate(some + twins)], "doc_id long, text_key long, text string")
+    signed = lines.stored(lines.signed_lines(docs, 9, 1, 400_000), "lines")
+    members = lines.shared_bands(signed, lines.repeated_bits(signed, 1 << 20), 1 << 20)
+    h1, h2 = lines.line_keys(twins + some[:20])
+    found = {tuple(r.id) for r in members.select("id").distinct().collect()}
+    assert set(zip(h1.tolist(), h2.tolist())) <= found and len(found) < 80
+
+
+def test_long_lines_are_counted_where_bitmaps_are_full():
+    """Lines of 400 to 900 signs that share half their shingles: 256 bits say little of them, the places of their shingles rule them out."""
+    whole = [sentence(1200 + k, 200)[:400 + 25 * k] for k in range(20)]
+    some = whole + [a[:len(a) // 2] + b[len(b) // 2:] for a, b in zip(whole, whole[1:])] + [x[:-1] + "#" for x in whole]
+    held = lines.Bounds(9).of(some)
+    i, j = lines.cell_pairs(np.array([len(some)]))
+    likely = lines.Bounds.may_be_alike(held, held, i, j)
+    alike = np.array([lines.either_alike(lines.shingle_sets(some[a], 9), lines.shingle_sets(some[b], 9)) for a, b in zip(i, j)])
+    assert alike.sum() >= 20 and likely[alike].all() and likely[~alike].mean() < 0.02
+
+
 def test_copies_in_several_tasks_are_one_line_in_bands(spark):
     data = [(k, sentence(950 + k % 2, 12), None, None, None) for k in range(12)]
     docs = frame(spark, data).select("doc_id", F.xxhash64("text").alias("text_key"), "text").repartition(6, "doc_id")
